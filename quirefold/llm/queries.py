@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP5_SQL, op5_decontaminate
 from .mixing import OP9_SQL, op9_mix
+from .topk import OP4_SQL, op4_topk
 
-QUERIES = {"op9_mix": op9_mix}
-ORACLE_SQL = {"op9_mix": OP9_SQL}
+QUERIES = {"op4_topk": op4_topk, "op5_decontaminate": op5_decontaminate, "op9_mix": op9_mix}
+ORACLE_SQL = {"op4_topk": OP4_SQL, "op5_decontaminate": OP5_SQL, "op9_mix": OP9_SQL}
