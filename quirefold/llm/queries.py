@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from .decontaminate import OP5_SQL, op5_decontaminate
+from .licenses import op10_licenses
 from .mixing import OP9_SQL, op9_mix
 from .secrets import op6_secrets
 from .topk import OP4_SQL, op4_topk
 
-QUERIES = {"op4_topk": op4_topk, "op5_decontaminate": op5_decontaminate, "op6_secrets": op6_secrets, "op9_mix": op9_mix}
+QUERIES = {"op4_topk": op4_topk, "op5_decontaminate": op5_decontaminate, "op6_secrets": op6_secrets, "op9_mix": op9_mix, "op10_licenses": op10_licenses}
 ORACLE_SQL = {"op4_topk": OP4_SQL, "op5_decontaminate": OP5_SQL, "op9_mix": OP9_SQL}
