@@ -7,10 +7,11 @@ from .exact_dedup import op7_exact_dedup
 from .langid import op2_langid
 from .licenses import op10_licenses
 from .mixing import OP9_SQL, op9_mix
+from .near_dedup import op8_near_dedup
 from .pages import op1_extract
 from .quality import op3_quality
 from .secrets import op6_secrets
 from .topk import OP4_SQL, op4_topk
 
-QUERIES = {"op1_extract": op1_extract, "op2_langid": op2_langid, "op3_quality": op3_quality, "op4_topk": op4_topk, "op5_decontaminate": op5_decontaminate, "op6_secrets": op6_secrets, "op7_exact_dedup": op7_exact_dedup, "op9_mix": op9_mix, "op10_licenses": op10_licenses}
+QUERIES = {"op1_extract": op1_extract, "op2_langid": op2_langid, "op3_quality": op3_quality, "op4_topk": op4_topk, "op5_decontaminate": op5_decontaminate, "op6_secrets": op6_secrets, "op7_exact_dedup": op7_exact_dedup, "op8_near_dedup": op8_near_dedup, "op9_mix": op9_mix, "op10_licenses": op10_licenses}
 ORACLE_SQL = {"op4_topk": OP4_SQL, "op5_decontaminate": OP5_SQL, "op9_mix": OP9_SQL}
