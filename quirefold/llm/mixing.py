@@ -80,13 +80,15 @@ def mix_sources(
     weight: Column | None = None,
     seed: str = SEED,
     bucket_rows: int = BUCKET_ROWS,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """documents(doc_id, text, source) -> doc_id, source, size, source_size, target, epochs, taken.
 
     weight: quality weight per document (default: quality_weight of the text). Null text: size 0,
     taken 0. Null source: a source of its own, last in order. Repeated rows count one by one;
     rows that agree in id and text share the order by hash and are interchangeable. Empty table:
-    no rows. Sources without words have target 0. Other columns are ignored.
+    no rows. Sources without words have target 0. Other columns are ignored,
+    but for those that ``keep`` passes on.
     """
     text = F.col("text")
     rows = docs.select(
@@ -95,6 +97,7 @@ def mix_sources(
         n_words(text).alias("size"),
         (F.coalesce(weight, F.lit(1.0)) if weight is not None else F.coalesce(quality_weight(text), F.lit(1.0))).alias("w"),
         uniform(F.col("doc_id"), seed).alias("u"),
+        *[f"`{c}`" for c in keep],
     )
     rows = rows.withColumn("key", -F.ln("u") / F.greatest("w", F.lit(1e-6))).drop("u")
     per_source = rows.groupBy("src").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
@@ -129,7 +132,7 @@ def mix_sources(
     part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("budget") - F.col("ahead")))
     return done.select(
         "doc_id", F.col("src").alias("source"), "size", "source_size", "target", "epochs",
-        (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"),
+        (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), *[f"`{c}`" for c in keep],
     )
 
 
