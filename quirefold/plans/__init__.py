@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_detections", "q_metrics", "q_evalset", "q_scripts")
+MODULES = ("q_detections", "q_metrics", "q_evalset", "q_scripts", "q_pages")
 
 
 def registered() -> tuple[dict, dict]:
