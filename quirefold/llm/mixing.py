@@ -16,12 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACED_WORD
+from .common import SPACED_WORD, saved
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 BUCKET_ROWS = 5000
 SEED = "mix-1"
+#: The targets, a row per source, are broadcast up to this many bytes, and joined beyond it.
+MAX_BROADCAST = 32 << 20
 #: Characters that prose rarely holds.
 SYMBOLS = "#$%&*|<>{}[]\\^~=_@+!"
 
@@ -99,7 +101,8 @@ def mix_sources(
         uniform(F.col("doc_id"), seed).alias("u"),
         *[f"`{c}`" for c in keep],
     )
-    rows = rows.withColumn("key", -F.ln("u") / F.greatest("w", F.lit(1e-6))).drop("u")
+    # the texts are read once: what follows needs a few numbers per document
+    rows = saved(rows.withColumn("key", -F.ln("u") / F.greatest("w", F.lit(1e-6))).drop("u", "w"))
     per_source = rows.groupBy("src").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     targets = source_targets(per_source.select("src", "source_size"), weights, max_epochs)
     plan = (
@@ -112,8 +115,10 @@ def mix_sources(
         )
         .withColumn("budget", F.round(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size"))
     )
+    plan = saved(plan)
+    small = plan.count() * 128 <= MAX_BROADCAST
     # 1 - exp(-key) grows with the key and is uniform for weight 1
-    keyed = rows.join(plan, F.col("src").eqNullSafe(F.col("src_"))).withColumn(
+    keyed = rows.join(F.broadcast(plan) if small else plan, F.col("src").eqNullSafe(F.col("src_"))).withColumn(
         "bucket", F.floor((1 - F.exp(-F.col("key"))) * F.col("n_buckets")).cast("long")
     )
     group = F.coalesce(F.col("src"), F.lit("")), F.col("src").isNull()
