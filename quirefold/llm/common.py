@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +47,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder and read again: its lineage ends there and a lost
-    executor costs nothing that is written."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, written to the checkpoint folder and read again.
+
+    Its lineage ends there, a lost executor costs nothing that is written, and the planner
+    sees the size that it really has (a checkpointed DataFrame would keep multiplying old estimates
+    in iterative plans). Two readers of it don't compute it twice.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -178,7 +178,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     block = max(1, min(BLOCK, length // 4))
     texts = docs.select(text_key().alias("k"), "text").where(F.octet_length("text") >= length)
     grams = texts.select("text").mapInArrow(_then(_emit_grams(length), _merged()), "h long")
-    twice = grams.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # counts are written out, so that the joins that follow deal both sides anew and split hot keys
+    twice = saved(grams.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     runs = texts.mapInArrow(
         _then(_emit_runs(length, block), _merged()), "h long, k long, p long, s0 long, s1 long, cores array<long>, wholes array<long>"
     )
@@ -203,7 +204,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     some = texts.join(F.broadcast(opened) if size <= MAX_BROADCAST else opened, "k")
     windows = some.mapInArrow(_then(_emit_windows(length), _merged()), "w long, k long, s long, weight int")
     windows = saved(windows)
-    again = windows.groupBy("w").agg(F.sum("weight").alias("n")).where("n > 1").select("w")
+    again = saved(windows.groupBy("w").agg(F.sum("weight").alias("n")).where("n > 1").select("w"))
     single = windows.where("weight = 1").join(again, "w").select("k", "s", (F.col("s") + length).alias("e"))
     return union_of_spans(whole.unionByName(single))
 
