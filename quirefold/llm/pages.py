@@ -329,10 +329,11 @@ def induce_wrappers(pages: DataFrame, per_host: int = PAGES_PER_HOST) -> DataFra
     rows = pages.where("html is not null").select(host(F.col("url")).alias("host"), F.xxhash64("html").alias("h"), "page_id")
     distinct = rows.groupBy("host", "h").agg(F.min("page_id").alias("page_id"))
     first = distinct.withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy("h"))).where(F.col("n") <= per_host)
-    first = first.select(F.col("host").alias("host_"), F.col("h").alias("h_"), F.col("page_id").alias("page_id_"))
+    first = saved(first.select(F.col("host").alias("host_"), F.col("h").alias("h_"), F.col("page_id").alias("page_id_")))
+    small = first.count() * 64 <= MAX_BROADCAST
     some = pages.where("html is not null").select(host(F.col("url")).alias("host"), F.xxhash64("html").alias("h"), "page_id", "html")
     on = (F.col("host") == F.col("host_")) & (F.col("h") == F.col("h_")) & F.col("page_id").eqNullSafe(F.col("page_id_"))
-    some = some.join(first, on).dropDuplicates(["host", "h"]).select("host", "h", "html")
+    some = some.join(F.broadcast(first) if small else first, on).dropDuplicates(["host", "h"]).select("host", "h", "html")
 
     def one(key, group: pd.DataFrame) -> pd.DataFrame:
         picked = list(group.sort_values("h")["html"])
