@@ -215,7 +215,8 @@ def frechet(acts: DataFrame, grp: str | None = None) -> DataFrame:
             value = frechet_distance(*stats[0], *stats[1])
         return pd.DataFrame({"grp": [g["grp"].iloc[0]], "value": [value]})
 
-    return moments(keyed, ["grp"]).groupBy("grp").applyInPandas(finish, "grp string, value double")
+    out = moments(keyed, ["grp"]).groupBy("grp").applyInPandas(finish, "grp string, value double")
+    return out.select("grp", F.coalesce("value", F.lit(float("nan"))).alias("value"))  # Arrow sends NaN as null
 
 
 def frechet_loo(acts: DataFrame) -> DataFrame:
