@@ -276,7 +276,8 @@ def induce(pages: list[str]) -> dict:
     # pages that repeat each other's content say nothing about what is template within it
     held = [{t for at in inside for t in flat[at][0].pages.get(i, ())} for i in range(len(pages))]
     pairs = [(a, b) for k, a in enumerate(held) for b in held[:k]]
-    alike = sum(len(a & b) / max(1, len(a | b)) for a, b in pairs) / max(1, len(pairs))
+    size = lambda some: sum(map(len, some))
+    alike = sum(size(a & b) / max(1, size(a | b)) for a, b in pairs) / max(1, len(pairs))
     template = {flat[at][1]: flat[at][0].pages[next(iter(flat[at][0].pages))] for at in inside if fixed[at]} if pairs and alike < 0.3 else {}
     return {"root": path, "template": template}
 
