@@ -13,6 +13,9 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: One or more of these separate the words of the decontamination and license operators.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: Setting by which the shuffle files of a finished statement go at once.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: A word of the near-duplicate and mixing operators.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 
@@ -51,8 +54,15 @@ def saved(df: DataFrame) -> DataFrame:
 
     Its lineage ends there, a lost executor costs nothing that is written, and the planner
     sees the size that it really has (a checkpointed DataFrame would keep multiplying old estimates
-    in iterative plans). Two readers of it don't compute it twice.
+    in iterative plans). Two readers of it don't compute it twice. Shuffle files of the job that wrote
+    it are removed as soon as it is written.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)

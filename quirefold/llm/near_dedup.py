@@ -7,12 +7,16 @@ of the compressed sketch name candidates: at a similarity of 0.75 two sets share
 bands with a probability of 3e-11.
 
 No group is expanded into pairs. In each band bucket every node is held against one other, the
-bucket's first; in later rounds, buckets whose nodes have not come together yet get another
-pivot, at random, and only nodes outside the pivot's component are held against it. In what is then left,
-buckets are dealt in blocks of bounded size, block against block, and sketches that are close enough
-to be links across components are named there. Candidates pass the estimate from their sketches, corrected
-for chance collisions, before their full sets are compared. Links join into components by the
-smallest id.
+bucket's first; in a second round, buckets whose nodes have not come together yet get another
+pivot, at random, and only nodes outside the pivot's component are held against it. Candidates pass the
+estimate from their sketches, corrected for chance collisions, before their full sets are compared.
+
+What is then left are buckets with several components. Their sketches are dealt in blocks of
+bounded size, block against block (nodes of the largest component only against the others), and close
+ones join into families; each block sends fewer edges than it has nodes. Families are dealt in blocks
+in the same way, now with full sets, and the links found there again are sent as a forest. Links
+join into components by the smallest id. So every pair that shares a band is compared, in memory,
+and no stage sends more than a multiple of its nodes.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.operators.folds import fold_sorted
+
 from .common import saved
 from .rolling import Ranges, buffers, chunks, mix, signed
 
@@ -32,8 +38,12 @@ REGISTERS = 256
 ROWS = 4
 MANTISSA = 10
 #: Rounds with one pivot per bucket before blocks are compared.
-ROUNDS = 3
+ROUNDS = 2
 BLOCK = 512
+#: Registers that are looked at before all of them, and the share of buckets (one in ...) of the first pass.
+QUICK, FIRST_SHARE = 32, 8
+#: Nodes, and bytes of their sets, in a block of full sets.
+FAMILY_BLOCK, FAMILY_BYTES = 256, 16 << 20
 CHUNK = 1 << 20
 #: A candidate is compared in full unless its estimate is this many standard deviations short.
 DEVIATIONS = 6.0
@@ -105,22 +115,28 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Similarity of paired sketches without chance collisions, and its standard deviation at 0.75.
 
     Two different sets agree in a register with the chance that their minima have the same zeros and
-    mantissa, about 2**-MANTISSA / 1.5.
+    mantissa, about 2**-MANTISSA / 1.5; in a brief one with that of equal bytes.
     """
     used = ((a != 0) | (b != 0)).sum(-1)
     same = ((a == b) & (a != 0)).sum(-1)
-    chance = 2.0**-MANTISSA / 1.5
+    chance = 1 / 255 if a.dtype == np.uint8 else 2.0**-MANTISSA / 1.5
     raw = same / np.maximum(1, used)
     return (raw - chance) / (1 - chance), np.sqrt(0.1875 / np.maximum(1, used))
 
 
+def _brief(regs: np.ndarray) -> np.ndarray:
+    """Every other register in one byte; 0 is empty."""
+    x = regs[:, ::2].astype(np.uint32)
+    return np.where(x == 0, 0, 1 + ((x * np.uint32(0x9E3779B1)) >> np.uint32(8)) % 255).astype(np.uint8)
+
+
 def _far(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     value, deviation = estimate(a, b)
     return value < threshold - DEVIATIONS * deviation
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """documents(doc_id, text) -> doc_id, node (hash of the set), n, regs. n = 0: no words."""
+    """documents(doc_id, text) -> doc_id, node (hash of the set), n, regs, brief. n = 0: no words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -133,9 +149,9 @@ def sketches(docs: DataFrame) -> DataFrame:
                 return pa.RecordBatch.from_arrays(
                     [
                         ids.slice(at, len(held)), pa.array([set_hash(s) for s in held], pa.int64()), pa.array([len(s) for s in held], pa.int64()),
-                        pa.array([r.tobytes() for r in regs], pa.binary()),
+                        pa.array([r.tobytes() for r in regs], pa.binary()), pa.array([r.tobytes() for r in _brief(regs)], pa.binary()),
                     ],
-                    ["doc_id", "node", "n", "regs"],
+                    ["doc_id", "node", "n", "regs", "brief"],
                 )
 
             for s in shingle_sets(batch.column("text")):
@@ -146,7 +162,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             if held:
                 yield out(at, held)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n long, regs binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n long, regs binary, brief binary")
 
 
 def bands(nodes: DataFrame) -> DataFrame:
@@ -183,8 +199,9 @@ def _close(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return both.where(near("ra", "rb")).select("a", "b")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, hashes): full sets of wanted(node, doc_id, tk), made from the texts once more."""
+def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, hashes): full sets of the wanted nodes, made from the texts once more and written out."""
+    wanted = saved(wanted.distinct().join(nodes.select("node", "tk"), "node"))
     size = wanted.count() * 40
     texts = docs.select(_text_key(docs).alias("tk"), "text")
     some = texts.join(F.broadcast(wanted) if size <= MAX_BROADCAST else wanted, "tk").dropDuplicates(["node"])
@@ -194,7 +211,15 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             made = [s.tobytes() for s in shingle_sets(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(made, pa.binary())], ["node", "hashes"])
 
-    return some.select("node", "text").mapInArrow(run, "node long, hashes binary")
+    return saved(some.select("node", "text").mapInArrow(run, "node long, hashes binary"))
+
+
+def _open_buckets(shared: DataFrame, labels: DataFrame, salt: Column) -> tuple[DataFrame, DataFrame]:
+    """(band, node, comp) of all buckets, and (band, pivot) of those of three or more nodes that aren't one component yet."""
+    at = saved(shared.join(labels, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp")))
+    pivot = F.min_by(F.struct("node", "comp"), F.xxhash64("node", salt)).alias("pivot")
+    open_ = at.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("rows"), pivot)
+    return at, saved(open_.where("c0 <> c1 and rows > 2").select("band", "pivot"))
 
 
 def _text_key(docs: DataFrame) -> Column:
@@ -222,16 +247,20 @@ def _linked(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> D
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(a, b) -> (node, comp): the smallest node that can be reached, for nodes with an edge.
 
-    Each round takes the smallest label among neighbours and then the label's own label, so that
-    paths halve; labels are written out between rounds.
+    Each round offers the smallest label among a node's neighbours to the node and to the node that
+    its label names, and then takes the label's own label, so that trees of labels are hooked to
+    each other and flattened at once; the rounds grow with the logarithm of a component. Labels are
+    written out between rounds.
     """
     both = saved(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
     for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("m"))
-        step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
-        up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-        new = saved(step.join(up, "comp", "left").select("node", "old", F.least(F.col("comp"), F.coalesce("top", "comp")).alias("comp")))
+        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
+        step = saved(labels.join(near, "node"))
+        hook = step.groupBy(F.col("comp").alias("node")).agg(F.min("m").alias("hook"))
+        hooked = saved(step.join(hook, "node", "left").select("node", F.col("comp").alias("old"), F.least("comp", "m", F.coalesce("hook", "m")).alias("comp")))
+        up = hooked.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+        new = saved(hooked.join(up, "comp", "left").select("node", "old", F.least("comp", F.coalesce("top", "comp")).alias("comp")))
         changed = new.where("comp <> old").limit(1).count()
         labels = new.select("node", "comp")
         if not changed:
@@ -239,36 +268,117 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _blocks(left: DataFrame, threshold: float) -> DataFrame:
-    """(band, node, comp, n, regs) -> (a, b): close sketches of different components in one bucket.
-
-    A bucket's nodes are dealt into blocks by size of set; a group holds two blocks.
+def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join what a symmetric matrix joins: fewer than its rows, however dense it is."""
+    left, a, b = np.ones(len(linked), bool), [], []
+    for root in range(len(linked)):
+        if not left[root]:
+            continue
+        left[root], todo = False, [root]
+        while todo:
+            x = todo.pop()
+            new = np.flatnonzero(linked[x] & left)
+            left[new] = False
+            a += [x] * len(new)
+            b += new.tolist()
+            todo += new.tolist()
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _dealt(rows: DataFrame, key: str, size: int, weight: Column | None = None) -> DataFrame:
+    """(key, node, comp, ...) -> the same with group: pairs of blocks of each key's nodes.
+
+    The nodes of the key's largest component are paired with the others alone, which keeps a key with
+    one large component linear; the others are paired with each other. A block holds about ``size``
+    nodes, fewer if ``weight`` (a column of units of work) adds up to more.
+    """
+    load = F.sum(weight if weight is not None else F.lit(1.0))
+    comps = saved(rows.groupBy(key, "comp").agg(F.count("*").alias("c"), load.alias("u")))
+    totals = comps.groupBy(key).agg(F.sum("c").alias("rows"), F.sum("u").alias("units"), F.max(F.struct("c", "comp", "u")).alias("big"))
+    blocks = lambda c, u: F.greatest(F.lit(1), F.ceil(F.greatest(c, u) / size)).cast("long")
+    plan = saved(totals.select(
+        key, F.col("big.comp").alias("big"), blocks(F.col("big.c"), F.col("big.u")).alias("nb"), blocks(F.col("rows") - F.col("big.c"), F.col("units") - F.col("big.u")).alias("nr"),
+    ))
+    at = rows.join(plan, key).withColumn("is_big", F.col("comp") == F.col("big"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("is_big"), F.col("nb")).otherwise(F.col("nr")))
+    at = at.withColumn("own", own)
+    seq = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    # of a big block: every block of the others; of another: every big block, and every block of the others
+    name = lambda kind, x, y: F.xxhash64(F.col(key), F.lit(kind), x, y)
+    big = F.transform(seq(F.col("nr")), lambda j: name("b", F.col("own"), j))
+    rest = F.concat(
+        F.transform(seq(F.col("nb")), lambda i: name("b", i, F.col("own"))),
+        F.transform(seq(F.col("nr")), lambda j: name("r", F.least(F.col("own"), j), F.greatest(F.col("own"), j))),
+    )
+    group = F.explode(F.when(F.col("is_big"), big).otherwise(rest))
+    return at.select("*", group.alias("group")).drop("big", "nb", "nr", "is_big", "own", key)
+
+
+def _families(left: DataFrame, threshold: float) -> DataFrame:
+    """(band, node, comp, n, brief) -> (a, b): edges that join close sketches of different components within a bucket."""
+
+    def close(g):
+        node, first = np.unique(g["node"], return_index=True)
+        comp, n = g["comp"][first], g["n"][first]
+        if (comp == comp[0]).all():
+            return {"a": node[:0], "b": node[:0]}
+        regs = np.frombuffer(b"".join(g["brief"][first]), np.uint8).reshape(-1, REGISTERS // 2)
+        near = np.zeros((len(node), len(node)), bool)
+        step = max(1, (1 << 20) // (len(node) * QUICK))
+        quick, held = regs[:, :QUICK], (regs[:, :QUICK] != 0).astype(np.float32)
+        own = held.sum(1)
+        for r in range(0, len(node), step):
+            some = slice(r, r + step)
+            fit = (comp[some, None] != comp) & (np.minimum(n[some, None], n) >= threshold * np.maximum(n[some, None], n))
+            fit &= np.arange(r, r + len(fit))[:, None] < np.arange(len(node))
+            same = ((quick[some, None, :] == quick) & (quick[some, None, :] != 0)).sum(-1, dtype=np.int32)
+            used = np.maximum(1, own[some, None] + own - held[some] @ held.T)
+            fit &= same / used >= threshold - DEVIATIONS * np.sqrt(0.1875 / used)
+            i, j = np.nonzero(fit)
+            good = ~_far(regs[i + r], regs[j], threshold)
+            near[i[good] + r, j[good]] = True
+        a, b = _forest(near | near.T)
+        return {"a": node[a], "b": node[b]}
+
+    dealt = _dealt(left, "band", BLOCK).select("group", "node", "comp", "n", "brief")
+    return fold_sorted(dealt, "group", ["node"], close, "group long, a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _links_within(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(family, node, comp, hashes) -> (a, b): edges that join sets that are similar enough, of different components, within a family.
+
+    Common shingles of all pairs of two blocks are counted by a product of incidence matrices over the
+    shingles that two sets at least hold, some thousand at a time.
     """
-    counts = left.groupBy("band").agg(F.count("*").alias("rows"), F.min("n").alias("n0"), F.max("n").alias("n1"))
-    left = left.join(counts, "band").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
-    left = left.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    dealt = left.select("band", "node", "comp", "n", "regs", "i", F.explode(every).alias("j"))
-    dealt = dealt.select("band", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "node", "comp", "n", "regs")
-
-    def pairs(g: pd.DataFrame) -> pd.DataFrame:
-        node, comp, n = (g[c].to_numpy() for c in ("node", "comp", "n"))
-        regs = np.frombuffer(b"".join(g["regs"]), np.uint16).reshape(-1, REGISTERS)
-        one_block = (g["x"] == g["y"]).all()
-        side = g["i"].to_numpy()
-        a, b = [], []
-        for r in range(len(node)):
-            fit = (comp != comp[r]) & (node > node[r]) & (np.minimum(n, n[r]) >= threshold * np.maximum(n, n[r]))
-            if not one_block:
-                fit &= side != side[r]
-            at = np.flatnonzero(fit)
-            if len(at):
-                at = at[~_far(regs[at], regs[r], threshold)]
-                a += [node[r]] * len(at)
-                b += list(node[at])
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-    return dealt.groupBy("band", "x", "y").applyInPandas(pairs, "a long, b long").distinct()
+    num, den = similarity
+
+    def links(g):
+        node, first = np.unique(g["node"], return_index=True)
+        comp = g["comp"][first]
+        sets = [np.frombuffer(x, np.uint64) for x in g["hashes"][first]]
+        n = np.array([len(s) for s in sets])
+        if (comp == comp[0]).all():
+            return {"a": node[:0], "b": node[:0]}
+        row = np.repeat(np.arange(len(sets)), n)
+        _, back, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        number = np.cumsum(count > 1) - 1
+        held = count[back] > 1
+        row, col = row[held], number[back[held]]
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        common = np.zeros((len(sets), len(sets)), np.float64)
+        width = 4096
+        for start in range(0, int(col[-1]) + 1 if len(col) else 0, width):
+            lo, hi = np.searchsorted(col, (start, start + width))
+            part = np.zeros((len(sets), width), np.float32)
+            part[row[lo:hi], col[lo:hi] - start] = 1
+            common += part @ part.T
+        union = n[:, None] + n - common
+        a, b = _forest((den * common >= num * union) & (comp[:, None] != comp))
+        return {"a": node[a], "b": node[b]}
+
+    dealt = _dealt(members, "family", FAMILY_BLOCK, F.length("hashes") / F.lit(FAMILY_BYTES / FAMILY_BLOCK)).select("group", "node", "comp", "hashes")
+    return fold_sorted(dealt, "group", ["node"], links, "group long, a long, b long").select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
@@ -283,38 +393,51 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, r
     threshold = similarity[0] / similarity[1]
     texts = docs.select("doc_id", "text")
     keyed = texts.select(F.struct("doc_id", _text_key(docs).alias("tk")).alias("doc_id"), "text")
-    made = saved(sketches(keyed).select("doc_id.doc_id", "doc_id.tk", "node", "n", "regs"))
+    made = saved(sketches(keyed).select("doc_id.doc_id", "doc_id.tk", "node", "n", "regs", "brief"))
     nodes = saved(
-        made.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("tk").alias("tk"), F.min("n").alias("n"), F.min("regs").alias("regs"))
+        made.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("tk").alias("tk"), F.min("n").alias("n"), F.min("regs").alias("regs"), F.min("brief").alias("brief"))
     )
     buckets = bands(nodes)
     # buckets with company, each with its first node
-    first = buckets.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("rows")).where("rows > 1")
-    shared = saved(buckets.join(first, "band").select("band", "node", "pivot"))
+    first = saved(buckets.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("rows")).where("rows > 1").drop("rows"))
+    shared = saved(buckets.join(first, "band"))
     links, labels, tested = None, None, None
-    for r in range(rounds + 1):
+    for r in range(rounds):
         if r == 0:
             cand = shared.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         else:
-            at = shared.join(labels, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
-            open_ = at.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("rows"), F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(r))).alias("pivot"))
-            open_ = open_.where("c0 <> c1 and rows > 2").drop("c0", "c1", "rows")
-            if r < rounds:
-                cand = at.join(open_, "band").where("comp <> pivot.comp").select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
-            else:
-                rest = at.join(open_.select("band"), "band").join(nodes.select("node", "n", "regs"), "node")
-                cand = _blocks(rest, threshold)
+            at, open_ = _open_buckets(shared, labels, F.lit(r))
+            cand = at.join(open_, "band").where("comp <> pivot.comp").select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
             cand = cand.join(tested, ["a", "b"], "left_anti")
-        close = saved(_close(cand, nodes, threshold) if r < rounds else cand)
+        close = saved(_close(cand, nodes, threshold))
         tested = close if tested is None else tested.unionByName(close)
         if close.isEmpty():
             if r == 0:
                 break
             continue
-        wanted = close.select(F.col("a").alias("node")).union(close.select("b")).distinct().join(nodes.select("node", "tk"), "node")
-        found = _linked(close, saved(_sets(docs, saved(wanted))), similarity)
+        found = _linked(close, _sets(docs, nodes, close.select(F.col("a").alias("node")).union(close.select("b"))), similarity)
         links = saved(found if links is None else links.unionByName(found))
         labels = components(links)
+    if links is not None:
+        # a first share of the buckets joins most families; the rest need not compare within them
+        edges, known = None, labels
+        first_share = F.pmod(F.xxhash64("band", F.lit(1)), F.lit(FIRST_SHARE)) == 0
+        for part in (first_share, ~first_share):
+            at, open_ = _open_buckets(shared.where(part), known, F.lit(rounds))
+            # buckets of the same nodes are looked at once
+            left = saved(at.join(open_.select("band"), "band"))
+            alike = left.groupBy("band").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("all"), F.count("*").alias("rows"))
+            once = saved(alike.groupBy("all", "rows").agg(F.min("band").alias("band")).select("band"))
+            found = saved(_families(left.join(once, "band").join(nodes.select("node", "n", "brief"), "node"), threshold))
+            edges = found if edges is None else edges.unionByName(found)
+            if part is first_share:
+                known = components(edges.unionByName(links))
+        if not edges.isEmpty():
+            families = components(edges).withColumnRenamed("comp", "family")
+            members = families.join(labels, "node", "left").select("family", "node", F.coalesce("comp", "node").alias("comp"))
+            found = _links_within(members.join(_sets(docs, nodes, members.select("node")), "node"), similarity)
+            links = saved(links.unionByName(found))
+            labels = components(links)
     node_ids = nodes.select("node", "first_id")
     if labels is not None:
         in_comp = node_ids.join(labels, "node")
