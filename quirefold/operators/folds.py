@@ -39,11 +39,15 @@ def fold_sorted(df: DataFrame, key: str, order: list[str], fold: Callable[[dict[
             yield _folded([pd.concat(held)])
 
     def _folded(groups: list[pd.DataFrame]) -> pd.DataFrame:
-        out = []
+        keys, made = [], []
         for g in groups:
-            made = fold({c: g[c].to_numpy() for c in g.columns})
-            n = len(next(iter(made.values())))
-            out.append(pd.DataFrame({key: np.repeat(g[key].iloc[0], n), **made}))
-        return pd.concat(out)
+            out = fold({c: g[c].to_numpy() for c in g.columns})
+            n = len(next(iter(out.values())))
+            if n:
+                keys.append(np.repeat(g[key].iloc[0], n))
+                made.append(out)
+        if not made:
+            return pd.DataFrame({c.split()[0]: [] for c in schema.split(",")})
+        return pd.DataFrame({key: np.concatenate(keys), **{c: np.concatenate([m[c] for m in made]) for c in made[0]}})
 
     return dealt.mapInPandas(run, schema)
