@@ -433,8 +433,11 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, r
             if part is first_share:
                 known = components(edges.unionByName(links))
         if not edges.isEmpty():
-            families = components(edges).withColumnRenamed("comp", "family")
-            members = families.join(labels, "node", "left").select("family", "node", F.coalesce("comp", "node").alias("comp"))
+            # by the relation that closed the second share: what it left out meets in its family
+            families = components(edges.unionByName(links)).withColumnRenamed("comp", "family")
+            members = saved(families.join(labels, "node", "left").select("family", "node", F.coalesce("comp", "node").alias("comp")))
+            several = members.groupBy("family").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("family")
+            members = saved(members.join(several, "family"))
             found = _links_within(members.join(_sets(docs, nodes, members.select("node")), "node"), similarity)
             links = saved(links.unionByName(found))
             labels = components(links)

@@ -358,6 +358,29 @@ def test_residual_blocks_alone_find_the_links(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: c for i, (_, c) in want.items()}
 
 
+def test_nodes_known_by_a_link_alone_belong_to_a_family(spark, monkeypatch):
+    """b is linked with a by a pivot and has no open bucket in the first share, where x is close to a: x and b are compared all the same."""
+    import pyarrow as pa
+
+    def text(doc, slots):
+        return " ".join(f"x{doc}-{i}" if i in slots else f"w{i}" for i in range(160))
+
+    rows = [(i, text(i, s)) for i, s in ((1, {5, 10, 15, 20}), (2, {5, 10, 15}), (3, {5, 10, 15, 25}))]
+    assert {c for _, c in classes(rows).values()} == {1} and {c for _, c in classes([rows[0], rows[2]]).values()} == {1, 3}
+    a, b, x = (near_dedup.set_hash(next(near_dedup.shingle_sets(pa.array([t])))) for _, t in rows)
+    close, calls = near_dedup._close, []
+    pair = lambda p, q: spark.createDataFrame([(min(p, q), max(p, q))], "a long, b long")
+
+    def families(left, threshold):
+        calls.append(left)
+        return pair(a, x) if len(calls) == 1 else pair(a, x).limit(0)
+
+    monkeypatch.setattr(near_dedup, "_close", lambda pairs, nodes, threshold: close(pairs.unionByName(pair(a, b)).distinct().join(pair(x, b), ["a", "b"], "left_anti"), nodes, threshold))
+    monkeypatch.setattr(near_dedup, "_families", families)
+    got = near_dedup.near_duplicates(frame(spark, rows), rounds=1).collect()
+    assert len(calls) == 2 and {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 1}
+
+
 def test_forest_joins_what_a_matrix_joins():
     m = np.zeros((7, 7), bool)
     for a, b in ((0, 1), (1, 2), (0, 2), (4, 5)):
