@@ -273,11 +273,21 @@ def max_font(v):
     return L.max_font(layout, v.spark.createDataFrame([("e", 0.5), ("i", 0.25), (" ", 0.3)], "ch string, em double"))
 
 
+#: Words in a block of the quality queries.
+BLOCK_WORDS = 12
+
+
 def _quality(v):
-    words = F.slice(F.split("text", " "), 1, 12)
+    """Every run of BLOCK_WORDS words of a text is a block, named by the document and its number; each word is in one block."""
+    run = rf"\G([^ ]*(?: [^ ]*){{0,{BLOCK_WORDS - 1}}})(?: |\z)"
+    runs = F.regexp_extract_all("text", F.lit(run), F.lit(1))
+    # a text that ends with a whole block gives an empty match after it
+    count = F.ceil((F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1) / BLOCK_WORDS).cast("int")
+    rows = v.documents.select("doc_id", F.col("lang").alias("class"), F.posexplode_outer(F.slice(runs, 1, count)).alias("block", "run"))
+    words = F.split("run", " ")
     n = (2 + F.col("doc_id") % 4).cast("int")
     lines = F.transform(F.sequence(F.lit(0), F.ceil(F.size(words) / n).cast("int") - 1), lambda i: F.array_join(F.slice(words, i * n + 1, n), " "))
-    blocks = v.documents.select(F.col("doc_id").alias("bubble_id"), F.col("lang").alias("class"), lines.alias("lines")).withColumn("widths", F.transform("lines", lambda s: F.length(s) * 7.5))
+    blocks = rows.select(F.concat_ws(":", "doc_id", "block").alias("bubble_id"), "class", lines.alias("lines")).withColumn("widths", F.transform("lines", lambda s: F.length(s) * 7.5))
     return L.layout_quality(blocks)
 
 

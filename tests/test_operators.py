@@ -216,3 +216,19 @@ def test_empty_tables(spark):
     assert detections.assign_tokens(tokens, boxes).count() == 0
     assert ordering.reading_order_rows(boxes).count() == 0
     assert metrics.evaluate(spark.createDataFrame([], "hole_frac double, ssim double"), ["ssim"]).count() == 0
+
+
+def test_quality_reads_every_word(spark):
+    from types import SimpleNamespace
+
+    from quirefold.plans import q_masks
+
+    texts = [" ".join(f"w{i}-" for i in range(n)) for n in (1, 11, 12, 13, 24, 40)] + ["", "a-  b- ", " ".join(["c-"] * 12) + " ", "d-\ne- f-\n", None]
+    docs = spark.createDataFrame([(4 * i + 3, "x", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
+    got = q_masks._quality(SimpleNamespace(documents=docs)).collect()
+    for i, t in enumerate(texts):
+        mine = sorted((r for r in got if r["bubble_id"].split(":")[0] == str(4 * i + 3)), key=lambda r: int((r["bubble_id"].split(":") + ["0"])[1]))
+        words = None if t is None else t.split(" ")
+        # lines of five words, blocks of twelve
+        want = [None] if words is None else [sum(" ".join(b[k : k + 5]).strip(" ").endswith("-") for k in range(0, len(b), 5)) for b in (words[j : j + 12] for j in range(0, len(words), 12))]
+        assert [r["hyphens"] for r in mine] == want, (i, t)
