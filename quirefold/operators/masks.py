@@ -233,15 +233,25 @@ def overlap_pairs(rects: DataFrame, scores: DataFrame, cap: int = 2) -> DataFram
     return out.select("image_id", "a", "b", (F.col("sb") - F.col("sa")).alias("score_diff"))
 
 
-def accept_masks(candidates: DataFrame, existing: DataFrame, limit_existing: float, limit_current: float) -> DataFrame:
-    """candidates and existing (image_id, mask_id, y0, y1, x0, x1; one rectangle each) -> mask_id, the largest shares of an
-    existing mask and of the candidate that they have in common, accepted (both within their limits)."""
-    size = lambda p: (F.col(f"{p}y1") - F.col(f"{p}y0")) * (F.col(f"{p}x1") - F.col(f"{p}x0"))
-    e = existing.select("image_id", F.col("mask_id").alias("e_id"), *[F.col(c).alias(f"e_{c}") for c in ("y0", "y1", "x0", "x1")])
-    both = candidates.join(e, "image_id", "left")
-    cut = lambda a: F.greatest(F.lit(0), F.least(f"{a}1", f"e_{a}1") - F.greatest(f"{a}0", f"e_{a}0"))
-    common = F.coalesce(cut("y") * cut("x"), F.lit(0))
-    g = both.groupBy("mask_id").agg(F.coalesce(F.max(common / size("e_")), F.lit(0.0)).alias("max_inter_existing"), F.max(common / size("")).alias("max_inter_current"))
+def accept_masks(candidates: DataFrame, existing: DataFrame, limit_existing: float, limit_current: float, alone: float = 0.0) -> DataFrame:
+    """candidates and existing (image_id, mask_id, y0, y1, x0, x1; a row per rectangle of the mask) -> mask_id, the largest shares of an
+    existing mask and of the candidate that they have in common, accepted (both within their limits).
+
+    Areas are those of the unions. alone: max_inter_current of a candidate whose image has no existing mask.
+    """
+    r = ["y0", "y1", "x0", "x1"]
+    e = existing.select("image_id", F.col("mask_id").alias("e_id"), *[F.col(c).alias(f"e_{c}") for c in r])
+    cut = [f(c, f"e_{c}").alias(c) for c, f in zip(r, (F.greatest, F.least) * 2, strict=True)]
+    met = candidates.select("image_id", "mask_id", *r).join(e, "image_id").select("mask_id", "e_id", *cut)
+    common = union_area(met.withColumn("pair", F.struct("mask_id", "e_id")), "pair").select("pair.mask_id", "pair.e_id", F.col("area").alias("common"))
+    own = union_area(candidates, "mask_id").withColumnRenamed("area", "own")
+    other = union_area(existing, "mask_id").select(F.col("mask_id").alias("e_id"), F.col("area").alias("other"))
+    most = common.join(own, "mask_id").join(other, "e_id").groupBy("mask_id").agg(F.max(F.col("common") / F.col("other")).alias("of_existing"), F.max(F.col("common") / F.col("own")).alias("of_current"))
+    images = existing.select("image_id").distinct().withColumn("has", F.lit(True))
+    every = candidates.select("image_id", "mask_id").distinct().join(images, "image_id", "left").groupBy("mask_id").agg(F.bool_or(F.coalesce("has", F.lit(False))).alias("has"))
+    g = every.join(most, "mask_id", "left").select(
+        "mask_id", F.coalesce("of_existing", F.lit(0.0)).alias("max_inter_existing"), F.coalesce("of_current", F.when(F.col("has"), F.lit(0.0)).otherwise(F.lit(alone))).alias("max_inter_current"),
+    )
     return g.withColumn("accepted", (F.col("max_inter_existing") <= limit_existing) & (F.col("max_inter_current") <= limit_current))
 
 
@@ -304,33 +314,58 @@ def mask_dataset(images: DataFrame, probabilities: dict[str, float], variants: i
     return sized.withColumn("rank_", rank).where(F.col("rank_") <= max_per_image).select("image_id", "variant", "mask_id", "kind", "area", "share")
 
 
+def _covered(ys: np.ndarray, xs: np.ndarray, rects: np.ndarray) -> np.ndarray:
+    """Which cells between the edges lie in any of the rectangles (y0, y1, x0, x1)."""
+    out = np.zeros((len(ys) - 1, len(xs) - 1), bool)
+    at = np.c_[np.searchsorted(ys, rects[:, :2]), np.searchsorted(xs, rects[:, 2:])]
+    for a, b, c, d in at:
+        out[a:b, c:d] = True
+    return out
+
+
+def union_overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """Areas of two unions of rectangles (y0, y1, x0, x1), and of what they have in common."""
+    both = np.concatenate([a, b])
+    ys, xs = np.unique(both[:, :2]), np.unique(both[:, 2:])
+    p, q = _covered(ys, xs, a), _covered(ys, xs, b)
+    size = np.outer(np.diff(ys), np.diff(xs))
+    return int(size[p].sum()), int(size[q].sum()), int(size[p & q].sum())
+
+
 def place(rects: DataFrame, dims: DataFrame, seed: int, variants: int = 2, limit: float = 0.5, min_share: float = 0.02, scale=0.2, shift=0.1) -> DataFrame:
-    """Moved copies of one-rectangle masks: scaled, flipped and shifted by draws, cut at the image, and kept if they overlap the
-    original by no more than ``limit`` and cover min_share of the image -> mask_id, variant, y0, y1, x0, x1.
+    """Moved copies of masks (a row per rectangle): scaled, flipped and shifted as a whole by draws, cut at the image, and kept if they
+    overlap the original by no more than ``limit`` and cover min_share of the image -> mask_id, variant, y0, y1, x0, x1, a row per rectangle.
 
-    The horizontal shifts of a variant are tried in a drawn order until one fits; a mask is handled alone.
+    The horizontal shifts of a variant are tried in a drawn order until one fits; a mask is handled alone. Rectangles
+    that a copy has no pixels of are left out.
     """
-    both = rects.select("mask_id", "y0", "y1", "x0", "x1").join(dims.select("mask_id", "w", "h"), "mask_id")
+    ends = ["y0", "y1", "x0", "x1"]
+    masks = rects.where("y1 > y0 and x1 > x0").groupBy("mask_id").agg(F.array_sort(F.collect_list(F.array(*[F.col(c).cast("long") for c in ends]))).alias("rects"))
+    both = masks.join(dims.select("mask_id", "w", "h"), "mask_id")
 
     def run(batches):
         for b in batches:
             out = []
-            for r in b.itertuples():
-                rng = np.random.default_rng([seed, int(r.mask_id) & 0xFFFFFFFF])
-                area = (r.y1 - r.y0) * (r.x1 - r.x0)
+            for m in b.itertuples():
+                rng = np.random.default_rng([seed, int(m.mask_id) & 0xFFFFFFFF])
+                r = np.stack([np.asarray(x, np.int64) for x in m.rects])
+                top, bottom, left, right = r[:, 0].min(), r[:, 1].max(), r[:, 2].min(), r[:, 3].max()
+                my, mx = (top + bottom) / 2, (left + right) / 2
                 for k in range(variants):
                     f = rng.uniform(1 - scale, 1 + scale)
-                    hh, ww = (r.y1 - r.y0) * f, (r.x1 - r.x0) * f
-                    cy, cx = (r.y0 + r.y1) / 2 + rng.uniform(-shift, shift) * r.h, (r.x0 + r.x1) / 2
-                    cx = r.w - cx if rng.integers(2) else cx
-                    for dx in rng.permutation(np.arange(-(r.w // 2), r.w // 2, max(1, r.w // 16))):
-                        y0, y1 = max(0, round(cy - hh / 2)), min(r.h, round(cy + hh / 2))
-                        x0, x1 = max(0, round(cx + dx - ww / 2)), min(r.w, round(cx + dx + ww / 2))
-                        common = max(0, min(y1, r.y1) - max(y0, r.y0)) * max(0, min(x1, r.x1) - max(x0, r.x0))
-                        mine = max(0, y1 - y0) * max(0, x1 - x0)
-                        if mine >= min_share * r.w * r.h and common <= limit * min(area, mine):
-                            out.append((r.mask_id, k, y0, y1, x0, x1))
+                    cy, cx = my + rng.uniform(-shift, shift) * m.h, mx
+                    ys, xs = (r[:, :2] - my) * f, (r[:, 2:] - mx) * f
+                    if rng.integers(2):
+                        cx, xs = m.w - cx, -xs[:, ::-1]
+                    y = np.clip(np.round(cy + ys), 0, m.h)
+                    for dx in rng.permutation(np.arange(-(m.w // 2), m.w // 2, max(1, m.w // 16))):
+                        x = np.clip(np.round(cx + dx + xs), 0, m.w)
+                        moved = np.c_[y, x].astype(np.int64)
+                        moved = moved[(moved[:, 1] > moved[:, 0]) & (moved[:, 3] > moved[:, 2])]
+                        area, mine, common = union_overlap(r, moved)
+                        if len(moved) and mine >= min_share * m.w * m.h and common <= limit * min(area, mine):
+                            out += [(m.mask_id, k, *q) for q in moved.tolist()]
                             break
-            yield pd.DataFrame(out, columns=["mask_id", "variant", "y0", "y1", "x0", "x1"])
+            yield pd.DataFrame(out, columns=["mask_id", "variant", *ends])
 
     return both.mapInPandas(run, "mask_id long, variant long, y0 long, y1 long, x0 long, x1 long")

@@ -122,8 +122,7 @@ def _first_rect(v):
 
 @query("g12_place")
 def _(v):
-    r = _first_rect(v)
-    return M.place(r, r.select("mask_id", F.lit(128).alias("w"), F.lit(128).alias("h")), 7)
+    return M.place(v.mask_rects, v.mask_rects.select("mask_id").distinct().withColumns({"w": F.lit(128), "h": F.lit(128)}), 7)
 
 
 UP = "(ceil({0} / 16) * 16)::bigint"
@@ -175,7 +174,16 @@ def _(v):
     g as (select mask_id, coalesce(max(case when ea is null then null else common / ea::double end), 0.0)::double as max_inter_existing, max(common / ca::double) as max_inter_current from p group by 1) select *, max_inter_existing <= 0.2 and max_inter_current <= 0.3 as accepted from g""")
 def _(v):
     r = _first_rect(v)
-    return M.accept_masks(r.where("mask_id % 2 = 0"), r.where("mask_id % 2 = 1").select("image_id", "mask_id", "y0", "y1", "x0", "x1"), 0.2, 0.3)
+    return M.accept_masks(r.where("mask_id % 2 = 0"), r.where("mask_id % 2 = 1").select("image_id", "mask_id", "y0", "y1", "x0", "x1"), 0.2, 0.3, alone=1.0)
+
+
+@query("j16_accept_masks_whole", """with cells as (select distinct image_id, mask_id, y, x from mask_rects, unnest(range(y0, y1)) as a(y), unnest(range(x0, x1)) as b(x)), n as (select mask_id, count(*) as area from cells group by 1),
+    p as (select c.mask_id, e.mask_id as e_id, count(*) as common from cells c join cells e using (image_id, y, x) where c.mask_id % 2 = 0 and e.mask_id % 2 = 1 group by 1, 2),
+    g as (select p.mask_id, max(common / ne.area::double) as of_existing, max(common / nc.area::double) as of_current from p join n nc on p.mask_id = nc.mask_id join n ne on p.e_id = ne.mask_id group by 1)
+    select n.mask_id, coalesce(of_existing, 0.0)::double as max_inter_existing, coalesce(of_current, 0.0)::double as max_inter_current, coalesce(of_existing, 0.0) <= 0.2 and coalesce(of_current, 0.0) <= 0.3 as accepted from n left join g using (mask_id) where n.mask_id % 2 = 0""")
+def _(v):
+    r = v.mask_rects
+    return M.accept_masks(r.where("mask_id % 2 = 0"), r.where("mask_id % 2 = 1"), 0.2, 0.3)
 
 
 # -- layout

@@ -232,3 +232,23 @@ def test_quality_reads_every_word(spark):
         # lines of five words, blocks of twelve
         want = [None] if words is None else [sum(" ".join(b[k : k + 5]).strip(" ").endswith("-") for k in range(0, len(b), 5)) for b in (words[j : j + 12] for j in range(0, len(words), 12))]
         assert [r["hyphens"] for r in mine] == want, (i, t)
+
+
+def test_masks_are_whole_unions(spark):
+    from quirefold.operators import masks
+
+    kind = "image_id long, mask_id long, y0 long, y1 long, x0 long, x1 long"
+    cand = spark.createDataFrame([(1, 2, 0, 10, 0, 10), (1, 2, 0, 10, 5, 15), (1, 2, 40, 50, 0, 5), (9, 4, 0, 4, 0, 4)], kind)
+    old = spark.createDataFrame([(1, 3, 90, 99, 90, 99), (1, 3, 45, 55, 0, 5), (1, 3, 0, 2, 8, 12)], kind)
+    got = {r["mask_id"]: (r["max_inter_existing"], r["max_inter_current"], r["accepted"]) for r in masks.accept_masks(cand, old, 0.2, 0.3).collect()}
+    # 25 and 8 pixels of 81 + 50 + 8, and of 150 + 50
+    assert got == {2: (33 / 139, 33 / 200, False), 4: (0.0, 0.0, True)}
+    dims = spark.createDataFrame([(2, 64, 64), (4, 64, 64)], "mask_id long, w long, h long")
+    moved = masks.place(cand, dims, 7, variants=3, scale=0.0, shift=0.0, min_share=0.0).collect()
+    original = {(y, x) for a, b, c, d in ((0, 10, 0, 15), (40, 50, 0, 5)) for y in range(a, b) for x in range(c, d)}
+    for k in range(3):
+        mine = [r for r in moved if (r["mask_id"], r["variant"]) == (2, k)]
+        cells = {(y, x) for r in mine for y in range(r["y0"], r["y1"]) for x in range(r["x0"], r["x1"])}
+        rows = {y for y, _ in cells}
+        assert cells and len(cells & original) <= 0.5 * min(len(cells), 200) and rows <= {*range(10), *range(40, 50)}
+    assert any(len({r["y0"] for r in moved if (r["mask_id"], r["variant"]) == (2, k)}) == 2 for k in range(3))
