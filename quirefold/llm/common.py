@@ -66,3 +66,8 @@ def saved(df: DataFrame) -> DataFrame:
     finally:
         spark.conf.set(CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def hinted(small: DataFrame, row_bytes: int, most: int) -> DataFrame:
+    """A written table with the hint to broadcast it, if its rows of about row_bytes fit in most bytes; else as it is."""
+    return F.broadcast(small) if small.count() * row_bytes <= most else small

@@ -2,21 +2,22 @@
 
 A document's set holds the 64-bit hashes of its distinct shingles of ``SHINGLE`` words. Documents with
 equal sets are one node from the start. A node's sketch has REGISTERS buckets; a bucket keeps, for its
-smallest hash, the number of leading zeros and the next MANTISSA bits. Bands of ROWS registers
-of the compressed sketch name candidates: at a similarity of 0.75 two sets share none of the 64
-bands with a probability of 3e-11.
+smallest hash, the number of leading zeros and the next MANTISSA bits. For banding alone, empty
+registers borrow from full ones. Bands of ROWS registers name candidates: at a similarity of 0.75 two sets
+share none of the 73 bands with a probability of 3e-5, at 0.8 with one of 4e-8; at 0.4 they
+share one with 11 %.
 
-No group is expanded into pairs. In each band bucket every node is held against one other, the
-bucket's first; in a second round, buckets whose nodes have not come together yet get another
-pivot, at random, and only nodes outside the pivot's component are held against it. Candidates pass the
-estimate from their sketches, corrected for chance collisions, before their full sets are compared.
+No group is expanded into pairs. Buckets of equal node sets are one. In each bucket every node is held
+against one other, the bucket's pivot. Candidates pass the estimate from their sketches, corrected
+for chance collisions, before their full sets are compared.
 
 What is then left are buckets with several components. Their sketches are dealt in blocks of
 bounded size, block against block (nodes of the largest component only against the others), and close
-ones join into families; each block sends fewer edges than it has nodes. Families are dealt in blocks
-in the same way, now with full sets, and the links found there again are sent as a forest. Links
-join into components by the smallest id. So every pair that shares a band is compared, in memory,
-and no stage sends more than a multiple of its nodes.
+ones join into families; each block sends fewer edges than it has nodes. Families, of close pairs and
+of links together, are dealt in blocks in the same way, now with full sets, and the links found
+there again are sent as a forest. Links join into components by the smallest id. So every pair
+that shares a band is compared, in memory, unless links already join it, and no stage sends more
+than a multiple of its nodes.
 """
 
 from __future__ import annotations
@@ -26,22 +27,22 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from quirefold.operators.folds import fold_sorted
 
-from .common import saved
+from .common import hinted, saved
 from .rolling import Ranges, buffers, chunks, mix, signed
 
 SHINGLE = 5
 SIMILARITY = (75, 100)
-REGISTERS = 256
-ROWS = 4
+REGISTERS = 512
+ROWS = 7
 MANTISSA = 10
-#: Rounds with one pivot per bucket before blocks are compared.
-ROUNDS = 2
+#: Nodes in a block of sketches.
 BLOCK = 512
-#: Registers that are looked at before all of them, and the share of buckets (one in ...) of the first pass.
-QUICK, FIRST_SHARE = 32, 8
+#: Registers that are looked at before all of them.
+QUICK = 32
 #: Nodes, and bytes of their sets, in a block of full sets.
 FAMILY_BLOCK, FAMILY_BYTES = 256, 16 << 20
 CHUNK = 1 << 20
@@ -130,13 +131,18 @@ def _brief(regs: np.ndarray) -> np.ndarray:
     return np.where(x == 0, 0, 1 + ((x * np.uint32(0x9E3779B1)) >> np.uint32(8)) % 255).astype(np.uint8)
 
 
+@F.pandas_udf(BinaryType())
+def _brief_udf(regs: pd.Series) -> pd.Series:
+    return pd.Series([_brief(np.frombuffer(x, np.uint16)[None]).tobytes() for x in regs], dtype=object)
+
+
 def _far(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     value, deviation = estimate(a, b)
     return value < threshold - DEVIATIONS * deviation
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """documents(doc_id, text) -> doc_id, node (hash of the set), n, regs, brief. n = 0: no words."""
+    """documents(doc_id, text) -> doc_id, node (hash of the set), n, regs. n = 0: no words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -149,9 +155,9 @@ def sketches(docs: DataFrame) -> DataFrame:
                 return pa.RecordBatch.from_arrays(
                     [
                         ids.slice(at, len(held)), pa.array([set_hash(s) for s in held], pa.int64()), pa.array([len(s) for s in held], pa.int64()),
-                        pa.array([r.tobytes() for r in regs], pa.binary()), pa.array([r.tobytes() for r in _brief(regs)], pa.binary()),
+                        pa.array([r.tobytes() for r in regs], pa.binary()),
                     ],
-                    ["doc_id", "node", "n", "regs", "brief"],
+                    ["doc_id", "node", "n", "regs"],
                 )
 
             for s in shingle_sets(batch.column("text")):
@@ -162,24 +168,49 @@ def sketches(docs: DataFrame) -> DataFrame:
             if held:
                 yield out(at, held)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n long, regs binary, brief binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n long, regs binary")
+
+
+def _orders() -> np.ndarray:
+    """For each register, all registers in an order of its own: row t holds everyone's t-th."""
+    every = np.arange(REGISTERS * REGISTERS, dtype=np.uint64).reshape(REGISTERS, REGISTERS)
+    return np.ascontiguousarray(np.argsort(mix(every + np.uint64(1)), axis=1).T)
+
+
+def filled(regs: np.ndarray) -> np.ndarray:
+    """Sketches whose empty registers have the value of the first one in their order that has one.
+
+    Two sets then agree in every register with a chance of their similarity, however few of its
+    registers a short text has filled; empty registers that agree would name false candidates.
+    """
+    out, orders = regs.copy(), _orders()
+    row, col = np.nonzero((regs == 0) & (regs != 0).any(1)[:, None])
+    for order in orders:
+        if not len(row):
+            break
+        value = regs[row, order[col]]
+        got = value != 0
+        out[row[got], col[got]] = value[got]
+        row, col = row[~got], col[~got]
+    return out
 
 
-def bands(nodes: DataFrame) -> DataFrame:
-    """(node, regs) -> (band, node): a row per band that isn't empty."""
+def bands(made: DataFrame) -> DataFrame:
+    """(node, regs) -> (band, node): a row per band; rows that repeat within a batch count once."""
     n_bands = REGISTERS // ROWS
     times = mix(np.arange(1, ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
     def run(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            regs = np.stack([np.frombuffer(x, np.uint16) for x in b.column("regs").to_pylist()]).reshape(-1, n_bands, ROWS)
-            keys = mix((regs.astype(np.uint64) * times).sum(-1) + (np.arange(n_bands, dtype=np.uint64) << np.uint64(56)))
-            row, band = np.nonzero((regs != 0).any(-1))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(keys[row, band])), b.column("node").take(pa.array(row))], ["band", "node"])
+            node, first = np.unique(b.column("node").to_numpy(), return_index=True)
+            held = b.column("regs").take(pa.array(first)).to_pylist()
+            for start in range(0, len(node), 1024):
+                regs = filled(np.stack([np.frombuffer(x, np.uint16) for x in held[start : start + 1024]]))
+                some = regs[:, : n_bands * ROWS].reshape(-1, n_bands, ROWS)
+                keys = mix((some.astype(np.uint64) * times).sum(-1) + (np.arange(n_bands, dtype=np.uint64) << np.uint64(56)))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(keys.ravel())), pa.array(np.repeat(node[start : start + 1024], n_bands))], ["band", "node"])
 
-    return nodes.select("node", "regs").mapInArrow(run, "band long, node long")
+    return made.select("node", "regs").mapInArrow(run, "band long, node long")
 
 
 def _close(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -202,9 +233,8 @@ def _close(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, hashes): full sets of the wanted nodes, made from the texts once more and written out."""
     wanted = saved(wanted.distinct().join(nodes.select("node", "tk"), "node"))
-    size = wanted.count() * 40
     texts = docs.select(_text_key(docs).alias("tk"), "text")
-    some = texts.join(F.broadcast(wanted) if size <= MAX_BROADCAST else wanted, "tk").dropDuplicates(["node"])
+    some = texts.join(hinted(wanted, 24, MAX_BROADCAST), "tk").dropDuplicates(["node"])
 
     def run(batches):
         for b in batches:
@@ -214,14 +244,6 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     return saved(some.select("node", "text").mapInArrow(run, "node long, hashes binary"))
 
 
-def _open_buckets(shared: DataFrame, labels: DataFrame, salt: Column) -> tuple[DataFrame, DataFrame]:
-    """(band, node, comp) of all buckets, and (band, pivot) of those of three or more nodes that aren't one component yet."""
-    at = saved(shared.join(labels, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp")))
-    pivot = F.min_by(F.struct("node", "comp"), F.xxhash64("node", salt)).alias("pivot")
-    open_ = at.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("rows"), pivot)
-    return at, saved(open_.where("c0 <> c1 and rows > 2").select("band", "pivot"))
-
-
 def _text_key(docs: DataFrame) -> Column:
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit("")))
 
@@ -381,7 +403,48 @@ def _links_within(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     return fold_sorted(dealt, "group", ["node"], links, "group long, a long, b long").select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+def _shared(made: DataFrame) -> DataFrame:
+    """(band, node) of the buckets that hold two nodes or more.
+
+    The rows are dealt by band once and sorted there; a row stays if one beside it has the same band and
+    another node, so a task holds one batch, however full a bucket is.
+    """
+
+    def run(batches):
+        held = np.empty((2, 0), np.int64)  # the last row, and whether the row before it has its band
+        open_ = False
+        for batch in batches:
+            rows = np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in ("band", "node")])], axis=1)
+            new = np.r_[True, (rows[:, 1:] != rows[:, :-1]).any(0)] if rows.shape[1] else np.empty(0, bool)
+            rows = rows[:, new]
+            if not rows.shape[1]:
+                continue
+            same = rows[0, 1:] == rows[0, :-1]
+            keep = np.r_[open_ and held.shape[1] > 0, same] | np.r_[same, False]
+            last, open_ = rows[:, -1:], bool(same[-1]) if len(same) else open_ and held.shape[1] > 0
+            keep[-1], held = False, last
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0, keep]), pa.array(rows[1, keep])], ["band", "node"])
+        if held.shape[1] and open_:
+            yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], ["band", "node"])
+
+    return bands(made).repartition("band").sortWithinPartitions("band", "node").mapInArrow(run, "band long, node long")
+
+
+def _buckets(shared: DataFrame) -> DataFrame:
+    """(band, node) -> (band, node, pivot), once for each set of nodes that a bucket holds.
+
+    A bucket's pivot is the node that stands in the fullest buckets: where copies were made from one
+    original, that is the original, and a bucket's links come together through it.
+    """
+    names = shared.groupBy("band").agg(F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"), F.count("*").alias("rows"))
+    once = saved(names.groupBy("x", "y", "rows").agg(F.min("band").alias("band")).select("band", "rows"))
+    at = saved(shared.join(hinted(once, 16, MAX_BROADCAST), "band"))
+    weight = at.groupBy("node").agg(F.sum("rows").alias("weight"))
+    weighed = at.join(weight, "node").groupBy("band").agg(F.max(F.struct("weight", "node"))["node"].alias("pivot"))
+    return saved(at.join(weighed, "band").select("band", "node", "pivot"))
+
+
+def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """documents(doc_id, text) -> doc_id, n_shingles, component_id, kept, one row per row.
 
     Null and wordless texts have no shingles and are linked with nothing. Texts with fewer words than
@@ -393,64 +456,37 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, r
     threshold = similarity[0] / similarity[1]
     texts = docs.select("doc_id", "text")
     keyed = texts.select(F.struct("doc_id", _text_key(docs).alias("tk")).alias("doc_id"), "text")
-    made = saved(sketches(keyed).select("doc_id.doc_id", "doc_id.tk", "node", "n", "regs", "brief"))
-    nodes = saved(
-        made.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("tk").alias("tk"), F.min("n").alias("n"), F.min("regs").alias("regs"), F.min("brief").alias("brief"))
-    )
-    buckets = bands(nodes)
-    # buckets with company, each with its first node
-    first = saved(buckets.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("rows")).where("rows > 1").drop("rows"))
-    shared = saved(buckets.join(first, "band"))
-    links, labels, tested = None, None, None
-    for r in range(rounds):
-        if r == 0:
-            cand = shared.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        else:
-            at, open_ = _open_buckets(shared, labels, F.lit(r))
-            cand = at.join(open_, "band").where("comp <> pivot.comp").select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
-            cand = cand.join(tested, ["a", "b"], "left_anti")
-        close = saved(_close(cand, nodes, threshold))
-        tested = close if tested is None else tested.unionByName(close)
-        if close.isEmpty():
-            if r == 0:
-                break
-            continue
-        found = _linked(close, _sets(docs, nodes, close.select(F.col("a").alias("node")).union(close.select("b"))), similarity)
-        links = saved(found if links is None else links.unionByName(found))
+    made = saved(sketches(keyed).select("doc_id.doc_id", "doc_id.tk", "node", "n", "regs"))
+    full = made.where("n > 0")
+    nodes = saved(full.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("tk").alias("tk"), F.min("n").alias("n"), F.count("*").alias("copies")))
+    buckets = _buckets(saved(_shared(full)))
+    wanted = saved(buckets.select("node").distinct().join(nodes.select("node", "tk"), "node"))
+    # one sketch of each node with company; rows that repeat are the only ones left to drop
+    company = full.join(hinted(wanted, 24, MAX_BROADCAST), ["node", "tk"]).dropDuplicates(["node"])
+    company = saved(company.select("node", "n", "regs", _brief_udf("regs").alias("brief")))
+    cand = buckets.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    close = saved(_close(cand, company, threshold))
+    links = saved(_linked(close, _sets(docs, nodes, close.select(F.col("a").alias("node")).union(close.select("b"))), similarity))
+    labels = components(links)
+    # buckets of three nodes or more that are not one component yet
+    at = saved(buckets.join(labels, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp")))
+    open_ = saved(at.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("rows")).where("c0 <> c1 and rows > 2").select("band"))
+    edges = saved(_families(at.join(open_, "band").join(company.select("node", "n", "brief"), "node"), threshold))
+    if not edges.isEmpty():
+        # families by close pairs and by links: nodes of one component that were not compared meet here
+        families = components(edges.unionByName(links)).withColumnRenamed("comp", "family")
+        members = saved(families.join(labels, "node", "left").select("family", "node", F.coalesce("comp", "node").alias("comp")))
+        several = members.groupBy("family").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("family")
+        members = saved(members.join(several, "family"))
+        found = _links_within(members.join(_sets(docs, nodes, members.select("node")), "node"), similarity)
+        links = saved(links.unionByName(found))
         labels = components(links)
-    if links is not None:
-        # a first share of the buckets joins most families; the rest need not compare within them
-        edges, known = None, labels
-        first_share = F.pmod(F.xxhash64("band", F.lit(1)), F.lit(FIRST_SHARE)) == 0
-        for part in (first_share, ~first_share):
-            at, open_ = _open_buckets(shared.where(part), known, F.lit(rounds))
-            # buckets of the same nodes are looked at once
-            left = saved(at.join(open_.select("band"), "band"))
-            alike = left.groupBy("band").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("all"), F.count("*").alias("rows"))
-            once = saved(alike.groupBy("all", "rows").agg(F.min("band").alias("band")).select("band"))
-            found = saved(_families(left.join(once, "band").join(nodes.select("node", "n", "brief"), "node"), threshold))
-            edges = found if edges is None else edges.unionByName(found)
-            if part is first_share:
-                known = components(edges.unionByName(links))
-        if not edges.isEmpty():
-            # by the relation that closed the second share: what it left out meets in its family
-            families = components(edges.unionByName(links)).withColumnRenamed("comp", "family")
-            members = saved(families.join(labels, "node", "left").select("family", "node", F.coalesce("comp", "node").alias("comp")))
-            several = members.groupBy("family").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("family")
-            members = saved(members.join(several, "family"))
-            found = _links_within(members.join(_sets(docs, nodes, members.select("node")), "node"), similarity)
-            links = saved(links.unionByName(found))
-            labels = components(links)
-    node_ids = nodes.select("node", "first_id")
-    if labels is not None:
-        in_comp = node_ids.join(labels, "node")
-        smallest = in_comp.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-        with_comp = in_comp.join(smallest, "comp").select("node", "component_id")
-        named = node_ids.join(with_comp, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id"))
-    else:
-        named = node_ids.withColumnRenamed("first_id", "component_id")
-    out = made.select("doc_id", "node", "n").join(named, "node", "left")
-    comp = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    # only nodes that have links or copies need an id that isn't their row's own
+    joined = nodes.join(labels, "node", "left").where("comp is not null or copies > 1").select("node", "first_id", F.coalesce("comp", "node").alias("comp"))
+    smallest = joined.groupBy("comp").agg(F.min("first_id").alias("component_id"))
+    named = saved(joined.join(smallest, "comp").select("node", "component_id", F.lit(True).alias("named")))
+    out = made.select("doc_id", "node", "n").join(hinted(named, 32, MAX_BROADCAST), "node", "left")
+    comp = F.when((F.col("n") > 0) & F.col("named"), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(False)).alias("kept"))
 
 
