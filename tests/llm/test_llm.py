@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import html
+import json
 import math
 import random
 import re
@@ -100,6 +101,66 @@ def test_template_text_is_left_out():
     assert "Story 1" in pages.apply(page(1), same)
 
 
+def _article(page):
+    return " ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.search(r"<article>(.*)</article>", page, re.S)[1])).split())
+
+
+def _neutral(page):
+    """Every landmark and list is a div, no element has a class."""
+    return re.sub(r"<div [^>]*>", "<div>", re.sub(r"<(/?)(?:nav|article|footer|header|aside|main|section|ul|li)\b[^>]*>", r"<\1div>", page))
+
+
+def test_alignment_decides_without_names(spark, monkeypatch):
+    """Word lists emptied and class names gone: pages of hosts with five distinct pages still give their articles; pages alone don't."""
+    for name in ("NOT_CONTENT", "ROLES", "NAMES", "CONTENT_NAMES"):
+        monkeypatch.setattr(pages, name, frozenset())
+    by = collections.defaultdict(dict)
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        by[re.match(r"\w+://([^/]*)", r["url"])[1]].setdefault(r["html"], _article(r["html"]))
+    n = alone = 0
+    for found in by.values():
+        picked = list(found)[:5]
+        if len(picked) == 5:
+            wrapper = pages.unpacked(pages.packed(pages.induce([_neutral(x) for x in picked])))
+            for page, want in found.items():
+                assert pages.apply(_neutral(page), wrapper) == want
+                n, alone = n + 1, alone + (pages.apply(_neutral(page), None) == want)
+    assert n > 100 and alone < n
+
+
+def test_optional_blocks_and_headings():
+    """A notice on some pages and comments in the content go by alignment; the heading beside a large block stays."""
+    rng = random.Random(3)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+
+    def page(i):
+        story = [words(30) for _ in range(4)]
+        notice = f"<div><span>{words(6)}</span></div>" if i % 2 else ""
+        says = f"<div><div>{words(5)}</div><div>{words(4)}</div></div>" if i % 3 == 0 else ""
+        title = words(5)
+        body = f"<div><h1>{title}</h1><div>{''.join(f'<p>{x}</p>' for x in story)}</div>{says}</div>"
+        return f"<body><div><a href=/>Home</a><a href=/n>News</a></div>{notice}{body}<div>All rights</div></body>", " ".join([title, *story])
+
+    made = [page(i) for i in range(12)]
+    wrapper = pages.induce([p for p, _ in made[:5]])
+    assert [pages.apply(p, wrapper) for p, _ in made] == [t for _, t in made]
+
+
+def test_template_counts_all_pages_of_a_host(spark):
+    """Text that the five aligned pages share by chance, and few of the host's others have, is no template."""
+    def page(i, by):
+        return f"<div><p>Story {i} tells of {i * 7} things in words of its own {'x' * (i % 9)}</p><div>{by}</div><div>Read our letters</div></div>"
+
+    rows = [(i, "http://h/", page(i, "By A. Writer" if i < 5 else f"By writer {i}")) for i in range(40)]
+    wrapper = json.dumps(pages.packed(pages.induce([h for _, _, h in rows[:5]])))
+    assert pages.apply(rows[0][2], pages.unpacked(json.loads(wrapper))).endswith("of its own")
+    df, given = spark.createDataFrame(rows, "page_id long, url string, html string"), spark.createDataFrame([("h", wrapper)], "host string, wrapper string")
+    for most in (pages.MAX_BROADCAST, -1):
+        (got,) = pages.checked_wrappers(df, given, most).collect()
+        tree = pages.unpacked(json.loads(got["wrapper"]))
+        assert pages.apply(rows[0][2], tree).endswith("of its own By A. Writer") and pages.apply(rows[9][2], tree).endswith("By writer 9")
+
+
 def test_pages_edge_rows(spark):
     rows = [(1, None, None), (2, "http://a.b/c", ""), (3, "http://A.B/d", "<p>x</p>"), (3, "http://A.B/d", "<p>x</p>"), (None, "nonsense", "<b>y")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host_", F.lit(1)).withColumn("wrapper", F.lit(2))
@@ -487,13 +548,13 @@ def test_targets_by_rounds(spark):
 
 
 def test_mix_meets_its_targets_and_prefers_weight(spark, docs):
-    out = mixing.mix_sources(docs, bucket_rows=3).collect()
+    out = mixing.mix_sources(docs, bins=2).collect()
     by = collections.defaultdict(int)
     for r in out:
         by[r["source"], r["target"]] += r["taken"]
         assert 0 <= r["taken"] <= 3 * r["size"]
     assert all(abs(taken - target) <= 1 for (_, target), taken in by.items())
-    again = mixing.mix_sources(docs.repartition(7), bucket_rows=50).collect()
+    again = mixing.mix_sources(docs.repartition(7)).collect()
     assert sorted((r["doc_id"], r["taken"]) for r in again) == sorted((r["doc_id"], r["taken"]) for r in out)
     rows = [(i, "w " * 10, "a" if i < 400 else "b") for i in range(800)]
     w = F.when(F.col("doc_id") % 2 == 0, 1.0).otherwise(0.2)
@@ -502,6 +563,22 @@ def test_mix_meets_its_targets_and_prefers_weight(spark, docs):
     assert heavy > 2 * light
 
 
+def test_mix_bins_stay_small_and_ties_share(spark):
+    """Nine tenths of a source at weight 0.1: no bin of keys holds many rows. Rows that agree at the edge give equally many words."""
+    rows = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("w w").alias("text"), F.lit("a").alias("source"))
+    w = F.when(F.col("doc_id") % 10 == 0, 1.0).otherwise(0.1)
+    bins = rows.select(*mixing._measures(w, mixing.SEED)).groupBy(F.floor(F.log2("key") * mixing.BINS)).count()
+    assert bins.agg(F.max("count")).first()[0] < 40_000 / 500
+    same = frame(spark, [(1, "a b c d", "x")] * 5 + [(2, "a b c d e f g h i j", "y")] * 7 + [(3, None, "x"), (None, "one", None)], "doc_id long, text string, source string")
+    out = mixing.mix_sources(same).collect()
+    by = collections.defaultdict(list)
+    for r in out:
+        by[r["doc_id"]].append(r["taken"])
+    targets = {r["doc_id"]: r["target"] for r in out}
+    assert len(out) == 14 and len(by[1]) == 5 and len({*by[1]}) == len({*by[2]}) == 1 and by[3] == [0]
+    assert all(abs(sum(by[i]) - targets[i]) < len(by[i]) + 1 for i in (1, 2, None))
+
+
 # -- 10: licenses
 
 
