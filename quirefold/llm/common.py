@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +35,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
+def row_key() -> Column:
+    """64 bits that rows share which agree in id and text."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit("")))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, with underscores before it until no column of df has it."""
     taken = {c.lower() for c in df.columns}
@@ -41,21 +49,27 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set (tests)."""
+    """The shared folder that the cluster names; a temporary one only where none is set and the master is local (tests)."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not conf and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         spark.sparkContext.setCheckpointDir(conf or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return jsc.getCheckpointDir().get()
 
 
-def saved(df: DataFrame) -> DataFrame:
+#: Per open ``scratch``, outermost first, the folders of the tables that it will delete.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("_OPEN", default=())
+
+
+def saved(df: DataFrame, keep: bool = False) -> DataFrame:
     """df, written to the checkpoint folder and read again.
 
     Its lineage ends there, a lost executor costs nothing that is written, and the planner
     sees the size that it really has (a checkpointed DataFrame would keep multiplying old estimates
     in iterative plans). Two readers of it don't compute it twice. Shuffle files of the job that wrote
-    it are removed as soon as it is written.
+    it are removed as soon as it is written. It goes at the end of the ``scratch`` around it, or with ``keep``, of the next one further out.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
@@ -65,9 +79,32 @@ def saved(df: DataFrame) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEAN, before)
+    open_ = _OPEN.get()[: -1 if keep else None]
+    if open_:
+        open_[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders, in whatever file system they are."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(conf).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that ``saved`` writes inside are deleted at the end, but for those saved with keep."""
+    mine: list[str] = []
+    token = _OPEN.set((*_OPEN.get(), mine))
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+        deleted(spark, *mine)
+
+
 def hinted(small: DataFrame, row_bytes: int, most: int) -> DataFrame:
     """A written table with the hint to broadcast it, if its rows of about row_bytes fit in most bytes; else as it is."""
     return F.broadcast(small) if small.count() * row_bytes <= most else small

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import row_key, words
 
 N = 13
 MAX_INLINE = 200_000
@@ -98,7 +98,7 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(spans, F.array().cast(kind), step)
 
 
-def contamination(docs: DataFrame, items: DataFrame, n: int = N, max_inline: int = MAX_INLINE) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, n: int = N, max_inline: int = MAX_INLINE, key: str | None = None) -> DataFrame:
     """documents(doc_id, text), benchmark(item_id, text) -> one row per document: doc_id, n_words,
     n_hit, n_items, items (sorted strings), items_sha256, spans (array<struct<s, e>> of words,
     merged), contaminated.
@@ -106,11 +106,11 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = N, max_inline: int
     A null or wordless text has no words and no hit. An item is matched by any of its windows; one
     with a null id counts its words as hit but not as an item. Repeated documents are judged one
     by one. Contaminated: n_hit > 0 and 20 * n_hit >= n_words. Empty documents: no rows; empty
-    benchmark: no hits. Other columns are ignored.
+    benchmark: no hits. Other columns are ignored. ``key`` names a column of ``row_key`` to add.
     """
     windows = benchmark_windows(items, n)
     sizes = {r[0]: (r[1], r[2]) for r in windows.groupBy("n_win").agg(F.count("*"), F.sum(F.length("win") + 16)).collect()}
-    base = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("w"))
+    base = docs.select(F.struct(F.monotonically_increasing_id().alias("i"), row_key().alias("key")).alias("row"), "doc_id", words(F.col("text")).alias("w"))
     w, inline, parts = F.col("w"), [], []
     for length, (count, _) in sorted(sizes.items()):
         if count * _steps(length)[0] <= max_inline:
@@ -143,6 +143,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = N, max_inline: int
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + (x["e"] - x["s"]).cast("long"))
     per_doc = per_doc.withColumn("n_hit", n_hit)
     return per_doc.select(
+        *([F.col("row.key").alias(key)] if key else []),
         "doc_id",
         F.col("n_words").cast("long").alias("n_words"),
         "n_hit",

@@ -7,8 +7,11 @@ documents in the order of their exponential keys -ln(u) / w, where u is a hash o
 id and w the document's quality weight, until the running sum of sizes meets the budget; the
 document at the boundary gives the words still missing.
 
-A source may hold most rows: it is cut into buckets of the key, bucket totals are summed before
-the shuffle, and only (source, bucket) groups are sorted.
+A source may hold most rows, so its rows are never sorted in one place. Sizes are summed by bins of the
+key, of which an octave has BINS: whatever the weights are, no bin then holds more than about one in
+4,000 of a source's rows of one weight. The bins are prefix-summed, and only the rows of the bin in which
+the budget ends are sorted. What is left is one cut per source, against which every row is held
+on its own: no row moves.
 """
 
 from __future__ import annotations
@@ -16,13 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACED_WORD, saved
+from .common import SPACED_WORD, fresh, hinted, saved, scratch
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-BUCKET_ROWS = 5000
+#: Bins of the key in an octave.
+BINS = 1024
 SEED = "mix-1"
-#: The targets, a row per source, are broadcast up to this many bytes, and joined beyond it.
+#: The cuts, a row per source, are broadcast up to this many bytes, and joined beyond it.
 MAX_BROADCAST = 32 << 20
 #: Characters that prose rarely holds.
 SYMBOLS = "#$%&*|<>{}[]\\^~=_@+!"
@@ -75,70 +79,85 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EP
     )
 
 
+def _measures(weight: Column | None, seed: str) -> list[Column]:
+    """doc_id, src, size and key of a row."""
+    w = F.coalesce(weight if weight is not None else quality_weight(F.col("text")), F.lit(1.0))
+    key = -F.ln(uniform(F.col("doc_id"), seed)) / F.greatest(w, F.lit(1e-6))
+    return [F.col("doc_id"), F.col("source").cast("string").alias("src"), n_words(F.col("text")).alias("size"), key.alias("key")]
+
+
+def _edges(rows: DataFrame, plan: DataFrame, bins: int) -> DataFrame:
+    """(src_, edge, part): the first row in order that the budget doesn't cover, and the words that it gives.
+
+    Rows that agree in key, id and size stand at one place and give equally many words.
+    """
+    keyed = rows.where("size > 0").withColumn("bin", F.floor(F.log2("key") * bins).cast("long"))
+    ahead = Window.partitionBy("src").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    sums = keyed.groupBy("src", "bin").agg(F.sum("size").alias("in_bin")).withColumn("ahead", F.coalesce(F.sum("in_bin").over(ahead), F.lit(0)))
+    budget = plan.select("src_", "budget")
+    last = sums.join(hinted(budget, 64, MAX_BROADCAST), F.col("src").eqNullSafe(F.col("src_"))).where("budget >= ahead and budget < ahead + in_bin")
+    last = saved(last.select("src_", F.col("bin").alias("bin_"), (F.col("budget") - F.col("ahead")).alias("left")))
+    near = keyed.join(hinted(last, 64, MAX_BROADCAST), F.col("src").eqNullSafe(F.col("src_")) & (F.col("bin") == F.col("bin_")))
+    places = near.groupBy("src_", "left", "key", "doc_id", "size").agg(F.count("*").alias("rows"))
+    before = Window.partitionBy("src_").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    places = places.withColumn("room", F.col("left") - F.coalesce(F.sum(F.col("size") * F.col("rows")).over(before), F.lit(0)))
+    here = places.where("room >= 0 and room < size * rows")
+    return here.select("src_", F.struct("key", "doc_id", "size").alias("edge"), F.floor(F.col("room") / F.col("rows")).cast("long").alias("part"))
+
+
+def source_cuts(rows: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, bins: int = BINS) -> DataFrame:
+    """(doc_id, src, size, key) -> one row per source: src_, source_size, target, epochs, edge, part.
+
+    A row before edge in (key, doc_id, size) is taken once more than ``epochs`` times, one at it gives
+    ``part`` words more, one after it none; without an edge, all are taken once more if the budget is theirs.
+    """
+    per_source = rows.groupBy("src").agg(F.sum("size").alias("source_size"))
+    targets = source_targets(per_source, weights, max_epochs)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    plan = targets.select(F.col("src").alias("src_"), "source_size", "target", epochs.alias("epochs"))
+    plan = saved(plan.withColumn("budget", F.round(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size")))
+    edges = _edges(rows, plan, bins).withColumnRenamed("src_", "at")
+    out = plan.join(edges, F.col("src_").eqNullSafe(F.col("at")), "left")
+    full = F.when(F.col("edge").isNull() & (F.col("budget") >= F.col("source_size")), 1).otherwise(0)
+    return saved(out.select("src_", "source_size", "target", (F.col("epochs") + full).alias("epochs"), "edge", F.coalesce("part", F.lit(0)).cast("long").alias("part")), keep=True)
+
+
+def _taken() -> Column:
+    here = F.struct("key", "doc_id", "size")
+    more = F.when(here < F.col("edge"), F.col("size")).when(here == F.col("edge"), F.col("part")).otherwise(0)
+    return (F.col("epochs") * F.col("size") + more).cast("long")
+
+
 def mix_sources(
-    docs: DataFrame,
-    weights=WEIGHTS,
-    max_epochs: float = MAX_EPOCHS,
-    weight: Column | None = None,
-    seed: str = SEED,
-    bucket_rows: int = BUCKET_ROWS,
-    keep: tuple[str, ...] = (),
+    docs: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, weight: Column | None = None, seed: str = SEED, bins: int = BINS
 ) -> DataFrame:
     """documents(doc_id, text, source) -> doc_id, source, size, source_size, target, epochs, taken.
 
     weight: quality weight per document (default: quality_weight of the text). Null text: size 0,
-    taken 0. Null source: a source of its own, last in order. Repeated rows count one by one;
-    rows that agree in id and text share the order by hash and are interchangeable. Empty table:
-    no rows. Sources without words have target 0. Other columns are ignored,
-    but for those that ``keep`` passes on.
+    taken 0. Null source: a source of its own, last in order. Repeated rows count one by one; where the
+    budget ends among rows that agree in key, id and size, each gives equally many words (so fewer
+    words than there are such rows may be missing), and reruns agree. Empty table: no rows.
+    Sources without words have target 0. Other columns are ignored.
     """
-    text = F.col("text")
-    rows = docs.select(
-        "doc_id",
-        F.col("source").cast("string").alias("src"),
-        n_words(text).alias("size"),
-        (F.coalesce(weight, F.lit(1.0)) if weight is not None else F.coalesce(quality_weight(text), F.lit(1.0))).alias("w"),
-        uniform(F.col("doc_id"), seed).alias("u"),
-        *[f"`{c}`" for c in keep],
-    )
     # the texts are read once: what follows needs a few numbers per document
-    rows = saved(rows.withColumn("key", -F.ln("u") / F.greatest("w", F.lit(1e-6))).drop("u", "w"))
-    per_source = rows.groupBy("src").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
-    targets = source_targets(per_source.select("src", "source_size"), weights, max_epochs)
-    plan = (
-        per_source.select(F.col("src").alias("src_"), "n_rows")
-        .join(targets, F.col("src_").eqNullSafe(F.col("src")))
-        .select(
-            "src_", "source_size", "target",
-            F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("epochs"),
-            F.ceil(F.col("n_rows") / float(bucket_rows)).cast("long").alias("n_buckets"),
-        )
-        .withColumn("budget", F.round(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size"))
-    )
-    plan = saved(plan)
-    small = plan.count() * 128 <= MAX_BROADCAST
-    # 1 - exp(-key) grows with the key and is uniform for weight 1
-    keyed = rows.join(F.broadcast(plan) if small else plan, F.col("src").eqNullSafe(F.col("src_"))).withColumn(
-        "bucket", F.floor((1 - F.exp(-F.col("key"))) * F.col("n_buckets")).cast("long")
-    )
-    group = F.coalesce(F.col("src"), F.lit("")), F.col("src").isNull()
-    keyed = keyed.withColumn("s1", group[0]).withColumn("s2", group[1])
-    totals = keyed.groupBy("s1", "s2", "bucket").agg(F.sum("size").alias("in_bucket"))
-    ahead = Window.partitionBy("s1", "s2").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(
-        "s1", "s2", "bucket", F.coalesce(F.sum("in_bucket").over(ahead), F.lit(0)).alias("ahead")
-    )
-    inside = (
-        Window.partitionBy("s1", "s2", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    done = keyed.join(totals, ["s1", "s2", "bucket"]).withColumn(
-        "ahead", F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    )
-    part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("budget") - F.col("ahead")))
-    return done.select(
-        "doc_id", F.col("src").alias("source"), "size", "source_size", "target", "epochs",
-        (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), *[f"`{c}`" for c in keep],
-    )
+    rows = saved(docs.select(*_measures(weight, seed)))
+    cuts = source_cuts(rows, weights, max_epochs, bins)
+    done = rows.join(hinted(cuts, 256, MAX_BROADCAST), F.col("src").eqNullSafe(F.col("src_")))
+    return done.select("doc_id", F.col("src").alias("source"), "size", "source_size", "target", "epochs", _taken().alias("taken"))
+
+
+def drawn(docs: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """The rows of docs that the mix takes, with size, source_size, target and taken after their own columns.
+
+    The texts are read twice and never move: sizes and keys are measured again beside the cuts of the
+    sources. A column of docs by one of those names keeps it, and the new one gets underscores before
+    its name. Null and repeated rows as in mix_sources; rows of which nothing is taken go. Empty table: no rows.
+    """
+    with scratch(docs.sparkSession):
+        cuts = source_cuts(saved(docs.select(*_measures(None, seed))), weights, max_epochs)
+    held = docs.select(F.struct("*").alias("own"), *_measures(None, seed))
+    rows = held.join(hinted(cuts, 256, MAX_BROADCAST), F.col("src").eqNullSafe(F.col("src_"))).withColumn("taken", _taken()).where("taken > 0")
+    return rows.select("own.*", *[F.col(c).alias(fresh(docs, c)) for c in ("size", "source_size", "target", "taken")])
 
 
 def op9_mix(spark, sf_dir):
