@@ -31,7 +31,7 @@ from pyspark.sql.types import BinaryType
 
 from quirefold.operators.folds import fold_sorted
 
-from .common import hinted, saved
+from .common import hinted, row_key, saved, scratch
 from .rolling import Ranges, buffers, chunks, mix, signed
 
 SHINGLE = 5
@@ -233,7 +233,7 @@ def _close(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, hashes): full sets of the wanted nodes, made from the texts once more and written out."""
     wanted = saved(wanted.distinct().join(nodes.select("node", "tk"), "node"))
-    texts = docs.select(_text_key(docs).alias("tk"), "text")
+    texts = docs.select(row_key().alias("tk"), "text")
     some = texts.join(hinted(wanted, 24, MAX_BROADCAST), "tk").dropDuplicates(["node"])
 
     def run(batches):
@@ -244,10 +244,6 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     return saved(some.select("node", "text").mapInArrow(run, "node long, hashes binary"))
 
 
-def _text_key(docs: DataFrame) -> Column:
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit("")))
-
-
 def _linked(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """(a, b) pairs whose full sets are similar enough."""
     num, den = similarity
@@ -269,25 +265,35 @@ def _linked(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> D
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(a, b) -> (node, comp): the smallest node that can be reached, for nodes with an edge.
 
-    Each round offers the smallest label among a node's neighbours to the node and to the node that
-    its label names, and then takes the label's own label, so that trees of labels are hooked to
-    each other and flattened at once; the rounds grow with the logarithm of a component. Labels are
-    written out between rounds.
+    Each round hooks a node to the first of itself and its neighbours, in an order that changes from
+    round to round, follows the hook once more, and puts the hooks in the place of the nodes. Edges within
+    a tree go, so the graph shrinks by a factor a round, whatever its shape is; hooks are written out
+    between rounds, and composed at the end.
     """
-    both = saved(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
-    for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
-        step = saved(labels.join(near, "node"))
-        hook = step.groupBy(F.col("comp").alias("node")).agg(F.min("m").alias("hook"))
-        hooked = saved(step.join(hook, "node", "left").select("node", F.col("comp").alias("old"), F.least("comp", "m", F.coalesce("hook", "m")).alias("comp")))
-        up = hooked.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-        new = saved(hooked.join(up, "comp", "left").select("node", "old", F.least("comp", F.coalesce("top", "comp")).alias("comp")))
-        changed = new.where("comp <> old").limit(1).count()
-        labels = new.select("node", "comp")
-        if not changed:
-            return labels
-    raise RuntimeError("components did not settle")
+    left = saved(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    hooks: list[DataFrame] = []
+    while not left.isEmpty():
+        if len(hooks) == most_rounds:
+            raise RuntimeError("components did not settle")
+        turn = F.lit(int(signed(mix(np.array([len(hooks) + 1], np.uint64)))[0]))
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = both.groupBy("a").agg(F.min(F.col("b").bitwiseXOR(turn)).alias("m"))
+        one = saved(first.select(F.col("a").alias("node"), F.least("m", F.col("a").bitwiseXOR(turn)).bitwiseXOR(turn).alias("top")))
+        up = one.select(F.col("node").alias("top"), F.col("top").alias("next"))
+        hook = saved(one.join(up, "top").select("node", F.col("next").alias("top")))
+        hooks.append(hook)
+        of = lambda c: hook.select(F.col("node").alias(c), F.col("top").alias(f"top_{c}"))  # noqa: E731, B023
+        on = left.join(of("a"), "a").join(of("b"), "b").where("top_a <> top_b")
+        left = saved(on.select(F.least("top_a", "top_b").alias("a"), F.greatest("top_a", "top_b").alias("b")).distinct())
+    if not hooks:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    labels = hooks[0]
+    for hook in hooks[1:]:
+        up = hook.select(F.col("node").alias("top"), F.col("top").alias("next"))
+        labels = labels.join(up, "top", "left").select("node", F.coalesce("next", "top").alias("top"))
+    labels = saved(labels)
+    smallest = saved(labels.groupBy("top").agg(F.min("node").alias("comp")))
+    return saved(labels.join(hinted(smallest, 16, MAX_BROADCAST), "top").select("node", "comp"))
 
 
 def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -444,18 +450,28 @@ def _buckets(shared: DataFrame) -> DataFrame:
     return saved(at.join(weighed, "band").select("band", "node", "pivot"))
 
 
-def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, key: str | None = None) -> DataFrame:
     """documents(doc_id, text) -> doc_id, n_shingles, component_id, kept, one row per row.
 
     Null and wordless texts have no shingles and are linked with nothing. Texts with fewer words than
     a shingle have one. Repeated ids share a component only if their texts do; component_id is the
     smallest id of the component, kept holds where that is the row's own. Rows with a null id take
     part; an all-null component has a null id and its rows are not kept. Empty table: no rows. Other
-    columns are ignored.
+    columns are ignored. ``key`` names a column of ``row_key`` to add.
     """
+    with scratch(docs.sparkSession):
+        made, named = _components(docs, similarity)
+    out = made.join(hinted(named, 32, MAX_BROADCAST), "node", "left")
+    comp = F.when((F.col("n") > 0) & F.col("named"), F.col("component_id")).otherwise(F.col("doc_id"))
+    more = [F.col("tk").alias(key)] if key else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(False)).alias("kept"), *more)
+
+
+def _components(docs: DataFrame, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tk, node, n) of every row, and (node, component_id) of the nodes that have links or copies."""
     threshold = similarity[0] / similarity[1]
     texts = docs.select("doc_id", "text")
-    keyed = texts.select(F.struct("doc_id", _text_key(docs).alias("tk")).alias("doc_id"), "text")
+    keyed = texts.select(F.struct("doc_id", row_key().alias("tk")).alias("doc_id"), "text")
     made = saved(sketches(keyed).select("doc_id.doc_id", "doc_id.tk", "node", "n", "regs"))
     full = made.where("n > 0")
     nodes = saved(full.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("tk").alias("tk"), F.min("n").alias("n"), F.count("*").alias("copies")))
@@ -484,10 +500,8 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -
     # only nodes that have links or copies need an id that isn't their row's own
     joined = nodes.join(labels, "node", "left").where("comp is not null or copies > 1").select("node", "first_id", F.coalesce("comp", "node").alias("comp"))
     smallest = joined.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    named = saved(joined.join(smallest, "comp").select("node", "component_id", F.lit(True).alias("named")))
-    out = made.select("doc_id", "node", "n").join(hinted(named, 32, MAX_BROADCAST), "node", "left")
-    comp = F.when((F.col("n") > 0) & F.col("named"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(False)).alias("kept"))
+    named = saved(joined.join(smallest, "comp").select("node", "component_id", F.lit(True).alias("named")), keep=True)
+    return saved(made.select("doc_id", "tk", "node", "n"), keep=True), named
 
 
 def op8_near_dedup(spark, sf_dir):
