@@ -1,10 +1,10 @@
 """Quality scores from compression with zstandard dictionaries of good and bad labelled text.
 
 A bounded sample of labelled rows is split in two: one half trains a dictionary per class, the
-other calibrates. A text is compressed with either dictionary and with none, in blocks of 8 KiB so
-that a long text keeps using the dictionaries. The normalised difference of the two sizes, the
-plain compression ratio and the log of the length, with their squares, go into a logistic
-regression that is weighted to the labels' own class shares. Scoring is one map over the rows.
+other calibrates. A text is compressed with either dictionary in blocks of BLOCK bytes, so short that a
+dictionary says more about a block than the block's own repeats do. The difference of the two sizes, as a share
+of the text's bytes, is all that a score comes from: a logistic curve over it, fitted with weights that give
+the labels' own class shares. Scoring is one map over the rows.
 """
 
 from __future__ import annotations
@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 SAMPLE_PER_CLASS = 1500
 #: Texts of the sample have at most this many characters (scored texts may have any).
 SAMPLE_CHARS = 16_384
-DICT_BYTES = 112_640
-BLOCK = 8192
-LEVEL = 1
+DICT_BYTES = 65_536
+BLOCK = 512
+LEVEL = 3
+#: Differences this many deviations from the mean and further count alike.
+FAR = 5.0
 OPTIONS = {"level": LEVEL, "write_checksum": False, "write_content_size": False, "write_dict_id": False}
 
 
@@ -45,47 +47,44 @@ class Scorer:
     """Compressors and calibration; pickles as plain bytes and numbers."""
 
     def __init__(self, good: bytes, bad: bytes):
-        self.dicts, self.mean, self.scale, self.weights = (good, bad), np.zeros(3), np.ones(3), np.zeros(7)
+        self.dicts, self.mean, self.scale, self.curve = (good, bad), 0.0, 1.0, np.zeros(2)
         self._tools = None
 
     def __getstate__(self):
         return self.__dict__ | {"_tools": None}
 
-    def features(self, texts: list[bytes]) -> np.ndarray:
+    def differences(self, texts: list[bytes]) -> np.ndarray:
+        """Bytes that the dictionary of good text saves over that of bad text, a byte of text."""
         if self._tools is None:
             made = []
             for d in self.dicts:
                 loaded = zstandard.ZstdCompressionDict(d)
                 loaded.precompute_compress(level=LEVEL)
-                made.append(zstandard.ZstdCompressor(dict_data=loaded, **OPTIONS))
-            self._tools = (*made, zstandard.ZstdCompressor(**OPTIONS))
-        out = np.zeros((len(texts), 3))
+                made.append(zstandard.ZstdCompressor(dict_data=loaded, **OPTIONS).compress)
+            self._tools = made
+        good, bad = self._tools
+        out = np.zeros(len(texts))
         for i, t in enumerate(texts):
-            sizes = [0, 0, 0]
-            for at in range(0, max(1, len(t)), BLOCK):
-                piece = t[at : at + BLOCK]
-                for j, tool in enumerate(self._tools):
-                    sizes[j] += len(tool.compress(piece))
-            good, bad, plain = sizes
-            out[i] = (bad - good) / max(good, bad, 1), plain / max(1, len(t)), np.log(len(t) + 1)
+            pieces = [t[at : at + BLOCK] for at in range(0, len(t), BLOCK)]
+            out[i] = sum(len(bad(p)) - len(good(p)) for p in pieces) / max(1, len(t))
         return out
 
     def _design(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -6, 6)
-        return np.concatenate([np.ones((len(z), 1)), z, z * z], axis=1)
+        z = np.clip((x - self.mean) / self.scale, -FAR, FAR)
+        return np.stack([np.ones(len(z)), z], axis=1)
 
     def calibrate(self, texts: list[bytes], label: np.ndarray, weight: np.ndarray) -> None:
-        x = self.features(texts)
-        self.mean, self.scale = x.mean(0), x.std(0) + 1e-9
-        a, w = self._design(x), np.zeros(7)
+        x = self.differences(texts)
+        self.mean, self.scale = x.mean(), x.std() + 1e-9
+        a, w = self._design(x), np.zeros(2)
         for _ in range(40):
             p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-            curve = (a * (weight * p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(7)
-            w = w + np.linalg.solve(curve, a.T @ (weight * (label - p)) - 1e-2 * w)
-        self.weights = w
+            slope = (a * (weight * p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(2)
+            w = w + np.linalg.solve(slope, a.T @ (weight * (label - p)) - 1e-2 * w)
+        self.curve = w
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self._design(self.features(texts)) @ self.weights, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self._design(self.differences(texts)) @ self.curve, -30, 30)))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS, learn=None) -> Scorer | float:
