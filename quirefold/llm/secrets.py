@@ -1,14 +1,21 @@
 """Secret scans: fixed patterns plus a battery of randomness tests, in built-in functions alone.
 
 Three patterns give the base spans. Besides them, every run of 20 or more token characters whose
-characters name an encoding (hex, base-32, base-36, base-62, base-64) is tested for what a random
-string of that encoding would show: uniform use of the alphabet (chi-squared, with the exact mean
-and variance for the run's length), the number of runs above and below the alphabet's middle, and
-serial correlation at lag one. Fisher's method joins the three p-values. Runs that random strings
-would hardly give are rejected as ordinary text by the Benjamini-Hochberg procedure, class of
-length by class of length, so that short runs with weak tests and long ones with strong tests each
-keep their own error rate; what isn't rejected is a secret. The procedure's cut needs only counts
-of p-values per length class and bin (classes x 400 rows), taken over the whole input.
+characters name an encoding (hex, base-32, base-36, base-62, base-64) is tested. The null is ordinary
+token text: letters by their usual frequencies, capitals and digits in groups, vowels between
+consonants. A p-value says how often ordinary text would look as random as the run does:
+
+* chi-squared uniformity of the encoding's alphabet: the sum of squared counts against its mean and exact
+  variance for ordinary frequencies of that alphabet, lower tail;
+* runs: changes between small letters, capitals and digits, but for a capital at a word's start, against
+  CHANGES a character, upper tail;
+* serial correlation of vowels at lag one, against that of words, -ALTERNATION, upper tail.
+
+Fisher's method joins the three. Runs that ordinary text would hardly give are secrets, by the
+Benjamini-Hochberg procedure, class of length by class of length, so that short runs with weak
+tests and long ones with strong tests each keep the rate of false secrets. The procedure's cut needs
+only counts of p-values per length class and bin (classes x 400 rows), taken over the whole input
+outside the base spans.
 """
 
 from __future__ import annotations
@@ -39,6 +46,12 @@ ENCODINGS = (
     ("^[0-9A-Za-z+/]+$", UPPER + LOWER + DIGITS + "+/"),
     ("^[0-9A-Za-z_-]+$", UPPER + LOWER + DIGITS + "-_"),
 )
+# Letters in a thousand of English text, a to z.
+LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
+#: Of ordinary token text: small letters, capitals, digits and signs in a hundred.
+SHARES = (80, 8, 10, 2)
+CHANGES, ALTERNATION = 0.25, 0.3
+CHANGE = "(?<=[a-z])[A-Z0-9]|(?<=[0-9])[A-Za-z]|(?<=[A-Z])[0-9]"
 FALSE_DISCOVERY = 0.05
 BINS_PER_DECADE, N_BINS = 20, 400
 SPANS = "array<struct<s:int,e:int,k:int>>"
@@ -70,76 +83,63 @@ def _spans(text: Column, pattern: str, kind: int, least: Column | None = None) -
 
 def _normal_tail(z: Column) -> Column:
     """P(Z > z), to about 1e-4 (the logistic approximation with a cubic term)."""
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(F.least(F.lit(600.0), 1.5976 * z + 0.070565 * z * z * z)))
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(F.greatest(F.lit(-600.0), F.least(F.lit(600.0), 1.5976 * z + 0.070565 * z * z * z))))
+
+
+def ordinary(letters: str) -> tuple[float, float]:
+    """Sums of squares and of cubes of the frequencies that an alphabet's symbols have in ordinary token text."""
+    small, capital, digit, sign = SHARES
+    capital = capital if set(letters) & set(LOWER) else small
+    weight = {c: small * n / sum(LETTERS) for c, n in zip(LOWER, LETTERS, strict=True)} | {c: capital * n / sum(LETTERS) for c, n in zip(UPPER, LETTERS, strict=True)}
+    weight |= {c: digit / 10 for c in DIGITS} | {c: sign / 4 for c in "+/_-"}
+    q = [weight[c] / sum(weight[x] for x in letters) for c in letters]
+    return sum(x**2 for x in q), sum(x**3 for x in q)
 
 
 def _random_tokens(text: Column) -> Column:
-    """array<struct<s, e, n, p>>: candidate runs and the p-value of the battery."""
+    """array<struct<s, e, c, p>>: candidate runs, their length classes and the p-value of the battery."""
     found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
     spans = _spans(text, CANDIDATE, 3)
-    body = lambda t: F.regexp_replace(t, "=+$", "")
 
-    def alphabet(t: Column) -> Column:
-        out = F.when(~F.rlike(t, F.lit("[0-9]")), F.lit(None).cast("string"))
-        out = out.when(~F.rlike(t, F.lit("[A-Za-z]")), F.lit(None).cast("string"))
+    def named(t: Column) -> Column:
+        """struct<abc, two, three> of the encoding; null for numbers."""
+        out = F.when(~F.rlike(t, F.lit("[A-Za-z]")), F.lit(None))
         for pattern, letters in ENCODINGS:
-            out = out.when(F.rlike(t, F.lit(pattern)), F.lit(letters))
+            two, three = ordinary(letters)
+            out = out.when(F.rlike(t, F.lit(pattern)), F.struct(F.lit(letters).alias("abc"), F.lit(two).alias("two"), F.lit(three).alias("three")))
         return out
 
     one = F.transform(
-        F.arrays_zip(spans.alias("span"), F.transform(found, body).alias("t")),
-        lambda x: F.struct(x["span"]["s"].alias("s"), x["span"]["e"].alias("e"), x["t"].alias("t"), alphabet(x["t"]).alias("abc")),
-    )
-    one = F.filter(one, lambda x: x["abc"].isNotNull())
-    two = F.transform(
-        one,
-        lambda x: F.struct(
-            x["s"].alias("s"), x["e"].alias("e"), F.length(x["t"]).cast("double").alias("n"), F.length(x["abc"]).cast("double").alias("k"),
-            F.transform(F.split(x["t"], ""), lambda c: (F.position(c, x["abc"]) - 1).cast("double")).alias("v"),
-            F.aggregate(
-                F.split(x["abc"], ""), F.lit(0.0),
-                lambda acc, c: acc + F.pow(F.length(x["t"]) - F.length(F.replace(x["t"], c, F.lit(""))), F.lit(2.0)),
-            ).alias("squares"),
-        ),
+        F.arrays_zip(spans.alias("span"), F.transform(found, lambda t: F.regexp_replace(t, "=+$", "")).alias("t")),
+        lambda x: F.struct(x["span"]["s"].alias("s"), x["span"]["e"].alias("e"), x["t"].alias("t"), named(x["t"]).alias("enc")),
     )
-
-    def moments(x: Column) -> Column:
-        mid = x["k"] / 2
-        after = F.slice(x["v"], 2, F.size(x["v"]))
-        before = F.slice(x["v"], 1, F.size(x["v"]) - 1)
-        mean = F.aggregate(x["v"], F.lit(0.0), lambda a, b: a + b) / x["n"]
-        high = F.size(F.filter(x["v"], lambda b: b >= mid)).cast("double")
-        turns = F.size(F.filter(F.zip_with(before, after, lambda a, b: (a >= mid) != (b >= mid)), lambda t: t)) + 1.0
-        products = F.aggregate(F.zip_with(before, after, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-        power = F.aggregate(x["v"], F.lit(0.0), lambda a, b: a + b * b)
-        return F.struct(
-            x["s"].alias("s"), x["e"].alias("e"), x["n"].alias("n"), x["k"].alias("k"), x["squares"].alias("squares"),
-            mean.alias("mean"), high.alias("high"), turns.alias("turns"), products.alias("products"), power.alias("power"),
-            (F.get(x["v"], F.lit(0)) + F.element_at(x["v"], -1)).alias("ends"),
-        )
-
-    three = F.transform(two, moments)
+    one = F.filter(one, lambda x: x["enc"].isNotNull())
 
     def p_value(x: Column) -> Column:
-        n, k = x["n"], x["k"]
-        chi = (k / n * x["squares"] - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
-        low = n - x["high"]
-        expected = 2 * x["high"] * low / n + 1
-        spread = F.sqrt(F.greatest(F.lit(1e-9), (expected - 1) * (expected - 2) / (n - 1)))
-        runs = F.when((x["high"] > 0) & (low > 0), (x["turns"] - expected) / spread).otherwise(F.sqrt(n))
-        var = x["power"] - n * x["mean"] * x["mean"]
-        # sum of (a - m)(b - m) over neighbours
-        cov = x["products"] - x["mean"] * (2 * n * x["mean"] - x["ends"]) + (n - 1) * x["mean"] * x["mean"]
-        serial = F.when(var > 0, cov / var * F.sqrt(n)).otherwise(F.sqrt(n))
-        ps = (_normal_tail(chi), 2 * _normal_tail(F.abs(runs)), 2 * _normal_tail(F.abs(serial)))
+        t, n = x["t"], F.length(x["t"]).cast("double")
+        two, three = x["enc"]["two"], x["enc"]["three"]
+        times = lambda c: (n - F.length(F.replace(t, c, F.lit("")))).cast("double")
+        squares = F.aggregate(F.split(x["enc"]["abc"], ""), F.lit(0.0), lambda acc, c: acc + times(c) * times(c))
+        n2, n3, n4 = n * (n - 1), n * (n - 1) * (n - 2), n * (n - 1) * (n - 2) * (n - 3)
+        spread = F.sqrt(n4 * two * two + 4 * n3 * three + 2 * n2 * two - n2 * n2 * two * two)
+        even = _normal_tail((n + n2 * two - squares) / spread)
+        # signs only part words
+        body = F.regexp_replace(t, "[+/_-]", "")
+        m = F.greatest(F.lit(2.0), F.length(body).cast("double"))
+        changes = F.regexp_count(body, F.lit(CHANGE))
+        mixed = _normal_tail((changes - 0.5 - (m - 1) * CHANGES) / F.sqrt((m - 1) * CHANGES * (1 - CHANGES)))
+        share = F.regexp_count(body, F.lit("[AEIOUaeiou]")) / m
+        pairs = F.regexp_count(body, F.lit("[AEIOUaeiou](?=[AEIOUaeiou])")) / (m - 1)
+        serial = F.when((share > 0) & (share < 1), (pairs - share * share) / (share * (1 - share))).otherwise(F.lit(0.0))
+        loose = _normal_tail((serial + ALTERNATION) * F.sqrt(m))
         stat = F.lit(0.0)
-        for p in ps:
+        for p in (even, mixed, loose):
             stat = stat - F.ln(F.least(F.lit(1.0), F.greatest(F.lit(1e-280), p)))
         # twice stat is chi-squared with 6 degrees of freedom
         return F.exp(-stat) * (1 + stat + stat * stat / 2)
 
     return F.transform(
-        three, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.floor(F.log2(x["n"])).cast("int").alias("c"), p_value(x).alias("p"))
+        one, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.floor(F.log2(F.length(x["t"]).cast("double"))).cast("int").alias("c"), p_value(x).alias("p"))
     )
 
 
@@ -147,9 +147,19 @@ def _text(docs: DataFrame) -> Column:
     return F.coalesce(F.col("text"), F.lit(""))
 
 
+def _base(text: Column) -> Column:
+    return F.concat(_spans(text, ASSIGN, 0, F.lit(6)), _spans(text, ACCESS, 1), _spans(text, HEX, 2))
+
+
+def _apart(tokens: Column, base: Column) -> Column:
+    """The tokens that overlap no base span."""
+    return F.filter(tokens, lambda x: ~F.exists(base, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
+
+
 def rejection_cuts(docs: DataFrame, q: float = FALSE_DISCOVERY) -> dict[int, float]:
-    """The largest rejected p-value of each length class. At most 32 classes come to the driver."""
-    tokens = docs.where(F.rlike(F.col("text"), F.lit(CANDIDATE))).select(F.explode(_random_tokens(_text(docs))).alias("t"))
+    """The largest p-value of each length class that names a secret. At most 32 classes come to the driver."""
+    rows = docs.where(F.rlike(F.col("text"), F.lit(CANDIDATE))).select(_random_tokens(F.col("text")).alias("t"), _base(F.col("text")).alias("base"))
+    tokens = rows.select(F.explode(_apart(F.col("t"), F.col("base"))).alias("t"))
     bins = tokens.groupBy(
         F.col("t.c").alias("c"), F.least(F.lit(N_BINS), F.floor(-F.log10(F.greatest(F.lit(1e-280), F.col("t.p"))) * BINS_PER_DECADE)).alias("b")
     ).agg(F.count("*").alias("n"))
@@ -166,15 +176,13 @@ def with_spans(docs: DataFrame, q: float = FALSE_DISCOVERY, name: str = "spans")
     Kinds are numbered as in KINDS. A span of the method that overlaps a base span isn't repeated.
     """
     text = _text(docs)
-    base = F.concat(_spans(text, ASSIGN, 0, F.lit(6)), _spans(text, ACCESS, 1), _spans(text, HEX, 2))
     cuts = rejection_cuts(docs, q)
-    table = F.create_map(*[F.lit(x) for kv in sorted(cuts.items() or {0: 0.0}.items()) for x in kv])
-    cut = lambda c: F.coalesce(F.try_element_at(table, c), F.lit(0.0))
-    tokens = F.when(F.rlike(text, F.lit(CANDIDATE)), F.filter(_random_tokens(text), lambda t: t["p"] > cut(t["c"])))
+    table = F.create_map(*[F.lit(x) for kv in sorted(cuts.items() or {0: -1.0}.items()) for x in kv])
+    cut = lambda c: F.coalesce(F.try_element_at(table, c), F.lit(-1.0))
+    tokens = F.when(F.rlike(text, F.lit(CANDIDATE)), F.filter(_random_tokens(text), lambda t: t["p"] <= cut(t["c"])))
     b, t = fresh(docs, "base_spans"), fresh(docs, "random_tokens")
-    out = docs.withColumn(b, base).withColumn(t, F.coalesce(tokens, F.array()))
-    apart = F.filter(t, lambda x: ~F.exists(b, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
-    extra = F.transform(apart, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(3).alias("k"))).cast(SPANS)
+    out = docs.withColumn(b, _base(text)).withColumn(t, F.coalesce(tokens, F.array()))
+    extra = F.transform(_apart(F.col(t), F.col(b)), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(3).alias("k"))).cast(SPANS)
     order = lambda x: F.array_sort(F.transform(x, lambda y: F.struct(y["s"].alias("s"), y["k"].alias("k"), y["e"].alias("e"))))
     every = F.transform(order(F.concat(b, extra)), lambda y: F.struct(y["s"].alias("s"), y["e"].alias("e"), y["k"].alias("k")))
     return out.withColumn(name, every).drop(b, t)

@@ -203,6 +203,25 @@ def test_quality_of_held_out_rows(spark):
     assert abs(np.mean([r["score"] for r in got]) - np.mean([r["quality"] for r in got])) < 0.05
 
 
+def test_quality_sizes_brute_force():
+    """The difference from block sizes of fresh compressors; scores are a logistic curve over it alone."""
+    import zstandard
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    good = [" ".join(word() for _ in range(60)).encode() for _ in range(60)]
+    bad = [" ".join(word() + rng.choice("!#%") * 3 for _ in range(60)).encode() for _ in range(60)]
+    model = quality.Scorer(quality._dictionary(good[:30]), quality._dictionary(bad[:30]))
+    model.calibrate(good[30:] + bad[30:], np.r_[np.ones(30), np.zeros(30)], np.ones(60))
+    texts = [b"", b"x", good[40], bad[40], good[41] * 9, "é".encode() * 900, good[42] * 2000]
+    size = lambda text, d: sum(len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False).compress(text[i : i + 512])) for i in range(0, len(text), 512))
+    want = [(size(t, model.dicts[1]) - size(t, model.dicts[0])) / max(1, len(t)) for t in texts]
+    assert list(model.differences(texts)) == pytest.approx(want)
+    score = model.score(texts)
+    assert score[2] > 0.9 > 0.1 > score[3] and list(np.argsort(score, kind="stable")) == list(np.argsort(np.clip((want - model.mean) / model.scale, -5, 5), kind="stable"))
+    assert list(model.score([good[40], good[40]])) == [score[2]] * 2
+
+
 # -- 4: top-k
 
 
@@ -295,6 +314,74 @@ def test_random_tokens_and_ordinary_ones(spark):
     assert sum(got[i] for i in range(40, len(rows))) == 0
 
 
+IDENTIFIERS = """Base64UrlSafeEncoderImpl AbstractSingletonProxyFactoryBean usr/local/share/doc/python3/examples get_user_by_email_address_v2
+MAX_CONNECTION_POOL_SIZE org/apache/hadoop/mapreduce/lib ConcurrentHashMapV8Benchmark2 internationalization2024-05-17T10 this_is_a_very_long_variable_name
+pneumonoultramicroscopicsilicovolcanoconiosis ISO88591ToUTF8ConverterStream handleHttpRequest2xxResponse2 kubernetes-dashboard-7798c48646
+InternalFrameTitlePaneMaximizeButtonWindowNotFocusedState react-dom-production-min-js application/vnd.openxmlformats test_model_with_two_inputs_and_3_outputs
+20240517-final-report-of-the-year getElementsByTagNameAndClassName IllegalArgumentException2 donaudampfschifffahrtsgesellschaft anticonstitutionnellement""".split()
+
+
+def _tail(z):
+    return 1 / (1 + math.exp(max(-600.0, min(600.0, 1.5976 * z + 0.070565 * z**3))))
+
+
+def _ordinary_p(token):
+    """The battery once more, over characters and with the null's moments from a plain sum over the alphabet."""
+    t = token.rstrip("=")
+    abc = next((letters for pattern, letters in secrets.ENCODINGS if re.match(pattern, t)), None)
+    if abc is None or not re.search("[A-Za-z]", t):
+        return None
+    english = dict(zip("abcdefghijklmnopqrstuvwxyz", secrets.LETTERS, strict=True))
+    share = lambda c: (80 if c.islower() or not any(x.islower() for x in abc) else 8) * english[c.lower()] / sum(english.values()) if c.isalpha() else 1.0 if c.isdigit() else 0.5
+    q = np.array([share(c) for c in abc]) / sum(share(c) for c in abc)
+    n, two, three = len(t), (q**2).sum(), (q**3).sum()
+    pairs, triples, fours = n * (n - 1), n * (n - 1) * (n - 2), n * (n - 1) * (n - 2) * (n - 3)
+    sd = math.sqrt(fours * two**2 + 4 * triples * three + 2 * pairs * two - (pairs * two) ** 2)
+    even = _tail((n + pairs * two - sum(t.count(c) ** 2 for c in set(t))) / sd)
+    body = [c for c in t if c not in "+/_-"]
+    m = max(2, len(body))
+    kind = lambda c: 0 if c.islower() else 1 if c.isupper() else 2
+    changes = sum(kind(x) != kind(y) and (kind(x), kind(y)) != (1, 0) for x, y in zip(body, body[1:], strict=False))
+    mixed = _tail((changes - 0.5 - (m - 1) / 4) / math.sqrt((m - 1) * 3 / 16))
+    vowel = [c in "aeiouAEIOU" for c in body]
+    v, vv = sum(vowel) / m, sum(x and y for x, y in zip(vowel, vowel[1:], strict=False)) / (m - 1)
+    loose = _tail(((vv - v * v) / (v * (1 - v)) + 0.3 if 0 < v < 1 else 0.3) * math.sqrt(m))
+    stat = -sum(math.log(min(1.0, max(1e-280, p))) for p in (even, mixed, loose))
+    return math.exp(-stat) * (1 + stat + stat * stat / 2)
+
+
+def test_battery_brute_force(spark):
+    """p-values and Benjamini-Hochberg cuts against a second computation; ordinary identifiers keep the stated rate."""
+    rng = random.Random(5)
+    alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "".join(map(chr, range(97, 123))) + "0123456789", "".join(map(chr, [*range(65, 91), *range(97, 123), *range(48, 58)])) + "-_"]
+    made = ["".join(rng.choice(abc) for _ in range(rng.randint(20, 70))) for abc in alphabets * 30] + IDENTIFIERS + ["1" * 30, "A" * 20, "b-" * 12, "+/" * 15 + "a=="]
+    rows = [(i, f"see {t} there") for i, t in enumerate(made)]
+    found = frame(spark, rows).select("doc_id", F.explode(secrets._random_tokens(F.col("text"))).alias("t")).select("doc_id", "t.*").collect()
+    got = collections.defaultdict(list)
+    for r in found:
+        got[r["doc_id"]].append((r["p"], r["c"]))
+    want = collections.defaultdict(list)
+    for i, text in rows:
+        for token in re.findall(r"[A-Za-z0-9+/_-]{20,}={0,2}", text):
+            if (p := _ordinary_p(token)) is not None:
+                want[i].append((p, int(math.log2(len(token.rstrip("="))))))
+    assert got.keys() == want.keys()
+    for i, ps in want.items():
+        assert [c for _, c in got[i]] == [c for _, c in ps] and [p for p, _ in got[i]] == pytest.approx([p for p, _ in ps], rel=1e-6)
+    hexes = {i for i, t in rows if base_spans(t)}
+    cuts, by = secrets.rejection_cuts(frame(spark, rows)), collections.defaultdict(list)
+    for i, ps in want.items():
+        if i not in hexes:
+            for p, c in ps:
+                by[c].append(p)
+    for c, ps in by.items():
+        bins = [math.floor(-math.log10(p) * 20) for p in ps]
+        fit = [e for b in bins if (e := 10 ** (-b / 20)) <= 0.05 * sum(x >= b for x in bins) / len(bins)]
+        assert cuts.get(c) == pytest.approx(max(fit)) if fit else c not in cuts
+    plain = [(i, f"{t} and") for i, t in enumerate(IDENTIFIERS)]
+    assert sum(r["n_random"] for r in secrets.secret_scan(frame(spark, plain)).collect()) <= 0.05 * len(plain)
+
+
 def test_redaction(spark):
     got = {r["doc_id"]: r["text"] for r in secrets.redact(frame(spark, list(enumerate(SECRETS)))).collect()}
     assert got[0] == "é [REDACTED] and TOKEN='abc' [REDACTED]"
