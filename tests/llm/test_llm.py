@@ -689,3 +689,51 @@ def test_license_text_with_edits(spark):
     assert (got[1]["spans"][0]["s"], got[1]["spans"][0]["e"]) == (30, 30 + len(edited))
     assert got[2]["labels"] == "" and 0 < got[2]["score"] < 0.6
     assert got[3]["score"] == 0
+
+
+def _diagonals(text, templates):
+    """Spans (s, e, label) and the best share, from all pairs of equal grams, diagonal by diagonal."""
+    w = WORD.findall((text or "").translate(UP))
+    spans, best = set(), 0.0
+    for label, template in templates:
+        t = WORD.findall(template.translate(UP))
+        g = min(licenses.K, len(t))
+        votes = collections.defaultdict(list)
+        for p in range(len(w) - g + 1):
+            for q in range(len(t) - g + 1):
+                if w[p : p + g] == t[q : q + g]:
+                    votes[p - q].append((p, q))
+        groups, last = [], None
+        for d in sorted(votes):
+            if last is None or d - last > licenses.SLACK:
+                groups.append([])
+            groups[-1] += votes[d]
+            last = d
+        for found in groups:
+            share = len({q + i for _, q in found for i in range(g)}) / len(t)
+            best = max(best, share)
+            if share >= licenses.COVERAGE:
+                spans.add((min(p for p, _ in found), max(p for p, _ in found) + g, label))
+    return spans, best
+
+
+def test_license_diagonals_brute_force(spark):
+    rng = random.Random(11)
+    templates = licenses.TEMPLATES + licenses.WHOLE_TEXTS
+    rows = [(-1, None), (-2, ""), (-3, "permission"), (-4, "the software is provided as is " * 40)]
+    for i in range(30):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            w = rng.choice(templates)[1].split()
+            for _ in range(rng.randint(0, max(1, len(w) // 8))):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randint(0, 2)] = ["word"] * rng.randint(0, 2)
+            parts += [*["some", "text"] * rng.randint(0, 9), *w]
+        rows.append((i, " ".join(parts)))
+    rows.append((99, "x " * 20_000 + rows[10][1] + " y" * 20_000))
+    for r in licenses.license_scan(frame(spark, [*rows, rows[5]])).collect():
+        spans, best = _diagonals(dict(rows)[r["doc_id"]] if r["doc_id"] != 99 else rows[10][1], templates)
+        shift = 20_000 if r["doc_id"] == 99 else 0
+        assert {(x["s"] - shift, x["e"] - shift, x["label"]) for x in r["spans"]} == spans
+        assert r["n_base"] or r["score"] == pytest.approx(best)
+        assert r["n_base"] == 0 or r["score"] == 1
