@@ -5,7 +5,8 @@ window of L words, every occurrence in a document holds a gram of g words that s
 multiple of ``step`` (step + g = L + 1), so the scan hashes one gram per step and looks it up in
 the set of all grams of the windows. Only around hits are windows cut out of the document and
 compared with the items' windows, word by word, in a join. The set is part of the plan while
-it holds at most ``max_inline`` grams (8 bytes each); a larger one is joined instead.
+it holds at most ``max_inline`` grams (8 bytes each); a larger one is written and broadcast up to
+MAX_BROADCAST, and beyond that the grams of the documents are shuffled to it.
 """
 
 from __future__ import annotations
@@ -13,11 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, words
+from .common import hinted, row_key, saved, words
 
 N = 13
 MAX_INLINE = 200_000
-#: Windows of items are broadcast up to this size, in bytes of text.
+#: Grams, and windows of items by the bytes of their text, are broadcast up to this size.
 MAX_BROADCAST = 32 << 20
 
 
@@ -84,18 +85,12 @@ def _with_context(w: Column, length: int):
 WINDOWS = "array<struct<s:int,n:int,win:string>>"
 
 
-def _merged(spans: Column) -> Column:
-    """Sorted array<struct<s, e>> -> the same with touching and overlapping spans joined."""
-    kind = "array<struct<s:int,e:int>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
-        return F.when((F.size(acc) > 0) & (x["s"] <= F.try_element_at(acc, F.lit(-1))["e"]), grown).otherwise(
-            F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"))))
-        ).cast(kind)
-
-    return F.aggregate(spans, F.array().cast(kind), step)
+def _merged(words: Column) -> Column:
+    """Sorted distinct word positions -> array<struct<s, e>> of the runs that they make."""
+    numbered = F.transform(words, lambda p, i: F.struct(p.alias("p"), (p - i).alias("run")))
+    starts = F.filter(F.arrays_zip(numbered.alias("x"), F.concat(F.array(F.lit(None).cast("int")), F.transform(words, lambda p, i: p - i)).alias("before")), lambda z: z["x"].isNotNull() & ~z["x"]["run"].eqNullSafe(z["before"]))
+    ends = F.filter(F.arrays_zip(numbered.alias("x"), F.slice(F.transform(words, lambda p, i: p - i), 2, F.size(words)).alias("after")), lambda z: ~z["x"]["run"].eqNullSafe(z["after"]))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(a["x"]["p"].alias("s"), (b["x"]["p"] + 1).alias("e")))
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = N, max_inline: int = MAX_INLINE, key: str | None = None) -> DataFrame:
@@ -126,7 +121,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = N, max_inline: int
                 "row", "doc_id", F.size(w).alias("n_words"),
                 F.explode(F.transform(_anchors(w, length), _with_context(w, length))).alias("a"),
             ).select("row", "doc_id", "n_words", F.col("a.h").alias("h"), F.col("a.near").alias("near"))
-            near = near.join(_grams(windows, length), "h", "left_semi")
+            near = near.join(hinted(saved(_grams(windows, length)), 16, MAX_BROADCAST), "h", "left_semi")
             parts.append(near.select("row", "doc_id", "n_words", F.explode(_windows(F.col("near"), length)).alias("c")))
     cand = parts[0]
     for more in parts[1:]:
@@ -139,9 +134,9 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = N, max_inline: int
     per_doc = hit.groupBy("row", "doc_id", "n_words").agg(
         F.array_sort(F.collect_set("item")).alias("items"), F.array_sort(F.collect_set(F.when(is_hit, span))).alias("all_spans")
     )
-    per_doc = per_doc.withColumn("spans", _merged(F.col("all_spans")))
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + (x["e"] - x["s"]).cast("long"))
-    per_doc = per_doc.withColumn("n_hit", n_hit)
+    hit_words = F.array_sort(F.array_distinct(F.flatten(F.transform("all_spans", lambda x: F.sequence(x["s"], x["e"] - 1)))))
+    per_doc = per_doc.withColumn("hit_words", hit_words).withColumn("spans", _merged(F.col("hit_words")))
+    per_doc = per_doc.withColumn("n_hit", F.size("hit_words").cast("long"))
     return per_doc.select(
         *([F.col("row.key").alias(key)] if key else []),
         "doc_id",

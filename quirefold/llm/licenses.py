@@ -103,6 +103,9 @@ def template_grams(spark: SparkSession, templates=TEMPLATES + WHOLE_TEXTS, k: in
     return t.select(F.xxhash64("x.g").alias("h"), F.array_join("x.g", " ").alias("gram"), F.size("x.g").alias("n_gram"), "label", "n_template", "x.tp")
 
 
+PLACES = "array<struct<p:int,label:string>>"
+
+
 def _phrase_places(joined: Column, phrases) -> Column:
     """array<struct<p, label>>: word positions of the phrases in text of single-spaced words."""
     parts = []
@@ -110,17 +113,18 @@ def _phrase_places(joined: Column, phrases) -> Column:
         pattern = rf"(?<![^ ]){phrase}(?![^ ])"
         gaps = F.split(joined, pattern)
         spaces = F.transform(gaps, lambda g: F.length(g) - F.length(F.replace(g, F.lit(" "), F.lit(""))))
-        n = phrase.count(" ")
-        heads = F.slice(spaces, 1, F.size(spaces) - 1)
-        places = F.transform(heads, _place(spaces, n, label))
-        parts.append(F.when(F.rlike(joined, F.lit(pattern)), places).otherwise(F.array().cast("array<struct<p:int,label:string>>")))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(PLACES).alias("out"))
+        # the gap after the last place names none
+        places = F.aggregate(spaces, start, _place(phrase.count(" "), label), lambda acc: F.slice(acc["out"], 1, F.size(acc["out"]) - 1))
+        parts.append(F.when(F.rlike(joined, F.lit(pattern)), places).otherwise(F.array().cast(PLACES)))
     return F.flatten(F.array(*parts))
 
 
-def _place(spaces: Column, n: int, label: str):
-    def place(_: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(spaces, 1, i + 1), F.lit(0), lambda a, b: a + b)
-        return F.struct((before + i * n).alias("p"), F.lit(label).alias("label"))
+def _place(n: int, label: str):
+    def place(acc: Column, gap: Column) -> Column:
+        p = acc["at"] + gap
+        out = F.concat(acc["out"], F.array(F.struct(p.alias("p"), F.lit(label).alias("label")))).cast(PLACES)
+        return F.struct((p + n).alias("at"), out.alias("out"))
 
     return place
 
@@ -139,7 +143,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES + WHOLE_TEXTS, phrases=PHR
     base = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("w"))
     w = F.col("w")
     joined = F.array_join(w, " ")
-    base = base.withColumn("places", F.when(F.rlike(joined, F.lit("|".join(p for p, _ in phrases))), _phrase_places(joined, phrases)).otherwise(F.array().cast("array<struct<p:int,label:string>>")))
+    base = base.withColumn("places", F.when(F.rlike(joined, F.lit("|".join(p for p, _ in phrases))), _phrase_places(joined, phrases)).otherwise(F.array().cast(PLACES)))
     held: dict[int, list[str]] = {}
     for r in grams.select("h", "n_gram").distinct().collect():  # as many as the templates have words
         held.setdefault(r["n_gram"], []).append(f"{r['h']}L" if r["h"] > -(2**63) else "-9223372036854775807L - 1")

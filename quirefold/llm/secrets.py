@@ -58,27 +58,24 @@ SPANS = "array<struct<s:int,e:int,k:int>>"
 REDACTED = "[REDACTED]"
 
 
-def _spans(text: Column, pattern: str, kind: int, least: Column | None = None) -> Column:
-    """Sorted spans of a pattern's matches (code points); ``least`` maps a match's number to whether it counts."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern), F.length)
-    whole = F.transform(found, F.length)
-
-    def step(acc: Column, i: Column) -> Column:
-        s = acc["at"] + F.get(gaps, i)
-        e = s + F.get(whole, i)
-        return F.struct(
-            e.alias("at"),
-            F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), F.lit(kind).alias("k")))).cast(SPANS).alias("out"),
-        )
+def _spans(text: Column, pattern: str, kind: int, least: int | None = None) -> Column:
+    """Sorted spans of a pattern's matches (code points); with least, of those whose second group has so many characters."""
+    length = lambda found: F.transform(found, F.length)
+    # each match with the text before it; the text after the last one has no match
+    parts = [length(F.split(text, pattern)).alias("gap"), length(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("n")]
+    if least is not None:
+        parts.append(length(F.regexp_extract_all(text, F.lit(pattern), F.lit(2))).alias("own"))
+    found = F.filter(F.arrays_zip(*parts), lambda x: x["n"].isNotNull())
+
+    def step(acc: Column, x: Column) -> Column:
+        s = acc["at"] + x["gap"]
+        e = s + x["n"]
+        one = F.array(F.struct(s.alias("s"), e.alias("e"), F.lit(kind).alias("k")))
+        out = F.concat(acc["out"], one) if least is None else F.when(x["own"] >= least, F.concat(acc["out"], one)).otherwise(acc["out"])
+        return F.struct(e.alias("at"), out.cast(SPANS).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
-    every = F.sequence(F.lit(0), F.size(found) - 1)
-    out = F.aggregate(every, start, step, lambda acc: acc["out"])
-    if least is not None:
-        lengths = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), F.length)
-        out = F.filter(out, lambda x, i: F.get(lengths, i) >= least)
-    return F.when(F.rlike(text, F.lit(pattern)), out).otherwise(F.array().cast(SPANS))
+    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(found, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPANS))
 
 
 def _normal_tail(z: Column) -> Column:
@@ -148,7 +145,7 @@ def _text(docs: DataFrame) -> Column:
 
 
 def _base(text: Column) -> Column:
-    return F.concat(_spans(text, ASSIGN, 0, F.lit(6)), _spans(text, ACCESS, 1), _spans(text, HEX, 2))
+    return F.concat(_spans(text, ASSIGN, 0, 6), _spans(text, ACCESS, 1), _spans(text, HEX, 2))
 
 
 def _apart(tokens: Column, base: Column) -> Column:
