@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.functions.geometry import Box, iou, lit, overlap
 
+from .folds import fold_sorted
 from .intervals import overlap_join
 
 MIN_SIDE = 20
@@ -106,14 +108,15 @@ def pick_box(points: DataFrame, boxes: DataFrame) -> DataFrame:
     Ties: higher conf, then smaller id. Pages without boxes give no row.
     """
     b = Box.of()
-    both = points.join(boxes, "page_id")
-    inside = (F.col("px") >= b.left) & (F.col("px") <= b.right) & (F.col("py") >= b.top) & (F.col("py") <= b.bottom)
+    near = overlap_join(points, boxes, (F.col("py"), F.col("py")), (b.top, b.bottom), ["page_id"])
+    near = near.where((F.col("px") >= b.left) & (F.col("px") <= b.right) & (F.col("py") >= b.top) & (F.col("py") <= b.bottom))
+    rank = lambda by: F.min(F.struct(by.alias("by"), (-F.col("conf")).alias("c"), F.col("box_id").alias("id"))).alias("m")
+    inside = near.groupBy("pt_id").agg(rank(b.width * b.height)).select("pt_id", F.col("m.id").alias("box_id"), F.lit(True).alias("inside"))
+    # only points that no box holds look at all boxes of their page
     dx, dy = F.col("px") - (b.left + b.right) / 2, F.col("py") - (b.top + b.bottom) / 2
-    rank = F.struct(
-        (~inside).alias("out"), F.when(inside, b.width * b.height).otherwise(dx * dx + dy * dy).alias("by"), (-F.col("conf")).alias("c"), F.col("box_id").alias("id")
-    )
-    best = both.groupBy("pt_id").agg(F.min(rank).alias("m"))
-    return best.select("pt_id", F.col("m.id").alias("box_id"), (~F.col("m.out")).alias("inside"))
+    left = points.join(inside.select("pt_id"), "pt_id", "left_anti").join(boxes, "page_id")
+    outside = left.groupBy("pt_id").agg(rank(dx * dx + dy * dy)).select("pt_id", F.col("m.id").alias("box_id"), F.lit(False).alias("inside"))
+    return inside.unionByName(outside)
 
 
 def slice_boxes(slices: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -185,34 +188,43 @@ def merge_passes(primary: DataFrame, secondary: DataFrame, iou_thr: float = 0.5)
 
     Secondaries come in order of id; each looks for the primary that it overlaps most (IoU above the
     threshold, ties to the smaller id), as upgraded so far, and replaces its box, text and conf if its
-    own conf is strictly higher. Pages are independent; a page's tokens meet in one task.
+    own conf is strictly higher. Pages are independent. A primary has either its own box or that of a
+    secondary before, so the pairs of boxes that can ever meet come from two bucketed joins; only they
+    reach Python, as ids, IoUs and confs.
     """
-    cols = ["tok_id", "page_id", "left_x", "top_y", "right_x", "bottom_y", "text", "conf"]
-    both = primary.select(*cols).withColumn("pass", F.lit(1)).unionByName(secondary.select(*cols).withColumn("pass", F.lit(2)))
-
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        main = page[page["pass"] == 1].sort_values("tok_id")
-        rows = main[["left_x", "top_y", "right_x", "bottom_y", "text", "conf"]].values.tolist()
-        upgraded = [False] * len(rows)
-        for s in page[page["pass"] == 2].sort_values("tok_id").itertuples():
-            best, at = iou_thr, -1
-            for i, (x0, y0, x1, y1, _, _) in enumerate(rows):
-                w, h = min(x1, s.right_x) - max(x0, s.left_x), min(y1, s.bottom_y) - max(y0, s.top_y)
-                if w > 0 and h > 0:
-                    union = (x1 - x0) * (y1 - y0) + (s.right_x - s.left_x) * (s.bottom_y - s.top_y) - w * h
-                    if union > 0 and w * h / union > best:
-                        best, at = w * h / union, i
-            if at >= 0 and s.conf > rows[at][5]:
-                rows[at] = [s.left_x, s.top_y, s.right_x, s.bottom_y, s.text, s.conf]
-                upgraded[at] = True
-        out = pd.DataFrame(rows, columns=["left_x", "top_y", "right_x", "bottom_y", "text", "conf"])
-        out.insert(0, "page_id", main["page_id"].to_numpy())
-        out.insert(0, "tok_id", main["tok_id"].to_numpy())
-        out["upgraded"] = upgraded
-        return out
-
-    schema = "tok_id long, page_id long, left_x double, top_y double, right_x double, bottom_y double, text string, conf double, upgraded boolean"
-    return both.groupBy("page_id").applyInPandas(fold, schema)
+    box = ["left_x", "top_y", "right_x", "bottom_y"]
+    s = secondary.select("page_id", *[F.col(c).alias(f"s_{c}") for c in ("tok_id", *box, "conf")])
+
+    def pairs(of: DataFrame, kind: int) -> DataFrame:
+        p = of.select("page_id", *[F.col(c).alias(f"p_{c}") for c in ("tok_id", *box, "conf")])
+        both = overlap_join(p, s, (F.col("p_top_y"), F.col("p_bottom_y")), (F.col("s_top_y"), F.col("s_bottom_y")), ["page_id"])
+        both = both.withColumn("iou", iou(Box.of("p_"), Box.of("s_"), "merge")).where(F.col("iou") > iou_thr)
+        both = both if kind == 1 else both.where("p_tok_id < s_tok_id")
+        return both.select("page_id", F.lit(kind).alias("kind"), F.col("p_tok_id").alias("p"), F.col("s_tok_id").alias("s"), "iou", F.col("p_conf").alias("pc"), F.col("s_conf").alias("sc"))
+
+    def fold(page: dict) -> dict:
+        at: dict = {}  # primary -> the secondary that it has become
+        holders: dict = {}  # secondary -> the primaries that have its box
+        conf = dict(zip(page["s"], page["sc"], strict=True)) | {(1, p): c for k, p, c in zip(page["kind"], page["p"], page["pc"], strict=True) if k == 1}
+        starts = np.r_[0, np.flatnonzero(page["s"][1:] != page["s"][:-1]) + 1, len(page["s"])]
+        for b, e in zip(starts[:-1], starts[1:], strict=True):
+            met = [(-v, p) for k, p, v in zip(page["kind"][b:e], page["p"][b:e], page["iou"][b:e], strict=True) if k == 1 and p not in at]
+            met += [(-v, q) for k, p, v in zip(page["kind"][b:e], page["p"][b:e], page["iou"][b:e], strict=True) if k == 2 for q in holders.get(p, ())]
+            if met:
+                now, s_id = min(met)[1], page["s"][b]
+                if conf[s_id] > (conf[at[now]] if now in at else conf[1, now]):
+                    if now in at:
+                        holders[at[now]].discard(now)
+                    at[now] = s_id
+                    holders.setdefault(s_id, set()).add(now)
+        return {"tok_id": np.array([*at], np.int64), "by": np.array([*at.values()], np.int64)}
+
+    met = pairs(primary, 1).unionByName(pairs(secondary, 2))
+    done = fold_sorted(met, "page_id", ["s", "kind", "p"], fold, "page_id long, tok_id long, by long").drop("page_id")
+    new = secondary.select(F.col("tok_id").alias("by"), *[F.col(c).alias(f"s_{c}") for c in (*box, "text", "conf")])
+    out = primary.join(done, "tok_id", "left").join(new, "by", "left")
+    up = F.col("by").isNotNull()
+    return out.select("tok_id", "page_id", *[F.when(up, F.col(f"s_{c}")).otherwise(F.col(c)).alias(c) for c in (*box, "text", "conf")], up.alias("upgraded"))
 
 
 def upgrade_pairs(primary: DataFrame, secondary: DataFrame, iou_thr: float = 0.5) -> DataFrame:

@@ -54,8 +54,9 @@ def in_categories(key: Column, categories: list[str]) -> Column:
 
 
 def reshard(records: DataFrame, key: str, categories: list[str], shards: int, seed: int) -> DataFrame:
-    """Records of the categories with the output shard that each goes to, by a hash of key and seed."""
-    return records.where(in_categories(F.col(key), categories)).withColumn("shard", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(shards)).cast("int"))
+    """Records of the categories with the output shard that each goes to, by the md5 of seed and key."""
+    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
+    return records.where(in_categories(F.col(key), categories)).withColumn("shard", (drawn % shards).cast("int"))
 
 
 def filter_counts(records: DataFrame, key: str, categories: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,36 +18,36 @@ def fold_sorted(df: DataFrame, key: str, order: list[str], fold: Callable[[dict[
     dealt = df.repartition(key).sortWithinPartitions(key, *order)
 
     def run(batches):
-        held: list[pd.DataFrame] = []
+        held: list[dict[str, np.ndarray]] = []  # the parts of the group that a batch ends in
         for b in batches:
             if not len(b):
                 continue
-            keys = b[key].to_numpy()
+            columns = {c: b[c].to_numpy() for c in b.columns}
+            keys = columns[key]
+            if held and held[0][key][0] == keys[0] == keys[-1]:
+                held.append(columns)
+                continue
+            if held:
+                columns = {c: np.concatenate([*[h[c] for h in held], x]) for c, x in columns.items()}
+                keys = columns[key]
             starts = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1]
-            if held and held[-1][key].iloc[-1] != keys[0]:
-                yield _folded([pd.concat(held)])
-                held = []
-            whole, tail = b.iloc[: starts[-1]], b.iloc[starts[-1] :]
-            if len(starts) > 1:
-                parts = [whole.iloc[s:e] for s, e in zip(starts[:-1], [*starts[1:-1], len(whole)], strict=True)]
-                if held:
-                    parts[0] = pd.concat([*held, parts[0]])
-                    held = []
-                yield _folded(parts)
-            held.append(tail)
+            yield from _folded(columns, starts)
+            held = [{c: x[starts[-1] :] for c, x in columns.items()}]
         if held:
-            yield _folded([pd.concat(held)])
+            last = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+            yield from _folded(last, np.array([0, len(last[key])]))
 
-    def _folded(groups: list[pd.DataFrame]) -> pd.DataFrame:
+    def _folded(columns: dict[str, np.ndarray], starts: np.ndarray) -> Iterator[pd.DataFrame]:
         keys, made = [], []
-        for g in groups:
-            out = fold({c: g[c].to_numpy() for c in g.columns})
+        for s, e in zip(starts[:-1], starts[1:], strict=True):
+            out = fold({c: x[s:e] for c, x in columns.items()})
             n = len(next(iter(out.values())))
             if n:
-                keys.append(np.repeat(g[key].iloc[0], n))
+                keys.append(np.repeat(columns[key][s], n))
                 made.append(out)
         if not made:
-            return pd.DataFrame({c.split()[0]: [] for c in schema.split(",")})
-        return pd.DataFrame({key: np.concatenate(keys), **{c: np.concatenate([m[c] for m in made]) for c in made[0]}})
+            return
+        out = {key: np.concatenate(keys)} | {c: np.concatenate([m[c] for m in made]) for c in made[0]}
+        yield pd.DataFrame({c: pd.Series(x, dtype=object if x.dtype.kind in "OU" else x.dtype) for c, x in out.items()})
 
     return dealt.mapInPandas(run, schema)

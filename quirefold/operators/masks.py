@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 from quirefold.functions.bins import linear_ramp
 
+from .intervals import overlap_join
 from .ordering import union_area
 
 IMAGE = ("image_id", "w", "h")
+#: Rows of an image in a bucket of the joins of rectangles.
+BAND = 64
 
 
 def unit(seed: int, draw: str | Column, *keys: Column) -> Column:
@@ -219,7 +222,8 @@ def rect_pairs(rects: DataFrame) -> DataFrame:
     r = ["y0", "y1", "x0", "x1"]
     a = rects.select("image_id", F.col("mask_id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in r])
     b = rects.select("image_id", F.col("mask_id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in r])
-    both = a.join(b, "image_id").where((F.col("a") < F.col("b")) & (F.col("a_y0") < F.col("b_y1")) & (F.col("b_y0") < F.col("a_y1")) & (F.col("a_x0") < F.col("b_x1")) & (F.col("b_x0") < F.col("a_x1")))
+    both = overlap_join(a, b, (F.col("a_y0"), F.col("a_y1")), (F.col("b_y0"), F.col("b_y1")), ["image_id"], BAND)
+    both = both.where((F.col("a") < F.col("b")) & (F.col("a_y0") < F.col("b_y1")) & (F.col("b_y0") < F.col("a_y1")) & (F.col("a_x0") < F.col("b_x1")) & (F.col("b_x0") < F.col("a_x1")))
     return both.select("image_id", "a", "b").distinct()
 
 
@@ -242,7 +246,9 @@ def accept_masks(candidates: DataFrame, existing: DataFrame, limit_existing: flo
     r = ["y0", "y1", "x0", "x1"]
     e = existing.select("image_id", F.col("mask_id").alias("e_id"), *[F.col(c).alias(f"e_{c}") for c in r])
     cut = [f(c, f"e_{c}").alias(c) for c, f in zip(r, (F.greatest, F.least) * 2, strict=True)]
-    met = candidates.select("image_id", "mask_id", *r).join(e, "image_id").select("mask_id", "e_id", *cut)
+    mine = candidates.select("image_id", "mask_id", *r)
+    met = overlap_join(mine, e, (F.col("y0"), F.col("y1")), (F.col("e_y0"), F.col("e_y1")), ["image_id"], BAND)
+    met = met.select("mask_id", "e_id", *cut).where("y0 < y1 and x0 < x1")
     common = union_area(met.withColumn("pair", F.struct("mask_id", "e_id")), "pair").select("pair.mask_id", "pair.e_id", F.col("area").alias("common"))
     own = union_area(candidates, "mask_id").withColumnRenamed("area", "own")
     other = union_area(existing, "mask_id").select(F.col("mask_id").alias("e_id"), F.col("area").alias("other"))

@@ -109,7 +109,19 @@ def _(v):
     return v.boxes.select("box_id", r[0]["x"].alias("x0"), r[0]["y"].alias("y0"), r[1]["x"].alias("x1"), r[1]["y"].alias("y1"))
 
 
-@query("p16_oval_poly")
+def _oval() -> str:
+    k = repr(G.QUARTER) + "::double"
+    arcs = [
+        ("cx", "top_y", f"cx + hw * {k}", "top_y", "right_x", f"cy - hh * {k}", "right_x", "cy"), ("right_x", "cy", "right_x", f"cy + hh * {k}", f"cx + hw * {k}", "bottom_y", "cx", "bottom_y"),
+        ("cx", "bottom_y", f"cx - hw * {k}", "bottom_y", "left_x", f"cy + hh * {k}", "left_x", "cy"), ("left_x", "cy", "left_x", f"cy - hh * {k}", f"cx - hw * {k}", "top_y", "cx", "top_y"),
+    ]
+    curve = lambda a, c, d, e: f"u * u * u * ({a}) + 3 * u * u * t * ({c}) + 3 * u * t * t * ({d}) + t * t * t * ({e})"
+    parts = [f"select box_id, {12 * i} + s as i, {curve(*a[::2])} as x, {curve(*a[1::2])} as y from b" for i, a in enumerate(arcs)]
+    return f"""with m as (select *, (left_x + right_x) / 2 as cx, (top_y + bottom_y) / 2 as cy, (right_x - left_x) / 2 as hw, (bottom_y - top_y) / 2 as hh from boxes), b as (select *, s / 12.0::double as t, 1 - s / 12.0::double as u from m, unnest(range(0, 12)) as v(s))
+      {" union all ".join(parts)}"""
+
+
+@query("p16_oval_poly", _oval())
 def _(v):
     return v.boxes.select("box_id", F.posexplode(G.oval_poly(G.Box.of())).alias("i", "p")).select("box_id", "i", "p.x", "p.y")
 
@@ -186,7 +198,19 @@ def _two_passes(v):
     return t, second
 
 
-@query("j6_merge_passes")
+_MET = "greatest(0.0, least(e.x1, z.x1) - greatest(e.x0, z.x0)) * greatest(0.0, least(e.y1, z.y1) - greatest(e.y0, z.y0))"
+_IOU = f"case when {_MET} > 0 then {_MET} / ((e.x1 - e.x0) * (e.y1 - e.y0) + (z.x1 - z.x0) * (z.y1 - z.y0) - {_MET}) else 0.0 end"
+
+
+@query(
+    "j6_merge_passes",
+    f"""with recursive s as (select page_id, row_number() over (partition by page_id order by tok_id) as i, left_x + 2 as x0, top_y as y0, right_x + 3 as x1, bottom_y as y1, txt, (tok_id * 7 % 10) / 10.0::double as conf from tokens),
+    st as (select page_id, 0::bigint as i, list({{'id': tok_id, 'x0': left_x, 'y0': top_y, 'x1': right_x, 'y1': bottom_y, 'txt': txt, 'conf': conf, 'up': false}} order by tok_id) as ps from tokens group by 1 union all
+      select page_id, i, case when p > 0 and conf > ps[p].conf then list_concat(list_append(ps[1:p - 1], {{'id': ps[p].id, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'txt': txt, 'conf': conf, 'up': true}}), ps[p + 1:]) else ps end
+      from (select *, case when list_max(d) > 0.5 then list_position(d, list_max(d)) else 0 end as p from (select z.*, ps, list_transform(ps, lambda e: {_IOU}) as d from st join s z on z.page_id = st.page_id and z.i = st.i + 1) q1) q2),
+    l as (select page_id, unnest(arg_max(ps, i)) as e from st group by 1)
+    select e.id as tok_id, page_id, e.x0 as left_x, e.y0 as top_y, e.x1 as right_x, e.y1 as bottom_y, e.txt as text, e.conf as conf, e.up as upgraded from l""",
+)
 def _(v):
     return D.merge_passes(*_two_passes(v))
 
@@ -211,7 +235,16 @@ def iou_pairs(v):
     return D.iou_pairs(v.boxes, 0.2)
 
 
-@query("j7_nms")
+@query(
+    "j7_nms",
+    """with recursive o as (select *, row_number() over (partition by page_id order by conf desc, box_id) as i from boxes),
+    p as (select a.box_id as w, b.box_id as l, greatest(0.0, least(a.right_x, b.right_x) - greatest(a.left_x, b.left_x)) * greatest(0.0, least(a.bottom_y, b.bottom_y) - greatest(a.top_y, b.top_y)) as common,
+      (a.right_x - a.left_x) * (a.bottom_y - a.top_y) + (b.right_x - b.left_x) * (b.bottom_y - b.top_y) as total from o a join o b on a.page_id = b.page_id and a.i < b.i),
+    ab as (select l as box_id, list(w) as above from p where common / greatest(1e-9, total - common) >= 0.2 group by 1), oa as (select o.*, coalesce(above, []::bigint[]) as above from o left join ab using (box_id)),
+    st as (select page_id, i, box_id, conf, true as ok, [box_id] as kept from oa where i = 1 union all
+      select page_id, i, box_id, conf, ok, case when ok then list_append(kept, box_id) else kept end from (select z.page_id, z.i, z.box_id, z.conf, kept, not list_has_any(kept, above) as ok from st join oa z on z.page_id = st.page_id and z.i = st.i + 1) q)
+    select box_id, page_id, conf from st where ok""",
+)
 def _(v):
     return D.nms(v.boxes, 0.2).select("box_id", "page_id", "conf")
 

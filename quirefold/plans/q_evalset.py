@@ -39,7 +39,7 @@ def _(v):
     return E.filter_counts(v.documents, "source", ["src1"])
 
 
-@query("src6_reshard")
+@query("src6_reshard", "select doc_id, source, (('0x' || substr(md5('3:' || source), 1, 8))::bigint % 16)::int as shard from documents")
 def _(v):
     return E.reshard(v.documents.select("doc_id", "source"), "source", ["nofilter"], 16, 3)
 

@@ -12,6 +12,8 @@ from quirefold.operators import masks as M
 
 from .registry import query
 
+SIDES = ("left_x", "top_y", "right_x", "bottom_y")
+
 
 def unit(seed, draw: str, *keys: str) -> str:
     return f"(('0x' || substr(md5('{seed}:' || {''.join(f'({k})::varchar || chr(58) || ' for k in keys)} '{draw}'), 1, 8))::bigint / 4294967296.0::double)"
@@ -46,8 +48,11 @@ def _(v):
 LO, HI = math.sqrt(0.1), math.sqrt(0.35)
 
 
-@query("g3_random_area", f"""with s as (select *, round_even(({unit(7, 'side_w', 'image_id')} * {HI - LO!r}::double + {LO!r}::double) * w, 0)::bigint as sw, round_even(({unit(7, 'side_h', 'image_id')} * {HI - LO!r}::double + {LO!r}::double) * h, 0)::bigint as sh from images),
-    t as (select *, {whole(unit(7, 'start_w', 'image_id'), '0', '(w - sw)')} as a, {whole(unit(7, 'start_h', 'image_id'), '0', '(h - sh)')} as b from s) select image_id, a as y0, a + sw as y1, b as x0, b + sh as x1 from t""")
+RANDOM_AREA = f"""with s as (select *, round_even(({unit(7, 'side_w', 'image_id')} * {HI - LO!r}::double + {LO!r}::double) * w, 0)::bigint as sw, round_even(({unit(7, 'side_h', 'image_id')} * {HI - LO!r}::double + {LO!r}::double) * h, 0)::bigint as sh from images),
+    t as (select *, {whole(unit(7, 'start_w', 'image_id'), '0', '(w - sw)')} as a, {whole(unit(7, 'start_h', 'image_id'), '0', '(h - sh)')} as b from s) select image_id, a as y0, a + sw as y1, b as x0, b + sh as x1 from t"""
+
+
+@query("g3_random_area", RANDOM_AREA)
 def _(v):
     return M.gen_area(v.images, 7, True)
 
@@ -56,17 +61,33 @@ def _pad(i, size):
     return f"({whole(unit(7, f'pad{i}', 'image_id'), f'floor(0.04::double * {size})::bigint', f'floor(0.25::double * {size})::bigint')} / {size}::double)"
 
 
-@query("g4_border", f"""with a as (select *, {unit(7, 'side0', 'image_id')} < 0.5 as d0, {unit(7, 'side1', 'image_id')} < 0.5 as d1, {unit(7, 'side2', 'image_id')} < 0.5 as d2, {unit(7, 'side3', 'image_id')} < 0.5 as d3, {unit(7, 'lone', 'image_id')} as u from images),
+BORDER = f"""with a as (select *, {unit(7, 'side0', 'image_id')} < 0.5 as d0, {unit(7, 'side1', 'image_id')} < 0.5 as d1, {unit(7, 'side2', 'image_id')} < 0.5 as d2, {unit(7, 'side3', 'image_id')} < 0.5 as d3, {unit(7, 'lone', 'image_id')} as u from images),
     b as (select *, not (d0 or d1 or d2 or d3) as none, least(3, floor(u * 4)) as pick from a)
     select image_id, 0 as side, 0 as y0, h as y1, 0 as x0, trunc({_pad(0, 'h')} * w)::bigint as x1 from b where d0 or (none and pick = 0) union all
     select image_id, 1, 0, trunc({_pad(1, 'w')} * h)::bigint, 0, w from b where d1 or (none and pick = 1) union all
     select image_id, 2, 0, h, trunc((1 - {_pad(2, 'h')}) * w)::bigint, w from b where d2 or (none and pick = 2) union all
-    select image_id, 3, trunc((1 - {_pad(3, 'w')}) * h)::bigint, h, 0, w from b where d3 or (none and pick = 3)""")
+    select image_id, 3, trunc((1 - {_pad(3, 'w')}) * h)::bigint, h, 0, w from b where d3 or (none and pick = 3)"""
+
+
+@query("g4_border", BORDER)
 def _(v):
     return M.gen_border(v.images, 7)
 
 
-@query("g5_strokes")
+def draw(name: str) -> str:
+    """A draw of a stroke whose name is an SQL expression."""
+    return f"(('0x' || substr(md5('7:' || image_id || ':' || stroke || ':' || {name}), 1, 8))::bigint / 4294967296.0::double)"
+
+
+STROKES = f"""st as (select *, {whole(unit(7, 'times', 'image_id'), '0', '11')} as times from images), ss as (select *, s as stroke from st, unnest(range(0, times)) as u(s)),
+  s0 as (select *, {whole(draw("'x'"), '0', 'w')} as sx, {whole(draw("'y'"), '0', 'h')} as sy, {whole(draw("'n'"), '1', '6')} as n from ss),
+  wk as (select image_id, w, h, stroke, n, -1::bigint as segment, 0::bigint as x0, 0::bigint as y0, sx as x1, sy as y1, 0::bigint as width from s0 union all
+    select image_id, w, h, stroke, n, segment + 1, x1, y1, greatest(0, least(w, trunc(x1 + length * sin(angle))))::bigint, greatest(0, least(h, trunc(y1 + length * cos(angle))))::bigint, width
+    from (select image_id, w, h, stroke, n, segment, x1, y1, case when stroke % 2 = 0 then 2 * 3.1415926::double - (turn + 0.01::double) else turn + 0.01::double end as angle, length, width
+      from (select *, {whole(draw("'a' || (segment + 1)"), '0', '4')} as turn, {whole(draw("'l' || (segment + 1)"), '10', '70')} as length, {whole(draw("'b' || (segment + 1)"), '5', '25')} as width from (select * exclude (width) from wk) q where segment + 1 < n) q1) q2)"""
+
+
+@query("g5_strokes", f"with recursive {STROKES} select image_id, stroke, segment, x0, y0, x1, y1, width from wk where segment >= 0")
 def _(v):
     return M.gen_strokes(v.images, 7)
 
@@ -76,7 +97,24 @@ def _(v):
     return v.images.select("image_id", M.choose_kind(7, {"box": 0.5, "dumb": 1.0, "superres": 0.5}, F.col("image_id")).alias("kind"), (M.unit(7, "invert", F.col("image_id")) < 0.25).alias("inverted"))
 
 
-@query("g6_mixed_masks")
+def kind_sql(*names: str) -> str:
+    """Names of equal probability."""
+    steps = " ".join(f"when {unit(7, 'kind', 'image_id')} < {i}.0 / {len(names)}.0::double then '{n}'" for i, n in enumerate(names[:-1], 1))
+    return f"case {steps} else '{names[-1]}' end"
+
+
+BOXES = f"{RECTS} select image_id, y0, y0 + bh as y1, x0, x0 + bw as x1 from d"
+SQUARES = "select image_id, y0 - width // 2 as y0, y0 + width // 2 as y1, x0 - width // 2 as x0, x0 + width // 2 as x1 from wk where segment >= 0"
+PARTS = {"box": BOXES, "dumb": RANDOM_AREA, "outpainting": f"select image_id, y0, y1, x0, x1 from ({BORDER}) q", "squares": SQUARES}
+
+
+def mixed_sql(*names: str) -> str:
+    """Tables ki (image_id, kind, inverted) and mx (the rectangles of each image's own kind)."""
+    parts = " union all ".join(f"select kind, inverted, p.* from ki join ({PARTS[n]}) p using (image_id) where kind = '{n}'" for n in names)
+    return f"ki as (select image_id, {kind_sql(*names)} as kind, {unit(7, 'invert', 'image_id')} < 0.2 as inverted from images), mx as ({parts})"
+
+
+@query("g6_mixed_masks", f"with recursive {STROKES}, {mixed_sql('box', 'dumb', 'outpainting', 'squares')} select image_id, kind, inverted, y0, y1, x0, x1 from mx")
 def _(v):
     return M.mixed_masks(v.images, {"box": 1, "dumb": 1, "outpainting": 1, "squares": 1}, 7, 0.2)
 
@@ -86,7 +124,15 @@ def _(v):
     return M.debug_windows(v.images)
 
 
-@query("g8_mask_dataset")
+UNION_AREA = """eg as (select distinct mask_id, x from (select mask_id, x0 as x from rects union all select mask_id, x1 from rects) q), sp as (select mask_id, x as a, lead(x) over (partition by mask_id order by x) as b from eg),
+  cv as (select r.mask_id, a, b, y0, y1, coalesce(max(y1) over (partition by r.mask_id, a order by y0, y1 rows between unbounded preceding and 1 preceding), y0) as reached from rects r join sp on r.mask_id = sp.mask_id and x0 <= a and x1 >= b),
+  ar as (select mask_id, sum(greatest(0, y1 - greatest(y0, reached)) * (b - a))::bigint as area from cv group by 1)"""
+
+
+@query("g8_mask_dataset", f"""with fan as (select image_id * 4 + k as image_id, w, h from images, unnest(range(0, 4)) as u(k)), {mixed_sql('box', 'dumb', 'outpainting').replace('from images', 'from fan')}, rects as (select image_id as mask_id, kind, y0, y1, x0, x1 from mx where y1 > y0 and x1 > x0), {UNION_AREA},
+    kd as (select mask_id, min(kind) as kind from rects group by 1), sz as (select mask_id, kind, area, area / (w * h)::double as share from ar join kd using (mask_id) join fan on mask_id = image_id where area > 0 and area / (w * h)::double <= 0.5),
+    rk as (select *, row_number() over (partition by mask_id // 4 order by {unit(7, 'keep', 'mask_id')}, mask_id) as rn from sz)
+    select mask_id // 4 as image_id, mask_id % 4 as variant, mask_id, kind, area, share from rk where rn <= 2""")
 def _(v):
     return M.mask_dataset(v.images, {"box": 1, "dumb": 1, "outpainting": 1}, 4, 0.5, 2, 7)
 
@@ -104,7 +150,8 @@ def _(v):
     return M.square_crop(b.withColumns({"w": F.when(even, 160).otherwise(128), "h": F.when(even, 128).otherwise(160)}), 7)
 
 
-@query("g10_curriculum")
+@query("g10_curriculum", f"""{RECTS.replace("least(100, h - 20, w - 20) as side", "least(trunc(31 + 70 * ramp)::bigint, h - 20, w - 20) as side").replace("'0', '4'", "").replace("greatest(0, 4 - 0)", "greatest(0, trunc(3 * ramp)::bigint + 1 - 0)").replace("from images)", "from (select *, case when image_id < 0 then 0.0 when image_id >= 1000 then 1.0 else image_id / 1000.0::double end::double as ramp from images) q)", 1)}
+    select image_id, i, y0, y0 + bh as y1, x0, x0 + bw as x1 from d""")
 def _(v):
     return M.curriculum(v.images, 7, F.col("image_id"), 1000)
 
@@ -217,11 +264,12 @@ def _(v):
     return _inputs(v)
 
 
-COMFORT = f"""with {INPUTS}, a as (select *, source like 'bbox_fallback%' as fb, greatest(1.0, core_right_x - core_left_x) as cw, greatest(1.0, core_bottom_y - core_top_y) as ch from li),
+COMFORT_STEPS = """a as (select *, source like 'bbox_fallback%' as fb, greatest(1.0, core_right_x - core_left_x) as cw, greatest(1.0, core_bottom_y - core_top_y) as ch from li),
   b as (select *, (0.07::double + case when cov < 0.08 then 0.06::double when cov < 0.18 then 0.04::double when cov < 0.30 then 0.02::double else 0 end + case when fb then 0.06::double * (case when cov >= 0.30 then 0.20::double when cov >= 0.20 then 0.35::double when cov >= 0.12 then 0.55::double else 0.80::double end) else 0 end
     - case when cov >= 0.18 then 0.02::double else 0 end - case when cov >= 0.28 then 0.01::double else 0 end - case when line_count >= 4 then 0.02::double else 0 end) * (case when least(cw, ch) < 120 then 0.55::double when least(cw, ch) < 200 then 0.75::double else 1 end) as frac from a),
   c as (select *, greatest(0.03::double, least(0.14::double, frac)) as f from b), d as (select *, greatest(3.0, least(40.0, cw * f / 2)) as dx0, greatest(3.0, least(40.0, ch * f / 2)) as dy0 from c),
   e as (select *, least(dx0, greatest(0.0, (cw - 2) / 2)) as dx, least(dy0, greatest(0.0, (ch - 2) / 2)) as dy from d), cc as (select *, core_left_x + dx as c0, core_top_y + dy as c1, core_right_x - dx as c2, core_bottom_y - dy as c3 from e)"""
+COMFORT = f"with {INPUTS}, {COMFORT_STEPS}"
 
 
 @query("p11_comfort_clamp", f"{COMFORT} select bubble_id, c0 as left_x, c1 as top_y, c2 as right_x, c3 as bottom_y from cc")
@@ -230,9 +278,12 @@ def _(v):
     return _inputs(v).select("bubble_id", *box.named())
 
 
-@query("p12_short_text_relax", f"""{COMFORT}, k as (select *, case when not fb then 1 when line_count <= 1 then 1.14::double when n_words <= 4 then 1.10::double when n_words <= 7 then 1.06::double else 1 end::double as k from cc),
-    s as (select *, (c0 + c2) / 2 as mx, (c1 + c3) / 2 as my, greatest(1.0, c2 - c0) * k as w, greatest(1.0, c3 - c1) * k as h from k)
-    select bubble_id, case when k > 1 then greatest(mx - w / 2, core_left_x) else c0 end as left_x, case when k > 1 then greatest(my - h / 2, core_top_y) else c1 end as top_y, case when k > 1 then least(mx + w / 2, core_right_x) else c2 end as right_x, case when k > 1 then least(my + h / 2, core_bottom_y) else c3 end as bottom_y from s""")
+RELAX_STEPS = """k as (select *, case when not fb then 1 when line_count <= 1 then 1.14::double when n_words <= 4 then 1.10::double when n_words <= 7 then 1.06::double else 1 end::double as k from cc),
+    s as (select *, (c0 + c2) / 2 as mx, (c1 + c3) / 2 as my, greatest(1.0, c2 - c0) * k as w, greatest(1.0, c3 - c1) * k as h from k),
+    rx as (select *, case when k > 1 then greatest(mx - w / 2, core_left_x) else c0 end as clamp_left_x, case when k > 1 then greatest(my - h / 2, core_top_y) else c1 end as clamp_top_y, case when k > 1 then least(mx + w / 2, core_right_x) else c2 end as clamp_right_x, case when k > 1 then least(my + h / 2, core_bottom_y) else c3 end as clamp_bottom_y from s)"""
+
+
+@query("p12_short_text_relax", f"{COMFORT}, {RELAX_STEPS} select bubble_id, {', '.join(f'clamp_{c} as {c}' for c in SIDES)} from rx")
 def _(v):
     i = _inputs(v)
     i = L._kept(i, comfort=L.comfort_clamp(G.Box.of("core_"), F.col("cov"), F.col("source"), F.col("line_count")))
@@ -240,7 +291,43 @@ def _(v):
     return i.select("bubble_id", *box.named("relaxed_")).select("bubble_id", *[F.col(f"relaxed_{c}").alias(c) for c in ("left_x", "top_y", "right_x", "bottom_y")])
 
 
-@query("p13_fit_area")
+def scaled(box: str, k: str) -> list[str]:
+    """SQL of a box scaled about its centre."""
+    a, b, c, d = (f"{box}_{x}" if box else x for x in SIDES)
+    w, h = f"greatest(1.0, {c} - {a}) * ({k}) / 2", f"greatest(1.0, {d} - {b}) * ({k}) / 2"
+    return [f"({a} + {c}) / 2 - {w}", f"({b} + {d}) / 2 - {h}", f"({a} + {c}) / 2 + {w}", f"({b} + {d}) / 2 + {h}"]
+
+
+def kept(name: str, columns: list[str]) -> str:
+    return ", ".join(f"{c} as {name}_{x}" for c, x in zip(columns, SIDES, strict=True))
+
+
+def clamped(box: str, to: str) -> list[str]:
+    of = [f"{f}({box}_{x}, {to + '_' if to else ''}{x})" for x, f in zip(SIDES, ("greatest", "greatest", "least", "least"), strict=True)]
+    ok = f"{of[2]} > {of[0]} and {of[3]} > {of[1]}"
+    return [f"case when {ok} then {c} else {to + '_' if to else ''}{x} end" for c, x in zip(of, SIDES, strict=True)]
+
+
+def blended(box: str, to: str, w: str) -> list[str]:
+    """w is a column between 0 and 1; a result without area is the box itself."""
+    one = lambda x: f"{box}_{x}", lambda x: f"{to + '_' if to else ''}{x}"
+    of = {x: f"case when {w} <= 0 then {one[0](x)} when {w} >= 1 then {one[1](x)} else {one[0](x)} * (1 - {w}) + {one[1](x)} * {w} end" for x in SIDES}
+    ok = f"{w} >= 1 or (({of['right_x']}) > ({of['left_x']}) and ({of['bottom_y']}) > ({of['top_y']}))"
+    return [f"case when {ok} then {of[x]} else {one[0](x)} end" for x in SIDES]
+
+
+# the core moves and grows with fallback geometry; what COMFORT_STEPS call core is the fit box
+FIT = f"""{INPUTS}, m0 as (select *, source like 'bbox_fallback%' as low, case when cov < 0.15 then 0.24::double when cov < 0.30 then 0.20::double else 0.16::double end as by_ from li),
+  m1 as (select *, {kept('moved', blended('core', '', 'by_'))} from m0), m2 as (select * exclude ({', '.join(f'moved_{x}' for x in SIDES)}), {kept('moved', clamped('moved', ''))} from m1),
+  m3 as (select *, {kept('grown', scaled('moved', '1.10::double'))} from m2), m4 as (select * exclude ({', '.join(f'grown_{x}' for x in SIDES)}), {kept('grown', clamped('grown', ''))} from m3),
+  ft as (select * exclude ({', '.join(f'core_{x}' for x in SIDES)}), {', '.join(f'case when not low then core_{x} when line_count <= 1 or n_words <= 3 then grown_{x} else moved_{x} end as core_{x}' for x in SIDES)} from m4)"""
+
+
+@query("p13_fit_area", f"""with {FIT}, {COMFORT_STEPS.replace('from li)', 'from ft)', 1)}, {RELAX_STEPS},
+    o1 as (select *, bubble_id % 2 = 0 as has, {kept('oc', scaled('', '0.4::double'))} from rx), o2 as (select *, {kept('ocr', [f'case when has then oc_{x} else core_{x} end' for x in SIDES])}, case when cov < 0.08 then 1.85::double when cov < 0.18 then 1.55::double else 1.32::double end as spread from o1),
+    o3 as (select *, {kept('se', scaled('core', '1.03::double'))}, {kept('hi', scaled('ocr', 'spread'))} from o2), o4 as (select *, {kept('seed', clamped('se', 'clamp'))}, {kept('hint', clamped('hi', 'clamp'))}, case when has then greatest(0.0, least(0.5, (case when low then 0.16::double else 0.30::double end) * (case when n_words <= 3 then 0.55::double else 1 end))) else 0 end::double as pull from o3),
+    o5 as (select *, {kept('lay', blended('seed', 'hint', 'pull'))} from o4), o6 as (select *, {kept('layout', clamped('lay', 'clamp'))} from o5)
+    select bubble_id, {', '.join(f'{k}_{x}' for k in ('clamp', 'layout') for x in SIDES)} from o6""")
 def _(v):
     i = _inputs(v)
     has = F.col("bubble_id") % 2 == 0

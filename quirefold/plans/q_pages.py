@@ -12,6 +12,7 @@ from quirefold.operators import slicing as S
 
 from .q_detections import ASSIGN
 from .registry import query
+from .sql import first_fit
 
 FEATURES = """with s as (select page_id, y, x, v, coalesce(abs(v - lag(v) over (partition by page_id, x order by y)), 0) as step from pixels),
   feat as (select page_id, y, sum(v) / count(*)::double as mean, (count(*) * sum(v * v) - sum(v) * sum(v))::double / (count(*) * count(*)) as var, sum(step) / count(*)::double as grad from s group by 1, 2),
@@ -54,12 +55,21 @@ def _(v):
     return S.best_cut(c, c.select("page_id").distinct().withColumn("cur", F.lit(0)), 12, 28, 0.001)
 
 
-@query("w12_cuts_absorb")
+def cuts_sql(tail: str) -> str:
+    last = "case when n - y < 8 then n else y end" if tail == "absorb" else "least(y, n - 1)"
+    return f"""{COST.replace("with s as", "with recursive s as", 1)}, h as (select page_id, max(y) + 1 as n from cost group by 1),
+      best as (select page_id, 0::bigint as k, 0::bigint as cur, n from h union all
+        select page_id, k + 1, {last}, n from (select b.page_id, b.k, b.n, b.cur, coalesce((min({{'v': cost + 0.001 * abs(y - b.cur - 14), 'y': y}}) filter (safe)).y, b.cur + 8) as y
+          from best b join cost c on c.page_id = b.page_id and c.y >= b.cur + 8 and c.y < least(b.cur + 20, b.n) where b.n - b.cur > 20 group by b.page_id, b.k, b.n, b.cur) q)
+      select page_id, k as slice_no, cur as top, coalesce(lead(cur) over (partition by page_id order by k), n) as bottom from best where cur < n"""
+
+
+@query("w12_cuts_absorb", cuts_sql("absorb"))
 def cuts(v):
     return S.cuts(_cost(v), 8, 20, 0.001)
 
 
-@query("w12_cuts_clamp")
+@query("w12_cuts_clamp", cuts_sql("clamp"))
 def _(v):
     return S.cuts(_cost(v), 8, 20, 0.001, "clamp")
 
@@ -100,17 +110,35 @@ def _(v):
     return S.check_heights(_done(v), _slices(v))
 
 
-@query("w3_reading_order_rows")
+CENTRES = """c as (select page_id, box_id, top_y as top, left_x as "left", greatest(0.0, bottom_y - top_y) as h, left_x + greatest(0.0, right_x - left_x) / 2 as x_mid, top_y + greatest(0.0, bottom_y - top_y) / 2 as y_mid from boxes)"""
+
+
+@query("w3_reading_order_rows", f"""with recursive {CENTRES}, o as (select *, page_id as key, row_number() over (partition by page_id order by y_mid, x_mid, box_id) as i, y_mid as y, greatest(1.0, median(h) over (partition by page_id) * 0.5) as tol from c), {first_fit('o')},
+    l as (select key, arg_max(m, i) as m from ff group by 1), pl as (select key, r, row_number() over (partition by key order by mean, r) - 1 as place from (select key, unnest(m) as mean, generate_subscripts(m, 1) as r from l) q),
+    t as (select page_id, box_id, place, row_number() over (partition by page_id order by place, x_mid, o.i) as ordinal from o join ff using (key, i) join pl using (key, r))
+    select page_id, box_id, place::int as row_no, ordinal::int as ordinal, 'AUTO_' || lpad(ordinal::varchar, 4, '0') as label from t""")
 def _(v):
     return O.reading_order_rows(v.boxes)
 
 
-@query("w4_reading_order_nearest")
+def nearest_sql(sign: str) -> str:
+    near = "list_transform(range(1, len(m) + 1), lambda k: case when abs(o.y - m[k]) <= greatest(1.0, least(o.h, mh[k]) * 0.5) then abs(o.y - m[k]) else 1e300 end)"
+    put = lambda c, old, new: f"case when p = 0 then list_append({c}, {new}) else list_concat(list_append({c}[1:p - 1], {old}), {c}[p + 1:]) end"
+    return f"""with recursive {CENTRES}, o as (select *, row_number() over (partition by page_id order by y_mid, {sign} * x_mid, top, {sign} * "left", box_id) as i, y_mid as y, count(*) over (partition by page_id) as n_boxes from c),
+      f as (select page_id, i, [y] as m, [h] as mh, [top] as t, [1] as n, 1::bigint as r from o where i = 1 union all
+        select page_id, i, {put('m', '(m[p] * n[p] + y) / (n[p] + 1)', 'y')}, {put('mh', '(mh[p] * n[p] + h) / (n[p] + 1)', 'h')}, {put('t', 'least(t[p], top)', 'top')}, {put('n', 'n[p] + 1', '1')}, case when p = 0 then len(m) + 1 else p end
+        from (select *, case when list_min(d) < 1e300 then list_position(d, list_min(d)) else 0 end as p from (select o.page_id, o.i, o.y, o.h, o.top, m, mh, t, n, {near} as d from f join o on o.page_id = f.page_id and o.i = f.i + 1) q1) q2),
+      l as (select page_id, arg_max(m, i) as m, arg_max(t, i) as t from f group by 1), pl as (select page_id, r, row_number() over (partition by page_id order by t, m, r) - 1 as place from (select page_id, unnest(m) as m, unnest(t) as t, generate_subscripts(m, 1) as r from l) q),
+      e as (select o.page_id, box_id, n_boxes, place, row_number() over (partition by o.page_id order by place, {sign} * x_mid, y, top, o.i) as ordinal from o join f using (page_id, i) join pl on pl.page_id = o.page_id and pl.r = f.r)
+      select page_id, box_id, place::int as row_no, ordinal::int as ordinal, 'B' || lpad(ordinal::varchar, greatest(3, length(n_boxes::varchar))::int, '0') as label from e"""
+
+
+@query("w4_reading_order_nearest", nearest_sql("1"))
 def _(v):
     return O.reading_order_nearest(v.boxes)
 
 
-@query("w4_reading_order_rtl")
+@query("w4_reading_order_rtl", nearest_sql("-1"))
 def _(v):
     return O.reading_order_nearest(v.boxes, rtl=True)
 
@@ -119,14 +147,23 @@ def _assigned(v):
     return D.assign_tokens(v.tokens, D.filter_conf(v.boxes, 0.5))
 
 
-@query("w5_a5_bubble_text")
+TOKENS_IN = f"{ASSIGN.replace('with bub', 'with recursive bub', 1)}, tk as (select a.box_id, t.tok_id, (t.left_x + t.right_x) / 2 as x_mid, (t.top_y + t.bottom_y) / 2 as y_mid, t.bottom_y - t.top_y as h, t.top_y, t.bottom_y, txt from assigned a join tokens t using (tok_id))"
+
+
+@query("w5_a5_bubble_text", f"""{TOKENS_IN}, o as (select *, box_id as key, row_number() over (partition by box_id order by y_mid, x_mid, tok_id) as i, y_mid as y, median(greatest(1.0, h)) over (partition by box_id) * 0.6 as tol from tk), {first_fit('o')},
+    ln as (select box_id, r, coalesce(string_agg(txt, ' ' order by x_mid, o.i) filter (txt <> ''), '') as line from o join ff using (key, i) group by 1, 2)
+    select box_id, trim(string_agg(line, chr(10) order by r), ' ' || chr(10)) as text from ln group by 1""")
 def bubble_text(v):
     t = v.tokens.join(_assigned(v), "tok_id")
     b = G.Box.of()
     return O.bubble_text(t.select("box_id", "tok_id", ((b.left + b.right) / 2).alias("x_mid"), ((b.top + b.bottom) / 2).alias("y_mid"), b.height.alias("h"), "txt"))
 
 
-@query("w6_line_counts")
+LINES = "greatest(1, least(12, max(r)))::int"
+
+
+@query("w6_line_counts", f"""with recursive o as (select page_id as key, row_number() over (partition by page_id order by (top_y + bottom_y) / 2, box_id) as i, (top_y + bottom_y) / 2 as y, greatest(1.0, median(greatest(1.0, bottom_y - top_y)) over (partition by page_id) * 0.6) as tol from boxes), {first_fit('o')}
+    select key as box_id, {LINES} as line_count from ff group by 1""")
 def _(v):
     b = G.Box.of()
     return O.line_counts(v.boxes.select(F.col("page_id").alias("box_id"), F.col("box_id").alias("tok_id"), ((b.top + b.bottom) / 2).alias("y_mid"), b.height.alias("h")))
@@ -146,7 +183,9 @@ def _(v):
     return O.ocr_stats(v.tokens, _assigned(v), D.filter_conf(v.boxes, 0.5)).drop("line_count", "font_est_px")
 
 
-@query("a3_w6_ocr_lines")
+@query("a3_w6_ocr_lines", f"""{TOKENS_IN}, o as (select box_id as key, row_number() over (partition by box_id order by y_mid, tok_id) as i, y_mid as y, greatest(1.0, median(greatest(1.0, h)) over (partition by box_id) * 0.6) as tol from tk), {first_fit('o')},
+    n as (select key as box_id, {LINES} as line_count from ff group by 1), e as (select box_id, max(bottom_y) - min(top_y) as height from tk group by 1)
+    select b.box_id, coalesce(line_count, 0)::int as line_count, case when height > 0 and line_count > 0 then height / line_count / 1.2::double end as font_est_px from bub b left join n using (box_id) left join e using (box_id)""")
 def _(v):
     return O.ocr_stats(v.tokens, _assigned(v), D.filter_conf(v.boxes, 0.5)).select("box_id", "line_count", "font_est_px")
 
@@ -236,7 +275,15 @@ def _(v):
     return v.eval_samples.select("sample_id", G.clamp_range(F.col("fake_score"), 0.0, 1.0).alias("v"))
 
 
-@query("f20_lab")
+def _lab() -> str:
+    linear = lambda c: f"case when {c} / 255.0::double > 0.04045 then pow(({c} / 255.0::double + 0.055::double) / 1.055::double, 2.4::double) else {c} / 255.0::double / 12.92::double end"
+    f = lambda t: f"case when {t} > 0.008856 then cbrt({t}) else 7.787::double * {t} + 16.0::double / 116 end"
+    return f"""with l as (select page_id, y as row_y, x as col_x, {linear('v')} as r, {linear('(v * 3 % 256)')} as g, {linear('(v * 7 % 256)')} as b from pixels),
+      m as (select *, (0.412453::double * r + 0.357580::double * g + 0.180423::double * b) / 0.950456::double as x, 0.212671::double * r + 0.715160::double * g + 0.072169::double * b as y, (0.019334::double * r + 0.119193::double * g + 0.950227::double * b) / 1.088754::double as z from l)
+      select page_id, row_y as y, col_x as x, (case when y > 0.008856 then 116 * cbrt(y) - 16 else 903.3::double * y end) * 255 / 100 as "L", 500 * (({f('x')}) - ({f('y')})) + 128 as a, 200 * (({f('y')}) - ({f('z')})) + 128 as b from m"""
+
+
+@query("f20_lab", _lab())
 def _(v):
     c = F.col("v").cast("double")
     lab = G.rgb_to_lab(c, c * 3 % 256, c * 7 % 256)

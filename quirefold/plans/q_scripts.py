@@ -216,7 +216,7 @@ def _(v):
     return J.patch_plan(sq, v.page_dim)
 
 
-@query("p25_drop_style_key")
+@query("p25_drop_style_key", "select page_id, box_id::varchar as id, conf as size from boxes")
 def _(v):
     style = F.struct(F.col("conf").alias("size"), F.col("cls").alias("stroke"))
     m = v.boxes.groupBy("page_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("box_id").cast("string").alias("k"), style.alias("v"))))).alias("styles"))
