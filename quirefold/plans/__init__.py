@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_detections", "q_metrics", "q_evalset", "q_scripts", "q_pages", "q_masks", "q_sources")
+MODULES = ("q_detections", "q_metrics", "q_evalset", "q_scripts", "q_pages", "q_masks", "q_sources", "q_files")
 
 
 def registered() -> tuple[dict, dict]:

@@ -33,9 +33,12 @@ def _(v):
     return M.gen_rectangles(v.images, 7)
 
 
-@query("g2_stripes", f"""with a as (select *, {whole(unit(7, 'sy', 'image_id'), '2', '5')} as sy, {whole(unit(7, 'sx', 'image_id'), '2', '5')} as sx, {unit(7, 'wy', 'image_id')} as uy, {unit(7, 'wx', 'image_id')} as ux, {unit(7, 'oy', 'image_id')} as vy, {unit(7, 'ox', 'image_id')} as vx from images),
+STRIPES = f"""with a as (select *, {whole(unit(7, 'sy', 'image_id'), '2', '5')} as sy, {whole(unit(7, 'sx', 'image_id'), '2', '5')} as sx, {unit(7, 'wy', 'image_id')} as uy, {unit(7, 'wx', 'image_id')} as ux, {unit(7, 'oy', 'image_id')} as vy, {unit(7, 'ox', 'image_id')} as vx from images),
     b as (select *, {whole('uy', '1', 'least(sy, 4)')} as wy, {whole('ux', '1', 'least(sx, 4)')} as wx, {whole('vy', '0', 'sy')} as oy, {whole('vx', '0', 'sx')} as ox from a)
-    select image_id, 'y' as axis, i, i as y0, least(i + wy, h) as y1, 0 as x0, w as x1 from b, unnest(range(oy, h, sy)) as u(i) union all select image_id, 'x', i, 0, h, i, least(i + wx, w) from b, unnest(range(ox, w, sx)) as u(i)""")
+    select image_id, 'y' as axis, i, i as y0, least(i + wy, h) as y1, 0 as x0, w as x1 from b, unnest(range(oy, h, sy)) as u(i) union all select image_id, 'x', i, 0, h, i, least(i + wx, w) from b, unnest(range(ox, w, sx)) as u(i)"""
+
+
+@query("g2_stripes", STRIPES)
 def _(v):
     return M.gen_stripes(v.images, 7)
 
@@ -97,17 +100,23 @@ def _(v):
     return v.images.select("image_id", M.choose_kind(7, {"box": 0.5, "dumb": 1.0, "superres": 0.5}, F.col("image_id")).alias("kind"), (M.unit(7, "invert", F.col("image_id")) < 0.25).alias("inverted"))
 
 
+BOXES = f"{RECTS} select image_id, y0, y0 + bh as y1, x0, x0 + bw as x1 from d"
+SQUARES = "select image_id, y0 - width // 2 as y0, y0 + width // 2 as y1, x0 - width // 2 as x0, x0 + width // 2 as x1 from wk where segment >= 0"
+PARTS = {"box": BOXES, "dumb": RANDOM_AREA, "outpainting": f"select image_id, y0, y1, x0, x1 from ({BORDER}) q", "squares": SQUARES}
+GENERATED = {
+    "box": BOXES, "dumb": RANDOM_AREA, "outpainting": f"select image_id, y0, y1, x0, x1 from ({BORDER}) q", "squares": f"with recursive {STROKES} {SQUARES}",
+    "superres": f"select image_id, y0, y1, x0, x1 from ({STRIPES}) q",
+}
+for _name, _sql in GENERATED.items():
+    query(f"x5_generator_{_name}", _sql)(lambda v, name=_name: M.GENERATORS[name](v.images, 7))
+
+
 def kind_sql(*names: str) -> str:
     """Names of equal probability."""
     steps = " ".join(f"when {unit(7, 'kind', 'image_id')} < {i}.0 / {len(names)}.0::double then '{n}'" for i, n in enumerate(names[:-1], 1))
     return f"case {steps} else '{names[-1]}' end"
 
 
-BOXES = f"{RECTS} select image_id, y0, y0 + bh as y1, x0, x0 + bw as x1 from d"
-SQUARES = "select image_id, y0 - width // 2 as y0, y0 + width // 2 as y1, x0 - width // 2 as x0, x0 + width // 2 as x1 from wk where segment >= 0"
-PARTS = {"box": BOXES, "dumb": RANDOM_AREA, "outpainting": f"select image_id, y0, y1, x0, x1 from ({BORDER}) q", "squares": SQUARES}
-
-
 def mixed_sql(*names: str) -> str:
     """Tables ki (image_id, kind, inverted) and mx (the rectangles of each image's own kind)."""
     parts = " union all ".join(f"select kind, inverted, p.* from ki join ({PARTS[n]}) p using (image_id) where kind = '{n}'" for n in names)

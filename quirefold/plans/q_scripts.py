@@ -157,7 +157,10 @@ def _(v):
     return J.transitions(v.events.select(F.col("user_id").alias("job_id"), "event_id", "ts", F.expr(STATUS).alias("status")))
 
 
-@query("src13_regroup", "select run_id, lower(regexp_extract(tag, '(?i)^(train|test|val|extra_val_.*?(?:256|512))_(.*)$', 1)) as grp, regexp_extract(tag, '(?i)^(train|test|val|extra_val_.*?(?:256|512))_(.*)$', 2) as title, step, value from scalars where not ends_with(tag, '_std') and regexp_matches(tag, '(?i)^(train|test|val|extra_val_.*?(?:256|512))_')")
+REGROUPED = "select run_id, lower(regexp_extract(tag, '(?i)^(train|test|val|extra_val_.*?(?:256|512))_(.*)$', 1)) as grp, regexp_extract(tag, '(?i)^(train|test|val|extra_val_.*?(?:256|512))_(.*)$', 2) as title, step, value from scalars where not ends_with(tag, '_std') and regexp_matches(tag, '(?i)^(train|test|val|extra_val_.*?(?:256|512))_')"
+
+
+@query("src13_regroup", REGROUPED)
 def _(v):
     return J.regroup(v.scalars).drop("wall_time")
 
