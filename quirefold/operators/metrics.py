@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions.bins import bin_index, bin_label
+from quirefold.session import scratch_path
 
 EPS = 1e-3
 
@@ -113,16 +114,21 @@ def histogram(df: DataFrame, value: str, bins: int = 10, by: list[str] | None =
 
 
 def run_summary(results: DataFrame) -> DataFrame:
-    """(item, status, n_found, n_removed, seconds) -> one row of counters and the sorted list of failed items."""
+    """(item, status, n_found, n_removed, seconds) -> one row of counters."""
     count = lambda s: F.count_if(F.col("status") == s)
     done = F.col("status") == "done"
     return results.agg(
         F.count("*").alias("total"), count("done").alias("done"), count("failed").alias("failed"), count("skipped").alias("skipped"),
         F.coalesce(F.sum(F.when(done, F.col("n_found"))), F.lit(0)).alias("found"), F.coalesce(F.sum(F.when(done, F.col("n_removed"))), F.lit(0)).alias("removed"),
-        F.avg(F.when(done, F.col("seconds"))).alias("mean_seconds"), F.array_sort(F.collect_list(F.when(F.col("status") == "failed", F.col("item")))).alias("failed_items"),
+        F.avg(F.when(done, F.col("seconds"))).alias("mean_seconds"),
     )
 
 
+def failed_items(results: DataFrame) -> DataFrame:
+    """(item, status, ...) -> item of every run that failed."""
+    return results.where(F.col("status") == "failed").select("item")
+
+
 def mean_logs(logs: DataFrame) -> DataFrame:
     """(step, key, value) -> key, value: the sum over steps / (number of steps + EPS); absent keys count as 0."""
     steps = logs.agg(F.count_distinct("step").alias("n"))
@@ -192,7 +198,13 @@ def _cov(n: int, s: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mean, (p.reshape(len(s), -1) - n * np.outer(mean, mean)) / (n - 1)
 
 
-def frechet_distance(m1, c1, m2, c2, eps: float = 1e-6) -> float:
+#: Added to the diagonals of singular covariances.
+EPS_COV = 1e-6
+#: Rows whose covariances are held at once.
+LOO_ROWS = 256
+
+
+def frechet_distance(m1, c1, m2, c2, eps: float = EPS_COV) -> float:
     """|m1 - m2|^2 + Tr(c1 + c2 - 2 sqrt(c1 c2)); eps goes on the diagonals where c1 is singular."""
     values, vectors = np.linalg.eigh(c1)
     if values.min() <= 0:
@@ -222,7 +234,9 @@ def frechet(acts: DataFrame, grp: str | None = None) -> DataFrame:
 def frechet_loo(acts: DataFrame) -> DataFrame:
     """(pair_id, side, embedding) -> pair_id, delta: the distance's change if a pair's prediction were its target.
 
-    The moments (dims squared numbers) are broadcast; a replacement is a rank-one update of them.
+    The moments (dims squared numbers) are broadcast. The root of the target's covariance is taken once a
+    task; a replacement changes the prediction's moments by a rank or two, and the eigenvalues
+    of a batch's matrices are found together. A singular covariance of all predictions gets EPS_COV on both diagonals.
     """
     m = {r["side"]: r for r in moments(acts.select("side", "embedding"), []).collect()}  # two rows
     if not {"pred", "target"} <= set(m) or min(r["n"] for r in m.values()) < 2:
@@ -231,15 +245,26 @@ def frechet_loo(acts: DataFrame) -> DataFrame:
     pairs = acts.where("side = 'pred'").select("pair_id", F.col("embedding").alias("p")).join(acts.where("side = 'target'").select("pair_id", F.col("embedding").alias("t")), "pair_id")
 
     def run(batches):
-        n, s, q = held.value["pred"]
-        target = _cov(*held.value["target"])
-        full = frechet_distance(*_cov(n, s, q), *target)
+        n, sums, products = held.value["pred"]
+        d = len(sums)
+        target_mean, target = _cov(*held.value["target"])
+        extra = EPS_COV * np.eye(d) if np.linalg.eigvalsh(_cov(n, sums, products)[1]).min() <= 0 else np.zeros((d, d))
+        values, vectors = np.linalg.eigh(target + extra)
+        root = (vectors * np.sqrt(np.maximum(values, 0))) @ vectors.T
+
+        def distances(p: np.ndarray, t: np.ndarray) -> np.ndarray:
+            mean = (sums - p + t) / n
+            square = lambda x: x[:, :, None] * x[:, None, :]
+            cov = (products.reshape(d, d) - square(p) + square(t) - n * square(mean)) / (n - 1) + extra
+            cross = np.sqrt(np.maximum(np.linalg.eigvalsh(root @ cov @ root), 0)).sum(-1)
+            return ((mean - target_mean) ** 2).sum(-1) + np.trace(cov, axis1=1, axis2=2) + np.trace(target + extra) - 2 * cross
+
+        full = distances(np.zeros((1, d)), np.zeros((1, d)))[0]
         for b in batches:
-            out = []
-            for p, t in zip(b["p"], b["t"], strict=True):
-                p, t = np.asarray(p, float), np.asarray(t, float)
-                out.append(frechet_distance(*_cov(n, s - p + t, q - np.outer(p, p).ravel() + np.outer(t, t).ravel()), *target) - full)
-            yield pd.DataFrame({"pair_id": b["pair_id"], "delta": out})
+            for start in range(0, len(b), LOO_ROWS):
+                some = b.iloc[start : start + LOO_ROWS]
+                p, t = (np.stack(some[c].to_numpy()).astype(float) for c in ("p", "t"))
+                yield pd.DataFrame({"pair_id": some["pair_id"], "delta": distances(p, t) - full})
 
     return pairs.mapInPandas(run, "pair_id long, delta double")
 
@@ -250,5 +275,9 @@ def separability(acts: DataFrame) -> DataFrame:
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     data = acts.select("pair_id", "side", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), (F.col("side") == "pred").cast("double").alias("label"))
+    # the fit passes over the features again and again: they are written once
+    path, kind = scratch_path(acts.sparkSession), data.schema
+    data.write.parquet(path)
+    data = acts.sparkSession.read.schema(kind).parquet(path)
     model = LinearSVC(maxIter=20, regParam=0.01).fit(data)
     return model.transform(data).select("pair_id", "side", vector_to_array("rawPrediction")[1].alias("score"))

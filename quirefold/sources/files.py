@@ -43,8 +43,8 @@ def png_size(content: bytes) -> tuple[int, int]:
 
 
 def write_shards(records: DataFrame, path: str, shard: str = "shard") -> None:
-    """One folder per output shard; the records of a shard are written by one task."""
-    records.repartition(shard).write.mode("overwrite").partitionBy(shard).parquet(path)
+    """One folder per output shard; large shards are split over tasks and small ones share one, by their size at run time."""
+    records.hint("rebalance", F.col(shard)).write.mode("overwrite").partitionBy(shard).parquet(path)
 
 
 def split_shard(records: DataFrame, path: str, most: int) -> None:

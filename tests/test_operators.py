@@ -76,6 +76,32 @@ def test_merge_upgrades_in_order(spark):
     assert got == [(1, "A", True), (2, "b", False)]
 
 
+def test_leave_one_out_brute_force(spark):
+    """Every pair's replacement against the distance of the changed set from scratch."""
+    rng = np.random.default_rng(7)
+    pred, target = rng.normal(size=(40, 5)), rng.normal(0.3, 1.4, size=(40, 5))
+    rows = [(i, s, x[i].tolist()) for i in range(40) for s, x in (("pred", pred), ("target", target))]
+    df = spark.createDataFrame(rows, "pair_id long, side string, embedding array<double>")
+    moments = lambda x: (x.mean(0), np.cov(x.T))
+    full = metrics.frechet_distance(*moments(pred), *moments(target))
+    for r in metrics.frechet_loo(df).collect():
+        changed = pred.copy()
+        changed[r["pair_id"]] = target[r["pair_id"]]
+        assert r["delta"] == pytest.approx(metrics.frechet_distance(*moments(changed), *moments(target)) - full, abs=1e-8)
+
+
+def test_folds_of_long_and_short_groups(spark):
+    """Groups over many Arrow batches, of one row, and none; strings come back as they were."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        df = spark.range(300).select(F.when(F.col("id") < 200, 0).otherwise(F.col("id")).cast("long").alias("k"), "id", F.concat(F.lit("t"), "id").alias("t"))
+        got = fold_sorted(df, "k", ["id"], lambda g: {"n": np.array([len(g["id"])]), "t": np.array([g["t"][-1]], dtype=object)} if g["k"][0] != 250 else {"n": np.empty(0, int), "t": np.empty(0, object)}, "k long, n long, t string").collect()
+        assert {(r["k"], r["n"], r["t"]) for r in got} == {(0, 200, "t199")} | {(i, 1, f"t{i}") for i in range(200, 300) if i != 250}
+        assert fold_sorted(df.limit(0), "k", ["id"], lambda g: {"n": np.array([1]), "t": g["t"][:1]}, "k long, n long, t string").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_cuts_reach_the_end(spark):
     rng = np.random.default_rng(2)
     rows = [(p, y, float(rng.random()), bool(rng.random() > (0.95 if p == 2 else 0.4))) for p in range(4) for y in range(60 + 17 * p)]
