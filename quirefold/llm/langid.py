@@ -23,6 +23,8 @@ from .quality import held_out
 DIMS = 2048
 CLASSES = 4096
 SEED = 20240
+#: Values of lang that are learnt at most.
+MAX_LANGS = 1000
 #: At most about this many texts of a language are bundled into its prototype.
 SAMPLE_PER_LANG = 3000
 #: Characters handled at once.
@@ -144,10 +146,11 @@ def _slices(texts: pa.Array):
 def fit_languages(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Profiles:
     """Prototypes from documents(doc_id, text, lang) outside the held-out rows.
 
-    Partitions bundle their sampled texts; one vector per partition and language is added up.
+    Partitions bundle their sampled texts; one vector per partition and language is added up. Of more than MAX_LANGS
+    distinct values the most frequent are learnt, ties by name, so that a dirty column doesn't fill the driver.
     """
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row per language
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_per_lang / n))).otherwise(share)

@@ -65,11 +65,54 @@ def test_empty_null_repeated_and_clashing(spark, run, columns):
     for c in CLASH:
         df = df.withColumn(c, F.lit("x"))
     out = run(df)
-    assert {c.strip() for c in columns.split(",")} <= set(out.columns)
-    assert len(out.collect()) == 5
+    names = [c.strip() for c in columns.split(",")]
+    assert set(names) <= set(out.columns)
+    plain = lambda d: sorted(([repr(r[c]) for c in ("doc_id", *names)] for r in d.collect()), key=repr)
+    got = plain(out)
+    assert len(got) == 5 and got == plain(run(frame(spark, rows, kind)))
+    assert got.count(next(g for g in got if g[0] == "3")) == 2
     assert run(frame(spark, [], kind)).count() == 0
 
 
+LONG = 250_000
+
+
+@pytest.fixture(scope="module")
+def long_docs(spark):
+    """Two texts of two megabytes, the second with one word changed, a benchmark passage, a secret and a license at its end, and a few short ones."""
+    rng = random.Random(14)
+    words = ["".join(rng.choice("abcdefghijklmno") for _ in range(7)) for _ in range(LONG)]
+    end = "this passage of exactly thirteen words stands in the benchmark and here too password=hunter2222 under the mit license"
+    other = [*words[: LONG // 2], "Changed", *words[LONG // 2 + 1 :], end]
+    return frame(spark, [(1, " ".join(words), "en", "a"), (2, " ".join(other), "en", "a"), (3, "short text", "en", "b"), (4, None, None, None)], "doc_id long, text string, lang string, source string")
+
+
+def test_very_long_texts(spark, long_docs):
+    text = {r["doc_id"]: r["text"] for r in long_docs.collect()}
+    by = lambda df: {r["doc_id"]: r for r in df.collect()}
+    bench = frame(spark, [("p", "this passage of exactly thirteen words stands in the benchmark and here too")], "item_id string, text string")
+    hit = by(decontaminate.contamination(long_docs, bench))
+    assert (hit[2]["n_words"], hit[2]["n_hit"], hit[2]["spans"]) == (LONG + 19, 13, [(LONG, LONG + 13)]) and hit[1]["n_hit"] == 0 and not hit[2]["contaminated"]
+    secret = by(secrets.secret_scan(long_docs))
+    at = text[2].index("password=")
+    assert secret[2]["n_assign"] == 1 and f"assign:{at}:{at + 19}" in secret[2]["spans"].split(",") and secret[1]["n_assign"] == 0
+    near = by(near_dedup.near_duplicates(long_docs))
+    assert [near[i]["component_id"] for i in (1, 2, 3)] == [1, 1, 3] and near[1]["n_shingles"] == LONG - 4
+    sizes = by(mixing.mix_sources(long_docs))
+    assert sizes[1]["size"] == LONG and sizes[2]["size"] == LONG + 18 and sizes[4]["size"] == 0
+    license_ = by(licenses.license_scan(long_docs))
+    assert license_[2]["base_labels"] == "mit" and license_[2]["first_word"] == LONG + 17 and license_[1]["n_base"] == 0
+    k = next(k for k in range(100) if zlib.crc32(str(1 + k).encode()) % 3 != 1)  # the first text is learnt from
+    lang = by(langid.language_ids(long_docs.withColumn("doc_id", F.col("doc_id") + k)))
+    assert {lang[i + k]["lang_pred"] for i in (1, 2, 3)} == {"en"} and lang[4 + k]["lang_pred"] == "und"
+    model = quality.Scorer(b"abc def ghi " * 40, b"xyz!!! " * 60)
+    model.mean, model.scale, model.curve = 0.0, 0.01, np.array([0.0, 1.0])
+    score = by(quality.score_quality(long_docs, model))
+    assert score[1]["score"] == pytest.approx(model.score([text[1].encode()])[0]) and score[4]["score"] == 0.5
+    cut = by(exact_dedup.exact_dedup(long_docs))
+    assert cut[1]["n_removed"] == len(text[1]) - 7 and cut[1]["n_spans"] == 2
+
+
 # -- 1: pages
 
 
@@ -194,6 +237,26 @@ def test_language_product_equals_bundled_vector(spark):
     assert names[:2] == ["und", "und"] and list(score[:2]) == [0, 0] and names[2] in ("a", "b")
 
 
+def test_language_brute_force_and_ties():
+    """Cosines from whole bundled vectors, text by text; equal prototypes go to the first name."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    prototypes = rng.normal(size=(3, langid.DIMS)).astype(np.float32)
+    prototypes /= np.linalg.norm(prototypes, axis=1, keepdims=True)
+    model = langid.Profiles(["a", "b", "c"], prototypes)
+    texts = ["the quick brown fox", "Über Straßen", "a", "zzzz zzzz", "x y z", "mot à mot", "LOUD words here"]
+    names, score = model.predict(pa.array(texts))
+    for i, t in enumerate(texts):
+        _, keys, n = model.trigrams(pa.array([t]))
+        bundle = (model.vectors(keys).astype(float) * n[:, None]).sum(0)
+        # the norm that near-orthogonal n-gram vectors give the bundle
+        cosine = prototypes @ bundle / math.sqrt(langid.DIMS * (n.astype(float) ** 2).sum())
+        assert names[i] == model.languages[int(cosine.argmax())] and score[i] == pytest.approx(max(0.0, cosine.max()), abs=1e-4)
+    same = langid.Profiles(["a", "b"], np.stack([prototypes[0], prototypes[0]]))
+    assert set(same.predict(pa.array(texts))[0]) == {"a"}
+
+
 def test_quality_of_held_out_rows(spark):
     d = "/root/testdata/sf0.1"
     got = quality.op3_quality(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
@@ -238,6 +301,17 @@ def test_topk_brute_force_with_ties_and_gaps(spark):
     got = topk.exact_topk(df, F.col("vec_id") % 20 == 0, k=7, candidate_block=16, query_block=2).collect()
     assert sorted(map(tuple, got)) == sorted(want)
     assert topk.exact_topk(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    # of repeated ids the smallest vector counts; columns by inner names don't matter
+    twice = df.union(frame(spark, [(20, [99.0] * 5), (21, [-99.0] * 5)], "vec_id long, embedding array<float>"))
+    for c in ("w", "qb", "cb", "rank", "score", "query_id"):
+        twice = twice.withColumn(c, F.lit("x"))
+    small = good | {i: min(good[i], v) for i, v in ((20, [99 * 64] * 5), (21, [-99 * 64] * 5))}
+    want = []
+    for q in (i for i in small if i % 20 == 0):
+        scores = sorted((-sum(a * b for a, b in zip(small[q], e, strict=False)), i) for i, e in small.items() if i != q)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:7])]
+    got = topk.exact_topk(twice, F.col("vec_id") % 20 == 0, k=7, candidate_block=16, query_block=2).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
 
 
 # -- 5: decontamination
