@@ -6,6 +6,7 @@ other SQL engines agree. Masks are unions of rectangles (mask_id, y0, y1, x0, x1
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -125,7 +126,7 @@ def gen_border(images: DataFrame, seed: int, low=0.04, high=0.25, probs=(0.5, 0.
 def gen_strokes(images: DataFrame, seed: int, max_angle=4, max_len=60, max_width=20, min_times=0, max_times=10) -> DataFrame:
     """Random walks of one to five segments -> image_id, stroke, segment, x0, y0, x1, y1, width.
 
-    The walk of a stroke is folded from its draws with built-in functions; painting is left to the reader.
+    The walk of a stroke is folded from its draws with built-in functions; squares_of, circles_of and lines_of paint it.
     """
     img = F.col("image_id")
     times = whole(unit(seed, "times", img), _n(min_times), _n(max_times + 1))
@@ -156,6 +157,38 @@ def squares_of(strokes: DataFrame) -> DataFrame:
     return strokes.select("image_id", (F.col("y0") - r).alias("y0"), (F.col("y0") + r).alias("y1"), (F.col("x0") - r).alias("x0"), (F.col("x0") + r).alias("x1"))
 
 
+def circles_of(strokes: DataFrame) -> DataFrame:
+    """Strokes painted as discs of radius ``width`` around their starts, a row of pixels each -> image_id, y0, y1, x0, x1."""
+    rows = strokes.select("image_id", "x0", "width", "y0", F.explode(F.sequence(-F.col("width"), F.col("width"))).alias("d"))
+    half = F.floor(F.sqrt((F.col("width") * F.col("width") - F.col("d") * F.col("d")).cast("double"))).cast("long")
+    y = F.col("y0") + F.col("d")
+    return rows.select("image_id", y.alias("y0"), (y + 1).alias("y1"), (F.col("x0") - half).alias("x0"), (F.col("x0") + half + 1).alias("x1"))
+
+
+def lines_of(strokes: DataFrame) -> DataFrame:
+    """Strokes painted as segments of thickness ``width`` with round ends, a row of pixels each -> image_id, y0, y1, x0, x1.
+
+    A row's pixels are those between the outermost points that the end discs and the two long edges have in it.
+    """
+    s = strokes.select("image_id", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], (F.col("width") / 2.0).alias("r"))
+    low, high = F.floor(F.least("y0", "y1") - F.col("r")).cast("long"), F.ceil(F.greatest("y0", "y1") + F.col("r")).cast("long")
+    s = s.select("*", F.sqrt((F.col("x1") - F.col("x0")) * (F.col("x1") - F.col("x0")) + (F.col("y1") - F.col("y0")) * (F.col("y1") - F.col("y0"))).alias("n"), F.explode(F.sequence(low, high)).alias("y"))
+    found = []
+    for x, y in (("x0", "y0"), ("x1", "y1")):
+        d = F.col("y") - F.col(y)
+        reach = F.when(F.abs(d) <= F.col("r"), F.sqrt(F.col("r") * F.col("r") - d * d))
+        found += [F.col(x) - reach, F.col(x) + reach]
+    n, rise = F.nullif(F.col("n"), F.lit(0.0)), F.nullif(F.col("y1") - F.col("y0"), F.lit(0.0))
+    for side in (1.0, -1.0):
+        ox, oy = -side * F.col("r") * (F.col("y1") - F.col("y0")) / n, side * F.col("r") * (F.col("x1") - F.col("x0")) / n
+        a, b = F.col("y0") + oy, F.col("y1") + oy
+        on = (F.col("y") >= F.least(a, b)) & (F.col("y") <= F.greatest(a, b))
+        found.append(F.when(on, F.col("x0") + ox + (F.col("y") - a) / rise * (F.col("x1") - F.col("x0"))))
+    rows = s.select("image_id", "y", F.least(*found).alias("lo"), F.greatest(*found).alias("hi"))
+    rows = rows.select("image_id", F.col("y").alias("y0"), (F.col("y") + 1).alias("y1"), F.ceil("lo").cast("long").alias("x0"), (F.floor("hi") + 1).cast("long").alias("x1"))
+    return rows.where("x1 > x0")
+
+
 def choose_kind(seed: int, probabilities: dict[str, float], *keys: Column) -> Column:
     """A name drawn with normalised probabilities."""
     u, total, before = unit(seed, "kind", *keys), sum(probabilities.values()), 0.0
@@ -174,6 +207,8 @@ GENERATORS = {
     "dumb": lambda images, seed: gen_area(images, seed, True),
     "outpainting": lambda images, seed: gen_border(images, seed).drop("side"),
     "squares": lambda images, seed: squares_of(gen_strokes(images, seed)),
+    "circles": lambda images, seed: circles_of(gen_strokes(images, seed)),
+    "lines": lambda images, seed: lines_of(gen_strokes(images, seed)),
 }
 
 
@@ -338,6 +373,11 @@ def union_overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return int(size[p].sum()), int(size[q].sum()), int(size[p & q].sum())
 
 
+def _drawn(name: str) -> float:
+    """As ``unit``, of a whole name."""
+    return int(hashlib.md5(name.encode()).hexdigest()[:8], 16) / 2.0**32
+
+
 def place(rects: DataFrame, dims: DataFrame, seed: int, variants: int = 2, limit: float = 0.5, min_share: float = 0.02, scale=0.2, shift=0.1) -> DataFrame:
     """Moved copies of masks (a row per rectangle): scaled, flipped and shifted as a whole by draws, cut at the image, and kept if they
     overlap the original by no more than ``limit`` and cover min_share of the image -> mask_id, variant, y0, y1, x0, x1, a row per rectangle.
@@ -353,18 +393,18 @@ def place(rects: DataFrame, dims: DataFrame, seed: int, variants: int = 2, limit
         for b in batches:
             out = []
             for m in b.itertuples():
-                rng = np.random.default_rng([seed, int(m.mask_id) & 0xFFFFFFFF])
+                u = lambda k, name, own=m.mask_id: _drawn(f"{seed}:{own}:{k}:{name}")
                 r = np.stack([np.asarray(x, np.int64) for x in m.rects])
                 top, bottom, left, right = r[:, 0].min(), r[:, 1].max(), r[:, 2].min(), r[:, 3].max()
                 my, mx = (top + bottom) / 2, (left + right) / 2
                 for k in range(variants):
-                    f = rng.uniform(1 - scale, 1 + scale)
-                    cy, cx = my + rng.uniform(-shift, shift) * m.h, mx
+                    f = 1 - scale + 2 * scale * u(k, "scale")
+                    cy, cx = my + (2 * shift * u(k, "shift") - shift) * m.h, mx
                     ys, xs = (r[:, :2] - my) * f, (r[:, 2:] - mx) * f
-                    if rng.integers(2):
+                    if u(k, "flip") < 0.5:
                         cx, xs = m.w - cx, -xs[:, ::-1]
                     y = np.clip(np.round(cy + ys), 0, m.h)
-                    for dx in rng.permutation(np.arange(-(m.w // 2), m.w // 2, max(1, m.w // 16))):
+                    for dx in sorted(range(-(m.w // 2), m.w // 2, max(1, m.w // 16)), key=lambda d, k=k, u=u: (u(k, f"x{d}"), d)):
                         x = np.clip(np.round(cx + dx + xs), 0, m.w)
                         moved = np.c_[y, x].astype(np.int64)
                         moved = moved[(moved[:, 1] > moved[:, 0]) & (moved[:, 3] > moved[:, 2])]

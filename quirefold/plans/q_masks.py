@@ -103,7 +103,22 @@ def _(v):
 BOXES = f"{RECTS} select image_id, y0, y0 + bh as y1, x0, x0 + bw as x1 from d"
 SQUARES = "select image_id, y0 - width // 2 as y0, y0 + width // 2 as y1, x0 - width // 2 as x0, x0 + width // 2 as x1 from wk where segment >= 0"
 PARTS = {"box": BOXES, "dumb": RANDOM_AREA, "outpainting": f"select image_id, y0, y1, x0, x1 from ({BORDER}) q", "squares": SQUARES}
+CIRCLES = "select image_id, y0 + d as y0, y0 + d + 1 as y1, x0 - half as x0, x0 + half + 1 as x1 from (select *, floor(sqrt((width * width - d * d)::double))::bigint as half from wk, unnest(range(-width, width + 1)) as u(d) where segment >= 0) q"
+
+
+def _edge(side: str) -> str:
+    a = f"y0 + {side} * r * (x1 - x0) / n"
+    b = f"y1 + {side} * r * (x1 - x0) / n"
+    return f"case when n > 0 and y0 <> y1 and y >= least({a}, {b}) and y <= greatest({a}, {b}) then x0 + -{side} * r * (y1 - y0) / n + (y - ({a})) / (y1 - y0) * (x1 - x0) end"
+
+
+_REACH = "case when abs(y - {0}) <= r then sqrt(r * r - (y - {0}) * (y - {0})) end"
+_ENDS = ", ".join([*(f"{x} {sign} {_REACH.format(y)}" for x, y in (("x0", "y0"), ("x1", "y1")) for sign in "-+"), _edge("1.0::double"), _edge("(-1.0::double)")])
+LINES = f"""select image_id, y::bigint as y0, y::bigint + 1 as y1, ceil(lo)::bigint as x0, floor(hi)::bigint + 1 as x1 from (select image_id, y, least({_ENDS}) as lo, greatest({_ENDS}) as hi from
+  (select *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) as n, yy::double as y from (select image_id, x0::double as x0, y0::double as y0, x1::double as x1, y1::double as y1, width / 2.0::double as r from wk where segment >= 0) q,
+    unnest(range(floor(least(y0, y1) - r)::bigint, ceil(greatest(y0, y1) + r)::bigint + 1)) as u(yy)) q1) q2 where floor(hi)::bigint + 1 > ceil(lo)::bigint"""
 GENERATED = {
+    "circles": f"with recursive {STROKES} {CIRCLES}", "lines": f"with recursive {STROKES} {LINES}",
     "box": BOXES, "dumb": RANDOM_AREA, "outpainting": f"select image_id, y0, y1, x0, x1 from ({BORDER}) q", "squares": f"with recursive {STROKES} {SQUARES}",
     "superres": f"select image_id, y0, y1, x0, x1 from ({STRIPES}) q",
 }

@@ -247,7 +247,27 @@ def _(v):
     return P.otsu(v.pixels.select(F.col("page_id").alias("grp"), "v"))
 
 
-@query("a24_fill_color")
+def lab_sql(r: str, g: str, b: str, name: str) -> str:
+    """SQL of a struct {L, a, b} of three sRGB expressions."""
+    linear = lambda c: f"case when ({c}) / 255.0::double > 0.04045 then pow((({c}) / 255.0::double + 0.055::double) / 1.055::double, 2.4::double) else ({c}) / 255.0::double / 12.92::double end"
+    x, y, z = (f"({p}::double * ({linear(r)}) + {q}::double * ({linear(g)}) + {s}::double * ({linear(b)}))" for p, q, s in (("0.412453", "0.357580", "0.180423"), ("0.212671", "0.715160", "0.072169"), ("0.019334", "0.119193", "0.950227")))
+    x, z = f"({x} / 0.950456::double)", f"({z} / 1.088754::double)"
+    f = lambda t: f"(case when {t} > 0.008856 then cbrt({t}) else 7.787::double * {t} + 16.0::double / 116 end)"
+    return f"{{'L': (case when {y} > 0.008856 then 116 * cbrt({y}) - 16 else 903.3::double * {y} end) * 255 / 100, 'a': 500 * ({f(x)} - {f(y)}) + 128, 'b': 200 * ({f(y)} - {f(z)}) + 128}} as {name}"
+
+
+@query("a24_fill_color", f"""with p0 as (select page_id as bubble_id, v as r, v * 3 % 256 as g, v * 7 % 256 as b, (y + x) % 3 = 0 as in_mask from pixels),
+    n as (select bubble_id, count(*) filter (in_mask) as n_mask, count(*) filter (not in_mask) as n_bg from p0 group by 1), p1 as (select * from p0 join n using (bubble_id) where n_mask >= {P.MIN_MASK}),
+    bg as (select bubble_id, median(r) as br, median(g) as bgr, median(b) as bb from p1 where not in_mask or n_bg < {P.MIN_BACKGROUND} group by 1),
+    p2 as (select *, {lab_sql('r::double', 'g::double', 'b::double', 'own')}, {lab_sql('br', 'bgr', 'bb', 'far')} from p1 join bg using (bubble_id) where in_mask),
+    p3 as (select *, sqrt((own.L - far.L) * (own.L - far.L) + (own.a - far.a) * (own.a - far.a) + (own.b - far.b) * (own.b - far.b)) as d from p2), tp as (select bubble_id, quantile_cont(d, 0.98) as top from p3 group by 1),
+    lv as (select p3.*, top, trunc(least(255.0, greatest(0.0, d / top * 255)))::bigint as v from p3 join tp using (bubble_id)),
+    h as (select bubble_id as grp, v, count(*) as n from lv where top > 1e-3 group by 1, 2), c as (select grp, v, sum(n) over u as wb, sum(n * v) over u as sb, sum(n) over g as total, sum(n * v) over g as s from h window u as (partition by grp order by v), g as (partition by grp)),
+    m as (select *, case when total - wb > 0 then wb::double * (total - wb) * (sb / wb::double - (s - sb) / (total - wb)::double) * (sb / wb::double - (s - sb) / (total - wb)::double) end as var from c),
+    ot as (select grp as bubble_id, case when var is null then 128 else v end as threshold from (select *, row_number() over (partition by grp order by var desc nulls last, v) as rn from m) q where rn = 1),
+    gl as (select lv.*, coalesce(threshold / 255.0::double * top < 3.0 or d > threshold / 255.0::double * top, true) as glyph from lv left join ot using (bubble_id)),
+    us as (select *, count(*) filter (glyph) over (partition by bubble_id) as n_glyph from gl)
+    select bubble_id, median(r) as r, median(g) as g, median(b) as b from us where glyph or n_glyph < {P.MIN_GLYPH} or n_glyph > 0.95 * n_mask group by 1""")
 def _(v):
     p = v.pixels.select(F.col("page_id").alias("bubble_id"), F.col("v").alias("r"), (F.col("v") * 3 % 256).alias("g"), (F.col("v") * 7 % 256).alias("b"), ((F.col("y") + F.col("x")) % 3 == 0).alias("in_mask"))
     return P.fill_color(p)
@@ -275,15 +295,7 @@ def _(v):
     return v.eval_samples.select("sample_id", G.clamp_range(F.col("fake_score"), 0.0, 1.0).alias("v"))
 
 
-def _lab() -> str:
-    linear = lambda c: f"case when {c} / 255.0::double > 0.04045 then pow(({c} / 255.0::double + 0.055::double) / 1.055::double, 2.4::double) else {c} / 255.0::double / 12.92::double end"
-    f = lambda t: f"case when {t} > 0.008856 then cbrt({t}) else 7.787::double * {t} + 16.0::double / 116 end"
-    return f"""with l as (select page_id, y as row_y, x as col_x, {linear('v')} as r, {linear('(v * 3 % 256)')} as g, {linear('(v * 7 % 256)')} as b from pixels),
-      m as (select *, (0.412453::double * r + 0.357580::double * g + 0.180423::double * b) / 0.950456::double as x, 0.212671::double * r + 0.715160::double * g + 0.072169::double * b as y, (0.019334::double * r + 0.119193::double * g + 0.950227::double * b) / 1.088754::double as z from l)
-      select page_id, row_y as y, col_x as x, (case when y > 0.008856 then 116 * cbrt(y) - 16 else 903.3::double * y end) * 255 / 100 as "L", 500 * (({f('x')}) - ({f('y')})) + 128 as a, 200 * (({f('y')}) - ({f('z')})) + 128 as b from m"""
-
-
-@query("f20_lab", _lab())
+@query("f20_lab", f"select page_id, y, x, lab.L as \"L\", lab.a as a, lab.b as b from (select page_id, y, x, {lab_sql('v', 'v * 3 % 256', 'v * 7 % 256', 'lab')} from pixels) q")
 def _(v):
     c = F.col("v").cast("double")
     lab = G.rgb_to_lab(c, c * 3 % 256, c * 7 % 256)
