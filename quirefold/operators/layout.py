@@ -61,6 +61,9 @@ def layout_inputs(bubbles: DataFrame, texts: DataFrame, geometry: DataFrame, sta
     )
 
 
+# Fixed values in the functions below: the steps of the shrink, the relaxation, the fit area and the penalties.
+
+
 def comfort_clamp(core: Box, cov: Column, source: Column, line_count: Column, base=0.07, least=0.03, most=0.14, bonus=0.06, min_px=3, max_px=40) -> Box:
     """The core box with a margin that depends on OCR coverage (null: unknown), source, line count and size."""
     w, h = F.greatest(lit(1), core.width), F.greatest(lit(1), core.height)

@@ -138,7 +138,7 @@ def gen_strokes(images: DataFrame, seed: int, max_angle=4, max_len=60, max_width
 
     def step(acc: Column, j: Column) -> Column:
         angle = whole(unit(seed, F.concat(F.lit("a"), j.cast("string")), img, s), _n(0), _n(max_angle)) + 0.01
-        angle = F.when(s % 2 == 0, 2 * 3.1415926 - angle).otherwise(angle)
+        angle = F.when(s % 2 == 0, 2 * 3.1415926 - angle).otherwise(angle)  # fixed value
         length = whole(unit(seed, F.concat(F.lit("l"), j.cast("string")), img, s), _n(10), _n(10 + max_len))
         width = whole(unit(seed, F.concat(F.lit("b"), j.cast("string")), img, s), _n(5), _n(5 + max_width))
         x = F.greatest(_n(0), F.least(F.col("w").cast("long"), (acc["x"] + length * F.sin(angle)).cast("long")))
