@@ -268,3 +268,17 @@ def exact_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
+
+
+#: All 400-byte windows, in hexadecimal digits, counted one by one; texts are cut into overlapping pieces first, as long strings are slow to index.
+OP7_SQL = r"""
+with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+pc as (select r, b, len(h) // 2 - 399 - 500 * b as n, substr(h, 1000 * b + 1, 1798) as piece from d, unnest(range(0, greatest(0, (len(h) // 2 + 100) // 500))) as u(b)),
+w as (select r, 500 * b + j as i, hash(substr(piece, 2 * j + 1, 800)) as k from pc, unnest(range(0, greatest(0, least(500, n)))) as u(j)),
+hit as (select r, i, i - lag(i) over (partition by r order by i) as gap from w where k in (select k from w group by 1 having count(*) > 1)),
+isl as (select r, i, sum(case when gap <= 400 then 0 else 1 end) over (partition by r order by i) as island from hit),
+sp as (select r, min(i) as s, max(i) + 400 as e from isl group by r, island),
+g as (select r, s, e, coalesce(lag(e) over (partition by r order by s), 0) as b, lead(s) over (partition by r order by s) as nxt from sp),
+k as (select r, string_agg(substr(h, 2 * b + 1, 2 * (s - b)) || case when nxt is null then substr(h, 2 * e + 1) else '' end, '' order by s) as kept, sum(e - s) as n_removed, count(*) as n_spans from g join d using (r) group by r)
+select doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256 from d left join k using (r)
+"""

@@ -506,3 +506,17 @@ def _components(docs: DataFrame, similarity: tuple[int, int]) -> tuple[DataFrame
 
 def op8_near_dedup(spark, sf_dir):
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Common shingles of all pairs of documents, and the transitive closure of their links.
+OP8_SQL = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as x from d, unnest(range(1, greatest(1, len(w) - 4) + 1)) as u(i) where len(w) > 0),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n na on a = na.doc_id join n nb on b = nb.doc_id where 100 * c >= 75 * (na.n + nb.n - c)),
+e as (select a, b from l union all select b, a from l),
+reach as (select a as doc_id, b as other from e union select reach.doc_id, e.b from reach join e on reach.other = e.a),
+m as (select doc_id, min(other) as m from reach group by 1)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(least(m, d.doc_id), d.doc_id) as component_id, coalesce(m >= d.doc_id, true) as kept from d left join n using (doc_id) left join m using (doc_id)
+"""

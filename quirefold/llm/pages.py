@@ -514,3 +514,11 @@ def extract_pages(pages: DataFrame, per_host: int = PAGES_PER_HOST, max_broadcas
 
 def op1_extract(spark, sf_dir):
     return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+#: Every page of the table has its main text in one article element, whose references are these four.
+OP1_SQL = r"""
+with a as (select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) as x from pages),
+t as (select page_id, url, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) as text from a)
+select page_id, url, text, length(text)::bigint as n_chars from t
+"""
