@@ -200,3 +200,24 @@ def _with_text(w: Column, g: int):
 
 def op10_licenses(spark, sf_dir):
     return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
+
+
+def _sql() -> str:
+    """All pairs of equal grams of documents and templates, voted diagonal by diagonal, and phrases by their words."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    split = lambda c: f"regexp_extract_all(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    rows = ", ".join(f"({quoted(label)}, {quoted(text)})" for label, text in TEMPLATES + WHOLE_TEXTS)
+    named = ", ".join(f"({quoted(phrase)}, {quoted(label)})" for phrase, label in PHRASES)
+    return f"""with d as (select row_number() over () as r, doc_id, {split("coalesce(text, '')")} as w from documents), p as (select r, i, w[i + 1] as word, w[i + 1:i + {K}] as g from d, unnest(range(0, len(w))) as u(i)),
+  t as (select label, {split('text')} as w from (values {rows}) v(label, text)), tg as (select label, len(w) as n, i as tp, w[i + 1:i + {K}] as g from t, unnest(range(0, len(w) - {K - 1})) as u(i)),
+  v as (select r, label, n, i as p, tp, i - tp as diag from p join tg using (g)), dg as (select distinct r, label, diag from v),
+  nw as (select *, case when diag - lag(diag) over (partition by r, label order by diag) <= {SLACK} then 0 else 1 end as new from dg), gr as (select *, sum(new) over (partition by r, label order by diag) as k from nw),
+  sh as (select r, label, k, count(distinct tp + j) / max(n)::double as share from v join gr using (r, label, diag), unnest(range(0, {K})) as u(j) group by 1, 2, 3), sc as (select r, max(share) as best from sh group by 1),
+  ph as (select string_split(phrase, ' ') as q, label from (values {named}) x(phrase, label)), b as (select r, i, label from p join ph on word = q[1] join d using (r) where w[i + 1:i + len(q)] = q),
+  bs as (select r, count(*) as n_base, min(i) as first_word, max(i) as last_word, string_agg(distinct label, ',' order by label) as base_labels from b group by 1),
+  lb as (select r, string_agg(distinct label, ',' order by label) as labels from (select r, label from b union all select r, label from sh where share >= {COVERAGE}) q group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
+  case when n_base > 0 then 1.0 else coalesce(best, 0.0) end::double as score from d left join bs using (r) left join sc using (r) left join lb using (r)"""
+
+
+OP10_SQL = _sql()
