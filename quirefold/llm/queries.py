@@ -10,8 +10,8 @@ from .mixing import OP9_SQL, op9_mix
 from .near_dedup import OP8_SQL, op8_near_dedup
 from .pages import OP1_SQL, op1_extract
 from .quality import op3_quality
-from .secrets import op6_secrets
+from .secrets import OP6_SQL, op6_secrets
 from .topk import OP4_SQL, op4_topk
 
 QUERIES = {"op1_extract": op1_extract, "op2_langid": op2_langid, "op3_quality": op3_quality, "op4_topk": op4_topk, "op5_decontaminate": op5_decontaminate, "op6_secrets": op6_secrets, "op7_exact_dedup": op7_exact_dedup, "op8_near_dedup": op8_near_dedup, "op9_mix": op9_mix, "op10_licenses": op10_licenses}
-ORACLE_SQL = {"op1_extract": OP1_SQL, "op4_topk": OP4_SQL, "op5_decontaminate": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_near_dedup": OP8_SQL, "op9_mix": OP9_SQL, "op10_licenses": OP10_SQL}
+ORACLE_SQL = {"op1_extract": OP1_SQL, "op4_topk": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_secrets": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_near_dedup": OP8_SQL, "op9_mix": OP9_SQL, "op10_licenses": OP10_SQL}

@@ -224,3 +224,39 @@ def redact(docs: DataFrame, q: float = FALSE_DISCOVERY, mark: str = REDACTED) ->
 
 def op6_secrets(spark, sf_dir):
     return secret_scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("n_random")
+
+
+def _sql() -> str:
+    """Spans from the gaps between matches, the battery by counts of characters, and the cuts over all tokens outside the base spans."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    gaps = lambda pattern: f"[length(x) for x in string_split_regex(text, {quoted(pattern)})]"
+    every = lambda pattern, group=0: f"regexp_extract_all(text, {quoted(pattern)}, {group})"
+    at = "list_sum(gap[1:i])::bigint + coalesce(list_sum([length(x) for x in found[1:i - 1]]), 0)::bigint"
+
+    def spans(kind: int, pattern: str, least: int | None = None) -> str:
+        own = f"length(own[i]) >= {least}" if least else "true"
+        return f"select r, {kind} as k, {at} as s, {at} + length(found[i]) as e from (select r, {gaps(pattern)} as gap, {every(pattern)} as found, {every(pattern, 2 if least else 0)} as own from d) q, unnest(range(1, len(found) + 1)) as u(i) where {own}"
+
+    cases = " ".join(f"when regexp_matches(t, {quoted(pattern)}) then {{'abc': {quoted(letters)}, 'two': {ordinary(letters)[0]!r}::double, 'three': {ordinary(letters)[1]!r}::double}}" for pattern, letters in ENCODINGS)
+    tail = lambda z: f"1.0::double / (1.0::double + exp(greatest(-600.0::double, least(600.0::double, 1.5976::double * ({z}) + 0.070565::double * ({z}) * ({z}) * ({z})))))"
+    name = "case k " + " ".join(f"when {i} then '{n}'" for i, n in enumerate(KINDS)) + " end"
+    listed = f"string_agg({name} || ':' || s || ':' || e, ',' order by s, k, e)"
+    classes = f"translate(body, {quoted(LOWER + UPPER + DIGITS)}, {quoted('l' * 26 + 'u' * 26 + 'd' * 10)})"
+    return f"""with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+  bs as ({spans(0, ASSIGN, 6)} union all {spans(1, ACCESS)} union all {spans(2, HEX)}),
+  tk as (select r, s, e, regexp_replace(substr(text, s + 1, e - s), '=+$', '') as t from ({spans(3, CANDIDATE)}) q join d using (r)),
+  en as (select *, length(t)::double as n, case when not regexp_matches(t, '[A-Za-z]') then null {cases} end as enc from tk),
+  bd as (select *, regexp_replace(t, '[+/_-]', '', 'g') as body, n * (n - 1) as n2, n * (n - 1) * (n - 2) as n3, n * (n - 1) * (n - 2) * (n - 3) as n4, list_sum([pow(n - length(replace(t, c, '')), 2) for c in string_split(enc.abc, '')]) as squares from en where enc is not null),
+  cl as (select *, {classes} as cls, greatest(2.0, length(body)) as m, translate(lower(body), 'eiou', 'aaaa') as vow from bd),
+  ct as (select *, len([i for i in range(1, length(cls)) if substr(cls, i, 2) in ('lu', 'ld', 'dl', 'du', 'ud')]) as changes, (length(vow) - length(replace(vow, 'a', ''))) / m as share, len([i for i in range(1, length(vow)) if substr(vow, i, 2) = 'aa']) / (m - 1) as pairs from cl),
+  ps as (select r, s, e, floor(log2(n))::int as c, {tail('(n + n2 * enc.two - squares) / sqrt(n4 * enc.two * enc.two + 4 * n3 * enc.three + 2 * n2 * enc.two - n2 * n2 * enc.two * enc.two)')} as p1,
+    {tail(f'(changes - 0.5 - (m - 1) * {CHANGES}::double) / sqrt((m - 1) * {CHANGES}::double * (1 - {CHANGES}::double))')} as p2, {tail(f'((case when share > 0 and share < 1 then (pairs - share * share) / (share * (1 - share)) else 0.0 end) + {ALTERNATION}::double) * sqrt(m)')} as p3 from ct),
+  st as (select r, s, e, c, -(ln(least(1.0, greatest(1e-280, p1))) + ln(least(1.0, greatest(1e-280, p2))) + ln(least(1.0, greatest(1e-280, p3)))) as stat from ps),
+  pv as (select r, s, e, c, exp(-stat) * (1 + stat + stat * stat / 2) as p from st where not exists (select 1 from bs where bs.r = st.r and bs.s < st.e and st.s < bs.e)),
+  bn as (select c, least({N_BINS}, floor(-log10(greatest(1e-280, p)) * {BINS_PER_DECADE})) as b, count(*) as n from pv group by 1, 2), sm as (select c, pow(10.0, -b / {BINS_PER_DECADE}.0) as edge, sum(n) over (partition by c order by b desc) as below, sum(n) over (partition by c) as m from bn),
+  cu as (select c, max(edge) as cut from sm where edge <= {FALSE_DISCOVERY} * below / m group by 1), al as (select r, s, k, e from bs union all select r, s, 3, e from pv join cu using (c) where p <= cut),
+  ag as (select r, count(*) filter (k = 0) as n_assign, count(*) filter (k = 1) as n_access, count(*) filter (k = 2) as n_hex, {listed} filter (k < 3) as base, {listed} as spans from al group by 1)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join ag using (r)"""
+
+
+OP6_SQL = _sql()

@@ -456,6 +456,23 @@ def test_battery_brute_force(spark):
     assert sum(r["n_random"] for r in secrets.secret_scan(frame(spark, plain)).collect()) <= 0.05 * len(plain)
 
 
+def test_secrets_with_random_tokens_as_sql(spark):
+    """The operator and its SQL on texts that hold random tokens of every encoding, ordinary ones and base spans at once."""
+    import duckdb
+
+    rng = random.Random(21)
+    abc = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    made = ["".join(rng.choice(a) for _ in range(rng.randint(18, 90))) for a in (abc, abc + "+/", abc + "-_", "0123456789ABCDEF", abc[26:62], abc[:26] + "234567") for _ in range(12)]
+    texts = [f"é {t} and {rng.choice(IDENTIFIERS)}== {rng.choice(made)}" for t in made] + [x for x in SECRETS] + ["aaaa" * 8, "+" * 30 + "a", "A1" * 15]
+    rows = list(enumerate(texts))
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    out = secrets.secret_scan(frame(spark, rows))
+    assert out.agg(F.sum("n_random")).first()[0] > 30
+    assert_same(out.drop("n_random"), con, secrets.OP6_SQL)
+
+
 def test_redaction(spark):
     got = {r["doc_id"]: r["text"] for r in secrets.redact(frame(spark, list(enumerate(SECRETS)))).collect()}
     assert got[0] == "é [REDACTED] and TOKEN='abc' [REDACTED]"
