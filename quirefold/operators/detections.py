@@ -130,15 +130,16 @@ def slice_boxes(slices: DataFrame, boxes: DataFrame) -> DataFrame:
     )
 
 
-def assign_tokens(tokens: DataFrame, boxes: DataFrame) -> DataFrame:
-    """tokens(tok_id, page_id, box), boxes -> tok_id, box_id, how.
+def assign_tokens(tokens: DataFrame, boxes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """tokens(tok_id, page_id, box), boxes -> tok_id, box_id, how, and the tokens' columns that ``keep`` names.
 
     A token goes to the smallest box that holds its centre, edges included (``inside``), areas counted
     as 1 at least; else to the box that it overlaps most, ties to the smaller box (``overlap``); last
     ties to the smaller id. Tokens that touch no box have no row.
     """
-    t = tokens.select("page_id", "tok_id", *[F.col(c).alias(f"t_{c}") for c in ("left_x", "top_y", "right_x", "bottom_y")])
-    both = overlap_join(t, boxes.select("page_id", "box_id", "left_x", "top_y", "right_x", "bottom_y"), (F.col("t_top_y"), F.col("t_bottom_y")), (F.col("top_y"), F.col("bottom_y")), ["page_id"])
+    sides = ("left_x", "top_y", "right_x", "bottom_y")
+    t = tokens.select("page_id", "tok_id", *[F.col(c).alias(f"t_{c}") for c in sides], *[F.col(c).alias(f"k_{c}") for c in keep])
+    both = overlap_join(t, boxes.select("page_id", "box_id", *sides), (F.col("t_top_y"), F.col("t_bottom_y")), (F.col("top_y"), F.col("bottom_y")), ["page_id"])
     tb, b = Box.of("t_"), Box.of()
     cx, cy = (tb.left + tb.right) / 2, (tb.top + tb.bottom) / 2
     inside = (cx >= b.left) & (cx <= b.right) & (cy >= b.top) & (cy <= b.bottom)
@@ -148,8 +149,8 @@ def assign_tokens(tokens: DataFrame, boxes: DataFrame) -> DataFrame:
     both = both.where(inside | (common > 0))
     # centre inside first; there only the area counts, else the overlap comes before it
     rank = F.struct((~inside).alias("out"), F.when(inside, lit(0)).otherwise(-common).alias("c"), size.alias("a"), F.col("box_id").alias("id"))
-    best = both.groupBy("tok_id").agg(F.min(rank).alias("m"))
-    return best.select("tok_id", F.col("m.id").alias("box_id"), F.when(F.col("m.out"), "overlap").otherwise("inside").alias("how"))
+    best = both.groupBy("tok_id").agg(F.min(rank).alias("m"), *[F.any_value(f"k_{c}").alias(c) for c in keep])
+    return best.select("tok_id", F.col("m.id").alias("box_id"), F.when(F.col("m.out"), "overlap").otherwise("inside").alias("how"), *keep)
 
 
 def centre_inside(tokens: DataFrame, boxes: DataFrame) -> DataFrame:

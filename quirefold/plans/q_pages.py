@@ -154,9 +154,9 @@ TOKENS_IN = f"{ASSIGN.replace('with bub', 'with recursive bub', 1)}, tk as (sele
     ln as (select box_id, r, coalesce(string_agg(txt, ' ' order by x_mid, o.i) filter (txt <> ''), '') as line from o join ff using (key, i) group by 1, 2)
     select box_id, trim(string_agg(line, chr(10) order by r), ' ' || chr(10)) as text from ln group by 1""")
 def bubble_text(v):
-    t = v.tokens.join(_assigned(v), "tok_id")
     b = G.Box.of()
-    return O.bubble_text(t.select("box_id", "tok_id", ((b.left + b.right) / 2).alias("x_mid"), ((b.top + b.bottom) / 2).alias("y_mid"), b.height.alias("h"), "txt"))
+    t = v.tokens.withColumns({"x_mid": (b.left + b.right) / 2, "y_mid": (b.top + b.bottom) / 2, "h": b.height})
+    return O.bubble_text(D.assign_tokens(t, D.filter_conf(v.boxes, 0.5), ("x_mid", "y_mid", "h", "txt")))
 
 
 LINES = "greatest(1, least(12, max(r)))::int"
