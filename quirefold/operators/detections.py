@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.functions.geometry import Box, iou, lit, overlap
+from quirefold.session import tables
 
 from .folds import fold_sorted
 from .intervals import overlap_join
 
 MIN_SIDE = 20
+#: Rounds of suppression before whole chains are decided at once.
+PLAIN_ROUNDS = 3
+#: Width of a cell in which the nearest centre is first looked for.
+CELL = 128.0
 
 
 def chunk_plan(page_dim: DataFrame, chunk: int, overlap_px: int) -> DataFrame:
@@ -67,39 +71,101 @@ def iou_pairs(boxes: DataFrame, iou_thr: float, guard: str = "nms") -> DataFrame
     return both.select(F.col("a_box_id").alias("a_id"), F.col("b_box_id").alias("b_id"), "page_id", "iou")
 
 
-def nms(boxes: DataFrame, iou_thr: float) -> DataFrame:
-    """Greedy suppression within a page: a box goes if a kept one of higher score overlaps it by >= threshold.
-
-    Ties in score go to the smaller id. Pairs come from the bucketed join; only pages with a pair reach
-    Python, with ids and scores alone, and pages are independent.
-    """
+def conflicts(boxes: DataFrame, iou_thr: float) -> DataFrame:
+    """winner, loser of every pair of a page that overlaps by >= threshold: the higher conf wins, ties go to the smaller id, null is lowest."""
     pairs = iou_pairs(boxes, iou_thr)
-    score = boxes.select(F.col("box_id").alias("id"), "conf")
+    conf = boxes.select(F.col("box_id").alias("id"), F.coalesce("conf", lit(float("-inf"))).alias("conf"))
     scored = (
-        pairs.join(score.withColumnsRenamed({"id": "a_id", "conf": "a_conf"}), "a_id")
-        .join(score.withColumnsRenamed({"id": "b_id", "conf": "b_conf"}), "b_id")
-    )
-    a_first = (F.col("a_conf") > F.col("b_conf")) | ((F.col("a_conf") == F.col("b_conf")) & (F.col("a_id") < F.col("b_id")))
-    directed = scored.select(
-        "page_id",
-        F.when(a_first, F.col("a_id")).otherwise(F.col("b_id")).alias("winner"),
-        F.when(a_first, F.col("b_id")).otherwise(F.col("a_id")).alias("loser"),
-        F.least("a_conf", "b_conf").alias("loser_conf"),
+        pairs.join(conf.withColumnsRenamed({"id": "a_id", "conf": "a_conf"}), "a_id")
+        .join(conf.withColumnsRenamed({"id": "b_id", "conf": "b_conf"}), "b_id")
     )
+    first = (F.col("a_conf") > F.col("b_conf")) | ((F.col("a_conf") == F.col("b_conf")) & (F.col("a_id") < F.col("b_id")))
+    return scored.select(F.when(first, F.col("a_id")).otherwise(F.col("b_id")).alias("winner"), F.when(first, F.col("b_id")).otherwise(F.col("a_id")).alias("loser"))
+
+
+def _chained(live: DataFrame, save) -> DataFrame:
+    """id, up, odd of every box with a single winner: the first one up its chain that hasn't just one, and whether the way there has odd length.
+
+    Such a box stays exactly if its winner goes, so ways add up: each step doubles how far they reach.
+    """
+    hung = live.groupBy("loser").agg(F.min("winner").alias("up"), F.count("*").alias("n")).where("n = 1")
+    hung = save(hung.select(F.col("loser").alias("id"), "up", F.lit(True).alias("odd")))
+    while True:
+        above = hung.select(F.col("id").alias("up"), F.col("up").alias("up_up"), F.col("odd").alias("up_odd"))
+        further = hung.join(above, "up", "left")
+        further = save(further.select("id", F.coalesce("up_up", "up").alias("up"), (F.col("odd") != F.coalesce("up_odd", F.lit(False))).alias("odd"), F.col("up_up").isNotNull().alias("moved")))
+        hung = further.drop("moved")
+        if further.where("moved").isEmpty():
+            return hung
+
+
+def suppressed(edges: DataFrame, plain_rounds: int = PLAIN_ROUNDS) -> DataFrame:
+    """winner, loser (without cycles) -> box_id of the losers of some box that stays.
+
+    A fixed point over edges: whoever has no winner left stays, and its losers go with all their edges. Edges shrink
+    each round. Chains, which would take a round for every second box, are decided as a whole once ``plain_rounds`` haven't been enough.
+    """
+    spark = edges.sparkSession
+    with tables(spark) as save:
+        live, gone, rounds = save(edges), [], 0
+        while not live.isEmpty():
+            winners = live.select(F.col("winner").alias("id")).distinct()
+            losers = live.select(F.col("loser").alias("id")).distinct()
+            stay = winners.join(losers, "id", "left_anti")
+            if rounds >= plain_rounds:
+                hung = _chained(live, save).join(losers.withColumnRenamed("id", "up"), "up", "left_anti")
+                stay = save(stay.unionByName(hung.where("not odd").select("id")))
+            go = save(live.join(stay, live["winner"] == stay["id"], "left_semi").select(F.col("loser").alias("box_id")).distinct(), keep=True)
+            gone.append(go)
+            live = live.join(go, live["winner"] == go["box_id"], "left_anti")
+            live = save(live.join(go, live["loser"] == go["box_id"], "left_anti"))
+            rounds += 1
+    out = gone[0] if gone else spark.createDataFrame([], "box_id long")
+    for more in gone[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def nms(boxes: DataFrame, iou_thr: float) -> DataFrame:
+    """Greedy suppression within a page: a box goes if one that stays and has a higher score overlaps it by >= threshold.
+
+    Ties in score go to the smaller id, null scores come last. Only ids of overlapping pairs move from round to round.
+    """
+    return boxes.join(suppressed(conflicts(boxes, iou_thr)), "box_id", "left_anti")
+
 
-    def resolve(page: pd.DataFrame) -> pd.DataFrame:
-        above: dict[int, list[int]] = {}
-        for w, x in zip(page["winner"], page["loser"], strict=True):
-            above.setdefault(x, []).append(w)
-        order = page.drop_duplicates("loser").sort_values(["loser_conf", "loser"], ascending=[False, True])["loser"]
-        gone: set[int] = set()
-        for x in order:
-            if any(w not in gone for w in above[x]):
-                gone.add(x)
-        return pd.DataFrame({"box_id": sorted(gone)})
+def nearest_centre(points: DataFrame, boxes: DataFrame, cell: float = CELL) -> DataFrame:
+    """(pt_id, page_id, px, py), boxes -> pt_id, box_id of the box of the page with the nearest centre; ties: higher conf, then smaller id.
 
-    lost = directed.groupBy("page_id").applyInPandas(resolve, "box_id long")
-    return boxes.join(lost, "box_id", "left_anti")
+    Both lie in a grid. A point looks at its cell and the eight around it; if the best centre there is no further away than a cell is
+    wide, no other can be nearer. The points left do the same with cells twice as wide, until a cell holds everything. Points of
+    pages without boxes and those without coordinates give no row.
+    """
+    spark = points.sparkSession
+    b = Box.of()
+    held = boxes.select("page_id", "box_id", (-F.col("conf")).alias("c"), ((b.left + b.right) / 2).alias("cx"), ((b.top + b.bottom) / 2).alias("cy")).where("cx is not null and cy is not null")
+    with tables(spark) as save:
+        left = save(points.select("pt_id", "page_id", "px", "py").where("px is not null and py is not null"))
+        held, found = save(held), []
+        far = lambda df, *c: df.agg(F.max(F.greatest(*[F.abs(x) for x in c]))).first()[0] or 0.0
+        widest = 2 * max(far(left, "px", "py"), far(held, "cx", "cy"))
+        while True:
+            at = lambda c, w=cell: F.floor(F.col(c) / w).cast("long")
+            around = lambda c: F.explode(F.sequence(at(c) - 1, at(c) + 1))  # noqa: E731, B023
+            near = left.withColumn("gx", around("px")).withColumn("gy", around("py")).join(held.withColumns({"gx": at("cx"), "gy": at("cy")}), ["page_id", "gx", "gy"])
+            dx, dy = F.col("px") - F.col("cx"), F.col("py") - F.col("cy")
+            best = save(near.groupBy("pt_id").agg(F.min(F.struct((dx * dx + dy * dy).alias("d"), "c", F.col("box_id").alias("id"))).alias("m")), keep=True)
+            last = cell > widest
+            sure = best if last else best.where(F.col("m.d") <= cell * cell)
+            found.append(sure.select("pt_id", F.col("m.id").alias("box_id")))
+            left = None if last else save(left.join(sure.select("pt_id"), "pt_id", "left_anti"))
+            if last or left.isEmpty():
+                break
+            cell *= 2
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def pick_box(points: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -110,13 +176,11 @@ def pick_box(points: DataFrame, boxes: DataFrame) -> DataFrame:
     b = Box.of()
     near = overlap_join(points, boxes, (F.col("py"), F.col("py")), (b.top, b.bottom), ["page_id"])
     near = near.where((F.col("px") >= b.left) & (F.col("px") <= b.right) & (F.col("py") >= b.top) & (F.col("py") <= b.bottom))
-    rank = lambda by: F.min(F.struct(by.alias("by"), (-F.col("conf")).alias("c"), F.col("box_id").alias("id"))).alias("m")
-    inside = near.groupBy("pt_id").agg(rank(b.width * b.height)).select("pt_id", F.col("m.id").alias("box_id"), F.lit(True).alias("inside"))
-    # only points that no box holds look at all boxes of their page
-    dx, dy = F.col("px") - (b.left + b.right) / 2, F.col("py") - (b.top + b.bottom) / 2
-    left = points.join(inside.select("pt_id"), "pt_id", "left_anti").join(boxes, "page_id")
-    outside = left.groupBy("pt_id").agg(rank(dx * dx + dy * dy)).select("pt_id", F.col("m.id").alias("box_id"), F.lit(False).alias("inside"))
-    return inside.unionByName(outside)
+    rank = F.min(F.struct((b.width * b.height).alias("by"), (-F.col("conf")).alias("c"), F.col("box_id").alias("id"))).alias("m")
+    with tables(points.sparkSession) as save:
+        inside = save(near.groupBy("pt_id").agg(rank).select("pt_id", F.col("m.id").alias("box_id")), keep=True)
+        outside = nearest_centre(points.join(inside.select("pt_id"), "pt_id", "left_anti"), boxes)
+    return inside.withColumn("inside", F.lit(True)).unionByName(outside.withColumn("inside", F.lit(False)))
 
 
 def slice_boxes(slices: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -6,11 +6,8 @@ other SQL engines agree. Masks are unions of rectangles (mask_id, y0, y1, x0, x1
 
 from __future__ import annotations
 
-import hashlib
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -355,63 +352,67 @@ def mask_dataset(images: DataFrame, probabilities: dict[str, float], variants: i
     return sized.withColumn("rank_", rank).where(F.col("rank_") <= max_per_image).select("image_id", "variant", "mask_id", "kind", "area", "share")
 
 
-def _covered(ys: np.ndarray, xs: np.ndarray, rects: np.ndarray) -> np.ndarray:
-    """Which cells between the edges lie in any of the rectangles (y0, y1, x0, x1)."""
-    out = np.zeros((len(ys) - 1, len(xs) - 1), bool)
-    at = np.c_[np.searchsorted(ys, rects[:, :2]), np.searchsorted(xs, rects[:, 2:])]
-    for a, b, c, d in at:
-        out[a:b, c:d] = True
-    return out
+def _disjoint(df: DataFrame, name: str) -> DataFrame:
+    """A column of sorted spans array<struct<a, b>>, cut so that they cover the same without covering anything twice."""
+    s = F.col(name)
+    reach = F.transform(s, lambda x, i: F.array_max(F.slice(f"{name}.b", F.lit(1), F.greatest(i, F.lit(1)))))
+    df = df.withColumn("reach_", reach)
+    cut = F.transform(s, lambda x, i: F.struct(F.when(i > 0, F.greatest(x["a"], F.get("reach_", i))).otherwise(x["a"]).alias("a"), x["b"].alias("b")))
+    return df.withColumn(name, cut).withColumn(name, F.filter(name, lambda x: x["a"] < x["b"])).drop("reach_")
 
 
-def union_overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """Areas of two unions of rectangles (y0, y1, x0, x1), and of what they have in common."""
-    both = np.concatenate([a, b])
-    ys, xs = np.unique(both[:, :2]), np.unique(both[:, 2:])
-    p, q = _covered(ys, xs, a), _covered(ys, xs, b)
-    size = np.outer(np.diff(ys), np.diff(xs))
-    return int(size[p].sum()), int(size[q].sum()), int(size[p & q].sum())
-
-
-def _drawn(name: str) -> float:
-    """As ``unit``, of a whole name."""
-    return int(hashlib.md5(name.encode()).hexdigest()[:8], 16) / 2.0**32
+def _total(items: Column, value) -> Column:
+    """The sum of a whole number of every item."""
+    return F.aggregate(items, _n(0), lambda acc, x: acc + value(x).cast("long"))
 
 
 def place(rects: DataFrame, dims: DataFrame, seed: int, variants: int = 2, limit: float = 0.5, min_share: float = 0.02, scale=0.2, shift=0.1) -> DataFrame:
     """Moved copies of masks (a row per rectangle): scaled, flipped and shifted as a whole by draws, cut at the image, and kept if they
     overlap the original by no more than ``limit`` and cover min_share of the image -> mask_id, variant, y0, y1, x0, x1, a row per rectangle.
 
-    The horizontal shifts of a variant are tried in a drawn order until one fits; a mask is handled alone. Rectangles
-    that a copy has no pixels of are left out.
+    Between two neighbouring edges of y, mask and copy are spans of x. Those of the copy are made disjoint once and only moved for each of the
+    horizontal shifts, so what a shift covers, and what it has in common with the mask, are sums over spans. Of the shifts that fit, the first in
+    a drawn order is taken. A mask is one row from its rectangles to its copies. Rectangles that a copy has no pixels of are left out; so are
+    masks without a rectangle or size.
     """
     ends = ["y0", "y1", "x0", "x1"]
-    masks = rects.where("y1 > y0 and x1 > x0").groupBy("mask_id").agg(F.array_sort(F.collect_list(F.array(*[F.col(c).cast("long") for c in ends]))).alias("rects"))
-    both = masks.join(dims.select("mask_id", "w", "h"), "mask_id")
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for m in b.itertuples():
-                u = lambda k, name, own=m.mask_id: _drawn(f"{seed}:{own}:{k}:{name}")
-                r = np.stack([np.asarray(x, np.int64) for x in m.rects])
-                top, bottom, left, right = r[:, 0].min(), r[:, 1].max(), r[:, 2].min(), r[:, 3].max()
-                my, mx = (top + bottom) / 2, (left + right) / 2
-                for k in range(variants):
-                    f = 1 - scale + 2 * scale * u(k, "scale")
-                    cy, cx = my + (2 * shift * u(k, "shift") - shift) * m.h, mx
-                    ys, xs = (r[:, :2] - my) * f, (r[:, 2:] - mx) * f
-                    if u(k, "flip") < 0.5:
-                        cx, xs = m.w - cx, -xs[:, ::-1]
-                    y = np.clip(np.round(cy + ys), 0, m.h)
-                    for dx in sorted(range(-(m.w // 2), m.w // 2, max(1, m.w // 16)), key=lambda d, k=k, u=u: (u(k, f"x{d}"), d)):
-                        x = np.clip(np.round(cx + dx + xs), 0, m.w)
-                        moved = np.c_[y, x].astype(np.int64)
-                        moved = moved[(moved[:, 1] > moved[:, 0]) & (moved[:, 3] > moved[:, 2])]
-                        area, mine, common = union_overlap(r, moved)
-                        if len(moved) and mine >= min_share * m.w * m.h and common <= limit * min(area, mine):
-                            out += [(m.mask_id, k, *q) for q in moved.tolist()]
-                            break
-            yield pd.DataFrame(out, columns=["mask_id", "variant", *ends])
-
-    return both.mapInPandas(run, "mask_id long, variant long, y0 long, y1 long, x0 long, x1 long")
+    w, h, own = F.col("w"), F.col("h"), F.col("mask_id")
+    masks = rects.where("y1 > y0 and x1 > x0").groupBy("mask_id").agg(
+        F.array_sort(F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in ends]))).alias("rects"),
+        *[f(c).cast("double").alias(n) for f, c, n in ((F.min, "y0", "top"), (F.max, "y1", "bottom"), (F.min, "x0", "left"), (F.max, "x1", "right"))],
+    )
+    rows = masks.join(dims.select("mask_id", w.cast("long").alias("w"), h.cast("long").alias("h")), "mask_id").withColumn("variant", F.explode(F.sequence(_n(0), _n(variants - 1))))
+    u = lambda name: unit(seed, name, own, F.col("variant"))
+    rows = rows.withColumns({"factor": (1 - scale) + 2 * scale * u("scale"), "flip": u("flip") < 0.5, "my": (F.col("top") + F.col("bottom")) / 2, "mx": (F.col("left") + F.col("right")) / 2})
+    rows = rows.withColumns({"cy": F.col("my") + (2 * shift * u("shift") - shift) * h, "cx": F.when(F.col("flip"), w - F.col("mx")).otherwise(F.col("mx"))})
+    kept = lambda c, most: F.least(F.greatest(F.bround(c).cast("long"), _n(0)), most)
+    y = lambda c: kept(F.col("cy") + (c - F.col("my")) * F.col("factor"), h)
+    x = lambda c: (c - F.col("mx")) * F.col("factor")
+    moved = F.transform("rects", lambda r: F.struct(
+        y(r["y0"]).alias("y0"), y(r["y1"]).alias("y1"),
+        (F.col("cx") + F.when(F.col("flip"), -x(r["x1"])).otherwise(x(r["x0"]))).alias("a"), (F.col("cx") + F.when(F.col("flip"), -x(r["x0"])).otherwise(x(r["x1"]))).alias("b"),
+    ))
+    rows = rows.withColumn("moved", F.filter(moved, lambda r: r["y0"] < r["y1"]))
+    edges = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{c}.{e}") for c in ("rects", "moved") for e in ("y0", "y1")]))))
+    strips = rows.withColumn("edges", edges).select("*", F.posexplode(F.slice("edges", 1, F.size("edges") - 1)).alias("i", "low")).withColumn("high", F.get("edges", F.col("i") + 1))
+    within = lambda r: (r["y0"] <= F.col("low")) & (r["y1"] >= F.col("high"))
+    strips = strips.withColumns({"theirs": F.filter("rects", within), "mine": F.filter("moved", within)})
+    strips = strips.withColumns({
+        "theirs": F.array_sort(F.transform("theirs", lambda r: F.struct(r["x0"].alias("a"), r["x1"].alias("b")))),
+        "mine": F.array_sort(F.transform("mine", lambda r: F.struct(r["a"], r["b"]))), "tall": F.col("high") - F.col("low"),
+    })
+    strips = _disjoint(_disjoint(strips, "theirs"), "mine").withColumn("own_", F.col("tall") * _total(F.col("theirs"), lambda p: p["b"] - p["a"]))
+    half = F.floor(w / 2)
+    shifts = F.when(half > 0, F.sequence(-half, half - 1, F.greatest(_n(1), F.floor(w / 16))))
+    tried = strips.select("mask_id", "variant", "w", "h", "moved", "tall", "theirs", "mine", "own_", F.explode(shifts).alias("d"))
+    tried = tried.withColumn("at", F.transform("mine", lambda p: F.struct(kept(p["a"] + F.col("d"), w).alias("a"), kept(p["b"] + F.col("d"), w).alias("b"))))
+    common = lambda p: _total(F.col("theirs"), lambda q: F.greatest(_n(0), F.least(p["b"], q["b"]) - F.greatest(p["a"], q["a"])))
+    tried = tried.withColumns({"mine": F.col("tall") * _total(F.col("at"), lambda p: p["b"] - p["a"]), "both": F.col("tall") * _total(F.col("at"), common)})
+    # rows of a mask are still together: no exchange from here on
+    sums = tried.groupBy("mask_id", "variant", "d").agg(*[F.sum(c).alias(c) for c in ("mine", "both", "own_")], *[F.first(c).alias(c) for c in ("w", "h", "moved")])
+    fits = (F.col("mine") > 0) & (F.col("mine") >= min_share * w * h) & (F.col("both") <= limit * F.least("own_", "mine"))
+    draw = unit(seed, F.concat(F.lit("x"), F.col("d").cast("string")), own, F.col("variant"))
+    best = sums.where(fits).groupBy("mask_id", "variant").agg(F.min(F.struct(draw.alias("u"), "d"))["d"].alias("d"), F.first("w").alias("w"), F.first("moved").alias("moved"))
+    out = best.select("mask_id", "variant", "w", "d", F.explode("moved").alias("r"))
+    placed = out.select("mask_id", "variant", F.col("r.y0").alias("y0"), F.col("r.y1").alias("y1"), kept(F.col("r.a") + F.col("d"), w).alias("x0"), kept(F.col("r.b") + F.col("d"), w).alias("x1"))
+    return placed.where("x0 < x1")

@@ -14,7 +14,7 @@ from quirefold.sources import files as R
 from quirefold.streaming import jobs as S
 
 from .fixtures import VIEWS
-from .q_scripts import REGROUPED
+from .q_scripts import PATCHES, REGROUPED, STATUS, TRANSITIONS, patch_events
 from .registry import query
 
 
@@ -70,6 +70,50 @@ def _appended(stream: DataFrame, path: str) -> None:
     out.awaitTermination()
 
 
+#: How late the events of the streams below come, in microseconds, and how many runs bring them.
+LATE, RUNS = 6 * 3600 * 10**6, 3
+
+
+def _runs(v, events: DataFrame):
+    """Writes events in files that come up to LATE after their time and in no order, with every seventh event again in the run after its own; yields before each run."""
+    at = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(LATE))
+    first, last = events.agg(F.min(at), F.max(at)).first()
+    if first is None:
+        return
+    dealt = events.withColumn("run", F.floor((at - first) * RUNS / (last - first + 1)))
+    path = scratch_path(v.spark)
+    for k in range(RUNS + 1):
+        again = (F.col("run") == k - 1) & (F.col("event_id") % 7 == 0)
+        rows = dealt.where((F.col("run") == k) | again).drop("run")
+        if k == RUNS:  # time goes on: a job of no one has an event much later
+            much_later = (F.lit(last) + 10 * LATE).cast("long")
+            rows = rows.unionByName(events.limit(1).withColumns({"job_id": F.lit(-1).cast("long"), "ts": F.timestamp_micros(much_later).cast(events.schema["ts"].dataType)}))
+        rows.repartition(F.xxhash64("event_id")).write.mode("append").parquet(f"{path}/files")
+        yield S.read_events(v.spark, f"{path}/files", events.schema, 10**6)
+
+
+@query("st2_invalid_transitions_stream", f"select job_id, event_id, prev, cur from ({TRANSITIONS}) q where not valid")
+def _(v):
+    path, out = scratch_path(v.spark), None
+    for stream in _runs(v, v.events.select(F.col("user_id").alias("job_id"), "event_id", "ts", F.expr(STATUS).alias("status"))):
+        out = S.invalid_transitions(stream, f"{LATE // 10**6} seconds")
+        with S.state_store(v.spark):
+            _appended(out, path)
+    schema = out.schema if out else "job_id long, event_id long, prev string, cur string"
+    return v.spark.read.schema(schema).parquet(f"{path}/rows")
+
+
+@query("st5_patch_progress_stream", PATCHES)
+def _(v):
+    path, out = scratch_path(v.spark), None
+    for stream in _runs(v, patch_events(v)):
+        out = S.patch_progress(stream.where("job_id >= 0"))
+        with S.state_store(v.spark):
+            run = out.writeStream.foreachBatch(S.upsert(f"{path}/figures")).outputMode("update").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+            run.awaitTermination()
+    return S.latest(v.spark, f"{path}/figures", out.schema, "job_id")
+
+
 @query("st4_regroup_stream", REGROUPED)
 def _(v):
     path = scratch_path(v.spark)

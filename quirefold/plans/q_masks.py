@@ -191,7 +191,30 @@ def _first_rect(v):
     return v.mask_rects.where("rn = 1")
 
 
-@query("g12_place")
+_MOVED = "least(greatest(round_even({0}, 0)::bigint, 0), 128)"
+_X = "(r.{0} - mx) * f"
+#: Copies of masks on images of 128 x 128: strips between edges of y, disjoint spans in each, and sums over them for every shift.
+PLACED = f"""with b as materialized (select mask_id, (min(y0)::double + max(y1)) / 2 as my, (min(x0)::double + max(x1)) / 2 as mx from mask_rects group by 1),
+  v as materialized (select *, (1 - 0.2::double) + 2 * 0.2::double * {unit(7, 'scale', 'mask_id', 'k')} as f, {unit(7, 'flip', 'mask_id', 'k')} < 0.5 as flip, my + (2 * 0.1::double * {unit(7, 'shift', 'mask_id', 'k')} - 0.1::double) * 128 as cy from b, unnest(range(0, 2)) as u(k)),
+  mv as materialized (select mask_id, k, rn, {_MOVED.format('cy + (r.y0 - my) * f')} as y0, {_MOVED.format('cy + (r.y1 - my) * f')} as y1,
+    case when flip then (128 - mx) + -({_X.format('x1')}) else mx + {_X.format('x0')} end as a, case when flip then (128 - mx) + -({_X.format('x0')}) else mx + {_X.format('x1')} end as b from v join mask_rects r using (mask_id)),
+  mo as materialized (select * from mv where y0 < y1),
+  og as materialized (select mask_id, k, y0, y1, x0::double as a, x1::double as b from v join mask_rects using (mask_id)),
+  ed as materialized (select mask_id, k, y0 as e from mo union select mask_id, k, y1 from mo union select mask_id, k, y0 from og union select mask_id, k, y1 from og),
+  st as materialized (select *, lead(e) over (partition by mask_id, k order by e) as e2 from ed),
+  sp as materialized (select st.mask_id, st.k, e, e2, 0 as own, a, b from st join og on og.mask_id = st.mask_id and og.k = st.k and y0 <= e and y1 >= e2 union all select st.mask_id, st.k, e, e2, 1, a, b from st join mo on mo.mask_id = st.mask_id and mo.k = st.k and y0 <= e and y1 >= e2),
+  dj as materialized (select mask_id, k, e, e2, own, greatest(a, coalesce(max(b) over (partition by mask_id, k, e, own order by a, b rows between unbounded preceding and 1 preceding), a)) as a, b from sp),
+  pc as materialized (select * from dj where a < b), ar as (select mask_id, k, sum((e2 - e) * (b - a))::bigint as area from pc where own = 0 group by 1, 2),
+  sh as materialized (select mask_id, k, d, {unit(7, 'x', 'mask_id', 'k').replace("'x'", "'x' || d")} as u from v, unnest(range(-64, 64, 8)) as u(d)),
+  tr as materialized (select p.mask_id, p.k, d, e, e2, {_MOVED.format('a + d')} as a, {_MOVED.format('b + d')} as b from pc p join sh on sh.mask_id = p.mask_id and sh.k = p.k where own = 1),
+  mi as materialized (select mask_id, k, d, sum((e2 - e) * (b - a)) as mine from tr group by 1, 2, 3),
+  co as materialized (select x.mask_id, x.k, x.d, sum((x.e2 - x.e) * greatest(0, least(x.b, y.b) - greatest(x.a, y.a))) as common from tr x join pc y on x.mask_id = y.mask_id and x.k = y.k and x.e = y.e and y.own = 0 group by 1, 2, 3),
+  ok as materialized (select mask_id, k, arg_min(d, struct_pack(u := u, d := d)) as d from mi join sh using (mask_id, k, d) left join co using (mask_id, k, d) join ar using (mask_id, k)
+    where mine > 0 and mine >= 0.02::double * 128 * 128 and coalesce(common, 0) <= 0.5::double * least(area, mine) group by 1, 2)
+  select mask_id, k as variant, y0, y1, {_MOVED.format('a + d')} as x0, {_MOVED.format('b + d')} as x1 from mo join ok using (mask_id, k) where {_MOVED.format('a + d')} < {_MOVED.format('b + d')}"""
+
+
+@query("g12_place", PLACED)
 def _(v):
     return M.place(v.mask_rects, v.mask_rects.select("mask_id").distinct().withColumns({"w": F.lit(128), "h": F.lit(128)}), 7)
 

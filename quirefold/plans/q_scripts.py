@@ -140,19 +140,28 @@ def _(v):
     return J.latest_progress(v.progress_events)
 
 
-@query("st5_patch_progress", """with e as (select user_id as job_id, event_id % 5 as item, ts, event_id, floor(value) as done, 20 as total, case when event_type = 'purchase' then 'error' else 'ok' end as status from events),
+PATCHES = """with e as (select user_id as job_id, event_id % 5 as item, ts, event_id, floor(value) as done, 20 as total, case when event_type = 'purchase' then 'error' else 'ok' end as status from events),
     r as (select *, row_number() over (partition by job_id, item order by ts desc, event_id desc) as rn from e), g as (select job_id, count(*) as items, count(*) filter (done >= total) as finished, count(*) filter (status = 'error') as failed from r where rn = 1 group by 1)
-    select *, least(100, greatest(0, round_even(100.0::double * finished / items, 0)))::int as pct from g""")
+    select *, least(100, greatest(0, round_even(100.0::double * finished / items, 0)))::int as pct from g"""
+
+
+def patch_events(v):
+    return v.events.select(F.col("user_id").alias("job_id"), (F.col("event_id") % 5).alias("item"), "ts", "event_id", F.floor("value").alias("done"), F.lit(20).alias("total"), F.when(F.col("event_type") == "purchase", "error").otherwise("ok").alias("status"))
+
+
+@query("st5_patch_progress", PATCHES)
 def _(v):
-    e = v.events.select(F.col("user_id").alias("job_id"), (F.col("event_id") % 5).alias("item"), "ts", "event_id", F.floor("value").alias("done"), F.lit(20).alias("total"), F.when(F.col("event_type") == "purchase", "error").otherwise("ok").alias("status"))
-    return J.patch_progress(e)
+    return J.patch_progress(patch_events(v))
 
 
 STATUS = "case event_id % 9 when 0 then 'created' when 1 then 'created' when 2 then 'detect_bubbles_running' when 3 then 'await_edit' when 4 then 'await_ocr_clean' when 5 then 'ocr_clean_running' when 6 then 'await_translation' when 7 then 'error' else 'await_edit' end"
 
 
-@query("w17_st2_transitions", f"""with s as (select user_id as job_id, event_id, ts, {STATUS} as cur from events), l as (select job_id, event_id, lag(cur) over (partition by job_id order by ts, event_id) as prev, cur from s)
-    select job_id, event_id, prev, cur, case when prev is null then cur = 'created' when prev = 'error' then cur = 'error' else cur = 'error' or cur = prev or list_position(['created', 'detect_bubbles_running', 'await_edit', 'await_ocr_clean', 'ocr_clean_running', 'await_translation'], cur) = list_position(['created', 'detect_bubbles_running', 'await_edit', 'await_ocr_clean', 'ocr_clean_running', 'await_translation'], prev) + 1 end as valid from l""")
+TRANSITIONS = f"""with s as (select user_id as job_id, event_id, ts, {STATUS} as cur from events), l as (select job_id, event_id, lag(cur) over (partition by job_id order by ts, event_id) as prev, cur from s)
+    select job_id, event_id, prev, cur, case when prev is null then cur = 'created' when prev = 'error' then cur = 'error' else cur = 'error' or cur = prev or list_position(['created', 'detect_bubbles_running', 'await_edit', 'await_ocr_clean', 'ocr_clean_running', 'await_translation'], cur) = list_position(['created', 'detect_bubbles_running', 'await_edit', 'await_ocr_clean', 'ocr_clean_running', 'await_translation'], prev) + 1 end as valid from l"""
+
+
+@query("w17_st2_transitions", TRANSITIONS)
 def _(v):
     return J.transitions(v.events.select(F.col("user_id").alias("job_id"), "event_id", "ts", F.expr(STATUS).alias("status")))
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,4 +43,33 @@ def scratch_path(spark: SparkSession) -> str:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
     return f"{shared}/scratch-{uuid.uuid4().hex}"
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders, in whatever file system they are."""
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def tables(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
+    """Gives ``save(df, keep=False)``, which writes df to the shared folder and reads it again, so that lineage ends there.
+
+    The folders are deleted at the end, but for those saved with keep, which the result still reads.
+    """
+    mine: list[str] = []
+
+    def save(df: DataFrame, keep: bool = False) -> DataFrame:
+        path = scratch_path(spark)
+        df.write.parquet(path)
+        if not keep:
+            mine.append(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield save
+    finally:
+        removed(spark, *mine)

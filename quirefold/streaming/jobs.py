@@ -6,11 +6,13 @@ Event times of the tables have no zone; they are cast to timestamps before a wat
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quirefold.functions.bins import percent
 from quirefold.operators import jobs
@@ -18,6 +20,8 @@ from quirefold.operators.jobs import STATES
 
 #: How late an event may be, and for how long a repeated one is recognised.
 WATERMARK = "1 hour"
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _timed(events: DataFrame) -> DataFrame:
@@ -32,7 +36,7 @@ def latest_progress(events: DataFrame) -> DataFrame:
 
 
 def latest_items(events: DataFrame) -> DataFrame:
-    """The last state of every (job_id, item); per-job figures come from its snapshots in foreachBatch."""
+    """The last state of every (job_id, item)."""
     last = F.max_by(F.struct("done", "total", "status"), F.struct("ts", "event_id")).alias("p")
     return _timed(events).groupBy("job_id", "item").agg(last).select("job_id", "item", "p.*")
 
@@ -56,28 +60,127 @@ def _next_states() -> dict[str | None, set[str]]:
     return after
 
 
-def invalid_transitions(status: DataFrame) -> DataFrame:
+class _Transitions(StatefulProcessor):
+    """Takes a job's events in order of (ts, event_id), each once the watermark has passed it."""
+
+    def __init__(self, expire_ms: int | None):
+        self.expire_ms, self.after = expire_ms, _next_states()
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "ts long, event_id long, status string")
+        self.pending = handle.getMapState("pending", "ts long, event_id long", "status string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last = self.last.get() if self.last.exists() else None
+        earliest = None
+        for part in rows:
+            for at in zip(part["ts_us"].tolist(), part["event_id"].tolist(), part["status"].tolist(), strict=True):
+                if last is None or at[:2] > tuple(last[:2]):  # else it is there already
+                    self.pending.updateValue(at[:2], (at[2],))
+                    earliest = at[0] if earliest is None else min(earliest, at[0])
+        if earliest is not None:
+            self._wake(earliest)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now, out = timerValues.getCurrentWatermarkInMs(), []
+        waiting = sorted((tuple(k), v[0]) for k, v in self.pending.iterator())
+        ready = [x for x in waiting if x[0][0] // 1000 < now]
+        last = tuple(self.last.get()) if self.last.exists() else None
+        for at, status in ready:
+            prev = last[2] if last else None
+            if status not in self.after.get(prev, {"error"}):
+                out.append((key[0], at[1], prev, status))
+            last = (*at, status)
+            self.pending.removeKey(at)
+        if ready:
+            self.last.update(last)
+        if len(ready) < len(waiting):
+            self._wake(waiting[len(ready)][0][0])
+        elif self.expire_ms is not None and last:
+            if last[0] // 1000 + self.expire_ms < now:
+                self.last.clear()
+            else:
+                self._wake(last[0] + 1000 * self.expire_ms)
+        yield pd.DataFrame(out, columns=["job_id", "event_id", "prev", "cur"]) if out else pd.DataFrame()
+
+    def _wake(self, ts_us: int) -> None:
+        self.handle.registerTimer(ts_us // 1000 + 1)
+
+
+def invalid_transitions(status: DataFrame, delay: str = WATERMARK, expire_ms: int | None = None) -> DataFrame:
     """(job_id, ts, event_id, status) stream -> job_id, event_id, prev, cur of transitions that a job may not make.
 
-    A job's last status is its state; events of one trigger are taken in order of (ts, event_id), and
-    triggers as they come.
+    Events of a job wait in a map until the watermark, ``delay`` behind the newest event, has passed them, and are then
+    taken in order of (ts, event_id); so the order in which they come doesn't matter within it, and one that comes again changes
+    nothing. Later ones are dropped. A job without events for ``expire_ms`` is forgotten: its next event is a first one. None keeps the
+    last status of every job. Appends. Needs the session's state store to be RocksDB (``state_store``).
     """
-    after = _next_states()
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        prev = state.get[0] if state.exists else None
-        out = []
-        for r in rows.itertuples():
-            if r.status not in after.get(prev, {"error"}):
-                out.append((key[0], r.event_id, prev, r.status))
-            prev = r.status
-        state.update((prev,))
-        yield pd.DataFrame(out, columns=["job_id", "event_id", "prev", "cur"])
-
-    rows = status.select("job_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "status")
+    ts = F.col("ts").cast("timestamp")
+    rows = status.select("job_id", ts.alias("ts"), F.unix_micros(ts).alias("ts_us"), "event_id", "status")
     schema = "job_id long, event_id long, prev string, cur string"
-    return rows.groupBy("job_id").applyInPandasWithState(step, schema, "status string", "append", GroupStateTimeout.NoTimeout)
+    return rows.withWatermark("ts", delay).groupBy("job_id").transformWithStateInPandas(_Transitions(expire_ms), schema, "Append", "EventTime")
+
+
+class _Patches(StatefulProcessor):
+    """The last event of each item of a job, and its figures."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.items = handle.getMapState("items", "item long", "ts long, event_id long, finished boolean, failed boolean")
+        self.sums = handle.getValueState("sums", "items long, finished long, failed long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        newest: dict[int, tuple] = {}
+        for part in rows:
+            for item, *event in zip(*[part[c].tolist() for c in ("item", "ts_us", "event_id", "finished", "failed")], strict=True):
+                newest[item] = max(newest.get(item, tuple(event)), tuple(event))
+        items, finished, failed = self.sums.get() if self.sums.exists() else (0, 0, 0)
+        for item, event in newest.items():
+            old = self.items.getValue((item,)) if self.items.containsKey((item,)) else None
+            if old is None or event[:2] > tuple(old[:2]):
+                items += old is None
+                finished += event[2] - (old[2] if old else 0)
+                failed += event[3] - (old[3] if old else 0)
+                self.items.updateValue((item,), event)
+        self.sums.update((items, finished, failed))
+        yield pd.DataFrame([(key[0], items, finished, failed)], columns=["job_id", "items", "finished", "failed"])
+
+
+def patch_progress(events: DataFrame) -> DataFrame:
+    """(job_id, item, ts, event_id, done, total, status) stream -> job_id, items, finished, failed, pct of every job that had an event, in update mode.
+
+    A job's state is the last event of each of its items, so late and repeated events change nothing that they shouldn't.
+    Needs the session's state store to be RocksDB (``state_store``).
+    """
+    ts, status = F.col("ts").cast("timestamp"), F.coalesce(F.col("status") == "error", F.lit(False))
+    done = F.coalesce(F.col("done") >= F.col("total"), F.lit(False))
+    rows = events.select("job_id", F.col("item").cast("long").alias("item"), F.unix_micros(ts).alias("ts_us"), "event_id", done.alias("finished"), status.alias("failed"))
+    out = rows.groupBy("job_id").transformWithStateInPandas(_Patches(), "job_id long, items long, finished long, failed long", "Update", "None")
+    return out.withColumn("pct", percent(F.col("finished"), F.col("items")))
+
+
+def upsert(path: str):
+    """A foreachBatch function that keeps every batch's rows in a folder of its own; a batch that is run again replaces its rows."""
+    return lambda rows, batch: rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def latest(spark: SparkSession, path: str, schema, *keys: str) -> DataFrame:
+    """Of each key the row of the newest batch that ``upsert`` has kept."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(path)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("p")).select(*keys, "p.*")
+
+
+@contextmanager
+def state_store(spark: SparkSession):
+    """Queries that are started inside keep their state in RocksDB."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
 
 
 def ingest(spark: SparkSession, path: str, pattern: str = "*.png", per_trigger: int = 1000) -> DataFrame:

@@ -1,5 +1,8 @@
 """Literal cases, properties, and small readings of the operators that SQL cannot express."""
 
+import math
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -278,3 +281,73 @@ def test_masks_are_whole_unions(spark):
         rows = {y for y, _ in cells}
         assert cells and len(cells & original) <= 0.5 * min(len(cells), 200) and rows <= {*range(10), *range(40, 50)}
     assert any(len({r["y0"] for r in moved if (r["mask_id"], r["variant"]) == (2, k)}) == 2 for k in range(3))
+
+
+def greedy(rows, threshold):
+    """Boxes from the highest score down, each kept unless one that is kept overlaps it."""
+    kept = []
+    for r in sorted(rows, key=lambda r: (-(r[6] if r[6] is not None else -math.inf), r[0])):
+        def near(k, r=r):
+            w, h = min(k[4], r[4]) - max(k[2], r[2]), min(k[5], r[5]) - max(k[3], r[3])
+            common = max(0.0, w) * max(0.0, h)
+            size = lambda b: (b[4] - b[2]) * (b[5] - b[3])
+            return k[1] == r[1] and common / max(1e-9, size(k) + size(r) - common) >= threshold
+        if not any(near(k) for k in kept):
+            kept.append(r)
+    return sorted(k[0] for k in kept)
+
+
+def test_suppression_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(3), float(x), float(y), float(x + rng.randint(20, 60)), float(y + rng.randint(20, 60)), rng.choice([0.1, 0.5, 0.9, None])) for i in range(250) for x, y in [(rng.randrange(250), rng.randrange(250))]]
+    df = spark.createDataFrame(rows, BOX)
+    assert sorted(r["box_id"] for r in detections.nms(df, 0.15).collect()) == greedy(rows, 0.15)
+    edges = detections.conflicts(df, 0.15)
+    want = {r[0] for r in rows} - {*greedy(rows, 0.15)}
+    # chains from the first round on, and never
+    for plain in (0, 100):
+        assert {r["box_id"] for r in detections.suppressed(edges, plain).collect()} == want
+    assert detections.nms(df.limit(0), 0.5).collect() == []
+
+
+def test_suppression_along_a_chain(spark):
+    """Ten thousand boxes of one page, each over the next: every second one stays, without a round for each."""
+    n = 10_000
+    at = F.col("id") * 6
+    boxes = spark.range(n).select(F.col("id").alias("box_id"), F.lit(1).alias("page_id"), F.lit(0.0).alias("left_x"), at.cast("double").alias("top_y"), F.lit(10.0).alias("right_x"), (at + 10).cast("double").alias("bottom_y"), (1 - F.col("id") / n).alias("conf"))
+    kept = detections.nms(boxes, 0.2)
+    assert sorted(r["box_id"] for r in kept.select("box_id").collect()) == list(range(0, n, 2))
+    assert "Python" not in kept._jdf.queryExecution().toString() and "Pandas" not in kept._jdf.queryExecution().toString()
+
+
+def test_nearest_centres(spark):
+    rng = random.Random(6)
+    boxes = [(i, i % 3, float(x), float(y), float(x + 10), float(y + 10), rng.choice([0.2, 0.7])) for i in range(60) for x, y in [(rng.choice([rng.randrange(-50, 4000), 100]), rng.choice([rng.randrange(9000), 100]))]]
+    points = [(i, i % 4, float(rng.randrange(-3000, 9000)), float(rng.randrange(9000))) for i in range(150)] + [(900, 1, None, 5.0), (901, 0, 105.0, 105.0)]
+    frame = spark.createDataFrame(points, "pt_id long, page_id long, px double, py double")
+    got = {r["pt_id"]: r["box_id"] for r in detections.nearest_centre(frame, spark.createDataFrame(boxes, BOX), cell=64.0).collect()}
+    want = {}
+    for p, page, x, y in points:
+        mine = [((b[2] + b[4]) / 2, (b[3] + b[5]) / 2, -b[6], b[0]) for b in boxes if b[1] == page]
+        if mine and x is not None:
+            want[p] = min(((x - cx) ** 2 + (y - cy) ** 2, c, i) for cx, cy, c, i in mine)[2]
+    assert got == want
+
+
+def test_placed_copies_fit(spark):
+    """Every copy against its cells: within the image, over enough of it, and no more over the mask than allowed."""
+    from quirefold.operators import masks
+
+    rng = random.Random(8)
+    rects = [(m, y, y + rng.randint(2, 20), x, x + rng.randint(2, 20)) for m in range(30) for _ in range(rng.randint(1, 5)) for y, x in [(rng.randrange(40), rng.randrange(40))]]
+    kind = "mask_id long, y0 long, y1 long, x0 long, x1 long"
+    dims = spark.createDataFrame([(m, 64, 48) for m in range(29)], "mask_id long, w long, h long")
+    moved = masks.place(spark.createDataFrame(rects, kind), dims, 7, limit=0.3, min_share=0.01).collect()
+    cells = lambda rows: {(y, x) for _, a, b, c, d in rows for y in range(a, b) for x in range(c, d)}
+    found = {(r["mask_id"], r["variant"]) for r in moved}
+    assert len(found) > 20 and {m for m, _ in found} <= {*range(29)}
+    for m, k in found:
+        mask = cells(r for r in rects if r[0] == m)
+        copy = cells((m, r["y0"], r["y1"], r["x0"], r["x1"]) for r in moved if (r["mask_id"], r["variant"]) == (m, k))
+        assert all(0 <= y < 48 and 0 <= x < 64 for y, x in copy)
+        assert len(copy) >= 0.01 * 48 * 64 and len(copy & mask) <= 0.3 * min(len(mask), len(copy))

@@ -1,5 +1,7 @@
 """Streams over what is there give the rows of their batch forms."""
 
+import datetime as dt
+import random
 import tempfile
 
 import pytest
@@ -32,13 +34,66 @@ def test_latest_progress(spark, events):
     assert sorted(map(tuple, got)) == sorted(map(tuple, jobs.latest_progress(batch).collect()))
 
 
-def test_invalid_transitions(spark, events):
-    path, batch = events
-    state = F.element_at(F.array(*[F.lit(s) for s in (*jobs.STATES, "error")]), (F.col("event_id") % 7 + 1).cast("int"))
-    stream = streams.invalid_transitions(streams.read_events(spark, path, batch.schema).withColumn("status", state))
-    got = streams.run_available(stream, "transitions", "append", fresh()).collect()
-    want = jobs.transitions(batch.withColumn("status", state)).where("not valid").select("job_id", "event_id", "prev", "cur").collect()
-    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, want)))
+EVENT = "job_id long, event_id long, ts timestamp, status string"
+
+
+def hours(n):
+    return dt.datetime(2024, 1, 1) + dt.timedelta(hours=n)
+
+
+def followed(spark, files, make, path=None):
+    """Runs a stream once after each list of rows has come as files; the rows it appended and the rows of state after each run."""
+    path, kept = path or fresh(), []
+    for rows in files:
+        spark.createDataFrame(rows, EVENT).repartition(2).write.mode("append").parquet(f"{path}/in")
+        out = make(streams.read_events(spark, f"{path}/in", spark.createDataFrame([], EVENT).schema, 100))
+        with streams.state_store(spark):
+            run = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+            run.awaitTermination()
+        kept.append(run.lastProgress["stateOperators"][0]["numRowsTotal"])
+    return [tuple(r) for r in spark.read.schema(out.schema).parquet(f"{path}/out").collect()], kept
+
+
+def test_invalid_transitions_of_late_and_repeated_events(spark):
+    """Events come up to a day late, in no order and some of them twice; what is invalid is as in order of time, and the state doesn't grow with the events."""
+    rng, states = random.Random(2), [*jobs.STATES, "error"]
+    events = [(rng.randrange(5), i, hours(rng.uniform(0, 120)), rng.choice(states)) for i in range(180)]
+    files = [[] for _ in range(3)]
+    for e in events:
+        at = (e[2] - hours(0)).total_seconds() / 3600
+        k = min(2, int((at + rng.uniform(0, 23)) // 45))
+        files[k].append(e)
+        if k < 2 and rng.random() < 0.3:
+            files[k + 1].append(e)
+    got, kept = followed(spark, [*files, [(-1, 10**6, hours(900), "created")]], lambda s: streams.invalid_transitions(s, "24 hours"))
+    want = jobs.transitions(spark.createDataFrame(events, EVENT)).where("not valid").select("job_id", "event_id", "prev", "cur").collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, map(tuple, want)))
+    # a status for each of five jobs, what the last day and a half of a file brought, and timers for them
+    assert max(kept) < 150 and kept[-1] <= 3 * 6
+
+
+def test_silent_jobs_are_forgotten(spark):
+    files = [[(1, 1, hours(0), "created"), (1, 2, hours(1), "detect_bubbles_running"), (2, 3, hours(1), "created")], [(9, 4, hours(60), "created")], [(1, 5, hours(61), "await_edit"), (9, 6, hours(61), "created")], [(9, 7, hours(200), "created")]]
+    kept_on, _ = followed(spark, files, lambda s: streams.invalid_transitions(s, "1 hour"))
+    forgotten, rows = followed(spark, files, lambda s: streams.invalid_transitions(s, "1 hour", expire_ms=24 * 3600 * 1000))
+    assert kept_on == [] and forgotten == [(1, 5, None, "await_edit")]
+    assert rows[1] <= 3 * 2
+
+
+def test_patch_progress(spark):
+    rows = [(1, 1, 10, "a", 3), (1, 2, 10, "b", 10), (1, 2, 11, "error", 2), (2, 1, 5, "a", 10)]
+    late = [(1, 2, 11, "error", 2), (1, 2, 9, "a", 1), (2, 1, 6, "error", 4), (1, 3, 1, "a", 10)]
+    path, kind = fresh(), "job_id long, item long, event_id long, status string, done long"
+    whole = lambda df: df.withColumn("ts", F.timestamp_seconds("event_id")).withColumn("total", F.lit(10))
+    for part in (rows, late):
+        spark.createDataFrame(part, kind).write.mode("append").parquet(f"{path}/in")
+        out = streams.patch_progress(whole(streams.read_events(spark, f"{path}/in", spark.createDataFrame([], kind).schema, 100)))
+        with streams.state_store(spark):
+            run = out.writeStream.foreachBatch(streams.upsert(f"{path}/out")).outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+            run.awaitTermination()
+    got = streams.latest(spark, f"{path}/out", out.schema, "job_id").collect()
+    want = jobs.patch_progress(whole(spark.createDataFrame({*rows, *late}, kind))).select(*out.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
 def test_online_eval(spark, events):
