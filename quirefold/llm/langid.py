@@ -35,7 +35,7 @@ CACHE = 1 << 18
 
 def _letter_table() -> np.ndarray:
     """The class of each code point: 0 for what isn't a letter, else 1 to CLASSES - 1."""
-    points = range(0x30000)
+    points = range(0x110000)
     letter = np.fromiter((chr(c).isalpha() for c in points), bool, len(points))
     mixed = (np.arange(len(letter), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
     return np.where(letter, 1 + mixed % np.uint64(CLASSES - 1), 0).astype(np.int64)
@@ -75,7 +75,7 @@ class Profiles:
             ends = np.cumsum(lengths + 1)
             for at in range(0, len(points), CHUNK):
                 some = points[max(0, at - 2) : at + CHUNK]
-                cls = self._derived()["class"][np.minimum(some, 0x2FFFF)]
+                cls = self._derived()["class"][some]
                 doc = np.searchsorted(ends, np.arange(max(0, at - 2), at + len(some) - min(at, 2)), side="left")
                 keep = np.r_[True, (cls[1:] != 0) | (cls[:-1] != 0)]
                 cls, doc = cls[keep], np.minimum(doc[keep], last - first - 1)

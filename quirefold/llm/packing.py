@@ -27,7 +27,7 @@ from .tokens import BYTE_BPE, Remembered, byte_bpe, path_of, words_of
 CAPACITY = 2048
 END_ID = 0
 OPEN_BINS = 256
-#: Pieces of a run.
+#: Pieces of a run; with fewer open bins than about a quarter of them, long pieces close bins before short ones come.
 RUN = 1024
 #: Pieces that a shard has on average, and shards whose open bins meet in one.
 SHARD_PIECES = 8192

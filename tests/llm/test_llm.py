@@ -257,6 +257,14 @@ def test_language_brute_force_and_ties():
     assert set(same.predict(pa.array(texts))[0]) == {"a"}
 
 
+def test_letters_of_all_planes():
+    """A letter is a letter wherever its code point lies; all classes but 0 are below CLASSES."""
+    table = langid._letter_table()
+    points = [*range(0x300), *range(0x2F800, 0x32400), 0x10FFFF]
+    assert [bool(table[c]) for c in points] == [chr(c).isalpha() for c in points]
+    assert len(table) == 0x110000 and table.max() < langid.CLASSES
+
+
 def test_quality_of_held_out_rows(spark):
     d = "/root/testdata/sf0.1"
     got = quality.op3_quality(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
