@@ -155,11 +155,15 @@ def metric_rows(lines: DataFrame, ahead: int = 5) -> DataFrame:
 # -- distribution distance
 
 
-def moments(acts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, side, embedding) -> keys, side, n, sums, products: Gram partials per partition, added up.
+#: Rows and columns of a tile of a matrix of products.
+TILE = 128
+#: Partials of a tile are added in so many heaps first.
+HEAPS = 32
+_TILE = "i long, j long, n long, sums array<double>, products array<double>"
 
-    A task sends one row per group that it saw (dims squared numbers); groups are few (bins, classes).
-    """
+
+def _tile_parts(acts: DataFrame, keys: list[str]) -> tuple[DataFrame, str]:
+    """A row for each group, side, tile on or above the diagonal and partition, and the heap that it goes to."""
 
     def partial(batches):
         held: dict[tuple, list] = {}
@@ -174,11 +178,22 @@ def moments(acts: DataFrame, keys: list[str]) -> DataFrame:
                 have[0] += len(part)
                 have[1] = have[1] + part.sum(0)
                 have[2] = have[2] + part.T @ part
-        rows = [(*k, int(n), s.tolist(), p.ravel().tolist()) for k, (n, s, p) in held.items()]
-        yield pd.DataFrame(rows, columns=[*keys, "side", "n", "sums", "products"])
+        for k, (n, s, p) in held.items():
+            for i in range(0, len(s), TILE):
+                rows = [(*k, i // TILE, j // TILE, int(n), (s[i : i + TILE] if i == j else s[:0]).tolist(), p[i : i + TILE, j : j + TILE].ravel().tolist()) for j in range(i, len(s), TILE)]
+                yield pd.DataFrame(rows, columns=[*keys, "side", "i", "j", "n", "sums", "products"])
+
+    kinds = ", ".join([*(f"{c} {acts.schema[c].dataType.simpleString()}" for c in [*keys, "side"]), _TILE])
+    parts = acts.select(*keys, "side", "embedding").mapInPandas(partial, kinds)
+    return parts.withColumn("heap", (F.spark_partition_id() % HEAPS).cast("long")), kinds
 
-    kinds = ", ".join(f"{c} {acts.schema[c].dataType.simpleString()}" for c in [*keys, "side"])
-    parts = acts.select(*keys, "side", "embedding").mapInPandas(partial, f"{kinds}, n long, sums array<double>, products array<double>")
+
+def moment_tiles(acts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, side, embedding) -> keys, side, i, j, n, sums, products: Gram matrices in tiles of TILE x TILE numbers, i <= j.
+
+    ``sums`` stands with the tiles of the diagonal. A task sends its tiles for every group that it saw (groups are few: bins,
+    classes); they are added in heaps by partition and then the heaps, so a task holds a few tiles, whatever the dims and partitions are.
+    """
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         out = group.iloc[:1].copy()
@@ -187,21 +202,34 @@ def moments(acts: DataFrame, keys: list[str]) -> DataFrame:
             out[c] = [np.sum(np.stack(group[c].to_numpy()), axis=0).tolist()]
         return out
 
-    # partials of a group are added in chunks first, so that no task holds those of all partitions
-    chunk = F.pmod(F.monotonically_increasing_id(), F.lit(16))
-    first = parts.withColumn("chunk", chunk).groupBy(*keys, "side", "chunk").applyInPandas(add, f"{kinds}, n long, sums array<double>, products array<double>, chunk long")
-    return first.drop("chunk").groupBy(*keys, "side").applyInPandas(add, f"{kinds}, n long, sums array<double>, products array<double>")
+    parts, kinds = _tile_parts(acts, keys)
+    by = [*keys, "side", "i", "j"]
+    return parts.groupBy(*by, "heap").applyInPandas(add, f"{kinds}, heap long").drop("heap").groupBy(*by).applyInPandas(add, kinds)
+
+
+def assembled(tiles: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """n, sums and the whole matrix of products of one side's tiles."""
+    diagonal = tiles[tiles["i"] == tiles["j"]].sort_values("i")
+    sums = np.concatenate([np.asarray(x, float) for x in diagonal["sums"]])
+    out = np.empty((len(sums), len(sums)))
+    for i, j, p in zip(tiles["i"] * TILE, tiles["j"] * TILE, tiles["products"], strict=True):
+        block = np.asarray(p, float).reshape(min(TILE, len(sums) - i), -1)
+        out[i : i + block.shape[0], j : j + block.shape[1]] = block
+        out[j : j + block.shape[1], i : i + block.shape[0]] = block.T
+    return int(tiles["n"].iloc[0]), sums, out
 
 
 def _cov(n: int, s: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     mean = s / n
-    return mean, (p.reshape(len(s), -1) - n * np.outer(mean, mean)) / (n - 1)
+    return mean, (p - n * np.outer(mean, mean)) / (n - 1)
 
 
 #: Added to the diagonals of singular covariances.
 EPS_COV = 1e-6
-#: Rows whose covariances are held at once.
-LOO_ROWS = 256
+#: Rows whose changes are found at once.
+LOO_ROWS = 1024
+#: Step and reach of the integral over the logarithm of the shift, about that of the largest root.
+LOO_STEP, LOO_REACH = 0.3, 32.0
 
 
 def frechet_distance(m1, c1, m2, c2, eps: float = EPS_COV) -> float:
@@ -220,51 +248,70 @@ def frechet(acts: DataFrame, grp: str | None = None) -> DataFrame:
     keyed = acts.withColumn("grp_", F.col(grp).cast("string") if grp else F.lit("all")).select(F.col("grp_").alias("grp"), "side", "embedding")
 
     def finish(g: pd.DataFrame) -> pd.DataFrame:
-        sides = {r["side"]: r for _, r in g.iterrows()}
+        sides = {side: assembled(tiles) for side, tiles in g.groupby("side")}
         value = float("nan")
-        if {"pred", "target"} <= set(sides) and min(r["n"] for r in sides.values()) > 1:
-            stats = [_cov(sides[s]["n"], np.asarray(sides[s]["sums"]), np.asarray(sides[s]["products"])) for s in ("pred", "target")]
-            value = frechet_distance(*stats[0], *stats[1])
+        if {"pred", "target"} <= set(sides) and min(n for n, _, _ in sides.values()) > 1:
+            value = frechet_distance(*_cov(*sides["pred"]), *_cov(*sides["target"]))
         return pd.DataFrame({"grp": [g["grp"].iloc[0]], "value": [value]})
 
-    out = moments(keyed, ["grp"]).groupBy("grp").applyInPandas(finish, "grp string, value double")
+    out = moment_tiles(keyed, ["grp"]).groupBy("grp").applyInPandas(finish, "grp string, value double")
     return out.select("grp", F.coalesce("value", F.lit(float("nan"))).alias("value"))  # Arrow sends NaN as null
 
 
+class _Replaced:
+    """What a replaced prediction changes in the distance, from the eigenvalues of the whole sets.
+
+    With the target's root R, the distance needs the sum of the roots of the eigenvalues of R C R. Replacing a row adds v d' + d v' to C, d being
+    the target less the prediction. Its secular determinant at a shift s is that of two rows and columns, and a sum of roots is the integral
+    of log(s + eigenvalue) / sqrt(s) / 2 pi; so the change of the sum is the integral of the logarithm of that determinant. In log(s) it is smooth
+    and falls off exponentially on both sides, so equal steps give it to almost the last digit, with a few products of matrices for many rows.
+    """
+
+    def __init__(self, pred: tuple[int, np.ndarray, np.ndarray], target: tuple[int, np.ndarray, np.ndarray]):
+        self.n, sums, _ = pred
+        self.mean, cov = _cov(*pred)
+        self.target_mean, other = _cov(*target)
+        extra = EPS_COV * np.eye(len(sums)) if np.linalg.eigvalsh(cov).min() <= 0 else 0.0
+        values, vectors = np.linalg.eigh(other + extra)
+        root = (vectors * np.sqrt(np.maximum(values, 0))) @ vectors.T
+        values, vectors = np.linalg.eigh(root @ (cov + extra) @ root)
+        values = np.maximum(values, 0)
+        self.basis = root @ vectors / np.sqrt(self.n - 1)
+        width = np.sqrt(max(values.max(), np.finfo(float).tiny))
+        y = np.arange(-LOO_REACH, LOO_REACH, LOO_STEP)
+        self.weights = LOO_STEP * width * np.exp(y) / np.pi
+        self.inverse = 1 / (values[:, None] + (width * np.exp(y)) ** 2)
+
+    def deltas(self, p: np.ndarray, t: np.ndarray) -> np.ndarray:
+        d = t - p
+        v = p - self.mean + (1 - 1 / self.n) / 2 * d
+        mean = self.mean + d / self.n
+        squares = ((mean - self.target_mean) ** 2).sum(1) - ((self.mean - self.target_mean) ** 2).sum()
+        trace = 2 * (v * d).sum(1) / (self.n - 1)
+        a, b = v @ self.basis, d @ self.basis
+        aa, ab, bb = ((x * y) @ self.inverse for x, y in ((a, a), (a, b), (b, b)))
+        return squares + trace - 2 * np.log1p(np.maximum(2 * ab + ab * ab - aa * bb, -1 + 1e-300)) @ self.weights
+
+
 def frechet_loo(acts: DataFrame) -> DataFrame:
     """(pair_id, side, embedding) -> pair_id, delta: the distance's change if a pair's prediction were its target.
 
-    The moments (dims squared numbers) are broadcast. The root of the target's covariance is taken once a
-    task; a replacement changes the prediction's moments by a rank or two, and the eigenvalues
-    of a batch's matrices are found together. A singular covariance of all predictions gets EPS_COV on both diagonals.
+    The eigenvalues of the whole sets are taken once, and they and their basis (dims squared numbers) are broadcast; a pair costs a few
+    times dims. A singular covariance of all predictions gets EPS_COV on both diagonals. NaN with fewer than two rows of a side.
     """
-    m = {r["side"]: r for r in moments(acts.select("side", "embedding"), []).collect()}  # two rows
-    if not {"pred", "target"} <= set(m) or min(r["n"] for r in m.values()) < 2:
+    tiles = moment_tiles(acts.select("side", "embedding"), []).toPandas()  # dims squared numbers
+    m = {side: assembled(own) for side, own in tiles.groupby("side")}
+    if not {"pred", "target"} <= set(m) or min(n for n, _, _ in m.values()) < 2:
         return acts.select("pair_id", F.lit(float("nan")).alias("delta")).distinct()
-    held = acts.sparkSession.sparkContext.broadcast({s: (r["n"], np.array(r["sums"]), np.array(r["products"])) for s, r in m.items()})
+    held = acts.sparkSession.sparkContext.broadcast(_Replaced(m["pred"], m["target"]))
     pairs = acts.where("side = 'pred'").select("pair_id", F.col("embedding").alias("p")).join(acts.where("side = 'target'").select("pair_id", F.col("embedding").alias("t")), "pair_id")
 
     def run(batches):
-        n, sums, products = held.value["pred"]
-        d = len(sums)
-        target_mean, target = _cov(*held.value["target"])
-        extra = EPS_COV * np.eye(d) if np.linalg.eigvalsh(_cov(n, sums, products)[1]).min() <= 0 else np.zeros((d, d))
-        values, vectors = np.linalg.eigh(target + extra)
-        root = (vectors * np.sqrt(np.maximum(values, 0))) @ vectors.T
-
-        def distances(p: np.ndarray, t: np.ndarray) -> np.ndarray:
-            mean = (sums - p + t) / n
-            square = lambda x: x[:, :, None] * x[:, None, :]
-            cov = (products.reshape(d, d) - square(p) + square(t) - n * square(mean)) / (n - 1) + extra
-            cross = np.sqrt(np.maximum(np.linalg.eigvalsh(root @ cov @ root), 0)).sum(-1)
-            return ((mean - target_mean) ** 2).sum(-1) + np.trace(cov, axis1=1, axis2=2) + np.trace(target + extra) - 2 * cross
-
-        full = distances(np.zeros((1, d)), np.zeros((1, d)))[0]
         for b in batches:
             for start in range(0, len(b), LOO_ROWS):
                 some = b.iloc[start : start + LOO_ROWS]
                 p, t = (np.stack(some[c].to_numpy()).astype(float) for c in ("p", "t"))
-                yield pd.DataFrame({"pair_id": some["pair_id"], "delta": distances(p, t) - full})
+                yield pd.DataFrame({"pair_id": some["pair_id"], "delta": held.value.deltas(p, t)})
 
     return pairs.mapInPandas(run, "pair_id long, delta double")
 

@@ -173,9 +173,10 @@ def _(v):
     n as (select side, count(*)::bigint as n from activations group by 1)
     select side, n, i, sum(x) as total, sum(x * x) as squares from a join n using (side) group by side, n, i""")
 def _(v):
-    m = M.moments(v.activations.select("side", "embedding"), [])
+    m = M.moment_tiles(v.activations.select("side", "embedding"), []).where("i = j")
     d = F.size("sums")
-    return m.select("side", "n", F.posexplode("sums").alias("i", "total"), "products", d.alias("d")).select("side", "n", "i", "total", F.get("products", F.col("i") * F.col("d") + F.col("i")).alias("squares"))
+    m = m.select("side", "n", F.posexplode("sums").alias("k", "total"), "products", d.alias("d"), "i")
+    return m.select("side", "n", (F.col("i") * M.TILE + F.col("k")).cast("int").alias("i"), "total", F.get("products", F.col("k") * F.col("d") + F.col("k")).alias("squares"))
 
 
 @query("a10_frechet")
