@@ -269,11 +269,11 @@ def overlap_pairs(rects: DataFrame, scores: DataFrame, cap: int = 2) -> DataFram
     return out.select("image_id", "a", "b", (F.col("sb") - F.col("sa")).alias("score_diff"))
 
 
-def accept_masks(candidates: DataFrame, existing: DataFrame, limit_existing: float, limit_current: float, alone: float = 0.0) -> DataFrame:
+def accept_masks(candidates: DataFrame, existing: DataFrame, limit_existing: float, limit_current: float) -> DataFrame:
     """candidates and existing (image_id, mask_id, y0, y1, x0, x1; a row per rectangle of the mask) -> mask_id, the largest shares of an
     existing mask and of the candidate that they have in common, accepted (both within their limits).
 
-    Areas are those of the unions. alone: max_inter_current of a candidate whose image has no existing mask.
+    Areas are those of the unions. A candidate whose image has no existing mask has shares of 0.
     """
     r = ["y0", "y1", "x0", "x1"]
     e = existing.select("image_id", F.col("mask_id").alias("e_id"), *[F.col(c).alias(f"e_{c}") for c in r])
@@ -285,11 +285,8 @@ def accept_masks(candidates: DataFrame, existing: DataFrame, limit_existing: flo
     own = union_area(candidates, "mask_id").withColumnRenamed("area", "own")
     other = union_area(existing, "mask_id").select(F.col("mask_id").alias("e_id"), F.col("area").alias("other"))
     most = common.join(own, "mask_id").join(other, "e_id").groupBy("mask_id").agg(F.max(F.col("common") / F.col("other")).alias("of_existing"), F.max(F.col("common") / F.col("own")).alias("of_current"))
-    images = existing.select("image_id").distinct().withColumn("has", F.lit(True))
-    every = candidates.select("image_id", "mask_id").distinct().join(images, "image_id", "left").groupBy("mask_id").agg(F.bool_or(F.coalesce("has", F.lit(False))).alias("has"))
-    g = every.join(most, "mask_id", "left").select(
-        "mask_id", F.coalesce("of_existing", F.lit(0.0)).alias("max_inter_existing"), F.coalesce("of_current", F.when(F.col("has"), F.lit(0.0)).otherwise(F.lit(alone))).alias("max_inter_current"),
-    )
+    every = candidates.select("mask_id").distinct()
+    g = every.join(most, "mask_id", "left").select("mask_id", *[F.coalesce(c, F.lit(0.0)).alias(n) for c, n in (("of_existing", "max_inter_existing"), ("of_current", "max_inter_current"))])
     return g.withColumn("accepted", (F.col("max_inter_existing") <= limit_existing) & (F.col("max_inter_current") <= limit_current))
 
 

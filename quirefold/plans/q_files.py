@@ -57,6 +57,20 @@ def _(v):
     return rows.join(rows.groupBy("file").count(), "file").select("doc_id", (F.col("count") <= most).alias("fits"))
 
 
+@query("src7_split_by_size", """with recursive d as (select doc_id % 8 as shard, doc_id, row_number() over (partition by doc_id % 8 order by doc_id) as i, coalesce(strlen(text), 0) as size from documents),
+    g as (select shard, doc_id, i, 0::bigint as part, 1 as n, size as held, size from d where i = 1 union all
+      select d.shard, d.doc_id, d.i, case when n + 1 > 40 or held + d.size > 60000 then part + 1 else part end, case when n + 1 > 40 or held + d.size > 60000 then 1 else n + 1 end, case when n + 1 > 40 or held + d.size > 60000 then d.size else held + d.size end, d.size
+      from g join d on d.shard = g.shard and d.i = g.i + 1)
+    select doc_id, shard, part, md5(text) as content, sum(size) over (partition by shard, part)::bigint as part_bytes, count(*) over (partition by shard, part) as part_records from g join documents using (doc_id)""")
+def _(v):
+    path = scratch_path(v.spark)
+    rows = v.documents.select("doc_id", (F.col("doc_id") % 8).alias("shard"), "text", F.octet_length("text").alias("size"))
+    R.split_shards(rows, path, "shard", ["doc_id"], "size", 40, 60_000)
+    kept = v.spark.read.schema("doc_id long, text string, size int, shard long, part long").parquet(path)
+    sums = kept.groupBy("shard", "part").agg(F.sum(F.coalesce("size", F.lit(0))).alias("part_bytes"), F.count("*").alias("part_records"))
+    return kept.select("doc_id", "shard", "part", F.md5(F.col("text")).alias("content")).join(sums, ["shard", "part"])
+
+
 @query("src6_written_shards", "select doc_id, (('0x' || substr(md5('3:' || doc_id), 1, 8))::bigint % 4)::int as shard from documents")
 def _(v):
     path = scratch_path(v.spark)

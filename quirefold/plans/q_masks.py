@@ -187,10 +187,6 @@ def _(v):
     return M.candidates(s, dims, 0.1).withColumn("share", F.col("share").cast("double"))
 
 
-def _first_rect(v):
-    return v.mask_rects.where("rn = 1")
-
-
 _MOVED = "least(greatest(round_even({0}, 0)::bigint, 0), 128)"
 _X = "(r.{0} - mx) * f"
 #: Copies of masks on images of 128 x 128: strips between edges of y, disjoint spans in each, and sums over them for every shift.
@@ -263,15 +259,7 @@ def _(v):
     return pairs.withColumn("pos", F.row_number().over(Window.partitionBy("image_id").orderBy("score_diff", "a", "b")))
 
 
-@query("j16_accept_masks", """with c as (select * from mask_rects where rn = 1 and mask_id % 2 = 0), e as (select * from mask_rects where rn = 1 and mask_id % 2 = 1),
-    p as (select c.mask_id, coalesce(greatest(0, least(c.y1, e.y1) - greatest(c.y0, e.y0)) * greatest(0, least(c.x1, e.x1) - greatest(c.x0, e.x0)), 0) as common, (e.y1 - e.y0) * (e.x1 - e.x0) as ea, (c.y1 - c.y0) * (c.x1 - c.x0) as ca from c left join e using (image_id)),
-    g as (select mask_id, coalesce(max(case when ea is null then null else common / ea::double end), 0.0)::double as max_inter_existing, max(common / ca::double) as max_inter_current from p group by 1) select *, max_inter_existing <= 0.2 and max_inter_current <= 0.3 as accepted from g""")
-def _(v):
-    r = _first_rect(v)
-    return M.accept_masks(r.where("mask_id % 2 = 0"), r.where("mask_id % 2 = 1").select("image_id", "mask_id", "y0", "y1", "x0", "x1"), 0.2, 0.3, alone=1.0)
-
-
-@query("j16_accept_masks_whole", """with cells as (select distinct image_id, mask_id, y, x from mask_rects, unnest(range(y0, y1)) as a(y), unnest(range(x0, x1)) as b(x)), n as (select mask_id, count(*) as area from cells group by 1),
+@query("j16_accept_masks", """with cells as (select distinct image_id, mask_id, y, x from mask_rects, unnest(range(y0, y1)) as a(y), unnest(range(x0, x1)) as b(x)), n as (select mask_id, count(*) as area from cells group by 1),
     p as (select c.mask_id, e.mask_id as e_id, count(*) as common from cells c join cells e using (image_id, y, x) where c.mask_id % 2 = 0 and e.mask_id % 2 = 1 group by 1, 2),
     g as (select p.mask_id, max(common / ne.area::double) as of_existing, max(common / nc.area::double) as of_current from p join n nc on p.mask_id = nc.mask_id join n ne on p.e_id = ne.mask_id group by 1)
     select n.mask_id, coalesce(of_existing, 0.0)::double as max_inter_existing, coalesce(of_current, 0.0)::double as max_inter_current, coalesce(of_existing, 0.0) <= 0.2 and coalesce(of_current, 0.0) <= 0.3 as accepted from n left join g using (mask_id) where n.mask_id % 2 = 0""")

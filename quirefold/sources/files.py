@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,51 @@ def split_shard(records: DataFrame, path: str, most: int) -> None:
     records.write.mode("overwrite").option("maxRecordsPerFile", most).parquet(path)
 
 
+def numbered(records: DataFrame, shard: str, order: list[str], size: str, max_records: int, max_bytes: int) -> DataFrame:
+    """records and ``part``, from 0 in every shard: its records in order, as many in each part as both bounds allow.
+
+    A record larger than max_bytes is a part of its own; a null size counts as 0. Keys and sizes alone are sorted and streamed through; a shard, which
+    is a file that some writer made, is one run of them.
+    """
+    narrow = records.select(shard, *order, F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size_"))
+    kinds = ", ".join(f"{c} {narrow.schema[c].dataType.simpleString()}" for c in [shard, *order])
+
+    def run(batches):
+        key, part, count, held = None, 0, 0, 0
+        for b in batches:
+            if not len(b):
+                continue
+            keys, sizes = b[shard].to_numpy(), b["size_"].to_numpy(np.int64)
+            parts, ends = np.empty(len(b), np.int64), np.cumsum(sizes)
+            new = np.r_[key is None or keys[0] != key, keys[1:] != keys[:-1]]
+            at = 0
+            for stop in [*np.flatnonzero(new)[1:].tolist(), len(b)] if new[0] else [*np.flatnonzero(new).tolist(), len(b)]:
+                if new[at]:
+                    part, count, held = 0, 0, 0
+                while at < stop:
+                    before = ends[at - 1] if at else 0
+                    fit = min(stop, at + max_records - count, int(np.searchsorted(ends, before + max_bytes - held, side="right")))
+                    if fit <= at and count == 0:
+                        fit = at + 1  # larger than a part may be
+                    parts[at:fit] = part
+                    if fit > at:
+                        count, held = count + fit - at, held + int(ends[fit - 1] - before)
+                    if fit < stop:
+                        part, count, held = part + 1, 0, 0
+                    at = max(at, fit)
+            key = keys[-1]
+            yield b[[shard, *order]].assign(part=parts)
+
+    parts = narrow.repartition(shard).sortWithinPartitions(shard, *order).mapInPandas(run, f"{kinds}, part long")
+    return records.join(parts, [shard, *order])
+
+
+def split_shards(records: DataFrame, path: str, shard: str, order: list[str], size: str, max_records: int, max_bytes: int) -> None:
+    """A folder for every part of every shard, as ``numbered`` cuts them, each with one file of records in order. (shard, order) must not repeat."""
+    rows = numbered(records, shard, order, size, max_records, max_bytes).repartition(shard, "part")
+    rows.sortWithinPartitions(shard, "part", *order).write.mode("overwrite").partitionBy(shard, "part").parquet(path)
+
+
 def read_classes(spark: SparkSession, path: str) -> DataFrame:
     """A class table (Idx, Ratio, Train, Val, Stuff, Name) with label_index = Idx - 1."""
     schema = "Idx int, Ratio double, Train int, Val int, Stuff int, Name string"

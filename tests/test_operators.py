@@ -416,3 +416,26 @@ def test_placed_copies_fit(spark):
         copy = cells((m, r["y0"], r["y1"], r["x0"], r["x1"]) for r in moved if (r["mask_id"], r["variant"]) == (m, k))
         assert all(0 <= y < 48 and 0 <= x < 64 for y, x in copy)
         assert len(copy) >= 0.01 * 48 * 64 and len(copy & mask) <= 0.3 * min(len(mask), len(copy))
+
+
+def test_parts_of_shards_brute_force(spark):
+    """Both bounds, records larger than a part, nulls, ties with the bounds, and shards over many Arrow batches."""
+    from quirefold.sources import files
+
+    rng = random.Random(9)
+    rows = [(s, i, rng.choice([None, 0, 5, 10, 40, 100, 300])) for s in range(4) for i in range(60 if s else 400)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        df = spark.createDataFrame(rows, "shard long, id long, size long")
+        got = {(r["shard"], r["id"]): r["part"] for r in files.numbered(df.repartition(5), "shard", ["id"], "size", 6, 100).collect()}
+        assert files.numbered(df.limit(0), "shard", ["id"], "size", 6, 100).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, last = {}, None
+    for s, i, size in rows:
+        if s != last:
+            part, n, held, last = 0, 0, 0, s
+        if n and (n == 6 or held + (size or 0) > 100):
+            part, n, held = part + 1, 0, 0
+        want[s, i], n, held = part, n + 1, held + (size or 0)
+    assert got == want
