@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,13 +143,51 @@ def ssim_of(a: np.ndarray, b: np.ndarray) -> float:
     return float((((2 * ma * mb + 1e-4) * (2 * cab + 9e-4)) / ((ma * ma + mb * mb + 1e-4) * (va + vb + 9e-4))).mean())
 
 
-def ssim(pred: DataFrame, target: DataFrame) -> DataFrame:
-    """page rows (page_id, y, px array) twice, values 0..255 -> page_id, ssim. A page's rows meet in one task."""
+#: Weights of the window along an axis, and rows of a page that are handled together.
+WEIGHTS = _gauss().tolist()
+REACH = len(WEIGHTS) // 2
+BLOCK = 512
 
-    def one(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if not len(p) or len(p) != len(t):
-            return pd.DataFrame({"page_id": [], "ssim": []})
-        a, b = (np.stack(df.sort_values("y")["px"].to_numpy()).astype(float) / 255 for df in (p, t))
-        return pd.DataFrame({"page_id": [p["page_id"].iloc[0]], "ssim": [ssim_of(a, b)]})
 
-    return pred.groupBy("page_id").cogroup(target.groupBy("page_id")).applyInPandas(one, "page_id long, ssim double")
+def _across(values: Column) -> Column:
+    """Weighted sums along a row, with zeros around it."""
+    near = lambda x: sum((F.coalesce(F.try_element_at(values, (x + (k - REACH + 1)).cast("int")), lit(0)) if k > REACH else F.when(x >= REACH - k, F.get(values, x + (k - REACH))).otherwise(lit(0))) * g for k, g in enumerate(WEIGHTS))
+    return F.transform(F.sequence(F.lit(0), F.size(values) - 1), near)
+
+
+def ssim(pred: DataFrame, target: DataFrame, block: int = BLOCK) -> DataFrame:
+    """page rows (page_id, y, px array) twice, values 0..255 -> page_id, ssim: the mean of the structural similarity in 11 x 11 Gaussian windows, zeros around the page.
+
+    The window is two sums: along a row where it stands, then down the REACH rows above and below, in blocks of rows that overlap by as many.
+    So no task needs a whole page. Pages of which a row is missing on one side, null, empty, or longer on one side give no row.
+    """
+    rows = pred.select("page_id", "y", F.col("px").alias("p")).join(target.select("page_id", "y", F.col("px").alias("t")), ["page_id", "y"], "full")
+    good = F.coalesce((F.size("p") > 0) & (F.size("p") == F.size("t")), F.lit(False))
+    unit = lambda c: F.transform(c, lambda v: v / lit(255.0))
+    rows = rows.withColumn("good", good).withColumns({c: F.when(F.col("good"), unit(F.col(c))).otherwise(F.array().cast("array<double>")) for c in ("p", "t")})
+    product = lambda x, y: F.zip_with(x, y, lambda a, b: a * b)
+    moments = {"m_p": F.col("p"), "m_t": F.col("t"), "pp": product("p", "p"), "tt": product("t", "t"), "pt": product("p", "t")}
+    rows = rows.select("page_id", "y", "good", *[c.alias(n) for n, c in moments.items()])
+    rows = rows.select("page_id", "y", "good", *[F.when(F.size(n) > 0, _across(F.col(n))).otherwise(F.col(n)).alias(n) for n in moments])
+
+    first, last = (F.floor((F.col("y") + d) / block) for d in (-REACH, REACH))
+    dealt = rows.withColumn("block", F.explode(F.sequence(first, last)))
+    frame = Window.partitionBy("page_id", "block").orderBy("y").rangeBetween(-REACH, REACH)
+    dealt = dealt.withColumn("near", F.collect_list(F.struct("y", *moments)).over(frame)).where(F.floor(F.col("y") / block) == F.col("block"))
+    weights = F.array(*[lit(g) for g in WEIGHTS])
+
+    def down(name: str) -> Column:
+        part = lambda x: F.aggregate("near", lit(0.0), lambda acc, r: acc + F.get(weights, (r["y"] - F.col("y") + REACH).cast("int")) * F.coalesce(F.get(r[name], x), lit(0.0)))
+        return F.transform(F.sequence(F.lit(0), F.size(name) - 1), part)
+
+    blurred = dealt.select("page_id", "good", *[F.when(F.size(n) > 0, down(n)).otherwise(F.col(n)).alias(n) for n in moments])
+
+    def similarity(z: Column) -> Column:
+        a, b = z["m_p"], z["m_t"]
+        return ((2 * a * b + 1e-4) * (2 * (z["pt"] - a * b) + 9e-4)) / ((a * a + b * b + 1e-4) * ((z["pp"] - a * a) + (z["tt"] - b * b) + 9e-4))
+
+    values = F.transform(F.arrays_zip(*moments), similarity)
+    sums = blurred.select("page_id", "good", F.aggregate(values, lit(0.0), lambda acc, v: acc + v).alias("s"), F.size(values).alias("n"))
+    out = sums.groupBy("page_id").agg(F.bool_and("good").alias("good"), F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return out.where("good").select("page_id", (F.col("s") / F.col("n")).alias("ssim"))
+

@@ -309,7 +309,12 @@ def _(v):
     return P.class_counts(p.withColumn("cls", (F.col("v") * 3 + F.col("x")) % 11), p.withColumn("cls", F.col("v") % 11), p.where((F.col("y") + F.col("x")) % 3 == 0))
 
 
-@query("a9_ssim")
+@query("a9_ssim", """with w as (select k, exp(-(k * k) / (2 * 1.5::double * 1.5)) as g from unnest(range(-5, 6)) as u(k)), n as (select k, g / (select sum(g) from w) as g from w),
+    a as (select page_id, y, x, v / 255.0::double as p, least(255, v + x) / 255.0::double as t from pixels),
+    h as (select page_id, y, x - k as x, sum(g * p) as p, sum(g * t) as t, sum(g * p * p) as pp, sum(g * t * t) as tt, sum(g * p * t) as pt from a, n group by 1, 2, 3),
+    b as (select page_id, y - k as y, x, sum(g * p) as p, sum(g * t) as t, sum(g * pp) as pp, sum(g * tt) as tt, sum(g * pt) as pt from h, n group by 1, 2, 3)
+    select page_id, avg(((2 * b.p * b.t + 1e-4::double) * (2 * (pt - b.p * b.t) + 9e-4::double)) / ((b.p * b.p + b.t * b.t + 1e-4::double) * ((pp - b.p * b.p) + (tt - b.t * b.t) + 9e-4::double))) as ssim
+    from b join a using (page_id, y, x) group by 1""")
 def _(v):
     rows = lambda e: v.pixels.groupBy("page_id", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", e.alias("v")))), lambda s: s["v"]).alias("px"))
     return P.ssim(rows(F.col("v")), rows(F.least(F.lit(255), F.col("v") + F.col("x"))))

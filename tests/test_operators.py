@@ -439,3 +439,16 @@ def test_parts_of_shards_brute_force(spark):
             part, n, held = part + 1, 0, 0
         want[s, i], n, held = part, n + 1, held + (size or 0)
     assert got == want
+
+
+def test_ssim_of_blocks_of_rows(spark):
+    """Pages over several blocks, of one row and column, and pairs that don't match, against the whole page at once."""
+    rng = np.random.default_rng(11)
+    pages = {1: (70, 9), 2: (1, 1), 3: (16, 30), 4: (5, 4), 5: (6, 6)}
+    a = {p: rng.integers(0, 256, shape) for p, shape in pages.items()}
+    b = {p: np.clip(x + rng.integers(-40, 40, x.shape), 0, 255) for p, x in a.items()}
+    rows = lambda x, skip: [(p, y, r.tolist()) for p, m in x.items() for y, r in enumerate(m) if (p, y) != skip]
+    frame = lambda x, skip=None: spark.createDataFrame(rows(x, skip), "page_id long, y long, px array<long>")
+    got = {r["page_id"]: r["ssim"] for r in pixels.ssim(frame(a), frame(b, (5, 3)), block=16).collect()}
+    assert got == {p: pytest.approx(pixels.ssim_of(a[p] / 255, b[p] / 255), abs=1e-9) for p in (1, 2, 3, 4)}
+    assert pixels.ssim(frame(a).limit(0), frame(b).limit(0)).collect() == []
