@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions.bins import bin_index, bin_label
-from quirefold.session import scratch_path
+from quirefold.session import tables
 
 EPS = 1e-3
 
@@ -316,15 +316,91 @@ def frechet_loo(acts: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, "pair_id long, delta double")
 
 
+#: Newton steps at most, and shares of a step that are tried together.
+STEPS, SHARES = 50, 0.5 ** np.arange(12)
+
+
+def _summed(parts: DataFrame, kinds: str) -> list[np.ndarray]:
+    """The sums of rows of arrays, added in heaps by partition first, so that the driver gets one row."""
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({c: [np.sum(np.stack(rows[c].to_numpy()), axis=0)] for c in rows.columns if c != "heap"})
+
+    heaps = parts.withColumn("heap", F.spark_partition_id() % HEAPS).groupBy("heap").applyInPandas(add, kinds)
+    rows = heaps.groupBy().applyInPandas(add, kinds).collect()
+    return [np.asarray(x, float) for x in rows[0]] if rows else []
+
+
+def _signed_rows(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with a 1 behind them, and +1 for targets, -1 for predictions."""
+    x = np.stack(b["embedding"].to_numpy()).astype(float)
+    return np.c_[x, np.ones(len(x))], np.where(b["side"] == "target", 1.0, -1.0)
+
+
+def fit_separator(data: DataFrame, cost: float = 1.0) -> np.ndarray:
+    """(side, embedding) -> weights and, last, the intercept that minimise |w|^2 / 2 + cost * sum of max(0, 1 - sign * score)^2, the intercept counted in.
+
+    Newton steps from zero. A pass sums gradients and Hessians (dims squared numbers a task), another tries shares of the step all at once; the
+    function is convex and made of quadratic pieces, so a few steps end at its minimum, whatever the partitions are. Empty: no weights.
+    """
+    width = data.select(F.size("embedding")).first()
+    if width is None:
+        return np.empty(0)
+    w = np.zeros(width[0] + 1)
+
+    def slopes(w):
+        def run(batches):
+            g, h, loss = np.zeros(len(w)), np.zeros((len(w), len(w))), 0.0
+            for b in batches:
+                if len(b):
+                    x, y = _signed_rows(b)
+                    short = np.maximum(0, 1 - y * (x @ w))
+                    near = x[short > 0]
+                    g -= 2 * cost * (x.T @ (y * short))
+                    h += 2 * cost * (near.T @ near)
+                    loss += cost * (short @ short)
+            yield pd.DataFrame({"g": [g], "h": [h.ravel()], "loss": [[loss]]})
+
+        kinds = "g array<double>, h array<double>, loss array<double>"
+        g, h, loss = _summed(data.mapInPandas(run, kinds), kinds)
+        return g + w, h.reshape(len(w), -1) + np.eye(len(w)), float(loss[0]) + w @ w / 2
+
+    def losses(points):
+        def run(batches):
+            sums = np.zeros(len(points))
+            for b in batches:
+                if len(b):
+                    x, y = _signed_rows(b)
+                    sums += cost * (np.maximum(0, 1 - y[:, None] * (x @ points.T)) ** 2).sum(0)
+            yield pd.DataFrame({"loss": [sums]})
+
+        return _summed(data.mapInPandas(run, "loss array<double>"), "loss array<double>")[0] + (points**2).sum(1) / 2
+
+    for _ in range(STEPS):
+        g, h, loss = slopes(w)
+        step = -np.linalg.solve(h, g)
+        if -(g @ step) <= 1e-14 * (1 + loss):
+            break
+        points = w + SHARES[:, None] * step
+        enough = losses(points) <= loss + 1e-4 * SHARES * (g @ step)
+        if not enough.any():
+            break
+        w = points[int(np.argmax(enough))]
+    return w
+
+
 def separability(acts: DataFrame) -> DataFrame:
-    """Linear support-vector decision scores of predictions against targets: pair_id, side, score."""
-    from pyspark.ml.classification import LinearSVC
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    data = acts.select("pair_id", "side", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), (F.col("side") == "pred").cast("double").alias("label"))
-    # the fit passes over the features again and again: they are written once
-    path, kind = scratch_path(acts.sparkSession), data.schema
-    data.write.parquet(path)
-    data = acts.sparkSession.read.schema(kind).parquet(path)
-    model = LinearSVC(maxIter=20, regParam=0.01).fit(data)
-    return model.transform(data).select("pair_id", "side", vector_to_array("rawPrediction")[1].alias("score"))
+    """Decision scores of a linear support-vector machine with squared hinge that tells targets (above 0) from predictions: pair_id, side, score.
+
+    The rows are written once, as the fit reads them again and again. Empty table: no rows.
+    """
+    with tables(acts.sparkSession) as save:
+        data = save(acts.select("pair_id", "side", "embedding"), keep=True)
+        w = fit_separator(data)
+
+    def score(batches):
+        for b in batches:
+            if len(b):
+                yield b[["pair_id", "side"]].assign(score=_signed_rows(b)[0] @ w)
+
+    return data.mapInPandas(score, f"pair_id {acts.schema['pair_id'].dataType.simpleString()}, side string, score double")

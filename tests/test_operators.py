@@ -452,3 +452,22 @@ def test_ssim_of_blocks_of_rows(spark):
     got = {r["page_id"]: r["ssim"] for r in pixels.ssim(frame(a), frame(b, (5, 3)), block=16).collect()}
     assert got == {p: pytest.approx(pixels.ssim_of(a[p] / 255, b[p] / 255), abs=1e-9) for p in (1, 2, 3, 4)}
     assert pixels.ssim(frame(a).limit(0), frame(b).limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("apart", [0.3, 6.0])
+def test_separating_scores(spark, apart):
+    """Scores are linear, at the minimum (its gradient is zero), the same for any partitions, and put the sides apart."""
+    rng = np.random.default_rng(12)
+    x, y = rng.normal(size=(80, 6)), np.repeat([1.0, -1.0], 40)
+    x[:40, 0] += apart
+    rows = [(i, "target" if s > 0 else "pred", v.tolist()) for i, (v, s) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows, "pair_id long, side string, embedding array<double>")
+    one, many = ({r["pair_id"]: r["score"] for r in metrics.separability(df.repartition(k)).collect()} for k in (1, 8))
+    scores = np.array([one[i] for i in range(80)])
+    assert np.allclose(scores, [many[i] for i in range(80)], atol=1e-9)
+    whole = np.c_[x, np.ones(80)]
+    w, *_ = np.linalg.lstsq(whole, scores, rcond=None)
+    assert np.allclose(whole @ w, scores)
+    assert np.abs(w - 2 * whole.T @ (y * np.maximum(0, 1 - y * scores))).max() < 1e-6
+    assert ((scores > 0) == (y > 0)).mean() > (0.95 if apart > 1 else 0.5)
+    assert metrics.separability(df.limit(0)).collect() == []
