@@ -179,9 +179,29 @@ def _(v):
     return m.select("side", "n", (F.col("i") * M.TILE + F.col("k")).cast("int").alias("i"), "total", F.get("products", F.col("k") * F.col("d") + F.col("k")).alias("squares"))
 
 
-@query("a10_frechet")
+def _times(a: str, b: str) -> str:
+    """The product of two matrices, lists of rows."""
+    return f"list_transform({a}, lambda r: list_transform(range(1, len({b}) + 1), lambda c: list_dot_product(r, list_transform({b}, lambda q: q[c]))))"
+
+
+#: With the root of the covariances' product from a Newton-Schulz iteration, which needs no eigenvalues.
+FRECHET = f"""with recursive x as (select side, pair_id, unnest(embedding)::double as v, unnest(range(1, len(embedding) + 1)) as i from activations),
+    n as (select side, count(*)::double as n from activations group by 1), m as (select side, i, avg(v) as m from x group by 1, 2),
+    c as (select a.side, a.i, b.i as j, (sum(a.v * b.v) - any_value(n) * any_value(p.m) * any_value(q.m)) / (any_value(n) - 1) as v
+      from x a join x b using (side, pair_id) join n using (side) join m p on p.side = a.side and p.i = a.i join m q on q.side = a.side and q.i = b.i group by 1, 2, 3),
+    w as (select side, i, list(v order by j) as r from c group by 1, 2), k as (select side, list(r order by i) as k from w group by 1),
+    a as (select {_times('p.k', 't.k')} as a from k p, k t where p.side = 'pred' and t.side = 'target'),
+    s as (select a, sqrt(list_sum(list_transform(a, lambda r: list_dot_product(r, r)))) as s from a),
+    ns as (select 0 as i, list_transform(a, lambda r: list_transform(r, lambda x: x / s)) as y, list_transform(range(1, len(a) + 1), lambda p: list_transform(range(1, len(a) + 1), lambda q: case when p = q then 1.0::double else 0.0 end)) as z, s from s
+      union all select i + 1, {_times('y', 't')}, {_times('t', 'z')}, s
+      from (select *, list_transform(zy, lambda r, p: list_transform(r, lambda x, q: (case when p = q then 3.0::double else 0.0 end - x) / 2)) as t from (select *, {_times('z', 'y')} as zy from ns where i < 40) q) q),
+    tr as (select sqrt(s) * list_sum(list_transform(range(1, len(y) + 1), lambda p: y[p][p])) as cross_ from ns where i = 40)
+    select 'all' as grp, round((select sum((p.m - t.m) * (p.m - t.m)) from m p join m t on p.i = t.i and p.side = 'pred' and t.side = 'target') + (select sum(v) from c where i = j) - 2 * cross_, 6) as value from tr"""
+
+
+@query("a10_frechet", FRECHET)
 def _(v):
-    return M.frechet(v.activations)
+    return M.frechet(v.activations).withColumn("value", F.round("value", 6))
 
 
 @query("a10_frechet_by_group")
