@@ -16,8 +16,8 @@ bounded size, block against block (nodes of the largest component only against t
 ones join into families; each block sends fewer edges than it has nodes. Families, of close pairs and
 of links together, are dealt in blocks in the same way, now with full sets, and the links found
 there again are sent as a forest. Links join into components by the smallest id. So every pair
-that shares a band is compared, in memory, unless links already join it, and no stage sends more
-than a multiple of its nodes.
+that shares a band is compared, in memory, unless links already join it. A bucket or family of n nodes
+that few links join is sent about n / BLOCK times, block against block: there the work grows with n * n.
 """
 
 from __future__ import annotations
