@@ -6,8 +6,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirefold.session import tables
+
 from .folds import fold_sorted
 
+#: Rows of a page beyond which it is cut in blocks of so many.
+TALL = 8192
+
 
 def row_features(pixels: DataFrame) -> DataFrame:
     """(page_id, y, x, v) -> page_id, y, mean, var (population), grad (summed vertical change per pixel; 0 in row 0), white."""
@@ -62,38 +67,108 @@ def best_cut(cost: DataFrame, cur: DataFrame, min_h: int, max_h: int, penalty: f
     return at.join(best, "page_id", "left").select("page_id", F.coalesce("m.y", F.least(F.col("cur") + min_h, "height")).cast("long").alias("y"))
 
 
-def cuts(cost: DataFrame, min_h: int, max_h: int, penalty: float, tail: str = "absorb") -> DataFrame:
-    """cost rows -> page_id, slice_no, top, bottom: cut after cut as best_cut says, page by page.
-
-    absorb: a last piece under min_h joins the one before it. clamp: cuts stop at the last row instead.
-    """
-    wanted = (min_h + max_h) // 2
-
-    def fold(g):
-        cost, safe = g["cost"].astype(float), g["safe"].astype(bool)
-        n, cur, found = len(cost), 0, [0]
-        while n - cur > max_h:
-            a, b = cur + min_h, min(cur + max_h, n)
-            if a >= n:
-                y = n
-            else:
-                part = np.where(safe[a:b], cost[a:b] + penalty * np.abs(np.arange(a, b) - cur - wanted), np.inf)
-                y = a + (int(np.argmin(part)) if safe[a:b].any() else 0)
-            if y <= cur:
-                y = cur + min_h
-            if tail == "absorb" and n - y < min_h:
-                y = n
-            y = min(y, n if tail == "absorb" else n - 1)
+class _Cutter:
+    """The next cut below a cut, in rows of a page of n rows that begin at row ``base``."""
+
+    def __init__(self, g: dict, base: int, n: int, min_h: int, max_h: int, penalty: float, tail: str):
+        self.cost, self.safe, self.base, self.n = g["cost"].astype(float), g["safe"].astype(bool), base, n
+        self.min_h, self.max_h, self.penalty, self.tail = min_h, max_h, penalty, tail
+
+    def after(self, cur: int) -> int:
+        """The cut below cur; cur itself if it is the last one."""
+        n, wanted = self.n, (self.min_h + self.max_h) // 2
+        if n - cur <= self.max_h:
+            return cur
+        a, b = cur + self.min_h, min(cur + self.max_h, n)
+        if a >= n:
+            y = n
+        else:
+            cost, safe = self.cost[a - self.base : b - self.base], self.safe[a - self.base : b - self.base]
+            part = np.where(safe, cost + self.penalty * np.abs(np.arange(a, b) - cur - wanted), np.inf)
+            y = a + (int(np.argmin(part)) if safe.any() else 0)
+        if y <= cur:
+            y = cur + self.min_h
+        if self.tail == "absorb" and n - y < self.min_h:
+            y = n
+        return min(y, n if self.tail == "absorb" else n - 1)
+
+    def walk(self, cur: int, end: int) -> tuple[list[int], list[int]]:
+        """Tops and bottoms of the pieces that begin at cur and below it, before row ``end``."""
+        tops, bottoms = [], []
+        while cur < end:
+            y = self.after(cur)
             if y == cur:
+                if cur != self.n:
+                    tops.append(cur)
+                    bottoms.append(self.n)
                 break
-            found.append(y)
+            tops.append(cur)
+            bottoms.append(y)
             cur = y
-        if found[-1] != n:
-            found.append(n)
-        top, bottom = np.array(found[:-1]), np.array(found[1:])
-        return {"slice_no": np.arange(len(top)), "top": top, "bottom": bottom}
+        return tops, bottoms
 
-    return fold_sorted(cost.select("page_id", "y", "cost", "safe"), "page_id", ["y"], fold, "page_id long, slice_no long, top long, bottom long")
+
+def cuts(cost: DataFrame, min_h: int, max_h: int, penalty: float, tail: str = "absorb", block: int = TALL) -> DataFrame:
+    """cost rows -> page_id, slice_no, top, bottom: cut after cut as best_cut says, page by page.
+
+    absorb: a last piece under min_h joins the one before it. clamp: cuts stop at the last row instead. A page of up to ``block`` rows is
+    walked from its top. Taller ones are dealt into blocks of so many rows and the max_h below them: each block finds for every row where a
+    walk that enters there leaves it, a page then only jumps from block to block, and the blocks write the pieces of the walk that is theirs.
+    """
+    block = max(block, max_h + 1)
+    rows = cost.select("page_id", "y", "cost", "safe")
+    tall = rows.groupBy("page_id").agg((F.max("y") + 1).cast("long").alias("n")).where(F.col("n") > block)
+    made = lambda tops, bottoms, first=0: {"slice_no": first + np.arange(len(tops)), "top": np.array(tops, np.int64), "bottom": np.array(bottoms, np.int64)}
+    args = (min_h, max_h, penalty, tail)
+
+    def whole(g):
+        n = len(g["cost"])
+        return made(*_Cutter(g, 0, n, *args).walk(0, max(n, 1)))
+
+    short = fold_sorted(rows.join(tall, "page_id", "left_anti"), "page_id", ["y"], whole, "page_id long, slice_no long, top long, bottom long")
+
+    blocks = F.sequence(F.greatest(F.lit(0), F.floor((F.col("y") - max_h) / block)), F.floor(F.col("y") / block))
+    dealt = rows.join(tall, "page_id").withColumn("block", F.explode(blocks)).withColumn("part", F.concat_ws(":", "page_id", "block"))
+
+    def through(g):
+        first, n = int(g["block"][0]) * block, int(g["n"][0])
+        end, c = min(first + block, n), _Cutter(g, first, n, *args)
+        leaves, pieces = np.full(end - first, -1), np.zeros(end - first, np.int64)
+        for cur in range(end - 1, first - 1, -1):
+            y = c.after(cur)
+            if y != cur:
+                inside = y < end
+                leaves[cur - first] = leaves[y - first] if inside else (y if y < n else -1)
+                pieces[cur - first] = 1 + (pieces[y - first] if inside else 0)
+        out = {"page_id": g["page_id"][:1], "block": g["block"][:1]}
+        for name, x in (("leaves", leaves), ("pieces", pieces)):
+            out[name] = np.empty(1, object)
+            out[name][0] = x[:max_h].tolist()
+        return out
+
+    with tables(cost.sparkSession) as save:
+        ways = save(fold_sorted(dealt, "part", ["y"], through, "part string, page_id long, block long, leaves array<long>, pieces array<long>").drop("part"))
+
+        def jump(g):
+            cur, number, entries, firsts = 0, 0, [], []
+            for k, leaves, pieces in zip(g["block"], g["leaves"], g["pieces"], strict=True):
+                entries.append(cur)
+                firsts.append(number)
+                if cur < 0:
+                    continue
+                at = cur - int(k) * block
+                cur, number = int(leaves[at]), number + int(pieces[at])
+            return {"block": g["block"], "entry": np.array(entries, np.int64), "number": np.array(firsts, np.int64)}
+
+        entries = save(fold_sorted(ways, "page_id", ["block"], jump, "page_id long, block long, entry long, number long").where("entry >= 0"), keep=True)
+
+    def own(g):
+        first, n = int(g["block"][0]) * block, int(g["n"][0])
+        out = made(*_Cutter(g, first, n, *args).walk(int(g["entry"][0]), min(first + block, n)), int(g["number"][0]))
+        return out | {"page_id": np.repeat(g["page_id"][:1], len(out["top"]))}
+
+    long = fold_sorted(dealt.join(entries, ["page_id", "block"]), "part", ["y"], own, "part string, page_id long, slice_no long, top long, bottom long")
+    return short.unionByName(long.drop("part"))
 
 
 def slice_rows(rows: DataFrame, slices: DataFrame) -> DataFrame:

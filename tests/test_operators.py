@@ -471,3 +471,18 @@ def test_separating_scores(spark, apart):
     assert np.abs(w - 2 * whole.T @ (y * np.maximum(0, 1 - y * scores))).max() < 1e-6
     assert ((scores > 0) == (y > 0)).mean() > (0.95 if apart > 1 else 0.5)
     assert metrics.separability(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("tail", ["absorb", "clamp"])
+def test_tall_pages_are_cut_block_by_block(spark, tail):
+    """A page of a million rows and shorter ones around the size of a block, against a walk from the top."""
+    n = {0: 1_000_000, 1: 1, 2: 64, 3: 65, 4: 200, 5: 128, 6: 143}
+    rows = None
+    for p, tall in n.items():
+        some = spark.range(tall).select(F.lit(p).cast("long").alias("page_id"), F.col("id").alias("y"), (F.pmod(F.xxhash64("id", F.lit(p)), F.lit(1000)) / 1000.0).alias("cost"), (F.pmod(F.xxhash64(F.lit(p), "id"), F.lit(10)) > 5).alias("safe"))
+        rows = some if rows is None else rows.unionByName(some)
+    block = lambda size: slicing.cuts(rows.where("page_id > 0") if size < 1000 else rows, 8, 20, 0.01, tail, size)
+    found = {size: sorted(map(tuple, block(size).collect())) for size in (64, 100_000, 10_000_000)}
+    assert found[100_000] == found[10_000_000]
+    assert found[64] == [r for r in found[10_000_000] if r[0] > 0]
+    assert len([r for r in found[100_000] if r[0] == 0]) > 50_000
