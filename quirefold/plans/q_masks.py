@@ -11,6 +11,7 @@ from quirefold.operators import layout as L
 from quirefold.operators import masks as M
 
 from .registry import query
+from .sql import norm_token
 
 SIDES = ("left_x", "top_y", "right_x", "bottom_y")
 
@@ -421,11 +422,42 @@ def _quality(v):
     return L.layout_quality(blocks)
 
 
-@query("a32_f14_f16_layout_quality")
+def _shape(w: str, tol: float, hard: str, soft: str, edge: str, shift: str) -> str:
+    """Shape terms of the list of widths w as columns; null for up to two widths, where they don't count."""
+    a, b, up, n = f"{w}[i]", f"{w}[i + 1]", f"(i - 0.5 < (len({w}) - 1) / 2.0)", f"len({w})"
+    slack = f"greatest(2.0::double, greatest({a}, {b}) * {tol}::double)"
+    fall = lambda least, k: f"list_sum([case when {up} and {b} < {a} then ({a} - {b}) / greatest({least}::double, {a}) * {k}::double when not {up} and {b} > {a} then ({b} - {a}) / greatest({least}::double, {b}) * {k}::double else 0 end for i in range(1, {n})])"
+    return f"""list_sum([case when {up} then {b} - {a} < -{slack} else {b} - {a} > {slack} end::int for i in range(1, {n})]) as {hard}, {fall(10, 1)} as {soft}, {fall(12, 8)} as {soft}_seq,
+    greatest({w}[1], {w}[-1]) / greatest(1.0::double, list_max({w})) as {edge}, abs(list_position({w}, list_max({w})) - 1 - ({n} - 1) / 2.0::double) as {shift}"""
+
+
+def _shape_sums(n: str, hard: str, soft: str, edge: str, shift: str) -> str:
+    limit = f"case {n} when 3 then 1.01::double when 4 then 0.95::double else 0.92::double end"
+    return f"""case when {n} <= 2 then 0 else {hard} + ({edge} > {limit})::int end::double as {hard}_all, case when {n} <= 2 then 0 else {soft} + greatest(0.0::double, {edge} - ({limit} - 0.10::double)) * 4.0::double + {shift} * 0.60::double end as {soft}_all"""
+
+
+#: Blocks of the quality queries, their lines' shapes in pixels (p) and in characters (c), and what ends in a hyphen or is tiny.
+QUALITY = rf"""wd as (select doc_id, lang as class, string_split(text, ' ') as w, (2 + doc_id % 4)::int as n from documents),
+    bl as (select doc_id, class, b, n, w[{BLOCK_WORDS} * b + 1:{BLOCK_WORDS} * b + {BLOCK_WORDS}] as w from wd, unnest(range(0, (len(w) + {BLOCK_WORDS - 1}) // {BLOCK_WORDS})) as u(b)),
+    ln as (select doc_id || ':' || b as bubble_id, class, [array_to_string(w[i * n + 1:i * n + n], ' ') for i in range(0, (len(w) + n - 1) // n)] as lines from bl),
+    tr as (select *, [trim(s, ' ') for s in lines] as t, [length(s) * 7.5::double for s in lines] as wp from ln),
+    nt as (select *, [{norm_token('s')} for s in t] as norm, [length(regexp_replace(s, '\s+', '', 'g'))::double for s in t] as wc, [s[-1:] = '-' for s in t] as broken,
+      [length({norm_token("string_split(regexp_replace(s, '-$', ''), ' ')[-1]")}) for s in t] as piece, len(list_filter(regexp_split_to_array(array_to_string(t, ' '), '\s+'), lambda x: x <> '')) as nw from tr),
+    st as (select *, coalesce(len(t) >= 2 and broken[1] and length({norm_token("regexp_replace(t[1], '-+$', '')")}) <= 2 and norm[2] <> '', false) as stutter, {_shape('wp', 0.04, 'hp', 'sp', 'ep', 'fp')}, {_shape('wc', 0.07, 'hc', 'sc', 'ec', 'fc')} from nt),
+    ct as (select *, len([i for i in range(1, len(t)) if length(norm[i]) <= 2 and not (stutter and i = 1)]) as tiny, len([i for i in range(1, len(t) + 1) if broken[i] and piece[i] <= 3 and not (stutter and i = 1)]) as short, len([x for x in broken if x])::int as hyphens,
+      {_shape_sums('len(wp)', 'hp', 'sp', 'ep', 'fp')}, {_shape_sums('len(wc)', 'hc', 'sc', 'ec', 'fc')}, list_max(wc) as peak, greatest(wc[1], wc[-1]) as rim, len(wc) // 2 as half,
+      case when len(wc) % 2 = 1 then wc[len(wc) // 2 + 1] else greatest(wc[len(wc) // 2], wc[len(wc) // 2 + 1]) end as middle from st),
+    pn as (select *, case when len(wc) <= 2 then 0 else sc_seq + case when peak > 0 and rim > peak * 0.95::double then (rim / peak - 0.95::double) * 12.0::double else 0 end end as seq,
+      case when len(wc) <= 2 then 0 else fc * 2.4::double + case when middle > 0 and rim >= middle then (rim - middle) / greatest(12.0::double, middle) * case when len(wc) % 2 = 1 then 18.0::double else 14.0::double end else 0 end + abs(wc[1] - wc[-1]) / greatest(12.0::double, rim) * 3.0::double end as flat from ct),
+    ql as (select bubble_id, class, hp_all as hard, sp_all as soft, hyphens * case when nw <= 2 then 0.6::double when nw <= 4 then 0.9::double else 1.2::double end + short * case when nw <= 2 then 2.2::double when nw <= 4 then 1.8::double else 2.4::double end
+      + tiny * 2.0::double + hc_all * 4.5::double + sc_all * 1.8::double + seq * 0.55::double + flat * 0.45::double as badness, hyphens from pn)"""
+
+
+@query("a32_f14_f16_layout_quality", f"with {QUALITY} select * from ql")
 def _(v):
     return _quality(v)
 
 
-@query("a32_quality_by_class")
+@query("a32_quality_by_class", f"with {QUALITY} select class, count(*) as n, avg(hard) as hard, avg(soft) as soft, avg(badness) as badness, avg(hyphens) as hyphens from ql group by 1")
 def _(v):
     return L.quality_by_class(_quality(v))
