@@ -40,6 +40,29 @@ def row_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit("")))
 
 
+#: Values that ``running`` adds up in one heap.
+HEAP = 128
+
+
+def once(value: Column, f) -> Column:
+    """f(value), with value computed once however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def running(numbers: Column, merge=lambda a, b: a + b) -> Column:
+    """array<int> -> for each place, what merge makes of 0 and all numbers before it.
+
+    An array is copied whenever it grows, so sums grow in heaps of HEAP numbers.
+    """
+    zero = F.lit(0)
+    last = lambda acc: F.element_at(acc, F.lit(-1))
+    grown = lambda xs, first: F.aggregate(xs, F.array(first), lambda acc, x: F.concat(acc, F.array(merge(last(acc), x))))
+    split = lambda xs: F.transform(F.sequence(zero, F.floor((F.size(xs) - 1) / HEAP).cast("int")), lambda i: F.slice(xs, i * HEAP + 1, HEAP))
+    starts = lambda heaps: grown(F.transform(heaps, lambda h: F.aggregate(h, zero, lambda a, x: merge(a, x))), zero)
+    within = lambda heaps: once(starts(heaps), lambda at: F.flatten(F.transform(heaps, lambda h, i: F.slice(grown(h, F.get(at, i)), 1, F.size(h)))))
+    return once(numbers, lambda xs: F.when(F.size(xs) > 0, once(split(xs), within)).otherwise(F.array().cast("array<int>")))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, with underscores before it until no column of df has it."""
     taken = {c.lower() for c in df.columns}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, saved
+from .common import fresh, once, saved
 from .rolling import Ranges, buffers, chunks, mix, signed
 
 LENGTH = 400
@@ -226,16 +226,14 @@ def text_key() -> Column:
 def _kept(text: Column, spans: Column) -> Column:
     """The bytes of text outside the spans."""
     raw = F.encode(text, "UTF-8")
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(b"").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        piece = F.substring(raw, (acc["at"] + 1).cast("int"), (x["s"] - acc["at"]).cast("int"))
-        return F.struct(x["e"].alias("at"), F.concat(acc["out"], piece).alias("out"))
+    def left(b: Column) -> Column:
+        piece = lambda s, e: F.hex(F.substring(b, (s + 1).cast("int"), (e - s).cast("int")))
+        end = lambda i: F.coalesce(F.get(spans, i - 1)["e"], F.lit(0).cast("long"))
+        pieces = F.transform(spans, lambda x, i: piece(end(i), x["s"]))
+        return F.unhex(F.array_join(F.concat(pieces, F.array(piece(end(F.size(spans)), F.octet_length(text)))), ""))
 
-    def last(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(raw, (acc["at"] + 1).cast("int"), F.octet_length(text)))
-
-    return F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, last)).otherwise(raw)
+    return F.when(F.size(spans) > 0, once(raw, left)).otherwise(raw)
 
 
 def with_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import once, running, words
 
 K = 4
 COVERAGE = 0.6
@@ -113,20 +113,18 @@ def _phrase_places(joined: Column, phrases) -> Column:
         pattern = rf"(?<![^ ]){phrase}(?![^ ])"
         gaps = F.split(joined, pattern)
         spaces = F.transform(gaps, lambda g: F.length(g) - F.length(F.replace(g, F.lit(" "), F.lit(""))))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(PLACES).alias("out"))
-        # the gap after the last place names none
-        places = F.aggregate(spaces, start, _place(phrase.count(" "), label), lambda acc: F.slice(acc["out"], 1, F.size(acc["out"]) - 1))
+        places = once(spaces, _places(phrase.count(" "), label)).cast(PLACES)
         parts.append(F.when(F.rlike(joined, F.lit(pattern)), places).otherwise(F.array().cast(PLACES)))
     return F.flatten(F.array(*parts))
 
 
-def _place(n: int, label: str):
-    def place(acc: Column, gap: Column) -> Column:
-        p = acc["at"] + gap
-        out = F.concat(acc["out"], F.array(F.struct(p.alias("p"), F.lit(label).alias("label")))).cast(PLACES)
-        return F.struct((p + n).alias("at"), out.alias("out"))
+def _places(n: int, label: str):
+    def places(gaps: Column) -> Column:
+        every = F.zip_with(gaps, running(F.transform(gaps, lambda g: g + n)), lambda g, at: F.struct((at + g).alias("p"), F.lit(label).alias("label")))
+        # the gap after the last place names none
+        return F.slice(every, 1, F.size(gaps) - 1)
 
-    return place
+    return places
 
 
 def license_scan(docs: DataFrame, templates=TEMPLATES + WHOLE_TEXTS, phrases=PHRASES, k: int = K, coverage: float = COVERAGE) -> DataFrame:

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, once, running
 
 # The base patterns.
 ASSIGN = (
@@ -56,6 +56,8 @@ FALSE_DISCOVERY = 0.05
 BINS_PER_DECADE, N_BINS = 20, 400
 SPANS = "array<struct<s:int,e:int,k:int>>"
 REDACTED = "[REDACTED]"
+#: Characters of a block in which redaction looks for a place.
+BLOCK = 512
 
 
 def _spans(text: Column, pattern: str, kind: int, least: int | None = None) -> Column:
@@ -67,15 +69,13 @@ def _spans(text: Column, pattern: str, kind: int, least: int | None = None) -> C
         parts.append(length(F.regexp_extract_all(text, F.lit(pattern), F.lit(2))).alias("own"))
     found = F.filter(F.arrays_zip(*parts), lambda x: x["n"].isNotNull())
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["gap"]
-        e = s + x["n"]
-        one = F.array(F.struct(s.alias("s"), e.alias("e"), F.lit(kind).alias("k")))
-        out = F.concat(acc["out"], one) if least is None else F.when(x["own"] >= least, F.concat(acc["out"], one)).otherwise(acc["out"])
-        return F.struct(e.alias("at"), out.cast(SPANS).alias("out"))
+    def placed(xs: Column) -> Column:
+        starts = running(F.transform(xs, lambda x: x["gap"] + x["n"]))
+        every = F.zip_with(xs, starts, lambda x, at: F.struct((at + x["gap"]).alias("s"), (at + x["gap"] + x["n"]).alias("e"), F.lit(kind).alias("k"), (x["own"] if least else x["n"]).alias("own")))
+        long = F.filter(every, lambda x: x["own"] >= least) if least else every
+        return F.transform(long, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k")))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(found, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPANS))
+    return F.when(F.rlike(text, F.lit(pattern)), once(found, placed).cast(SPANS)).otherwise(F.array().cast(SPANS))
 
 
 def _normal_tail(z: Column) -> Column:
@@ -149,8 +149,21 @@ def _base(text: Column) -> Column:
 
 
 def _apart(tokens: Column, base: Column) -> Column:
-    """The tokens that overlap no base span."""
-    return F.filter(tokens, lambda x: ~F.exists(base, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
+    """The tokens that overlap no base span: of the spans that start before a token's end, found by halving, none reaches beyond its start."""
+
+    def free(spans: Column) -> Column:
+        starts = F.transform(spans, lambda y: y["s"])
+        reach = running(F.concat(F.transform(spans, lambda y: y["e"]), F.array(F.lit(0))), F.greatest)
+        n = F.size(spans)
+        halves = F.transform(F.sequence(F.ceil(F.log2(n + 1)).cast("int"), F.lit(0), F.lit(-1)), lambda i: F.pow(F.lit(2), i).cast("int"))
+
+        def apart(x: Column, s: Column, r: Column, h: Column) -> Column:
+            before = F.aggregate(h, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(s, at + step - 1) < x["e"]), at + step).otherwise(at))
+            return F.get(r, before) <= x["s"]
+
+        return once(starts, lambda s: once(reach, lambda r: once(halves, lambda h: F.filter(tokens, lambda x: apart(x, s, r, h)))))
+
+    return F.when((F.size(tokens) == 0) | (F.size(base) == 0), tokens).otherwise(once(F.array_sort(base), free))
 
 
 def rejection_cuts(docs: DataFrame, q: float = FALSE_DISCOVERY) -> dict[int, float]:
@@ -208,17 +221,21 @@ def redact(docs: DataFrame, q: float = FALSE_DISCOVERY, mark: str = REDACTED) ->
     """docs with every span of ``text`` replaced by ``mark``; all rows and columns stay."""
     name = fresh(docs, "secret_spans")
     out = with_spans(docs, q, name)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    found, end = F.col(name), F.length("text")
+    # a place in a long text is looked for from its block on, not from the start
+    blocks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+    def cut(bs: Column, s: Column, e: Column) -> Column:
+        first = F.floor(s / BLOCK).cast("int")
+        near = F.array_join(F.slice(bs, first + 1, F.floor(e / BLOCK).cast("int") - first + 1), "")
+        return F.substring(near, s - first * BLOCK + 1, F.greatest(F.lit(0), e - s))
 
-    def step(acc: Column, x: Column) -> Column:
-        piece = F.concat(F.substring(F.col("text"), acc["at"] + 1, F.greatest(F.lit(0), x["s"] - acc["at"])), F.lit(mark))
-        return F.struct(
-            F.greatest(acc["at"], x["e"]).alias("at"),
-            F.when(x["s"] >= acc["at"], F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"),
-        )
+    def left(bs: Column) -> Column:
+        gaps = F.zip_with(found, running(F.transform(found, lambda x: x["e"]), F.greatest), lambda x, at: F.struct(at.alias("s"), x["s"].alias("e")))
+        pieces = F.transform(F.filter(gaps, lambda g: g["e"] >= g["s"]), lambda g: cut(bs, g["s"], g["e"]))
+        return F.array_join(F.concat(pieces, F.array(cut(bs, F.array_max(F.transform(found, lambda x: x["e"])), end))), mark)
 
-    last = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    text = F.when(F.size(name) > 0, F.aggregate(name, zero, step, last)).otherwise(F.col("text"))
+    text = F.when(F.size(name) > 0, once(blocks, left)).otherwise(F.col("text"))
     return out.withColumn("text", text).select(*[f"`{c}`" for c in docs.columns])
 
 
