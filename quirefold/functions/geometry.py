@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -41,6 +42,11 @@ def lit(x: float) -> Column:
     return F.lit(float(x))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once a row: as a lambda's variable it is not copied to wherever body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clamp_range(c: Column, low, high) -> Column:
     """c between low and high; null stays null."""
     return F.when(c.isNotNull(), F.least(F.greatest(c, low if isinstance(low, Column) else F.lit(low)), high if isinstance(high, Column) else F.lit(high)))

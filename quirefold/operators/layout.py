@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.functions.geometry import Box, blend_box, clamp_box, inset_box, lit, scale_box
-from quirefold.functions.text import norm_token, words
+from quirefold.functions.geometry import Box, blend_box, clamp_box, inset_box, let, lit, scale_box
+from quirefold.functions.text import STRIP, norm_token, words
 
 # Presets of the layout profile.
 PARAMETERS = ("alpha", "min_factor", "line_break_penalty", "shape_penalty", "center_peak_penalty", "hyphen_break_penalty")
@@ -20,6 +20,10 @@ LIMITS = ((0.0, 0.95), (0.45, 1.0), (0.0, 4.0), (0.0, 8.0), (0.0, 8.0), (0.0, 12
 # Class labels of bubbles in order of their id.
 LABELS = ("cloude", "elipse", "other", "rectangle", "sea_uchirin", "thorn")
 
+#: Three characters or more between the first and the last that norm_token keeps.
+_KEPT = "[^" + "".join(f"\\x{{{ord(c):x}}}" for c in STRIP) + "]"
+LONG = f"(?s){_KEPT}.+{_KEPT}"
+
 
 def ladder(value: Column, *steps: tuple[float, float], otherwise: float) -> Column:
     """The amount of the first step whose bound is above value; null takes none of them."""
@@ -195,8 +199,7 @@ def _steps(w: Column, fold) -> Column:
     """Sum over neighbouring widths of fold(current, next, should grow)."""
     peak = (F.size(w) - 1) / 2.0
     at = F.sequence(F.lit(0), F.size(w) - 2)
-    terms = F.transform(at, lambda i: fold(F.get(w, i), F.get(w, i + 1), (i + 0.5) < peak).cast("double"))
-    return F.aggregate(terms, lit(0), lambda a, x: a + x)
+    return F.aggregate(at, lit(0), lambda acc, i: acc + fold(F.get(w, i), F.get(w, i + 1), (i + 0.5) < peak).cast("double"))
 
 
 def _first_peak(w: Column) -> Column:
@@ -205,7 +208,10 @@ def _first_peak(w: Column) -> Column:
 
 def shape_stats(widths: Column, tolerance: float = 0.04) -> Column:
     """struct<hard, soft, edge_ratio, peak_shift>: how far widths are from growing to the middle and shrinking after it."""
-    w = F.transform(widths, lambda x: F.greatest(lit(0), x.cast("double")))
+    return let(F.transform(widths, lambda x: F.greatest(lit(0), x.cast("double"))), lambda w: _shape_stats(w, tolerance))
+
+
+def _shape_stats(w: Column, tolerance: float) -> Column:
     n = F.size(w)
     slack = lambda a, b: F.greatest(lit(2), F.greatest(a, b) * tolerance)
     hard = _steps(w, lambda a, b, up: F.when(up, b - a < -slack(a, b)).otherwise(b - a > slack(a, b)).cast("int"))
@@ -213,10 +219,14 @@ def shape_stats(widths: Column, tolerance: float = 0.04) -> Column:
     shift = F.abs(_first_peak(w) - (n - 1) / 2.0)
     edge = F.greatest(F.get(w, F.lit(0)), F.element_at(w, -1)) / F.greatest(lit(1), F.array_max(w))
     limit = F.when(n == 3, lit(1.01)).when(n == 4, lit(0.95)).otherwise(lit(0.92))
-    hard = hard + (edge > limit).cast("double")
-    soft = soft + F.greatest(lit(0), edge - (limit - 0.10)) * 4.0 + shift * 0.60
+
+    def told(e: Column) -> Column:
+        all_hard = hard + (e["edge"] > limit).cast("double")
+        all_soft = soft + F.greatest(lit(0), e["edge"] - (limit - 0.10)) * 4.0 + e["shift"] * 0.60
+        return F.struct(all_hard.alias("hard"), all_soft.alias("soft"), e["edge"].alias("edge_ratio"), e["shift"].alias("peak_shift"))
+
     plain = F.struct(lit(0).alias("hard"), lit(0).alias("soft"), lit(1).alias("edge_ratio"), lit(0).alias("peak_shift"))
-    return F.when(n <= 2, plain).otherwise(F.struct(hard.alias("hard"), soft.alias("soft"), edge.alias("edge_ratio"), shift.alias("peak_shift")))
+    return F.when(n <= 2, plain).otherwise(let(F.struct(edge.alias("edge"), shift.alias("shift")), told))
 
 
 def sequence_penalty(w: Column) -> Column:
@@ -238,30 +248,44 @@ def peak_penalty(w: Column) -> Column:
 
 
 def badness(lines: Column) -> Column:
-    """Penalty of a block of lines: hyphens at line ends, tiny lines, and the shape of its character widths."""
-    trimmed = F.transform(lines, lambda s: F.trim(F.coalesce(s, F.lit(""))))
-    n = F.size(trimmed)
-    n_words = F.size(words(F.array_join(trimmed, " ")))
-    per = F.when(n_words <= 2, lit(0.6)).when(n_words <= 4, lit(0.9)).otherwise(lit(1.2))
-    per_short = F.when(n_words <= 2, lit(2.2)).when(n_words <= 4, lit(1.8)).otherwise(lit(2.4))
-    first, second = F.get(trimmed, F.lit(0)), F.get(trimmed, F.lit(1))
-    stutter = F.coalesce((n >= 2) & F.endswith(first, F.lit("-")) & (F.length(norm_token(F.regexp_replace(first, "-+$", ""))) <= 2) & (norm_token(second) != ""), F.lit(False))
-    tiny = F.size(F.filter(trimmed, lambda s, i: (F.length(norm_token(s)) <= 2) & (i < n - 1) & ~(stutter & (i == 0))))
+    """Penalty of a block of lines: hyphens at line ends, tiny lines, and the shape of its character widths.
+
+    What several terms read is computed once: trimmed lines, then their features, then widths and words.
+    """
     broken = lambda s: F.endswith(s, F.lit("-"))
     piece = lambda s: norm_token(F.element_at(F.split(F.regexp_replace(s, "-$", ""), " "), -1))
-    short = F.size(F.filter(trimmed, lambda s, i: broken(s) & (F.length(piece(s)) <= 3) & ~(stutter & (i == 0))))
-    hyphens = F.size(F.filter(trimmed, broken))
-    widths = F.transform(trimmed, lambda s: F.length(F.regexp_replace(s, r"\s+", "")).cast("double"))
-    st = shape_stats(widths, 0.07)
-    value = hyphens * per + short * per_short + tiny * 2.0 + st["hard"] * 4.5 + st["soft"] * 1.8 + sequence_penalty(widths) * 0.55 + peak_penalty(widths) * 0.45
-    return F.when(n > 0, value).otherwise(lit(0))
+    # lower case has no fewer letters, so a line with three characters between what is stripped is not tiny
+    tiny = lambda s: F.when(F.rlike(s, F.lit(LONG)), F.lit(False)).otherwise(F.length(norm_token(s)) <= 2)
+    of_line = lambda s: let(F.trim(F.coalesce(s, F.lit(""))), lambda s: F.struct(s.alias("s"), broken(s).alias("broken"), tiny(s).alias("tiny")))
+
+    def hyphenated(t: Column, stutter: Column, hyphens: Column) -> Column:
+        n_words = F.size(words(F.array_join(F.transform(t, lambda x: x["s"]), " ")))
+        short = F.size(F.filter(t, lambda s, i: s["broken"] & (F.length(piece(s["s"])) <= 3) & ~(stutter & (i == 0))))
+        per = lambda k, few, some, many: F.when(k <= 2, lit(few)).when(k <= 4, lit(some)).otherwise(lit(many))
+        return let(n_words, lambda k: hyphens * per(k, 0.6, 0.9, 1.2) + short * per(k, 2.2, 1.8, 2.4))
+
+    def value(t: Column) -> Column:
+        first = F.get(t, F.lit(0))["s"]
+        stutter = F.coalesce((F.size(t) >= 2) & broken(first) & (F.length(norm_token(F.regexp_replace(first, "-+$", ""))) <= 2) & (norm_token(F.get(t, F.lit(1))["s"]) != ""), F.lit(False))
+        widths = F.transform(t, lambda x: F.length(F.regexp_replace(x["s"], r"\s+", "")).cast("double"))
+        return let(F.struct(t.alias("t"), stutter.alias("stutter"), widths.alias("widths"), F.size(F.filter(t, lambda x: x["broken"])).alias("hyphens")), total)
+
+    def total(x: Column) -> Column:
+        t, stutter, hyphens, n = x["t"], x["stutter"], x["hyphens"], F.size(x["t"])
+        n_tiny = F.size(F.filter(t, lambda s, i: s["tiny"] & (i < n - 1) & ~(stutter & (i == 0))))
+        # words are counted for blocks with a hyphen alone
+        base = F.when(hyphens > 0, hyphenated(t, stutter, hyphens)).otherwise(lit(0)) + n_tiny * 2.0
+        shaped = let(shape_stats(x["widths"], 0.07), lambda s: base + s["hard"] * 4.5 + s["soft"] * 1.8)
+        return shaped + sequence_penalty(x["widths"]) * 0.55 + peak_penalty(x["widths"]) * 0.45
+
+    return F.when(F.size(lines) > 0, let(F.transform(lines, of_line), value)).otherwise(lit(0))
 
 
 def layout_quality(blocks: DataFrame) -> DataFrame:
     """(bubble_id, class, lines, widths) -> bubble_id, class, hard, soft, badness, hyphens."""
-    st = shape_stats(F.col("widths"))
     hyphens = F.size(F.filter("lines", lambda s: F.endswith(F.trim(s), F.lit("-"))))
-    return blocks.select("bubble_id", "class", st["hard"].alias("hard"), st["soft"].alias("soft"), badness(F.col("lines")).alias("badness"), hyphens.alias("hyphens"))
+    rows = blocks.select("bubble_id", "class", shape_stats(F.col("widths")).alias("st"), badness(F.col("lines")).alias("badness"), hyphens.alias("hyphens"))
+    return rows.select("bubble_id", "class", "st.hard", "st.soft", "badness", "hyphens")
 
 
 def quality_by_class(quality: DataFrame) -> DataFrame:

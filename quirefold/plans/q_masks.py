@@ -415,9 +415,9 @@ def _quality(v):
     # a text that ends with a whole block gives an empty match after it
     count = F.ceil((F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1) / BLOCK_WORDS).cast("int")
     rows = v.documents.select("doc_id", F.col("lang").alias("class"), F.posexplode_outer(F.slice(runs, 1, count)).alias("block", "run"))
-    words = F.split("run", " ")
     n = (2 + F.col("doc_id") % 4).cast("int")
-    lines = F.transform(F.sequence(F.lit(0), F.ceil(F.size(words) / n).cast("int") - 1), lambda i: F.array_join(F.slice(words, i * n + 1, n), " "))
+    cut = lambda w: F.transform(F.sequence(F.lit(0), F.ceil(F.size(w) / n).cast("int") - 1), lambda i: F.array_join(F.slice(w, i * n + 1, n), " "))
+    lines = G.let(F.split("run", " "), cut)
     blocks = rows.select(F.concat_ws(":", "doc_id", "block").alias("bubble_id"), "class", lines.alias("lines")).withColumn("widths", F.transform("lines", lambda s: F.length(s) * 7.5))
     return L.layout_quality(blocks)
 

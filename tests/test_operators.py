@@ -486,3 +486,13 @@ def test_tall_pages_are_cut_block_by_block(spark, tail):
     assert found[100_000] == found[10_000_000]
     assert found[64] == [r for r in found[10_000_000] if r[0] > 0]
     assert len([r for r in found[100_000] if r[0] == 0]) > 50_000
+
+
+def test_block_quality_counts_lines_once(spark):
+    """The plan of a block's quality stays small: what several terms read is not copied into each of them."""
+    lines = ["a-", "b c", "...", "(İx)", "won-", "\t o  ", ""]
+    df = spark.createDataFrame([("1:0", "de", lines, [7.5 * len(x) for x in lines]), ("2:0", "de", ["x"], [7.5]), ("3:0", None, [], [])], "bubble_id string, class string, lines array<string>, widths array<double>")
+    q = layout.layout_quality(df)
+    assert q._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 10
+    got = {r["bubble_id"]: r for r in q.collect()}
+    assert got["1:0"]["hyphens"] == 2 and got["2:0"]["badness"] == 0.0 and got["3:0"]["badness"] == 0.0
