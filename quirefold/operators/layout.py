@@ -24,6 +24,9 @@ LABELS = ("cloude", "elipse", "other", "rectangle", "sea_uchirin", "thorn")
 _KEPT = "[^" + "".join(f"\\x{{{ord(c):x}}}" for c in STRIP) + "]"
 LONG = f"(?s){_KEPT}.+{_KEPT}"
 
+#: Parts of an em in which advances are added.
+EM_UNITS = 1_000_000
+
 
 def ladder(value: Column, *steps: tuple[float, float], otherwise: float) -> Column:
     """The amount of the first step whose bound is above value; null takes none of them."""
@@ -171,10 +174,12 @@ def max_font(layout: DataFrame, advance: DataFrame, min_pt: int = 16, max_pt: in
     """layout(bubble_id, text, box_w, box_h), advance(ch, em) -> bubble_id, font_pt: the largest size of the grid at which the text fits.
 
     The text's width at a size, over the box's width, rounded up, is its number of lines; they must fit
-    the box's height. Glyphs without an advance count default_em. min_pt if nothing fits.
+    the box's height. Glyphs without an advance count default_em. min_pt if nothing fits. Advances are added as
+    whole millionths of an em, so that the sum is the same in any order.
     """
+    units = lambda c: F.round(c * EM_UNITS).cast("long")
     chars = layout.select("bubble_id", F.explode(F.split(F.coalesce("text", F.lit("")), "")).alias("ch")).groupBy("bubble_id", "ch").agg(F.count("*").alias("n"))
-    em = chars.join(F.broadcast(advance), "ch", "left").groupBy("bubble_id").agg(F.sum(F.col("n") * F.coalesce("em", lit(default_em))).alias("em"))
+    em = chars.join(F.broadcast(advance), "ch", "left").groupBy("bubble_id").agg((F.sum(F.col("n") * units(F.coalesce("em", lit(default_em)))) / lit(EM_UNITS)).alias("em"))
     rows = layout.select("bubble_id", "box_w", "box_h").join(em, "bubble_id", "left").withColumn("em", F.coalesce("em", lit(0)))
     sizes = rows.withColumn("pt", F.explode(F.sequence(F.lit(min_pt), F.lit(max_pt), F.lit(step))))
     lines = F.greatest(F.lit(1), F.ceil(F.col("em") * F.col("pt") / F.greatest(lit(1), F.col("box_w"))))

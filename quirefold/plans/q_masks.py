@@ -396,9 +396,9 @@ def _(v):
     return L.choose_font(b, b.where("bubble_id % 17 = 0").select("bubble_id", F.lit("own").alias("font")), classes, "base")
 
 
-@query("a30_max_font", """with l as (select doc_id as bubble_id, text, 400.0 + doc_id % 900 as bw, 300.0 + doc_id % 2500 as bh from documents), c as (select bubble_id, unnest(string_split(text, '')) as ch from l), n as (select bubble_id, ch, count(*) as n from c group by 1, 2),
-    e as (select bubble_id, sum(n * case ch when 'e' then 0.5::double when 'i' then 0.25::double when ' ' then 0.3::double else 0.6::double end) as em from n group by 1),
-    f as (select bubble_id, pt, greatest(1, ceil(em * pt / bw)) * pt * 1.2::double <= bh as fits from l join e using (bubble_id), unnest(range(16, 53, 2)) as u(pt)) select bubble_id, coalesce(max(pt) filter (fits), 16)::int as font_pt from f group by 1""")
+@query("a30_max_font", """with l as (select doc_id as bubble_id, coalesce(text, '') as text, 400.0 + doc_id % 900 as bw, 300.0 + doc_id % 2500 as bh from documents), c as (select bubble_id, unnest(string_split(text, '')) as ch from l), n as (select bubble_id, ch, count(*) as n from c group by 1, 2),
+    e as (select bubble_id, sum(n * case ch when 'e' then 500000 when 'i' then 250000 when ' ' then 300000 else 600000 end)::bigint / 1000000::double as em from n group by 1),
+    f as (select bubble_id, pt, greatest(1, ceil(coalesce(em, 0) * pt / bw)) * pt * 1.2::double <= bh as fits from l left join e using (bubble_id), unnest(range(16, 53, 2)) as u(pt)) select bubble_id, coalesce(max(pt) filter (fits), 16)::int as font_pt from f group by 1""")
 def max_font(v):
     layout = v.documents.select(F.col("doc_id").alias("bubble_id"), "text", (400.0 + F.col("doc_id") % 900).alias("box_w"), (300.0 + F.col("doc_id") % 2500).alias("box_h"))
     return L.max_font(layout, v.spark.createDataFrame([("e", 0.5), ("i", 0.25), (" ", 0.3)], "ch string, em double"))

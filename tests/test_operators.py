@@ -496,3 +496,10 @@ def test_block_quality_counts_lines_once(spark):
     assert q._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 10
     got = {r["bubble_id"]: r for r in q.collect()}
     assert got["1:0"]["hyphens"] == 2 and got["2:0"]["badness"] == 0.0 and got["3:0"]["badness"] == 0.0
+
+
+def test_max_font_adds_advances_exactly(spark):
+    """0.1 + 0.2 is 0.3 of an em: at 20 points one line of a box that is 6 wide."""
+    advance = spark.createDataFrame([("a", 0.1), ("b", 0.2)], "ch string, em double")
+    box = spark.createDataFrame([(1, "ab", 6.0, 25.0)], "bubble_id long, text string, box_w double, box_h double")
+    assert layout.max_font(box, advance).first()["font_pt"] == 20
