@@ -1,5 +1,7 @@
 """Every registered query of the library against its SQL, at the smallest scale."""
 
+import os
+
 import pytest
 from compare import assert_same, connection
 
@@ -30,3 +32,14 @@ def test_entry(spark):
     out = e.entry(spark)
     assert out.columns == ["box_id", "text"]
     assert out.count() > 0
+
+
+def test_heights_of_a_page_cut_short(spark, sf, tmp_path):
+    """The last page has 16 rows, so its second slice has 7 of 9."""
+    for f in os.listdir(sf):
+        if f != "embeddings.parquet":
+            os.symlink(f"{sf}/{f}", tmp_path / f)
+    spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 10").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = QUERIES["src18_check_heights"](spark, str(tmp_path))
+    assert found.where("expected = 7 and actual = 7 and ok").count() == 1
+    assert_same(found, connection(tmp_path), ORACLE["src18_check_heights"])
