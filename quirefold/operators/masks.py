@@ -7,7 +7,10 @@ other SQL engines agree. Masks are unions of rectangles (mask_id, y0, y1, x0, x1
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -349,18 +352,81 @@ def mask_dataset(images: DataFrame, probabilities: dict[str, float], variants: i
     return sized.withColumn("rank_", rank).where(F.col("rank_") <= max_per_image).select("image_id", "variant", "mask_id", "kind", "area", "share")
 
 
-def _disjoint(df: DataFrame, name: str) -> DataFrame:
-    """A column of sorted spans array<struct<a, b>>, cut so that they cover the same without covering anything twice."""
-    s = F.col(name)
-    reach = F.transform(s, lambda x, i: F.array_max(F.slice(f"{name}.b", F.lit(1), F.greatest(i, F.lit(1)))))
-    df = df.withColumn("reach_", reach)
-    cut = F.transform(s, lambda x, i: F.struct(F.when(i > 0, F.greatest(x["a"], F.get("reach_", i))).otherwise(x["a"]).alias("a"), x["b"].alias("b")))
-    return df.withColumn(name, cut).withColumn(name, F.filter(name, lambda x: x["a"] < x["b"])).drop("reach_")
+def _ranges(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every i the numbers start[i] .. start[i] + count[i] - 1, and i beside each of them."""
+    i = np.repeat(np.arange(len(count)), count)
+    return i, start[i] + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
 
 
-def _total(items: Column, value) -> Column:
-    """The sum of a whole number of every item."""
-    return F.aggregate(items, _n(0), lambda acc, x: acc + value(x).cast("long"))
+def _disjoint(strip: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of strips in order, cut so that they cover the same without covering anything twice."""
+    o = np.lexsort((b, a, strip))
+    strip, a, b = strip[o], a[o], b[o]
+    if len(strip) > 1:
+        ends, rank = np.unique(b, return_inverse=True)
+        first = np.r_[True, strip[1:] != strip[:-1]]
+        run = np.cumsum(first)
+        far = np.maximum.accumulate(run * len(ends) + rank) - run * len(ends)
+        a = np.where(first, a, np.maximum(a, ends[np.r_[0, far[:-1]]]))
+    held = a < b
+    return strip[held], a[held], b[held]
+
+
+def _placed(c: dict[str, np.ndarray], counts: np.ndarray, tries: np.ndarray, limit: float, min_share: float) -> tuple[np.ndarray, ...]:
+    """Moved rectangles of masks: their number in the batch and y0, y1, x0, x1.
+
+    c has a value a mask, but for y0, y1, x0, x1 (counts of them a mask) and order (tries of them). All masks of a batch are worked on at once.
+    """
+    n, of = len(counts), np.repeat(np.arange(len(counts)), counts)
+    kept = lambda x, most: np.clip(np.rint(x), 0, most).astype(np.int64)
+    y = lambda e: kept(c["cy"][of] + (e - c["my"][of]) * c["factor"][of], c["h"][of])
+    x = lambda e: (e - c["mx"][of]) * c["factor"][of]
+    flip, y0, y1, left, right = c["flip"][of], y(c["y0"]), y(c["y1"]), x(c["x0"]), x(c["x1"])
+    live = y0 < y1
+    m, y0, y1 = of[live], y0[live], y1[live]
+    a = (c["cx"][of] + np.where(flip, -right, left))[live]
+    b = (c["cx"][of] + np.where(flip, -left, right))[live]
+    # strips lie between neighbouring edges of a mask; a rectangle has those between its own edges
+    low = min(int(c["y0"].min()), 0)
+    size = max(int(c["y1"].max()), int(c["h"].max())) - low + 1
+    edge = lambda mask, e: mask * size + (e - low)
+    edges = np.unique(np.concatenate([edge(of, c["y0"]), edge(of, c["y1"]), edge(m, y0), edge(m, y1)]))
+    tall, mask = np.diff(edges, append=edges[-1:]), edges // size
+
+    def pieces(owner, top, bottom, left, right):
+        i = np.searchsorted(edges, edge(owner, top))
+        r, strip = _ranges(i, np.searchsorted(edges, edge(owner, bottom)) - i)
+        return _disjoint(strip, left[r], right[r])
+
+    theirs, t_a, t_b = pieces(of, c["y0"], c["y1"], c["x0"].astype(float), c["x1"].astype(float))
+    mine, m_a, m_b = pieces(m, y0, y1, a, b)
+    total = lambda at, value: np.bincount(mask[at], tall[at] * value, n)
+    own = total(theirs, t_b - t_a)
+    begin = np.searchsorted(theirs, mine)
+    p, q = _ranges(begin, np.searchsorted(theirs, mine, side="right") - begin)
+    shift, left_over, first = np.zeros(n, np.int64), np.ones(n, bool), np.cumsum(tries) - tries
+    for k in range(int(tries.max())):
+        left_over &= tries > k
+        some = left_over[mask[mine]]
+        if not some.any():
+            break
+        # from here on only the pieces of masks that have no place yet
+        number = np.cumsum(some) - 1
+        pairs = some[p]
+        mine, m_a, m_b, p, q = mine[some], m_a[some], m_b[some], number[p[pairs]], q[pairs]
+        d = c["order"][np.minimum(first + k, len(c["order"]) - 1)]
+        at = mask[mine]
+        to_a, to_b = kept(m_a + d[at], c["w"][at]), kept(m_b + d[at], c["w"][at])
+        area = total(mine, to_b - to_a)
+        both = total(mine[p], np.maximum(0, np.minimum(to_b[p], t_b[q]) - np.maximum(to_a[p], t_a[q])))
+        fits = left_over & (area > 0) & (area >= min_share * c["w"] * c["h"]) & (both <= limit * np.minimum(own, area))
+        shift[fits], left_over = d[fits], left_over & ~fits
+        c["done"][fits] = True
+    good = c["done"][m]
+    m, y0, y1 = m[good], y0[good], y1[good]
+    x0, x1 = (kept(e[good] + shift[m], c["w"][m]) for e in (a, b))
+    seen = x0 < x1
+    return m[seen], y0[seen], y1[seen], x0[seen], x1[seen]
 
 
 def place(rects: DataFrame, dims: DataFrame, seed: int, variants: int = 2, limit: float = 0.5, min_share: float = 0.02, scale=0.2, shift=0.1) -> DataFrame:
@@ -369,47 +435,33 @@ def place(rects: DataFrame, dims: DataFrame, seed: int, variants: int = 2, limit
 
     Between two neighbouring edges of y, mask and copy are spans of x. Those of the copy are made disjoint once and only moved for each of the
     horizontal shifts, so what a shift covers, and what it has in common with the mask, are sums over spans. Of the shifts that fit, the first in
-    a drawn order is taken. A mask is one row from its rectangles to its copies. Rectangles that a copy has no pixels of are left out; so are
-    masks without a rectangle or size.
+    a drawn order is taken; they are tried in that order, in arrays over the masks of a batch that have no place yet. A mask is one row from its
+    rectangles to its copies. Rectangles that a copy has no pixels of are left out; so are masks without a rectangle or size.
     """
     ends = ["y0", "y1", "x0", "x1"]
     w, h, own = F.col("w"), F.col("h"), F.col("mask_id")
     masks = rects.where("y1 > y0 and x1 > x0").groupBy("mask_id").agg(
-        F.array_sort(F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in ends]))).alias("rects"),
+        F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in ends])).alias("rects"),
         *[f(c).cast("double").alias(n) for f, c, n in ((F.min, "y0", "top"), (F.max, "y1", "bottom"), (F.min, "x0", "left"), (F.max, "x1", "right"))],
     )
-    rows = masks.join(dims.select("mask_id", w.cast("long").alias("w"), h.cast("long").alias("h")), "mask_id").withColumn("variant", F.explode(F.sequence(_n(0), _n(variants - 1))))
+    rows = masks.join(dims.select("mask_id", w.cast("long").alias("w"), h.cast("long").alias("h")).where("w >= 2 and h is not null"), "mask_id")
+    rows = rows.withColumn("variant", F.explode(F.sequence(_n(0), _n(variants - 1))))
     u = lambda name: unit(seed, name, own, F.col("variant"))
     rows = rows.withColumns({"factor": (1 - scale) + 2 * scale * u("scale"), "flip": u("flip") < 0.5, "my": (F.col("top") + F.col("bottom")) / 2, "mx": (F.col("left") + F.col("right")) / 2})
     rows = rows.withColumns({"cy": F.col("my") + (2 * shift * u("shift") - shift) * h, "cx": F.when(F.col("flip"), w - F.col("mx")).otherwise(F.col("mx"))})
-    kept = lambda c, most: F.least(F.greatest(F.bround(c).cast("long"), _n(0)), most)
-    y = lambda c: kept(F.col("cy") + (c - F.col("my")) * F.col("factor"), h)
-    x = lambda c: (c - F.col("mx")) * F.col("factor")
-    moved = F.transform("rects", lambda r: F.struct(
-        y(r["y0"]).alias("y0"), y(r["y1"]).alias("y1"),
-        (F.col("cx") + F.when(F.col("flip"), -x(r["x1"])).otherwise(x(r["x0"]))).alias("a"), (F.col("cx") + F.when(F.col("flip"), -x(r["x0"])).otherwise(x(r["x1"]))).alias("b"),
-    ))
-    rows = rows.withColumn("moved", F.filter(moved, lambda r: r["y0"] < r["y1"]))
-    edges = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{c}.{e}") for c in ("rects", "moved") for e in ("y0", "y1")]))))
-    strips = rows.withColumn("edges", edges).select("*", F.posexplode(F.slice("edges", 1, F.size("edges") - 1)).alias("i", "low")).withColumn("high", F.get("edges", F.col("i") + 1))
-    within = lambda r: (r["y0"] <= F.col("low")) & (r["y1"] >= F.col("high"))
-    strips = strips.withColumns({"theirs": F.filter("rects", within), "mine": F.filter("moved", within)})
-    strips = strips.withColumns({
-        "theirs": F.array_sort(F.transform("theirs", lambda r: F.struct(r["x0"].alias("a"), r["x1"].alias("b")))),
-        "mine": F.array_sort(F.transform("mine", lambda r: F.struct(r["a"], r["b"]))), "tall": F.col("high") - F.col("low"),
-    })
-    strips = _disjoint(_disjoint(strips, "theirs"), "mine").withColumn("own_", F.col("tall") * _total(F.col("theirs"), lambda p: p["b"] - p["a"]))
     half = F.floor(w / 2)
-    shifts = F.when(half > 0, F.sequence(-half, half - 1, F.greatest(_n(1), F.floor(w / 16))))
-    tried = strips.select("mask_id", "variant", "w", "h", "moved", "tall", "theirs", "mine", "own_", F.explode(shifts).alias("d"))
-    tried = tried.withColumn("at", F.transform("mine", lambda p: F.struct(kept(p["a"] + F.col("d"), w).alias("a"), kept(p["b"] + F.col("d"), w).alias("b"))))
-    common = lambda p: _total(F.col("theirs"), lambda q: F.greatest(_n(0), F.least(p["b"], q["b"]) - F.greatest(p["a"], q["a"])))
-    tried = tried.withColumns({"mine": F.col("tall") * _total(F.col("at"), lambda p: p["b"] - p["a"]), "both": F.col("tall") * _total(F.col("at"), common)})
-    # rows of a mask are still together: no exchange from here on
-    sums = tried.groupBy("mask_id", "variant", "d").agg(*[F.sum(c).alias(c) for c in ("mine", "both", "own_")], *[F.first(c).alias(c) for c in ("w", "h", "moved")])
-    fits = (F.col("mine") > 0) & (F.col("mine") >= min_share * w * h) & (F.col("both") <= limit * F.least("own_", "mine"))
-    draw = unit(seed, F.concat(F.lit("x"), F.col("d").cast("string")), own, F.col("variant"))
-    best = sums.where(fits).groupBy("mask_id", "variant").agg(F.min(F.struct(draw.alias("u"), "d"))["d"].alias("d"), F.first("w").alias("w"), F.first("moved").alias("moved"))
-    out = best.select("mask_id", "variant", "w", "d", F.explode("moved").alias("r"))
-    placed = out.select("mask_id", "variant", F.col("r.y0").alias("y0"), F.col("r.y1").alias("y1"), kept(F.col("r.a") + F.col("d"), w).alias("x0"), kept(F.col("r.b") + F.col("d"), w).alias("x1"))
-    return placed.where("x0 < x1")
+    draw = lambda d: unit(seed, F.concat(F.lit("x"), d.cast("string")), own, F.col("variant"))
+    drawn = F.array_sort(F.transform(F.sequence(-half, half - 1, F.greatest(_n(1), F.floor(w / 16))), lambda d: F.struct(draw(d).alias("u"), d.alias("d"))))
+    one = ["mask_id", "variant", "w", "h", "factor", "flip", "my", "mx", "cy", "cx"]
+    rows = rows.withColumn("drawn", drawn).select(*one, F.col("drawn.d").alias("order"), *[F.col(f"rects.{c}").alias(c) for c in ends])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            c = {n: b.column(n).to_numpy(zero_copy_only=False) for n in one} | {n: b.column(n).flatten().to_numpy() for n in ("order", *ends)}
+            counts, tries = (b.column(n).value_lengths().to_numpy() for n in ("y0", "order"))
+            m, *out = _placed(c | {"done": np.zeros(b.num_rows, bool)}, counts, tries, limit, min_share)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c["mask_id"][m], c["variant"][m], *out)], ["mask_id", "variant", *ends])
+
+    return rows.mapInArrow(run, f"mask_id {dict(rects.dtypes)['mask_id']}, variant long, y0 long, y1 long, x0 long, x1 long")

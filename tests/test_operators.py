@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirefold.functions import bins, geometry
-from quirefold.operators import detections, evalset, layout, metrics, ordering, pixels, scripts, slicing
+from quirefold.operators import detections, evalset, layout, masks, metrics, ordering, pixels, scoring, scripts, slicing
 from quirefold.operators.folds import fold_sorted
 
 
@@ -503,3 +503,12 @@ def test_max_font_adds_advances_exactly(spark):
     advance = spark.createDataFrame([("a", 0.1), ("b", 0.2)], "ch string, em double")
     box = spark.createDataFrame([(1, "ab", 6.0, 25.0)], "bubble_id long, text string, box_w double, box_h double")
     assert layout.max_font(box, advance).first()["font_pt"] == 20
+
+
+def test_shifts_of_masks_are_no_rows(spark):
+    """A mask and its copy are one row until the copy's place is known: the one explode is that of variants."""
+    rects = spark.createDataFrame([(1, 10, 40, 10, 40), (1, 20, 60, 30, 50), (2, 0, 9, 0, 9)], "mask_id long, y0 long, y1 long, x0 long, x1 long")
+    dims = spark.createDataFrame([(1, 128, 128), (2, 128, 1)], "mask_id long, w long, h long")
+    out = masks.place(rects, dims, 7, min_share=0.0)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+    assert {r["mask_id"] for r in out.collect()} <= {1, 2}
