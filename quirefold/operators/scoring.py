@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,12 +67,34 @@ def run_metrics(df: DataFrame, names: list[str], by: list[str]) -> DataFrame:
 
 
 def run_chapters(chapters: DataFrame, work: Callable[[pd.DataFrame], int], key: str = "folder") -> DataFrame:
-    """key, status, n, error: work on the rows of each chapter; an exception is a failed row, not a failed job."""
+    """key, status, n, error: work on the rows of each chapter; an exception is a failed row, not a failed job.
 
-    def one(name: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    Chapters are dealt to tasks by key and sorted there; a task streams through its chapters and holds one of them and one Arrow batch.
+    """
+
+    def one(name, parts: list[pd.DataFrame]) -> tuple:
         try:
-            return pd.DataFrame({key: [name[0]], "status": ["done"], "n": [work(rows)], "error": [None]})
+            return (name, "done", work(pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0].reset_index(drop=True)), None)
         except Exception as e:
-            return pd.DataFrame({key: [name[0]], "status": ["failed"], "n": [0], "error": [f"{type(e).__name__}: {e}"]})
+            return (name, "failed", 0, f"{type(e).__name__}: {e}")
 
-    return chapters.groupBy(key).applyInPandas(one, f"{key} string, status string, n long, error string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, held = None, []
+        made = lambda out: pd.DataFrame(out, columns=[key, "status", "n", "error"])
+        for b in batches:
+            if not len(b):
+                continue
+            keys, out = b[key].to_numpy(object), []
+            starts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(b)]
+            for s, e in zip(starts[:-1], starts[1:], strict=True):
+                if held and name != keys[s]:
+                    out.append(one(name, held))
+                    held = []
+                name = keys[s]
+                held.append(b.iloc[s:e])
+            if out:
+                yield made(out)
+        if held:
+            yield made([one(name, held)])
+
+    return chapters.repartition(key).sortWithinPartitions(key).mapInPandas(run, f"{key} string, status string, n long, error string")

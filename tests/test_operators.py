@@ -512,3 +512,16 @@ def test_shifts_of_masks_are_no_rows(spark):
     out = masks.place(rects, dims, 7, min_share=0.0)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
     assert {r["mask_id"] for r in out.collect()} <= {1, 2}
+
+
+def test_chapters_are_streamed(spark):
+    """No Python call a chapter from the JVM, and chapters that go over several batches are whole, the one without a name too."""
+    rows = spark.range(1000).selectExpr("case when id % 3 < 2 then concat('c', id % 3) end as folder", "id")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        out = scoring.run_chapters(rows, lambda r: len(r) if r.index[-1] == len(r) - 1 else 1 // 0)
+        assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+        assert sorted((r["folder"] or "", r["status"], r["n"]) for r in out.collect()) == [("", "done", 333), ("c0", "done", 334), ("c1", "done", 333)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
