@@ -141,23 +141,22 @@ def poly_rel(poly: Column, left: Column, top: Column, width: Column, height: Col
     )
 
 
-def oval_poly(b: Box, steps: int = 12) -> Column:
-    """Four quarter arcs through the middles of the sides, each cut into ``steps`` points."""
+def oval_point(b: Box, i: Column, steps: int = 12) -> Column:
+    """Point i of oval_poly, as struct<x, y>: by the quarter that it lies in."""
     cx, cy = (b.left + b.right) / 2, (b.top + b.bottom) / 2
     dx, dy = b.width / 2 * QUARTER, b.height / 2 * QUARTER
-    corners = [(cx, b.top), (b.right, cy), (cx, b.bottom), (b.left, cy)]
-    pulls = [((cx + dx, b.top), (b.right, cy - dy)), ((b.right, cy + dy), (cx + dx, b.bottom)), ((cx - dx, b.bottom), (b.left, cy + dy)), ((b.left, cy - dy), (cx - dx, b.top))]
-
-    def arc(p, q, r, s):
-        def at(i: Column) -> Column:
-            t = i / float(steps)
-            u = 1 - t
-            curve = lambda a, c, d, e: u * u * u * a + 3 * u * u * t * c + 3 * u * t * t * d + t * t * t * e
-            return F.struct(curve(p[0], q[0], r[0], s[0]).alias("x"), curve(p[1], q[1], r[1], s[1]).alias("y"))
+    quarter, t = F.floor(i / steps), (i % steps) / float(steps)
+    u = 1 - t
+    pick = lambda *c: F.when(quarter == 0, c[0]).when(quarter == 1, c[1]).when(quarter == 2, c[2]).otherwise(c[3])
+    curve = lambda p, q, r, s: u * u * u * p + 3 * u * u * t * q + 3 * u * t * t * r + t * t * t * s
+    x = curve(pick(cx, b.right, cx, b.left), pick(cx + dx, b.right, cx - dx, b.left), pick(b.right, cx + dx, b.left, cx - dx), pick(b.right, cx, b.left, cx))
+    y = curve(pick(b.top, cy, b.bottom, cy), pick(b.top, cy + dy, b.bottom, cy - dy), pick(cy - dy, b.bottom, cy + dy, b.top), pick(cy, b.bottom, cy, b.top))
+    return F.struct(x.alias("x"), y.alias("y"))
 
-        return F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), at)
 
-    return F.flatten(F.array(*[arc(corners[i], *pulls[i], corners[(i + 1) % 4]) for i in range(4)]))
+def oval_poly(b: Box, steps: int = 12) -> Column:
+    """Four quarter arcs through the middles of the sides, each cut into ``steps`` points."""
+    return F.transform(F.sequence(F.lit(0), F.lit(4 * steps - 1)), lambda i: oval_point(b, i, steps))
 
 
 def ceil_modulo(x: Column, mod: int) -> Column:

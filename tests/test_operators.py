@@ -525,3 +525,14 @@ def test_chapters_are_streamed(spark):
         assert sorted((r["folder"] or "", r["status"], r["n"]) for r in out.collect()) == [("", "done", 333), ("c0", "done", 334), ("c1", "done", 333)]
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_oval_points_by_number(spark):
+    """The query numbers the points of a box first, so that no array of them is built."""
+    from quirefold.plans import registered
+
+    plan = registered()[0]["p16_oval_poly"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan and "lambdafunction" not in plan
+    b = geometry.Box(*[F.lit(float(x)) for x in (3, 5, 40, 90)])
+    poly, points = spark.range(1).select(geometry.oval_poly(b, 5), F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: geometry.oval_point(b, i, 5))).first()
+    assert poly == points and len(poly) == 20 and tuple(poly[0]) == (21.5, 5.0) and tuple(poly[5]) == (40.0, 47.5)
