@@ -7,6 +7,7 @@ other SQL engines agree. Masks are unions of rectangles (mask_id, y0, y1, x0, x1
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,7 +131,9 @@ def gen_strokes(images: DataFrame, seed: int, max_angle=4, max_len=60, max_width
     """
     img = F.col("image_id")
     times = whole(unit(seed, "times", img), _n(min_times), _n(max_times + 1))
-    rows = images.select(*IMAGE, F.explode(F.when(times > 0, F.sequence(_n(0), times - 1))).alias("stroke"))
+    # a few bytes an image become hundreds of rows, so images are dealt out by number, which is not coalesced for being small
+    dealt = images.repartition(int(images.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id")
+    rows = dealt.select(*IMAGE, F.explode(F.when(times > 0, F.sequence(_n(0), times - 1))).alias("stroke"))
     s = F.col("stroke")
     draw = lambda name, low, high: whole(unit(seed, name, img, s), low, high)
     rows = rows.withColumns({"sx": draw("x", _n(0), F.col("w")), "sy": draw("y", _n(0), F.col("h")), "n": draw("n", _n(1), _n(6))})
@@ -171,19 +174,22 @@ def lines_of(strokes: DataFrame) -> DataFrame:
     A row's pixels are those between the outermost points that the end discs and the two long edges have in it.
     """
     s = strokes.select("image_id", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], (F.col("width") / 2.0).alias("r"))
-    low, high = F.floor(F.least("y0", "y1") - F.col("r")).cast("long"), F.ceil(F.greatest("y0", "y1") + F.col("r")).cast("long")
-    s = s.select("*", F.sqrt((F.col("x1") - F.col("x0")) * (F.col("x1") - F.col("x0")) + (F.col("y1") - F.col("y0")) * (F.col("y1") - F.col("y0"))).alias("n"), F.explode(F.sequence(low, high)).alias("y"))
-    found = []
-    for x, y in (("x0", "y0"), ("x1", "y1")):
-        d = F.col("y") - F.col(y)
-        reach = F.when(F.abs(d) <= F.col("r"), F.sqrt(F.col("r") * F.col("r") - d * d))
-        found += [F.col(x) - reach, F.col(x) + reach]
-    n, rise = F.nullif(F.col("n"), F.lit(0.0)), F.nullif(F.col("y1") - F.col("y0"), F.lit(0.0))
-    for side in (1.0, -1.0):
-        ox, oy = -side * F.col("r") * (F.col("y1") - F.col("y0")) / n, side * F.col("r") * (F.col("x1") - F.col("x0")) / n
-        a, b = F.col("y0") + oy, F.col("y1") + oy
-        on = (F.col("y") >= F.least(a, b)) & (F.col("y") <= F.greatest(a, b))
-        found.append(F.when(on, F.col("x0") + ox + (F.col("y") - a) / rise * (F.col("x1") - F.col("x0"))))
+    # all that is one number a segment stays below the rows, or every row would work it out again
+    s = s.withColumns({"run": F.col("x1") - F.col("x0"), "rise": F.nullif(F.col("y1") - F.col("y0"), F.lit(0.0)), "rr": F.col("r") * F.col("r")})
+    n = F.nullif(F.sqrt(F.col("run") * F.col("run") + (F.col("y1") - F.col("y0")) * (F.col("y1") - F.col("y0"))), F.lit(0.0))
+    s = s.withColumn("n", n)
+    for k, side in enumerate((1.0, -1.0)):
+        oy = side * F.col("r") * F.col("run") / F.col("n")
+        s = s.withColumns({f"b{k}": F.col("x0") + -side * F.col("r") * (F.col("y1") - F.col("y0")) / F.col("n"), f"a{k}": F.col("y0") + oy, f"z{k}": F.col("y1") + oy})
+        s = s.withColumns({f"l{k}": F.least(f"a{k}", f"z{k}"), f"h{k}": F.greatest(f"a{k}", f"z{k}")})
+    s = s.withColumns({"low": F.floor(F.least("y0", "y1") - F.col("r")).cast("long"), "high": F.ceil(F.greatest("y0", "y1") + F.col("r")).cast("long")})
+    used = ["image_id", "x0", "y0", "x1", "y1", "r", "rr", "run", "rise", *[f"{c}{k}" for k in (0, 1) for c in "balh"]]
+    s = s.select(*used, F.explode(F.sequence("low", "high")).alias("y"))
+    for k in (0, 1):
+        d = F.col("y") - F.col(f"y{k}")
+        on = (F.col("y") >= F.col(f"l{k}")) & (F.col("y") <= F.col(f"h{k}"))
+        s = s.withColumns({f"reach{k}": F.when(F.abs(d) <= F.col("r"), F.sqrt(F.col("rr") - d * d)), f"edge{k}": F.when(on, F.col(f"b{k}") + (F.col("y") - F.col(f"a{k}")) / F.col("rise") * F.col("run"))})
+    found = [f(F.col(f"x{k}"), F.col(f"reach{k}")) for k in (0, 1) for f in (operator.sub, operator.add)] + [F.col("edge0"), F.col("edge1")]
     rows = s.select("image_id", "y", F.least(*found).alias("lo"), F.greatest(*found).alias("hi"))
     rows = rows.select("image_id", F.col("y").alias("y0"), (F.col("y") + 1).alias("y1"), F.ceil("lo").cast("long").alias("x0"), (F.floor("hi") + 1).cast("long").alias("x1"))
     return rows.where("x1 > x0")

@@ -527,6 +527,13 @@ def test_chapters_are_streamed(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
+def test_lines_work_out_a_segment_once(spark):
+    """What is one number a segment stands below its rows in the plan, not in every term above them."""
+    s = spark.createDataFrame([(1, 3, 4, 30, 44, 7), (1, 5, 5, 5, 5, 6), (1, 0, 9, 20, 9, 5)], "image_id long, x0 long, y0 long, x1 long, y1 long, width long")
+    plan = masks.lines_of(s)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan[: plan.index("Generate explode")].upper().count("SQRT") <= 12
+
+
 def test_oval_points_by_number(spark):
     """The query numbers the points of a box first, so that no array of them is built."""
     from quirefold.plans import registered
