@@ -15,22 +15,41 @@ from quirefold.session import table
 TABLES = tuple("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split())
 
 _LINE_ORDER = "l_linenumber,l_partkey,l_suppkey,l_quantity,l_extendedprice,l_discount,l_tax,l_returnflag,l_linestatus,l_shipdate"
+#: On Spark lines are numbered before anything is computed from them, so that only the table's columns move and all views of them share that shuffle.
+_NUMBERED = f"(select l_orderkey, {_LINE_ORDER}, row_number() over (partition by l_orderkey order by {_LINE_ORDER}) as rn from lineitem)"
 
 VIEWS: dict[str, str | tuple[str, str]] = {
-    "boxes": f"""
+    "boxes": (
+        f"""
+select l_orderkey*100 + rn as box_id, cast(floor(l_orderkey/4) as bigint) as page_id, cast(x1 as double) as left_x, cast(y1 as double) as top_y,
+  cast(x1+w as double) as right_x, cast(y1+h as double) as bottom_y, conf, cls
+from (select l_orderkey, rn, (l_partkey*7) % 600 as x1, (l_suppkey*97 + l_linenumber*131) % 1800 as y1, cast(40 + l_quantity*4 as bigint) as w, cast(30 + l_quantity*3 as bigint) as h,
+    round(l_discount*10,1) as conf, l_linestatus, case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end as cls from {_NUMBERED}) r
+where l_linestatus = 'O'""",
+        f"""
 select l_orderkey*100 + rn as box_id, cast(floor(l_orderkey/4) as bigint) as page_id, cast(x1 as double) as left_x, cast(y1 as double) as top_y,
   cast(x1+w as double) as right_x, cast(y1+h as double) as bottom_y, conf, cls
 from (select l_orderkey, row_number() over (partition by l_orderkey order by {_LINE_ORDER}) as rn,
     (l_partkey*7) % 600 as x1, (l_suppkey*97 + l_linenumber*131) % 1800 as y1, cast(40 + l_quantity*4 as bigint) as w, cast(30 + l_quantity*3 as bigint) as h,
     round(l_discount*10,1) as conf, l_linestatus, case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end as cls from lineitem) r
 where l_linestatus = 'O'""",
-    "tokens": f"""
+    ),
+    "tokens": (
+        f"""
+select l_orderkey*100 + rn as tok_id, cast(floor(l_orderkey/4) as bigint) as page_id, cast(x1 as double) as left_x, cast(y1 as double) as top_y,
+  cast(x1+w as double) as right_x, cast(y1+h as double) as bottom_y, conf, concat(l_returnflag, cast(l_partkey as varchar(20))) as txt
+from (select l_orderkey, l_returnflag, l_partkey, rn,
+    (l_partkey*11) % 640 as x1, (l_suppkey*83 + l_linenumber*57) % 1800 as y1, cast(10 + l_quantity as bigint) as w, cast(8 + floor(l_quantity/4) as bigint) as h,
+    round(l_tax*10,1) as conf, l_linestatus from {_NUMBERED}) r
+where l_linestatus = 'F'""",
+        f"""
 select l_orderkey*100 + rn as tok_id, cast(floor(l_orderkey/4) as bigint) as page_id, cast(x1 as double) as left_x, cast(y1 as double) as top_y,
   cast(x1+w as double) as right_x, cast(y1+h as double) as bottom_y, conf, concat(l_returnflag, cast(l_partkey as varchar(20))) as txt
 from (select l_orderkey, l_returnflag, l_partkey, row_number() over (partition by l_orderkey order by {_LINE_ORDER}) as rn,
     (l_partkey*11) % 640 as x1, (l_suppkey*83 + l_linenumber*57) % 1800 as y1, cast(10 + l_quantity as bigint) as w, cast(8 + floor(l_quantity/4) as bigint) as h,
     round(l_tax*10,1) as conf, l_linestatus from lineitem) r
 where l_linestatus = 'F'""",
+    ),
     "page_dim": "select distinct cast(floor(o_orderkey/4) as bigint) as page_id, 900 as width, 2100 as height from orders",
     # eight vectors, stacked, are a page of 64 rows and 8 columns
     "pixels": (
@@ -67,10 +86,16 @@ select concat(case o_custkey % 3 when 0 then 'ch' when 1 then 'chapter' else 'ch
     case o_orderkey % 7 when 0 then '.jpg' else '.png' end) as file_name, o_totalprice as n_bytes
 from orders""",
     # union-of-rectangles masks, one to three rectangles per order
-    "mask_rects": f"""
+    "mask_rects": (
+        f"""
+select l_orderkey as mask_id, cast(floor(l_orderkey/4) as bigint) as image_id, rn, (l_suppkey*7 + rn*11) % 96 as y0, (l_suppkey*7 + rn*11) % 96 + 4 + cast(l_quantity as bigint) % 24 as y1,
+  (l_partkey*5 + rn*13) % 96 as x0, (l_partkey*5 + rn*13) % 96 + 4 + cast(l_quantity as bigint) % 28 as x1
+from {_NUMBERED} r""",
+        f"""
 select l_orderkey as mask_id, cast(floor(l_orderkey/4) as bigint) as image_id, rn, (l_suppkey*7 + rn*11) % 96 as y0, (l_suppkey*7 + rn*11) % 96 + 4 + cast(l_quantity as bigint) % 24 as y1,
   (l_partkey*5 + rn*13) % 96 as x0, (l_partkey*5 + rn*13) % 96 + 4 + cast(l_quantity as bigint) % 28 as x1
 from (select l_orderkey, l_suppkey, l_partkey, l_quantity, row_number() over (partition by l_orderkey order by {_LINE_ORDER}) as rn from lineitem) r""",
+    ),
     "images": "select distinct o_custkey as image_id, 256 + (o_custkey % 4)*128 as h, 256 + (o_custkey % 3)*128 as w from orders",
     "listing": """
 select concat('root/', case o_orderkey % 4 when 0 then 'img' when 1 then 'mask' else 'pred' end, '/', cast(o_custkey as varchar(20)), '_crop', cast(o_orderkey % 3 as varchar(4)),
