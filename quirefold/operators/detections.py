@@ -15,6 +15,8 @@ from .intervals import overlap_join
 MIN_SIDE = 20
 #: Rounds of suppression before whole chains are decided at once.
 PLAIN_ROUNDS = 3
+#: Boxes of a page that come to its points as one array.
+FEW = 64
 #: Width of a cell in which the nearest centre is first looked for.
 CELL = 128.0
 
@@ -168,11 +170,8 @@ def nearest_centre(points: DataFrame, boxes: DataFrame, cell: float = CELL) -> D
     return out
 
 
-def pick_box(points: DataFrame, boxes: DataFrame) -> DataFrame:
-    """(pt_id, page_id, px, py), boxes -> pt_id, box_id, inside: the smallest box around a point, else the nearest centre.
-
-    Ties: higher conf, then smaller id. Pages without boxes give no row.
-    """
+def _pick_dense(points: DataFrame, boxes: DataFrame) -> DataFrame:
+    """pick_box where pages have many boxes: a bucketed join for the boxes around a point, then the grid."""
     b = Box.of()
     near = overlap_join(points, boxes, (F.col("py"), F.col("py")), (b.top, b.bottom), ["page_id"])
     near = near.where((F.col("px") >= b.left) & (F.col("px") <= b.right) & (F.col("py") >= b.top) & (F.col("py") <= b.bottom))
@@ -183,6 +182,35 @@ def pick_box(points: DataFrame, boxes: DataFrame) -> DataFrame:
     return inside.withColumn("inside", F.lit(True)).unionByName(outside.withColumn("inside", F.lit(False)))
 
 
+def pick_box(points: DataFrame, boxes: DataFrame, few: int = FEW) -> DataFrame:
+    """(pt_id, page_id, px, py), boxes -> pt_id, box_id, inside: the smallest box around a point, else the nearest centre.
+
+    Ties: higher conf, then smaller id. Pages without boxes give no row. The boxes of a page that has up to ``few`` come to its points as one
+    array, so that points move once and their pairs never; pages with more go through buckets and a grid.
+    """
+    b = Box.of()
+    at = points.select("pt_id", "page_id", "px", "py").where("px is not null and py is not null")
+    cx, cy = (b.left + b.right) / 2, (b.top + b.bottom) / 2
+    held = boxes.select("page_id", "box_id", *b, "conf").where(cx.isNotNull() & cy.isNotNull())
+    with tables(points.sparkSession) as save:
+        dense = save(held.groupBy("page_id").count().where(F.col("count") > few).select("page_id"), keep=True)
+        any_dense = not dense.isEmpty()
+    sparse = held.join(dense, "page_id", "left_anti") if any_dense else held
+    arrays = sparse.groupBy("page_id").agg(F.collect_list(F.struct("left_x", "top_y", "right_x", "bottom_y", "conf", "box_id")).alias("held"))
+
+    def rank(e):
+        x = Box(e["left_x"], e["top_y"], e["right_x"], e["bottom_y"])
+        inside = (F.col("px") >= x.left) & (F.col("px") <= x.right) & (F.col("py") >= x.top) & (F.col("py") <= x.bottom)
+        dx, dy = F.col("px") - (x.left + x.right) / 2, F.col("py") - (x.top + x.bottom) / 2
+        return F.struct((~inside).alias("out"), F.when(inside, x.width * x.height).otherwise(dx * dx + dy * dy).alias("by"), (-e["conf"]).alias("c"), e["box_id"].alias("id"))
+
+    best = at.join(arrays, "page_id").select("pt_id", F.array_min(F.transform("held", rank)).alias("m"))
+    out = best.select("pt_id", F.col("m.id").alias("box_id"), (~F.col("m.out")).alias("inside"))
+    if any_dense:
+        out = out.unionByName(_pick_dense(at.join(dense, "page_id", "left_semi"), held.join(dense, "page_id", "left_semi")))
+    return out
+
+
 def slice_boxes(slices: DataFrame, boxes: DataFrame) -> DataFrame:
     """Slices (page_id, slice_no, top, bottom) x boxes -> the boxes' parts in each slice, in its coordinates."""
     both = overlap_join(slices, boxes, (F.col("top").cast("double"), F.col("bottom").cast("double")), (F.col("top_y"), F.col("bottom_y")), ["page_id"])

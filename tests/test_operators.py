@@ -399,6 +399,35 @@ def test_nearest_centres(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("few", [0, 12, 64])
+def test_picked_boxes(spark, few):
+    """Pages of 1, 8, 16 and 32 boxes; ties in area and distance, null conf, points without coordinates and without boxes."""
+    rng = random.Random(8)
+    pages = [p for p, n in enumerate((1, 8, 16, 32)) for _ in range(n)]
+    boxes = [(i, p, float(x), float(y), float(x + 40), float(y + rng.choice([30, 60])), rng.choice([0.2, 0.7, None])) for i, p in enumerate(pages) for x, y in [(10 * rng.randrange(30), 10 * rng.randrange(40))]]
+    points = [(i, i % 5, 5.0 * rng.randrange(80), 5.0 * rng.randrange(100)) for i in range(400)] + [(900, 1, None, 5.0), (901, 1, 5.0, None)]
+    found = detections.pick_box(spark.createDataFrame(points, "pt_id long, page_id long, px double, py double"), spark.createDataFrame(boxes, BOX), few)
+    want = set()
+    for p, page, x, y in points:
+        ranks = []
+        for b, at, left, top, right, bottom, conf in boxes:
+            if at == page and x is not None and y is not None:
+                inside = left <= x <= right and top <= y <= bottom
+                by = (right - left) * (bottom - top) if inside else (x - (left + right) / 2) ** 2 + (y - (top + bottom) / 2) ** 2
+                ranks.append((not inside, by, (0, 0) if conf is None else (1, -conf), b))
+        if ranks:
+            want.add((p, min(ranks)[3], not min(ranks)[0]))
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+
+
+def test_points_of_small_pages_move_once(spark):
+    """No explode and no grouping by point where pages have few boxes."""
+    boxes = spark.createDataFrame([(i, i // 8, 1.0 * i, 1.0 * i, i + 9.0, i + 9.0, 0.5) for i in range(64)], BOX)
+    points = spark.range(100).selectExpr("id as pt_id", "id % 8 as page_id", "double(id) as px", "double(id) as py")
+    plan = detections.pick_box(points, boxes)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" not in plan and "keys=[pt_id" not in plan and "scratch" not in plan
+
+
 def test_placed_copies_fit(spark):
     """Every copy against its cells: within the image, over enough of it, and no more over the mask than allowed."""
     from quirefold.operators import masks
