@@ -93,10 +93,15 @@ def clamp_box(b: Box, to: Box) -> Box:
     return c.where((c.right > c.left) & (c.bottom > c.top), to)
 
 
+def mix_box(a: Box, b: Box, w: Column) -> Box:
+    """a moved towards b by a weight, which counts as 0 below that and as 1 above."""
+    return Box(*[F.when(w <= 0, x).when(w >= 1, y).otherwise(x * (1 - w) + y * w) for x, y in zip(a, b, strict=True)])
+
+
 def blend_box(a: Box, b: Box, weight: Column) -> Box:
     """a moved towards b by a weight in [0, 1]; a if the result is empty."""
     w = F.least(F.greatest(weight, lit(0)), lit(1))
-    mixed = Box(*[F.when(w <= 0, x).when(w >= 1, y).otherwise(x * (1 - w) + y * w) for x, y in zip(a, b, strict=True)])
+    mixed = mix_box(a, b, w)
     return mixed.where((w >= 1) | ((mixed.right > mixed.left) & (mixed.bottom > mixed.top)), a)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.functions.geometry import Box, blend_box, clamp_box, inset_box, let, lit, scale_box
+from quirefold.functions.geometry import Box, inset_box, let, lit, mix_box, scale_box
 from quirefold.functions.text import STRIP, norm_token, words
 
 # Presets of the layout profile.
@@ -24,6 +24,8 @@ LABELS = ("cloude", "elipse", "other", "rectangle", "sea_uchirin", "thorn")
 _KEPT = "[^" + "".join(f"\\x{{{ord(c):x}}}" for c in STRIP) + "]"
 LONG = f"(?s){_KEPT}.+{_KEPT}"
 
+SIDES = ("left_x", "top_y", "right_x", "bottom_y")
+
 #: Parts of an em in which advances are added.
 EM_UNITS = 1_000_000
 
@@ -71,38 +73,67 @@ def layout_inputs(bubbles: DataFrame, texts: DataFrame, geometry: DataFrame, sta
 # Fixed values in the functions below: the steps of the shrink, the relaxation, the fit area and the penalties.
 
 
-def comfort_clamp(core: Box, cov: Column, source: Column, line_count: Column, base=0.07, least=0.03, most=0.14, bonus=0.06, min_px=3, max_px=40) -> Box:
-    """The core box with a margin that depends on OCR coverage (null: unknown), source, line count and size."""
+def _kept(df: DataFrame, **boxes: Box) -> DataFrame:
+    """Boxes as columns, so that later steps don't compute them again and again, and no step's code is too long for the JIT compiler."""
+    return df.withColumns({f"{name}_{n}": c for name, b in boxes.items() for n, c in zip(SIDES, b, strict=True)})
+
+
+def comfort_clamp(df: DataFrame, name: str, core: str, base=0.07, least=0.03, most=0.14, bonus=0.06, min_px=3, max_px=40) -> DataFrame:
+    """Adds the box ``name``: the core box, named by its prefix, with a margin that depends on OCR coverage (null: unknown), source, line count and size.
+
+    Reads cov, source and line_count.
+    """
+    core, cov, source, line_count = Box.of(core), F.col("cov"), F.col("source"), F.col("line_count")
     w, h = F.greatest(lit(1), core.width), F.greatest(lit(1), core.height)
     frac = lit(base) + ladder(cov, (0.08, 0.06), (0.18, 0.04), (0.30, 0.02), otherwise=0.0)
     scaled = F.when(cov.isNull(), lit(bonus)).when(cov >= 0.30, lit(bonus) * 0.20).when(cov >= 0.20, lit(bonus) * 0.35).when(cov >= 0.12, lit(bonus) * 0.55).otherwise(lit(bonus) * 0.80)
     frac = frac + F.when(is_fallback(source), scaled).otherwise(lit(0))
     frac = frac - F.when(cov >= 0.18, lit(0.02)).otherwise(lit(0)) - F.when(cov >= 0.28, lit(0.01)).otherwise(lit(0)) - F.when(line_count >= 4, lit(0.02)).otherwise(lit(0))
-    frac = frac * ladder(F.least(w, h), (120, 0.55), (200, 0.75), otherwise=1.0)
-    frac = F.greatest(lit(least), F.least(lit(most), frac))
-    side = lambda x: F.greatest(lit(min_px), F.least(lit(max_px), x * frac / 2))
-    return inset_box(core, side(w), side(h))
+    # let also ends the generated loop here: with all steps of fit_area in it, it would be too long for the JIT compiler
+    frac = frac * let(F.least(w, h), lambda x: ladder(x, (120, 0.55), (200, 0.75), otherwise=1.0))
+    df = df.withColumn("frac_", F.greatest(lit(least), F.least(lit(most), frac)))
+    side = lambda x: F.greatest(lit(min_px), F.least(lit(max_px), x * F.col("frac_") / 2))
+    df = df.withColumns({"dx_": side(w), "dy_": side(h)})
+    return _kept(df, **{name: inset_box(core, F.col("dx_"), F.col("dy_"))}).drop("frac_", "dx_", "dy_")
 
 
-def short_text_relax(clamp: Box, core: Box, source: Column, line_count: Column, n_words: Column) -> Box:
-    """With fallback geometry, short texts get the clamp box scaled up again, within the core."""
-    k = F.when(~is_fallback(source), lit(1)).when(line_count <= 1, lit(1.14)).when(n_words <= 4, lit(1.10)).when(n_words <= 7, lit(1.06)).otherwise(lit(1))
-    return clamp_box(scale_box(clamp, k), core).where(k > 1, clamp)
+def _blended(df: DataFrame, name: str, a: str, b: str, weight: Column) -> DataFrame:
+    """``blend_box`` of two boxes named by their prefixes, in steps."""
+    a, b, mixed, w = Box.of(a), Box.of(b), Box.of("mixed_"), F.col("weight_")
+    df = _kept(df.withColumn("weight_", F.least(F.greatest(weight, lit(0)), lit(1))), mixed=mix_box(a, b, w))
+    df = df.withColumn("good_", (w >= 1) | ((mixed.right > mixed.left) & (mixed.bottom > mixed.top)))
+    return _kept(df, **{name: mixed.where(F.col("good_"), a)}).drop("weight_", "good_", *[f"mixed_{c}" for c in SIDES])
 
 
-def _kept(df: DataFrame, **boxes: Box) -> DataFrame:
-    """Boxes as columns, so that later steps don't compute them again and again."""
-    return df.withColumns({f"{name}_{n}": c for name, b in boxes.items() for n, c in zip(("left_x", "top_y", "right_x", "bottom_y"), b, strict=True)})
+def _clamped(df: DataFrame, name: str, to: Box) -> DataFrame:
+    """``clamp_box`` of the box of that name, in steps."""
+    b = Box.of(f"{name}_")
+    df = _kept(df, cut=Box(F.greatest(b.left, to.left), F.greatest(b.top, to.top), F.least(b.right, to.right), F.least(b.bottom, to.bottom)))
+    cut = Box.of("cut_")
+    df = df.withColumn("good_", (cut.right > cut.left) & (cut.bottom > cut.top))
+    return _kept(df, **{name: cut.where(F.col("good_"), to)}).drop("good_", *[f"cut_{c}" for c in SIDES])
+
+
+def short_text_relax(df: DataFrame, name: str, clamp: str, core: str) -> DataFrame:
+    """Adds the box ``name``: with fallback geometry, short texts get the clamp box scaled up again, within the core.
+
+    clamp and core are prefixes of boxes; reads source, line_count and n_words.
+    """
+    lines, n, clamp, core = F.col("line_count"), F.col("n_words"), Box.of(clamp), Box.of(core)
+    k = F.when(~is_fallback(F.col("source")), lit(1)).when(lines <= 1, lit(1.14)).when(n <= 4, lit(1.10)).when(n <= 7, lit(1.06)).otherwise(lit(1))
+    df = _kept(df.withColumn("k_", k), larger=scale_box(clamp, F.col("k_")))
+    df = _clamped(df, "larger", core)
+    return _kept(df, **{name: Box.of("larger_").where(F.col("k_") > 1, clamp)}).drop("k_", *[f"larger_{c}" for c in SIDES])
 
 
 def fit_core(inputs: DataFrame) -> DataFrame:
     """Adds the fit box: with fallback geometry the core moves towards the bubble's box, further for low coverage, and grows for short texts."""
     bubble, core = Box.of(), Box.of("core_")
     low = is_fallback(F.col("source"))
-    df = _kept(inputs, moved=blend_box(core, bubble, ladder(F.col("cov"), (0.15, 0.24), (0.30, 0.20), otherwise=0.16)))
-    df = _kept(df, moved=clamp_box(Box.of("moved_"), bubble))
+    by = ladder(F.col("cov"), (0.15, 0.24), (0.30, 0.20), otherwise=0.16)
+    df = _clamped(_blended(inputs, "moved", "core_", "", by), "moved", bubble)
     df = _kept(df, grown=scale_box(Box.of("moved_"), 1.10))
-    df = _kept(df, grown=clamp_box(Box.of("grown_"), bubble))
+    df = _clamped(df, "grown", bubble)
     short = (F.col("line_count") <= 1) | (F.col("n_words") <= 3)
     return _kept(df, fit=Box.of("grown_").where(short, Box.of("moved_")).where(low, core))
 
@@ -113,19 +144,18 @@ def fit_area(inputs: DataFrame, core_scale: float = 1.03, influence: float = 0.3
     The layout box starts at the core, slightly scaled, and is drawn towards the scaled OCR box by an
     influence that is weaker for fallback geometry and short texts, and none without an OCR box.
     """
-    cov, source, lines, n = (F.col(c) for c in ("cov", "source", "line_count", "n_words"))
+    cov, source, n = (F.col(c) for c in ("cov", "source", "n_words"))
     df = fit_core(inputs)
-    df = _kept(df, comfort=comfort_clamp(Box.of("fit_"), cov, source, lines))
-    df = _kept(df, clamp=short_text_relax(Box.of("comfort_"), Box.of("fit_"), source, lines, n))
+    df = comfort_clamp(df, "comfort", "fit_")
+    df = short_text_relax(df, "clamp", "comfort_", "fit_")
     fit, clamp = Box.of("fit_"), Box.of("clamp_")
     has = F.col("ocr_left_x").isNotNull()
     ocr = Box.of("ocr_").where(has, fit)
     df = _kept(df, seed=scale_box(fit, core_scale), hint=scale_box(ocr, ladder(cov, (0.08, 1.85), (0.18, 1.55), otherwise=1.32)))
-    df = _kept(df, seed=clamp_box(Box.of("seed_"), clamp), hint=clamp_box(Box.of("hint_"), clamp))
+    df = _clamped(_clamped(df, "seed", clamp), "hint", clamp)
     pull = F.when(is_fallback(source), lit(influence_fallback)).otherwise(lit(influence)) * F.when(n <= 3, lit(0.55)).otherwise(lit(1))
     pull = F.when(has, F.greatest(lit(0), F.least(lit(0.5), pull))).otherwise(lit(0))
-    df = _kept(df.withColumn("pull", pull), layout=blend_box(Box.of("seed_"), Box.of("hint_"), F.col("pull")))
-    df = _kept(df, layout=clamp_box(Box.of("layout_"), clamp))
+    df = _clamped(_blended(df, "layout", "seed_", "hint_", pull), "layout", clamp)
     return df.select("bubble_id", *[F.col(f"{k}_{c}") for k in ("clamp", "layout") for c in ("left_x", "top_y", "right_x", "bottom_y")])
 
 

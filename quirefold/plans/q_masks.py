@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quirefold.functions import geometry as G
 from quirefold.operators import layout as L
 from quirefold.operators import masks as M
+from quirefold.session import tables
 
 from .registry import query
 from .sql import norm_token
@@ -280,7 +281,8 @@ def _(v):
 
 
 def _inputs(v):
-    b = v.bubbles
+    with tables(v.spark) as save:
+        b = save(v.bubbles, keep=True)
     texts = b.select("bubble_id", F.when(F.col("bubble_id") % 13 == 0, " ").otherwise(F.repeat(F.lit("word "), F.col("n_words").cast("int") + 1)).alias("text"))
     g = G.inset_box(G.Box.of(), G.lit(6), G.lit(4))
     geometry = b.where("bubble_id % 5 <> 1").select("bubble_id", "source", *g.named("core_"))
@@ -310,8 +312,8 @@ COMFORT = f"with {INPUTS}, {COMFORT_STEPS}"
 
 @query("p11_comfort_clamp", f"{COMFORT} select bubble_id, c0 as left_x, c1 as top_y, c2 as right_x, c3 as bottom_y from cc")
 def _(v):
-    box = L.comfort_clamp(G.Box.of("core_"), F.col("cov"), F.col("source"), F.col("line_count"))
-    return _inputs(v).select("bubble_id", *box.named())
+    i = L.comfort_clamp(_inputs(v), "comfort", "core_")
+    return i.select("bubble_id", *[F.col(f"comfort_{c}").alias(c) for c in SIDES])
 
 
 RELAX_STEPS = """k as (select *, case when not fb then 1 when line_count <= 1 then 1.14::double when n_words <= 4 then 1.10::double when n_words <= 7 then 1.06::double else 1 end::double as k from cc),
@@ -321,10 +323,9 @@ RELAX_STEPS = """k as (select *, case when not fb then 1 when line_count <= 1 th
 
 @query("p12_short_text_relax", f"{COMFORT}, {RELAX_STEPS} select bubble_id, {', '.join(f'clamp_{c} as {c}' for c in SIDES)} from rx")
 def _(v):
-    i = _inputs(v)
-    i = L._kept(i, comfort=L.comfort_clamp(G.Box.of("core_"), F.col("cov"), F.col("source"), F.col("line_count")))
-    box = L.short_text_relax(G.Box.of("comfort_"), G.Box.of("core_"), F.col("source"), F.col("line_count"), F.col("n_words"))
-    return i.select("bubble_id", *box.named("relaxed_")).select("bubble_id", *[F.col(f"relaxed_{c}").alias(c) for c in ("left_x", "top_y", "right_x", "bottom_y")])
+    i = L.comfort_clamp(_inputs(v), "comfort", "core_")
+    i = L.short_text_relax(i, "relaxed", "comfort_", "core_")
+    return i.select("bubble_id", *[F.col(f"relaxed_{c}").alias(c) for c in SIDES])
 
 
 def scaled(box: str, k: str) -> list[str]:

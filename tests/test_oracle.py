@@ -63,3 +63,15 @@ def test_lines_are_shuffled_once(spark, sf, name):
     """Boxes and tokens are numbered from one shuffle of the table's own columns; a second one may stand where null keys are left out before."""
     plan = without_adaption(spark, lambda: QUERIES[name](spark, sf))
     assert len([x for x in plan.splitlines() if "Exchange hashpartitioning(l_orderkey" in x and "ReusedExchange" not in x]) <= 2
+
+
+@pytest.mark.parametrize("name", ["j11_layout_inputs", "p11_comfort_clamp", "p12_short_text_relax", "p13_fit_area"])
+def test_bubbles_are_numbered_once(spark, sf, name):
+    assert "l_orderkey" not in without_adaption(spark, lambda: QUERIES[name](spark, sf))
+
+
+def test_fit_area_is_compiled(spark, sf):
+    """No generated method is longer than the 8,000 bytes beyond which the JVM only interprets it."""
+    text = without_adaption(spark, lambda: QUERIES["p13_fit_area"](spark, sf), "codegen")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) < 8000
