@@ -131,3 +131,22 @@ def test_files(spark):
     files.split_shard(spark.range(25).repartition(1), f"{out}/parts", 10)
     assert spark.read.parquet(f"{out}/parts").count() == 25
     assert files.list_files(spark, f"{out}/parts", "*.parquet").count() == 3
+
+
+def test_patch_progress_of_many_items(spark):
+    """Items of several blocks, below 0 too, in two runs with late and repeated events."""
+    rng = random.Random(4)
+    events = [(i % 3, rng.randrange(-300, 900), i, rng.choice(["a", "error"]), rng.randrange(14)) for i in range(1500)]
+    path, kind = fresh(), "job_id long, item long, event_id long, status string, done long"
+    whole = lambda df: df.withColumn("ts", F.timestamp_seconds("event_id")).withColumn("total", F.lit(10))
+    for part in (events[300:], events[:600]):
+        spark.createDataFrame(part, kind).write.mode("append").parquet(f"{path}/in")
+        out = streams.patch_progress(whole(streams.read_events(spark, f"{path}/in", spark.createDataFrame([], kind).schema, 100)))
+        with streams.state_store(spark):
+            run = out.writeStream.foreachBatch(streams.upsert(f"{path}/out")).outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+            run.awaitTermination()
+        # a row for each block of 256 items, and one for the sums, of three jobs
+        assert run.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3 * (6 + 1)
+    got = streams.latest(spark, f"{path}/out", out.schema, "job_id").collect()
+    want = jobs.patch_progress(whole(spark.createDataFrame(events, kind))).select(*out.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
