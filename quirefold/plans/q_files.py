@@ -5,7 +5,7 @@ Files go to the folder of the session's checkpoints. Pages are text files with a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.operators import evalset as E
@@ -67,8 +67,9 @@ def _(v):
     rows = v.documents.select("doc_id", (F.col("doc_id") % 8).alias("shard"), "text", F.octet_length("text").alias("size"))
     R.split_shards(rows, path, "shard", ["doc_id"], "size", 40, 60_000)
     kept = v.spark.read.schema("doc_id long, text string, size int, shard long, part long").parquet(path)
-    sums = kept.groupBy("shard", "part").agg(F.sum(F.coalesce("size", F.lit(0))).alias("part_bytes"), F.count("*").alias("part_records"))
-    return kept.select("doc_id", "shard", "part", F.md5(F.col("text")).alias("content")).join(sums, ["shard", "part"])
+    kept = kept.select("doc_id", "shard", "part", F.md5(F.col("text")).alias("content"), F.coalesce("size", F.lit(0)).alias("size"))
+    part = Window.partitionBy("shard", "part")
+    return kept.select("doc_id", "shard", "part", "content", F.sum("size").over(part).alias("part_bytes"), F.count("*").over(part).alias("part_records"))
 
 
 @query("src6_written_shards", "select doc_id, (('0x' || substr(md5('3:' || doc_id), 1, 8))::bigint % 4)::int as shard from documents")

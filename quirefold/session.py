@@ -47,6 +47,12 @@ def scratch_path(spark: SparkSession) -> str:
     return f"{shared}/scratch-{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with the file system that Spark takes it to be in."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def removed(spark: SparkSession, *paths: str) -> None:
     """Deletes folders, in whatever file system they are."""
     for p in paths:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.operators.metrics import metric_rows
+from quirefold.session import qualified, removed
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
@@ -92,10 +98,78 @@ def numbered(records: DataFrame, shard: str, order: list[str], size: str, max_re
     return records.join(parts, [shard, *order])
 
 
+def _folder(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a qualified path, and the path within it."""
+    return (fs.LocalFileSystem(), path.removeprefix("file:").replace("///", "/", 1)) if path.startswith("file:") else fs.FileSystem.from_uri(path)
+
+
+def _put(to: fs.FileSystem, folder: str, name: str, write: Callable) -> None:
+    """A file, whole or not at all: a task that runs again puts the same in its place. Readers don't see the name that it has before."""
+    before = f"{folder}/_{uuid.uuid4().hex}"
+    with to.open_output_stream(before) as out:
+        write(out)
+    to.move(before, f"{folder}/{name}")
+
+
+def write_files(files: DataFrame, path: str) -> None:
+    """A file in the folder for every row (name, content), which are strings; what is there stays, but for files of these names.
+
+    Tasks write their files themselves: Spark's writers need a folder for each of them, and most of their time goes into permissions and moves.
+    The path is one that executors share and pyarrow can write to.
+    """
+    path = qualified(files.sparkSession, path)
+    to, folder = _folder(path)
+    to.create_dir(folder, recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to, folder = _folder(path)
+        for b in batches:
+            for name, content in zip(b.column("name").to_pylist(), b.column("content").to_pylist(), strict=True):
+                _put(to, folder, name, lambda out, content=content: out.write(content.encode()))
+            yield pa.RecordBatch.from_arrays([b.column("name")], ["name"])
+
+    # dealt out by number, which is not coalesced for being few bytes
+    dealt = files.select("name", "content").repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "name")
+    dealt.mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()
+
+
 def split_shards(records: DataFrame, path: str, shard: str, order: list[str], size: str, max_records: int, max_bytes: int) -> None:
-    """A folder for every part of every shard, as ``numbered`` cuts them, each with one file of records in order. (shard, order) must not repeat."""
-    rows = numbered(records, shard, order, size, max_records, max_bytes).repartition(shard, "part")
-    rows.sortWithinPartitions(shard, "part", *order).write.mode("overwrite").partitionBy(shard, "part").parquet(path)
+    """A folder for every shard with a parquet file for every part of it, as ``numbered`` cuts them, of records in order and their ``part``.
+
+    (shard, order) must not repeat. What was in the folder goes. The path is as that of ``write_files``, and so are the writers.
+    """
+    path = qualified(records.sparkSession, path)
+    removed(records.sparkSession, path)
+    to, folder = _folder(path)
+    to.create_dir(folder, recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to, folder = _folder(path)
+
+        def put(key: tuple, held: list[pa.RecordBatch]) -> None:
+            of = "__HIVE_DEFAULT_PARTITION__" if key[0] is None else quote(str(key[0]), safe="")
+            to.create_dir(f"{folder}/{shard}={of}", recursive=True)
+            _put(to, f"{folder}/{shard}={of}", f"part-{key[1]:08d}.parquet", lambda out: pq.write_table(pa.Table.from_batches(held).drop_columns([shard]), out))
+
+        key, held = None, []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            of = [b.column(c).dictionary_encode("encode").indices.to_numpy() for c in (shard, "part")]
+            at = [0, *(np.flatnonzero((of[0][1:] != of[0][:-1]) | (of[1][1:] != of[1][:-1])) + 1).tolist(), b.num_rows]
+            for start, stop in zip(at, at[1:], strict=False):
+                new = (b.column(shard)[start].as_py(), b.column("part")[start].as_py())
+                if new != key and held:
+                    put(key, held)
+                    held = []
+                key = new
+                held.append(b.slice(start, stop - start))
+            yield pa.RecordBatch.from_arrays([b.column("part")], ["part"])
+        if held:
+            put(key, held)
+
+    rows = numbered(records, shard, order, size, max_records, max_bytes).repartition(shard, "part").sortWithinPartitions(shard, "part", *order)
+    rows.mapInArrow(run, "part long").write.format("noop").mode("overwrite").save()
 
 
 def read_classes(spark: SparkSession, path: str) -> DataFrame:
