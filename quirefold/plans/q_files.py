@@ -18,11 +18,13 @@ from .q_scripts import PATCHES, REGROUPED, STATUS, TRANSITIONS, patch_events
 from .registry import query
 
 
-def _page_files(v, path: str, some: str = "true", mode: str = "error") -> None:
+def _page_files(v, path: str, some: str = "true") -> None:
     """A text file for each page."""
     px = v.pixels.where(some).groupBy("page_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", "v"))).alias("px"))
-    lines = px.select("page_id", "y", F.array_join(F.transform("px", lambda p: p["v"].cast("string")), " ").alias("value"))
-    lines.repartition("page_id").sortWithinPartitions("page_id", "y").select("page_id", "value").write.mode(mode).partitionBy("page_id").text(path)
+    lines = px.select("page_id", "y", F.array_join(F.transform("px", lambda p: p["v"].cast("string")), " ").alias("line"))
+    pages = lines.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("y", "line"))).alias("lines"))
+    content = F.concat(F.array_join("lines.line", "\n"), F.lit("\n"))
+    R.write_files(pages.select(F.concat(F.lit("page_id="), F.col("page_id"), F.lit(".txt")).alias("name"), content.alias("content")), path)
 
 
 def text_size(content: bytes) -> tuple[int, int]:
@@ -144,8 +146,9 @@ def _(v):
 def _(v):
     path = scratch_path(v.spark)
     for some in ("page_id % 2 = 0", "page_id % 2 = 1"):
-        _page_files(v, f"{path}/pages", some, "append")
-        out = S.ingest(v.spark, f"{path}/pages/*", "*.txt")
-        _appended(out, path)
+        _page_files(v, f"{path}/pages", some)
+        out = S.ingest(v.spark, f"{path}/pages", "*.txt")
+        with S.listing(v.spark):
+            _appended(out, path)
     rows = v.spark.read.schema(out.schema).parquet(f"{path}/rows")
     return rows.groupBy(_page(F.col("path")).alias("page_id")).agg(F.count("*").alias("times"), F.sum("length").alias("length"))
