@@ -65,6 +65,8 @@ from orders""",
 select l_orderkey as sample_id, l_partkey % 150 as class_id, sum(cast(l_quantity as bigint))*4 as n_total, sum(cast(l_quantity as bigint)) as n_mask_target,
   sum(cast(l_quantity as bigint) + l_suppkey % 5 - 2) as n_mask_pred
 from lineitem group by l_orderkey, l_partkey % 150""",
+    # the lines that class_freq adds up, for operators that add up themselves
+    "class_lines": "select l_orderkey as sample_id, l_partkey % 150 as class_id, cast(l_quantity as bigint)*4 as n_px from lineitem",
     "activations": "select cast(floor(vec_id/2) as bigint) as pair_id, case when vec_id % 2 = 0 then 'pred' else 'target' end as side, label as grp, embedding from embeddings",
     "script_lines": """
 select conv_id as page_id, turn as line_no,

@@ -184,8 +184,8 @@ def _(v):
 
 @query("g11_candidates", "with g as (select sample_id, class_id as seg_id, bool_or(class_id % 4 <> 0) as thing, sum(n_total)::double as n from class_freq group by 1, 2) select sample_id, seg_id, n / (30 * 30) as share from g where thing and n / (30 * 30) < 0.1::double")
 def _(v):
-    s = v.class_freq.select("sample_id", F.col("class_id").alias("seg_id"), (F.col("class_id") % 4 != 0).alias("is_thing"), F.col("n_total").alias("n_px"))
-    dims = v.class_freq.select("sample_id").distinct().withColumns({"w": F.lit(30), "h": F.lit(30)})
+    s = v.class_lines.select("sample_id", F.col("class_id").alias("seg_id"), (F.col("class_id") % 4 != 0).alias("is_thing"), "n_px")
+    dims = v.class_lines.select("sample_id").distinct().withColumns({"w": F.lit(30), "h": F.lit(30)})
     return M.candidates(s, dims, 0.1).withColumn("share", F.col("share").cast("double"))
 
 

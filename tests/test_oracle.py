@@ -75,3 +75,9 @@ def test_fit_area_is_compiled(spark, sf):
     text = without_adaption(spark, lambda: QUERIES["p13_fit_area"](spark, sf), "codegen")
     sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", text)]
     assert sizes and max(sizes) < 8000
+
+
+def test_candidates_add_up_once(spark, sf):
+    """Segments are added up from lines in one hash table a task, beside that of the partial sums before the shuffle."""
+    plan = without_adaption(spark, lambda: QUERIES["g11_candidates"](spark, sf))
+    assert len([x for x in plan.splitlines() if "HashAggregate" in x and "sum(" in x]) <= 2
