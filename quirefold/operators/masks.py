@@ -351,8 +351,8 @@ def mask_dataset(images: DataFrame, probabilities: dict[str, float], variants: i
     fan = images.select(F.col("image_id").alias("base_id"), "w", "h", F.explode(F.sequence(_n(0), _n(variants - 1))).alias("variant"))
     fan = fan.withColumn("image_id", F.col("base_id") * variants + F.col("variant"))
     rects = mixed_masks(fan.select("image_id", "w", "h"), probabilities, seed).withColumnRenamed("image_id", "mask_id")
-    kinds = rects.groupBy("mask_id").agg(F.min("kind").alias("kind"))
-    sized = mask_area(rects, fan.select(F.col("image_id").alias("mask_id"), "w", "h")).where((F.col("area") > 0) & (F.col("share") <= max_area)).join(kinds, "mask_id")
+    sized = mask_area(rects, fan.select(F.col("image_id").alias("mask_id"), "w", "h")).where((F.col("area") > 0) & (F.col("share") <= max_area))
+    sized = sized.withColumn("kind", choose_kind(seed, probabilities, F.col("mask_id")))  # drawn once more, not looked up among the rectangles
     sized = sized.withColumns({"image_id": F.floor(F.col("mask_id") / variants), "variant": F.col("mask_id") % variants})
     rank = F.row_number().over(Window.partitionBy("image_id").orderBy(unit(seed, "keep", F.col("mask_id")), "mask_id"))
     return sized.withColumn("rank_", rank).where(F.col("rank_") <= max_per_image).select("image_id", "variant", "mask_id", "kind", "area", "share")

@@ -153,21 +153,40 @@ def ocr_stats(tokens: DataFrame, assigned: DataFrame, bubbles: DataFrame) -> Dat
     )
 
 
+#: Rectangles of a key up to which they are joined where they stand, as one array.
+FEW = 16
+
+
 def union_area(rects: DataFrame, key: str) -> DataFrame:
     """(key, x0, y0, x1, y1) whole numbers, ends open -> key, area covered by any rectangle.
 
-    Every rectangle is cut into the vertical strips between the key's x edges; in each strip the y
-    ranges are joined in order. Strips grow with the edges within a rectangle, not with its area.
+    The rectangles between two neighbouring x edges of the key are a strip, in which the y ranges are joined in order. Up to FEW rectangles
+    are one array and stay in their row; of keys with more every rectangle is cut into its strips, which grow with the edges within it, not with its area.
     """
     from pyspark.sql import Window
 
-    good = rects.where("x1 > x0 and y1 > y0").select(key, "x0", "y0", "x1", "y1")
-    edges = good.select(key, F.explode(F.array("x0", "x1")).alias("x")).groupBy(key).agg(F.array_sort(F.collect_set("x")).alias("xs"))
-    cut = good.join(edges, key)
+    ends = ["y0", "y1", "x0", "x1"]
+    kind = "double" if {"double", "float"} & {dict(rects.dtypes)[c] for c in ends} else "long"
+    good = rects.where(F.col(key).isNotNull() & F.expr("x1 > x0 and y1 > y0")).select(key, *[F.col(c).cast(kind).alias(c) for c in ends])
+    held = good.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*ends))).alias("rs"))
+    held = held.select(key, "rs", F.sort_array(F.array_distinct(F.concat("rs.x0", "rs.x1"))).alias("xs"))
+    zero = F.lit(0).cast(kind)
+
+    def joined(sum_, r):
+        gain = F.greatest(zero, r["y1"] - F.greatest(r["y0"], F.coalesce(sum_["top"], r["y0"])))
+        return F.struct((sum_["n"] + gain).alias("n"), F.greatest(sum_["top"], r["y1"]).alias("top"))
+
+    def strip(sum_, i):
+        a, b = F.get("xs", i - 1), F.get("xs", i)
+        own = F.filter("rs", lambda r: (r["x0"] <= a) & (r["x1"] >= b))
+        return sum_ + (b - a) * F.aggregate(own, F.struct(zero.alias("n"), F.lit(None).cast(kind).alias("top")), joined, lambda s: s["n"])
+
+    few = held.where(F.size("rs") <= FEW).select(key, F.aggregate(F.sequence(F.lit(1), F.size("xs") - 1), zero, strip).cast("long").alias("area"))
+    cut = held.where(F.size("rs") > FEW).select(key, "xs", F.explode("rs").alias("r")).select(key, "xs", "r.*")
     own = F.filter("xs", lambda x: (x >= F.col("x0")) & (x <= F.col("x1")))
     pairs = F.zip_with(F.slice(own, 1, F.size(own) - 1), F.slice(own, 2, F.size(own)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     strips = cut.select(key, "y0", "y1", F.explode(pairs).alias("s")).select(key, "y0", "y1", "s.a", "s.b")
     order = Window.partitionBy(key, "a", "b").orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1)
     from_ = F.greatest(F.col("y0"), F.coalesce(F.max("y1").over(order), F.col("y0")))
     covered = strips.withColumn("gain", F.greatest(F.lit(0), F.col("y1") - from_) * (F.col("b") - F.col("a")))
-    return covered.groupBy(key).agg(F.sum("gain").cast("long").alias("area"))
+    return few.unionByName(covered.groupBy(key).agg(F.sum("gain").cast("long").alias("area")))

@@ -81,3 +81,26 @@ def test_candidates_add_up_once(spark, sf):
     """Segments are added up from lines in one hash table a task, beside that of the partial sums before the shuffle."""
     plan = without_adaption(spark, lambda: QUERIES["g11_candidates"](spark, sf))
     assert len([x for x in plan.splitlines() if "HashAggregate" in x and "sum(" in x]) <= 2
+
+
+def test_few_rectangles_stay_in_their_row(spark):
+    """Areas of keys with few and with many rectangles against painted pixels; those with few need no table of edges and no join."""
+    import numpy as np
+
+    from quirefold.operators import ordering
+
+    draws, rows, want = np.random.default_rng(3), [], {}
+    for k, n in enumerate([1, 2, 4, 15, 16, 17, 40]):
+        painted = np.zeros((64, 64), bool)
+        for _ in range(n):
+            (x0, y0), (w, h) = draws.integers(0, 40, 2).tolist(), draws.integers(0, 20, 2).tolist()
+            rows.append((k, x0, y0, x0 + w, y0 + h))
+            painted[y0 : y0 + h, x0 : x0 + w] = True
+        if painted.any():
+            want[k] = int(painted.sum())
+    df = spark.createDataFrame([*rows, (None, 0, 0, 1, 1)], "k long, x0 long, y0 long, x1 long, y1 long")
+    for kind in ("long", "int", "double"):
+        typed = df.select("k", *[df[c].cast(kind).alias(c) for c in ("x0", "y0", "x1", "y1")])
+        assert {r["k"]: r["area"] for r in ordering.union_area(typed, "k").collect()} == want
+    plan = without_adaption(spark, lambda: ordering.union_area(df, "k"))
+    assert "Join" not in plan and "collect_set" not in plan
