@@ -516,6 +516,24 @@ def test_repeats_brute_force(spark, monkeypatch):
         assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
 
 
+def test_passages_of_over_50_words_go_by_bytes(spark):
+    """What two texts share goes from 400 bytes on, however many words it has: 51 words of 399 bytes with the spaces around them stay."""
+    rng = random.Random(21)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    own = lambda: " ".join(word(6) for _ in range(40))
+    rows = []
+    for size in (330, 399, 400, 401):
+        letters = size - 52  # between 51 words and around them stand 52 spaces
+        passage = " ".join(word(letters // 51 + (i < letters % 51)) for i in range(51))
+        assert len(passage) + 2 == size
+        rows += [(10 * size + i, f"{own()}{a} {passage} {z}{own()}") for i, (a, z) in enumerate(("kl", "mn"))]
+    got = {r["doc_id"]: r for r in exact_dedup.exact_dedup(frame(spark, rows)).collect()}
+    for i, text in rows:
+        size = i // 10
+        gone = size if size >= 400 else 0
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"]) == (len(text), gone, int(gone > 0))
+
+
 def test_long_text_in_pieces():
     rng = np.random.default_rng(0)
     data = rng.integers(97, 100, 5000).astype(np.uint8)
