@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -35,12 +35,17 @@ MAX_SHARDS = 1600
 FAN_IN = 32
 #: Groups with more links than this are counted by distinct ids.
 WIDE = 4096
+#: New words that are encoded at a time, and documents whose pairs are counted at a time.
+NEW_WORDS = 20_000
+COUNTED_DOCS = 128
+#: Rows of a batch that are turned into Python objects at a time.
+TAKEN_ROWS = 256
 #: A pair as one number: the A id times this and the B id.
 STEP = 1 << 20
 
 _CHUNK = (
     "chunk long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, "
-    "n_words binary, words binary, a binary, a_n binary, b binary, pairs binary, df binary, n_pairs long"
+    "packed binary, sizes array<long>, pairs binary, df binary, n_pairs long"
 )
 _NODE = "shard long, node long, pairs binary"
 _VECTOR = "shard long, node long, counts binary"
@@ -95,10 +100,13 @@ class _Aligner:
                     known[w] = older[w]
                 else:
                     new.append(w)
-        if new:
-            known.update(zip(new, self._encoded(new), strict=True))
+        for i in range(0, len(new), NEW_WORDS):
+            known.update(zip(new[i : i + NEW_WORDS], self._encoded(new[i : i + NEW_WORDS]), strict=True))
         return [known[w] for w in words]
 
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
+
     def _encoded(self, words: list[str]) -> list[tuple | None]:
         a, b = [self.a.encode(" " + w) for w in words], self.b.encode(words)
         a_bytes, b_bytes, whole = self.a.token_bytes, self.b.token_bytes, [(" " + w).encode() for w in words]
@@ -173,6 +181,16 @@ class _Numbered(dict):
         return n
 
 
+def _packed(*parts: bytes) -> tuple[bytes, list[int]]:
+    """The parts, compressed together, and their sizes: most of a chunk's bytes are small numbers."""
+    return pa.compress(b"".join(parts), "zstd", asbytes=True), [len(p) for p in parts]
+
+
+def _unpacked(packed: bytes, sizes: list[int]) -> list[bytes]:
+    whole, ends = pa.decompress(packed, int(sum(sizes)), "zstd", asbytes=True), np.cumsum(sizes).tolist()
+    return [whole[i:j] for i, j in pairwise([0, *ends])]
+
+
 def _chunk(chunk: int, docs: list[tuple[int, str | None]], aligner: _Aligner) -> dict:
     index = _Numbered()
     words = [list(map(index.__getitem__, words_of(t))) if t else [] for _, t in docs]
@@ -194,14 +212,17 @@ def _chunk(chunk: int, docs: list[tuple[int, str | None]], aligner: _Aligner) ->
     # a number for each (word, pair) and each (document, word), to have them once
     word, number = np.divmod(distinct(word * max(1, len(pairs)) + np.searchsorted(pairs, pair)), max(1, len(pairs)))
     own_doc, own_word = np.divmod(distinct(doc * max(1, len(known)) + flat), max(1, len(known)))
-    owner, at = _owned(own_word, np.bincount(word, minlength=len(known)))
-    held = distinct(own_doc[owner] * max(1, len(pairs)) + number[at])
-    df = np.bincount(held % max(1, len(pairs)), minlength=len(pairs))
+    per, df = np.bincount(word, minlength=len(known)), np.zeros(len(pairs), np.int64)
+    bounds = [*np.searchsorted(own_doc, np.arange(0, len(docs), COUNTED_DOCS)).tolist(), len(own_doc)]
+    for i, j in pairwise(bounds):
+        owner, at = _owned(own_word[i:j], per)
+        held = distinct(own_doc[i:j][owner] * max(1, len(pairs)) + number[at])
+        df += np.bincount(held % max(1, len(pairs)), minlength=len(pairs))
     pairs, df = pairs[df > 0], df[df > 0]
-    columns = {"chunk": chunk, "doc_id": [d for d, _ in docs], "groups_sha256": digests, "n_words": n.tobytes(), "words": flat.tobytes()}
+    packed, sizes = _packed(n.tobytes(), flat.tobytes(), a, per_word[0].astype(np.int32).tobytes(), b)
+    columns = {"chunk": chunk, "doc_id": [d for d, _ in docs], "groups_sha256": digests, "packed": packed, "sizes": sizes}
     columns |= {name: s.tolist() for name, s in zip(("n_a", "n_b", "n_groups", "n_links"), sums, strict=True)}
-    columns |= {"a": a, "a_n": per_word[0].tobytes(), "b": b}
-    return columns | {"pairs": pairs.tobytes(), "df": df.astype(np.int64).tobytes(), "n_pairs": len(pairs)}
+    return columns | {"pairs": pairs.tobytes(), "df": df.tobytes(), "n_pairs": len(pairs)}
 
 
 def _schema_of(text: str) -> pa.Schema:
@@ -215,8 +236,8 @@ def aligned_chunks(docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int =
 
     def encode(batches):
         aligner, chunk, docs, size = _aligner(a_path, b_path), TaskContext.get().partitionId() << 32, [], 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for part in (b.slice(i, TAKEN_ROWS) for b in batches for i in range(0, b.num_rows, TAKEN_ROWS)):
+            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 docs.append((doc_id, text))
                 size += len(text or "")
                 if size >= chunk_bytes or len(docs) >= 100_000:
@@ -318,19 +339,19 @@ def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 def _finished(a_path: str, b_path: str, shards: int):
     def finish(own: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         row, aligner = own.iloc[0], _aligner(a_path, b_path)
+        aligner.forget()  # a worker that has encoded has no use for the words here
+        n, flat, a, a_n, b = (np.frombuffer(x, t) for x, t in zip(_unpacked(row["packed"], row["sizes"]), (np.int64, np.int32, np.uint16, np.int32, np.uint16), strict=True))
         pairs = _longs(row["pairs"])
         shard, marked = shard_of(pairs, shards), np.zeros(len(pairs), np.int64)
         for s, counts in zip(answers["shard"], answers["counts"], strict=True):
             marked[shard == s] = _longs(counts)
-        a_n = _longs(row["a_n"])
-        word, pair, links = _word_links(aligner, np.frombuffer(row["a"], np.uint16), a_n, np.frombuffer(row["b"], np.uint16))
+        word, pair, links = _word_links(aligner, a, a_n, b)
         at = np.searchsorted(pairs, pair)
         at[at == len(pairs)] = 0
         # pairs only of words whose text has no tokens count for no document
         here = marked[at] if len(pairs) else np.zeros(len(pair), np.int64)
         best, total = (_sums(word, links * x, len(a_n)) for x in (here > 0, np.abs(here)))
-        n = _longs(row["n_words"])
-        doc, flat = np.repeat(np.arange(len(n)), n), np.frombuffer(row["words"], np.int32)
+        doc = np.repeat(np.arange(len(n)), n)
         n_best, count_sum = (_sums(doc, x[flat], len(n)) for x in (best, total))
         out = {c: pd.array(list(row[c]), "Int64") for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")}
         return pd.DataFrame(out | {"n_best": n_best, "count_sum": count_sum, "groups_sha256": list(row["groups_sha256"])})
@@ -347,7 +368,7 @@ def align_tokenizers(docs: DataFrame, a: str = BYTE_BPE, b: str = PIECE_BPE, chu
     """
     a_path, b_path = path_of(a), path_of(b)
     with scratch(docs.sparkSession):
-        chunks = saved(aligned_chunks(docs, a_path, b_path, chunk_bytes))
+        chunks = saved(aligned_chunks(docs, a_path, b_path, chunk_bytes), large=True)
         n, entries = chunks.agg(F.count("*"), F.coalesce(F.sum("n_pairs"), F.lit(0))).first()
         shards, width = min(MAX_SHARDS, max(8, math.ceil(entries / shard_entries))), max(1, math.ceil(n / FAN_IN))
         dealt = saved(_dealt(chunks, shards, width))
@@ -359,7 +380,7 @@ def align_tokenizers(docs: DataFrame, a: str = BYTE_BPE, b: str = PIECE_BPE, chu
         counts = _up(leaves, width, _summed, _VECTOR).select("shard", "counts")
         filled = at_nodes(index.join(counts, "shard"))
         answers = dealt.groupBy(*by).cogroup(filled.groupBy(*by)).applyInPandas(_answered, "chunk long, shard long, counts binary")
-        done = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_finished(a_path, b_path, shards), _DONE)
+        done = chunks.drop("df", "n_pairs").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_finished(a_path, b_path, shards), _DONE)
         return saved(done, keep=True)
 
 

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import sentencepiece
+from pyarrow.parquet import ParquetFile
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -165,6 +166,26 @@ def test_alignment_edge_texts(spark, monkeypatch):
     assert [tuple(r) for r in align_tokenizers(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")).orderBy("doc_id").collect()] == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
 
 
+def test_chunks_are_held_one_at_a_time(spark, monkeypatch):
+    """A chunk has megabytes, so it is a row group of its own: who writes or reads the file holds one, however many a task makes."""
+    from quirefold.llm import token_alignment
+
+    real, groups = token_alignment.saved, []
+
+    def saved(df, **how):
+        out = real(df, **how)
+        if {"doc_id", "pairs"} <= set(out.columns):
+            for f in out.inputFiles():
+                meta = ParquetFile(f.removeprefix("file://")).metadata
+                groups.extend(meta.row_group(i).num_rows for i in range(meta.num_row_groups))
+        return out
+
+    monkeypatch.setattr(token_alignment, "saved", saved)
+    rows = [(i, f"a few words {i} of a text {'x' * i}") for i in range(40)]
+    same(align_tokenizers(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), chunk_bytes=100).collect(), aligned(rows))
+    assert len(groups) > 10 and set(groups) == {1}
+
+
 def test_words_outlast_their_generation(spark, monkeypatch):
     from quirefold.llm import token_alignment
 
