@@ -17,6 +17,9 @@ TABLES = tuple("region nation customer supplier part orders lineitem events docu
 _LINE_ORDER = "l_linenumber,l_partkey,l_suppkey,l_quantity,l_extendedprice,l_discount,l_tax,l_returnflag,l_linestatus,l_shipdate"
 #: On Spark lines are numbered before anything is computed from them, so that only the table's columns move and all views of them share that shuffle.
 _NUMBERED = f"(select l_orderkey, {_LINE_ORDER}, row_number() over (partition by l_orderkey order by {_LINE_ORDER}) as rn from lineitem)"
+#: The columns that place a line's box; the others of _LINE_ORDER only order lines that agree in these.
+_PLACE = "l_linenumber,l_partkey,l_suppkey,l_quantity"
+_BUCKET = "(xxhash64(l_orderkey) & 1048575)"
 
 VIEWS: dict[str, str | tuple[str, str]] = {
     "boxes": (
@@ -50,6 +53,18 @@ from (select l_orderkey, l_returnflag, l_partkey, row_number() over (partition b
     round(l_tax*10,1) as conf, l_linestatus from lineitem) r
 where l_linestatus = 'F'""",
     ),
+    # boxes without conf and cls, for Spark alone. Lines of one place that are all boxes, or all none, may be numbered in any order, so only columns of the place move;
+    # orders that have other such lines are numbered as in boxes, with those that share their bucket
+    "outlines": f"""
+with n as (select /*+ repartition(l_orderkey) */ l_orderkey,{_PLACE}, coalesce(l_linestatus = 'O', false) as is_box from lineitem),
+  t as (select distinct {_BUCKET} as bucket from (select l_orderkey from n group by l_orderkey,{_PLACE} having bool_or(is_box) and not bool_and(is_box)) g),
+  r as (
+    select /*+ broadcast(t) */ l_orderkey,{_PLACE}, rn from (select *, row_number() over (partition by l_orderkey order by {_PLACE}) as rn from n) a left anti join t on {_BUCKET} = bucket and rn > 0 where is_box
+    union all
+    select l_orderkey,{_PLACE}, rn from (select l_orderkey,{_LINE_ORDER}, row_number() over (partition by l_orderkey order by {_LINE_ORDER}) as rn from
+      (select /*+ broadcast(t) */ l_orderkey,{_LINE_ORDER} from lineitem left semi join t on {_BUCKET} = bucket) b) c where l_linestatus = 'O')
+select l_orderkey*100 + rn as box_id, cast(x1 as double) as left_x, cast(y1 as double) as top_y, cast(x1+w as double) as right_x, cast(y1+h as double) as bottom_y
+from (select l_orderkey, rn, (l_partkey*7) % 600 as x1, (l_suppkey*97 + l_linenumber*131) % 1800 as y1, cast(40 + l_quantity*4 as bigint) as w, cast(30 + l_quantity*3 as bigint) as h from r) p""",
     "page_dim": "select distinct cast(floor(o_orderkey/4) as bigint) as page_id, 900 as width, 2100 as height from orders",
     # eight vectors, stacked, are a page of 64 rows and 8 columns
     "pixels": (

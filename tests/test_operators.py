@@ -572,3 +572,37 @@ def test_oval_points_by_number(spark):
     b = geometry.Box(*[F.lit(float(x)) for x in (3, 5, 40, 90)])
     poly, points = spark.range(1).select(geometry.oval_poly(b, 5), F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: geometry.oval_point(b, i, 5))).first()
     assert poly == points and len(poly) == 20 and tuple(poly[0]) == (21.5, 5.0) and tuple(poly[5]) == (40.0, 47.5)
+
+
+def test_oval_points_of_one_outline_lie_together(spark):
+    """Within a task boxes come by their sides, all 48 points of each in a row, so that files hold equal numbers side by side."""
+    from quirefold.plans import registered
+
+    out = registered()[0]["p16_oval_poly"](spark, "/root/testdata/sf0.01").withColumn("part", F.spark_partition_id())
+    points = [tuple(r) for r in out.where("part = 0").select("box_id", "i", "x").collect()]
+    assert len(points) > 48 * 1000 and all(r[1] == k % 48 for k, r in enumerate(points)) and all(len({r[0] for r in points[k : k + 48]}) == 1 for k in range(0, len(points), 48))
+    # point 12 is in the middle of the right side, point 36 of the left one
+    sides = [(points[k + 36][2], points[k + 12][2]) for k in range(0, len(points), 48)]
+    assert sides == sorted(sides)
+
+
+def test_outlines_are_boxes(spark, sf, tmp_path):
+    """Lines that agree in their place but not in being a box are numbered by the other columns; the usual ones move without those."""
+    from quirefold.plans.fixtures import frame
+
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    some = lines.where("l_orderkey % 3 = 0")
+    twins = some.withColumns({"l_linestatus": F.expr("case when l_linestatus = 'O' then 'F' when l_partkey % 2 = 0 then null else 'O' end"), "l_extendedprice": F.col("l_extendedprice") + F.col("l_partkey") % 3 - 1})
+    odd = lines.limit(3).withColumns({"l_orderkey": F.lit(None).cast("long")})
+    lines.unionAll(twins).unionAll(lines.where("l_orderkey % 3 = 1")).unionAll(odd).unionAll(twins.limit(50)).repartition(3).write.parquet(f"{tmp_path}/lineitem.parquet")
+    for at in (sf, str(tmp_path)):
+        got, want = frame(spark, at, "outlines"), frame(spark, at, "boxes").select("box_id", "left_x", "top_y", "right_x", "bottom_y")
+        assert want.count() == got.count() > 1000 and got.exceptAll(want).isEmpty()
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = frame(spark, sf, "outlines")._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len([x for x in plan if "REPARTITION_BY_COL" in x and "ReusedExchange" not in x]) == 1
+    assert ["l_tax" in x for x in plan if " Sort [l_orderkey" in x] == [False, True]
